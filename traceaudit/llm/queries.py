@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from traceaudit.llm import knn, license_scan, url_reputation, warc
+from traceaudit.llm import decontaminate, knn, license_scan, quality, toxicity, url_reputation, warc
 
 QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
     "op2_warc": warc.op2_warc,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_block_knn": knn.op7_block_knn,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.ORACLE_SQL,
