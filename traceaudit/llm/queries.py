@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from traceaudit.llm import decontaminate, knn, license_scan, quality, toxicity, url_reputation, warc
+from traceaudit.llm import decontaminate, jaccard_join, knn, license_scan, pieces, quality, toxicity, url_reputation, warc
 
 QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
     "op2_warc": warc.op2_warc,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_block_knn": knn.op7_block_knn,
@@ -16,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.ORACLE_SQL,
     "op2_warc": warc.ORACLE_SQL,
+    "op4_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
 }
