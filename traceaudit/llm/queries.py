@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from traceaudit.llm import decontaminate, jaccard_join, knn, license_scan, pieces, quality, toxicity, url_reputation, warc
+from traceaudit.llm import decontaminate, jaccard_join, katz, knn, license_scan, pieces, quality, toxicity, url_reputation, warc
 
 QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_block_knn": knn.op7_block_knn,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_katz_backoff": katz.op9_katz_backoff,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
