@@ -1,4 +1,6 @@
 """All registered queries outside the text-corpus subpackage, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from traceaudit.plans.base import ORACLE_SQL, QUERIES
+from traceaudit.plans import claims, joins, outcomes, samples, scores, stats, tasks, text, tokens  # noqa: F401  each registers its queries
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
