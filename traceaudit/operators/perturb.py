@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +15,21 @@ def present_keyword(text: Column, keywords: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(low.contains(k.lower()), F.lit(k)) for k in sorted(keywords, key=lambda k: (-len(k), k))])
 
 
+def _words(keywords: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(k) for k in sorted(keywords, key=lambda k: (-len(k), k))])
+
+
 def choose_target(trace: Column, lexicon: Lexicon, generic=(), prefer_in: Column | None = None) -> Column:
     """struct(group, keyword) of the first specific group, in lexicon order, with a keyword in the trace; with prefer_in, one that is also in that text comes first."""
-    options = [(g, present_keyword(trace, w)) for g, w in lexicon.items() if g not in generic]
-    pick = lambda also: [F.when(k.isNotNull() & also(k), F.struct(F.lit(g).alias("group"), k.alias("keyword"))) for g, k in options]
-    first = pick(lambda k: F.lower(prefer_in).contains(F.lower(k))) if prefer_in is not None else []
-    return F.coalesce(*first, *pick(lambda k: F.lit(True)))
+    low = F.lower(trace)
+    options = F.array(*[F.struct(F.lit(g).alias("group"), _words(w).alias("words")) for g, w in lexicon.items() if g not in generic])
+    found = F.transform(options, lambda o: F.struct(o["group"].alias("group"), F.get(F.filter(o["words"], lambda w: low.contains(F.lower(w))), F.lit(0)).alias("keyword")))
+    named = F.filter(found, lambda o: o["keyword"].isNotNull())
+    first = F.get(named, F.lit(0))
+    if prefer_in is None:
+        return first
+    also = F.lower(prefer_in)
+    return F.coalesce(F.get(F.filter(named, lambda o: also.contains(F.lower(o["keyword"]))), F.lit(0)), first)
 
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:
@@ -52,11 +59,13 @@ def synonym(group: Column, keyword: Column, lexicon: Lexicon) -> Column:
 
 def corrupt_all(text: Column, lexicon: Lexicon, replacement: str) -> Column:
     """First keyword occurrence of every present group replaced, in lexicon order."""
-    def one(t: Column, words: tuple[str, ...]) -> Column:
-        k = present_keyword(t, words)
-        return F.when(k.isNotNull(), replace_first(t, k, F.lit(replacement))).otherwise(t)
+    groups = F.array(*[_words(w) for w in lexicon.values()])
+
+    def one(t: Column, words: Column) -> Column:
+        keyword = F.get(F.filter(words, lambda w: F.lower(t).contains(F.lower(w))), F.lit(0))
+        return F.coalesce(replace_first(t, keyword, F.lit(replacement)), t)
 
-    return reduce(one, lexicon.values(), text)
+    return F.aggregate(groups, text, one)
 
 
 def drop_trace(answer: Column) -> Column:
