@@ -40,7 +40,7 @@ def named_groups_outside(df: DataFrame, text: str, lexicon: dict[str, tuple[str,
         compiled = {g: re.compile(p) for g, p in patterns.items()}
 
         def one(t):
-            return sorted(g for g, p in compiled.items() if any(not near.search(t, max(0, m.start() - window), m.end() + window) for m in p.finditer(t)))
+            return sorted(g for g, p in compiled.items() if any(not near.search(t[max(0, m.start() - window) : m.end() + window]) for m in p.finditer(t)))
 
         return texts.map(one)
 

@@ -37,14 +37,14 @@ def cluster_entropy(df: DataFrame, key: str, cluster: str) -> DataFrame:
 
     Under two valid samples both entropies are 0.
     """
-    sizes = df.groupBy(key, cluster).agg(F.count("*").alias("c"))
+    sizes = df.groupBy(key, cluster).agg(F.count("*").alias("_c"))
     valid = F.col(cluster).isNotNull()
     n = sizes.groupBy(key).agg(
-        F.sum("c").alias("n_samples"),
-        F.coalesce(F.sum(F.when(valid, F.col("c"))), F.lit(0)).alias("n_valid"),
+        F.sum("_c").alias("n_samples"),
+        F.coalesce(F.sum(F.when(valid, F.col("_c"))), F.lit(0)).alias("n_valid"),
         F.count(F.when(valid, 1)).alias("n_clusters"),
-        F.coalesce(F.sum(F.when(valid, F.col("c") * F.log(F.col("c").cast("double")))), F.lit(0.0)).alias("cl"),
-        F.sort_array(F.collect_list(F.when(valid, F.col("c"))), asc=False).alias("cluster_sizes"),
+        F.coalesce(F.sum(F.when(valid, F.col("_c") * F.log(F.col("_c").cast("double")))), F.lit(0.0)).alias("cl"),
+        F.sort_array(F.collect_list(F.when(valid, F.col("_c"))), asc=False).alias("cluster_sizes"),
     )
     h = F.when(F.col("n_valid") > 1, F.log(F.col("n_valid").cast("double")) - F.col("cl") / F.col("n_valid")).otherwise(0.0)
     return n.select(key, "n_samples", "n_valid", "n_clusters", h.alias("entropy"), F.when(F.col("n_valid") > 1, h / F.log(F.col("n_valid").cast("double"))).otherwise(0.0).alias("normalized"), "cluster_sizes")

@@ -21,3 +21,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder path that the driver and all executors share: under spark.checkpoint.dir, or a temporary folder where that is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="spark-own-") + f"/{name}"
