@@ -67,3 +67,47 @@ def shingle_hashes(h: np.ndarray, k: int = 5) -> np.ndarray:
     for j in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : n - width + 1 + j]
     return mix64(out)
+
+
+def planes(a: np.ndarray) -> bytes:
+    """Bytes of an array, all first bytes first, which compress well where high bytes are zero."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
+
+
+def slices_of(keys: np.ndarray, bits: int):
+    """(slice, from, to) of the ranges of sorted hashes that occur; a range is the upper `bits` bits."""
+    top = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    starts = np.flatnonzero(np.diff(top, prepend=-1))
+    return zip(top[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)][: len(starts)], strict=True)
+
+
+def sorted_runs(batches, keys: tuple[str, ...]):
+    """Lists of rows (dicts) with equal keys, from batches sorted by them."""
+    held, key = [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = tuple(row[k] for k in keys)
+            if now != key and held:
+                yield held
+                held = []
+            key = now
+            held.append(row)
+    if held:
+        yield held
+
+
+def in_runs(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*order)

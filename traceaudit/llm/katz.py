@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import cut, mix64, words_of
+from traceaudit.llm.common import cut, in_runs, mix64, pack_sorted, planes, slices_of, sorted_runs, unpack_sorted, unplanes, words_of
 from traceaudit.llm.labelled import crc_remainder
 
 #: Tokens of one batch of texts (a longer text is a batch of its own), and hashes of one range, about.
@@ -34,6 +34,8 @@ BATCH_TOKENS = 2_000_000
 RANGE_KEYS = 1_000_000
 #: Counts up to this are discounted by Good-Turing.
 GT_MOST = 5
+#: Texts for which a task sums backoff weights before it sends them.
+HELD_PARTS = 2_000_000
 END, START = 0, 1  # local ids
 BATCHES = "batch long, doc_ids array<long>, train array<boolean>, lens array<int>, stream binary, words binary"
 SENT = "kind int, slice long, batch long, keys binary, counts binary, others binary"
@@ -116,31 +118,6 @@ class Batch:
         return np.unique(keys, return_inverse=True, return_index=True)
 
 
-def planes(a: np.ndarray) -> bytes:
-    """Bytes of an array, all first bytes first, which compress well where high bytes are zero."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
-
-
-def unplanes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return planes(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
-
-
-def slices_of(keys: np.ndarray, bits: int):
-    """(slice, from, to) of the ranges of sorted hashes that occur; a range is the upper `bits` bits."""
-    top = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    starts = np.flatnonzero(np.diff(top, prepend=-1))
-    return zip(top[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)
-
-
 def record(rows: list[dict], ddl: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
     fields = [pa.field(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))]
@@ -162,21 +139,6 @@ def send_counts(bits: int):
     return run
 
 
-def sorted_runs(batches, keys: tuple[str, ...]):
-    """Lists of rows (dicts) with equal keys, from batches sorted by them."""
-    held, key = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            now = tuple(row[k] for k in keys)
-            if now != key and held:
-                yield held
-                held = []
-            key = now
-            held.append(row)
-    if held:
-        yield held
-
-
 def add_up(batches):
     """Totals of each range for each batch in it. flags: for unigrams whether texts outside the training set have it, for bigrams whether this batch is the one to
     speak for it. stats, on one row of a range: how many keys have count 1 .. GT_MOST + 1, any count, and the sum of counts."""
@@ -272,7 +234,18 @@ def score_batches(model: dict, bits: int):
 
 
 def back_off(batches):
-    """(batch, doc, part): for each text, the sum of log10 alpha over its unseen bigrams whose history lies in a range."""
+    """(batch, kind 1, docs, parts): for texts of a batch, the sum of log10 alpha over their unseen bigrams whose history lies in this task's ranges. Sums are kept
+    for HELD_PARTS texts at most before they are sent."""
+    held: dict[int, list] = {}
+    size = 0
+
+    def flush():
+        for batch, pairs in held.items():
+            docs, inverse = np.unique(np.concatenate([d for d, _ in pairs]), return_inverse=True)
+            parts = np.bincount(inverse, np.concatenate([x for _, x in pairs]))
+            yield record([{"batch": batch, "kind": 1, "docs": docs.tobytes(), "parts": parts.tobytes()}], "batch long, kind int, docs binary, parts binary")
+        held.clear()
+
     for rows in sorted_runs(batches, ("slice",)):
         own, need = ([r for r in rows if r["kind"] == k] for k in (1, 2))
         if not need:
@@ -285,12 +258,22 @@ def back_off(batches):
         for r in need:
             at = np.searchsorted(every, unpack_sorted(r["hists"]))
             docs, inverse = np.unique(unplanes(r["x"], np.int64), return_inverse=True)
-            parts = np.bincount(inverse, alpha[at] * unplanes(r["y"], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(docs), pa.int64()), pa.array(docs), pa.array(parts)], ["batch", "doc", "part"])
+            held.setdefault(r["batch"], []).append((docs, np.bincount(inverse, alpha[at] * unplanes(r["y"], np.int64))))
+            size += len(docs)
+        if size > HELD_PARTS:
+            yield from flush()
+            size = 0
+    yield from flush()
 
 
-def in_runs(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*order)
+def finish(batches):
+    """One row per text: the scores of its batch plus what back_off found."""
+    for rows in sorted_runs(batches, ("batch",)):
+        r, score = rows[0], np.array(rows[0]["score"])
+        for more in rows[1:]:
+            np.add.at(score, np.frombuffer(more["docs"], np.int64), np.frombuffer(more["parts"]))
+        columns = {"doc_id": pa.array(r["doc_ids"], pa.int64()), "n_tokens": pa.array(r["n_tokens"]), "n_known": pa.array(r["n_known"]), "base_score": pa.array(r["base"]), "score": pa.array(score)}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -320,16 +303,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     scored = cut(both.mapInArrow(score_batches(model, bits), SCORED), "katz-scored")
 
     meet = in_runs(scored.filter("kind > 0").select("slice", "kind", "batch", "hists", "x", "y", "z"), ["slice"], ["slice"])
-    alphas = meet.mapInArrow(back_off, "batch long, doc long, part double").groupBy("batch", "doc").agg(F.sum("part").alias("part"))
-    rows = scored.filter("kind = 0").select("batch", F.posexplode(F.arrays_zip("doc_ids", "n_tokens", "n_known", "base", "score")).alias("doc", "r")).withColumn("doc", F.col("doc").cast("long"))
-    return rows.join(alphas, ["batch", "doc"], "left").select(
-        F.col("r.doc_ids").alias("doc_id"),
-        F.col("r.n_tokens").alias("n_tokens"),
-        F.col("r.n_known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        F.col("r.base").alias("base_score"),
-        (F.col("r.score") + F.coalesce("part", F.lit(0.0))).alias("score"),
-    )
+    parts = meet.mapInArrow(back_off, "batch long, kind int, docs binary, parts binary")
+    done = scored.filter("kind = 0").select("batch", "kind", "doc_ids", "n_tokens", "n_known", "base", "score")
+    both = in_runs(done.unionByName(parts, allowMissingColumns=True), ["batch"], ["batch", "kind"])
+    rows = both.mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return rows.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_katz_backoff(spark, sf_dir: str) -> DataFrame:
