@@ -13,16 +13,19 @@ from traceaudit.streaming import stream
 
 @query(f"SELECT doc_id, {sql_ir('text')} AS ir FROM documents")
 def r1_score_stream(spark, d):
-    """All documents, scored as a stream of files; the result is what the sink holds after the stream has caught up."""
+    """All documents, arriving as files of a folder and scored as a stream; the result is what the sink holds after the stream has caught up."""
     home = scratch_dir(spark, "score-stream")
-    schema = table(spark, d, "documents").schema
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.write.parquet(f"{home}/in")
     score = lambda df: df.select("doc_id", self_contradiction(F.col("text")).cast("double").alias("ir"))
-    stream.score_stream(spark, f"{d}/documents.parquet", schema, score, f"{home}/out", f"{home}/checkpoint", ["doc_id"])
+    stream.score_stream(spark, f"{home}/in", docs.schema, score, f"{home}/out", f"{home}/checkpoint", ["doc_id"])
     return spark.read.schema("doc_id long, ir double").parquet(f"{home}/out")
 
 
 @query("SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS total FROM documents GROUP BY ALL")
 def r2_running_stats(spark, d):
     home = scratch_dir(spark, "running-stats")
-    stream.running_stats(spark, f"{d}/documents.parquet", table(spark, d, "documents").schema, ["source", "lang"], "n_chars", f"{home}/out", f"{home}/checkpoint")
+    docs = table(spark, d, "documents").select("source", "lang", "n_chars")
+    docs.write.parquet(f"{home}/in")
+    stream.running_stats(spark, f"{home}/in", docs.schema, ["source", "lang"], "n_chars", f"{home}/out", f"{home}/checkpoint")
     return spark.read.parquet(f"{home}/out")
