@@ -58,7 +58,7 @@ class Encoder:
     def __init__(self, model: dict):
         self.pieces, self.scores, self.kind = model["pieces"], model["scores"], model["kind"]
         self.ids = {p: i for i, (p, ok) in enumerate(zip(self.pieces, model["plain"], strict=True)) if ok}
-        self.longest = max(map(len, self.ids), default=1)
+        self.lengths = list(map(len, self.pieces))
         self.byte_ids, self.unk = model["byte_ids"], model["unk"]
         self.unknown_score = min(self.scores, default=0.0) - 10.0
         self.beside: dict[int, bool] = {}  # of pairs of pieces, by first * number of pieces + second
@@ -66,6 +66,7 @@ class Encoder:
         self.memo: dict[str, list[int]] = {}
         silent = set(model["silent"])
         by_id = {i: bytes([b]) for b, i in self.byte_ids.items()}
+        self.automaton()
         self.bytes = [by_id.get(i, b"" if i in silent else " ⁇ ".encode() if i == self.unk else p.encode()) for i, p in enumerate(self.pieces)]
 
     def merged(self, text: str) -> list[str]:
@@ -97,43 +98,89 @@ class Encoder:
             ok = self.beside[key] = self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return ok
 
-    def extend_bpe(self, word: str, i: int, last: list[int]) -> None:
-        """Append the last piece of the encoding of word[:i] to last, which has those of all shorter prefixes."""
-        ids = self.ids
-        for length in range(min(i, self.longest), 0, -1):
-            piece = ids.get(word[i - length : i])
-            if piece is None or not self.stands_alone(piece):
+    def automaton(self) -> None:
+        """All pieces that may end at a place, longest first, for each state of a suffix automaton over the pieces; unreachable pieces are left out."""
+        self.next, self.ends, self.fail, self.learnt = [{}], [()], [0], 0
+        for piece, i in self.ids.items():
+            if self.kind == "bpe" and not self.stands_alone(i):
                 continue
-            if length == i or last[i - length - 1] == UNKNOWN or self.stand_together(last[i - length - 1], piece):
-                last.append(piece)
-                return
-        last.append(UNKNOWN)
-
-    def extend_unigram(self, word: str, i: int, last: list[int], best: list[float]) -> None:
+            state = 0
+            for ch in piece:
+                if ch not in self.next[state]:
+                    self.next[state][ch] = len(self.next)
+                    self.next.append({})
+                    self.ends.append(())
+                    self.fail.append(0)
+                state = self.next[state][ch]
+            self.ends[state] = ((i, len(piece)),)
+        todo = list(self.next[0].values())
+        for state in todo:
+            for ch, child in self.next[state].items():
+                f = self.fail[state]
+                while f and ch not in self.next[f]:
+                    f = self.fail[f]
+                self.fail[child] = self.next[f].get(ch, 0)
+                todo.append(child)
+            self.ends[state] += self.ends[self.fail[state]]
+
+    def step(self, state: int, ch: str) -> int:
+        """The state after ch where the state has no edge for it; remembered up to a million edges."""
+        f = state
+        while f and ch not in self.next[f]:
+            f = self.fail[f]
+        target = self.next[f].get(ch, 0)
+        if self.learnt < 1_000_000:
+            self.learnt += 1
+            self.next[state][ch] = target
+        return target
+
+    def extend_unigram(self, i: int, state: int, best: list[float]) -> int:
+        """The last piece of the best segmentation of the first i characters; appends its score to best."""
         top, pick = (best[i - 2] if i > 1 else 0.0) + self.unknown_score, UNKNOWN
-        for length in range(1, min(i, self.longest) + 1):
-            piece = self.ids.get(word[i - length : i])
-            if piece is not None and (value := (best[i - length - 1] if length < i else 0.0) + self.scores[piece]) > top:
+        for piece, length in self.ends[state]:
+            value = (best[i - length - 1] if length < i else 0.0) + self.scores[piece]
+            if value > top:
                 top, pick = value, piece
-        last.append(pick)
         best.append(top)
+        return pick
 
     def encode_sorted(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of each of the sorted, distinct marked words."""
+        """Ids of each of the sorted, distinct marked words: a depth-first walk that keeps the forward entries of the common prefix."""
         out: dict[str, list[int]] = {}
         last: list[int] = []
+        states = [0]
         best: list[float] = []
+        follow, ends, beside, n_pieces, bpe = self.next, self.ends, self.beside, len(self.pieces), self.kind == "bpe"
+        lengths = self.lengths
         previous = ""
         for word in words:
             n, depth = min(len(previous), len(word)), 0
+            if previous[: n >> 1] == word[: n >> 1]:
+                depth = n >> 1
             while depth < n and previous[depth] == word[depth]:
                 depth += 1
-            del last[depth:], best[depth:]
-            for i in range(depth + 1, len(word) + 1):
-                if self.kind == "bpe":
-                    self.extend_bpe(word, i, last)
+            del last[depth:], states[depth + 1 :], best[depth:]
+            state = states[-1]
+            for i in range(depth, len(word)):
+                ch = word[i]
+                target = follow[state].get(ch)
+                state = self.step(state, ch) if target is None else target
+                states.append(state)
+                if bpe:
+                    for piece, length in ends[state]:
+                        if length > i:
+                            break
+                        before = last[i - length]
+                        if before == UNKNOWN:
+                            break
+                        ok = beside.get(before * n_pieces + piece)
+                        if ok or ok is None and self.stand_together(before, piece):
+                            break
+                    else:
+                        piece = UNKNOWN
                 else:
-                    self.extend_unigram(word, i, last, best)
+                    piece = self.extend_unigram(i + 1, state, best)
+                last.append(piece)
             found: list[int] = []
             i = len(word)
             while i:
@@ -143,7 +190,7 @@ class Encoder:
                     i -= 1
                 else:
                     found.append(piece)
-                    i -= len(self.pieces[piece])
+                    i -= lengths[piece]
             found.reverse()
             out[word] = found
             previous = word
@@ -154,9 +201,8 @@ class Encoder:
         chunks = [None if t is None else _CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         memo = self.memo
         new = {w for c in chunks if c for w in c if w not in memo}
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = {w for c in chunks if c for w in c}
+        if len(memo) + len(new) > MEMO_WORDS:  # words that are in use just now are likely to come again
+            memo = self.memo = {w: memo[w] for c in chunks if c for w in c if w in memo}
         memo.update(self.encode_sorted(sorted(new)))
         return [None if c is None else list(map(memo.__getitem__, c)) for c in chunks]
 
