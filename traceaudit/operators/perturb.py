@@ -85,6 +85,24 @@ def mask_fragments(text: Column, fragments: Column, mask: str = "[...]") -> Colu
     return F.aggregate(order, text, lambda t, f: F.replace(t, f, F.lit(mask)))
 
 
+def corrupt_fragments(df: DataFrame, key: str, text: str, fragments: Column, pool: DataFrame, column: str = "corrupted") -> DataFrame:
+    """Every distinct fragment of a text replaced by another valid entry of pool(key), picked by the md5 of the fragment; texts without fragments stay.
+
+    The pool is numbered by md5 order in slices, fragments meet it in an equi-join on the number, and only (key, fragment, substitute) rows travel.
+    """
+    from pyspark.sql import Window
+
+    n = pool.agg(F.count("*").alias("n"))
+    slices = F.pmod(F.xxhash64("key"), F.lit(64))
+    sizes = pool.groupBy(slices.alias("s")).agg(F.count("*").alias("c")).withColumn("start", F.sum("c").over(Window.orderBy("s")) - F.col("c"))  # at most 64 rows
+    ranked = pool.select("key", slices.alias("s")).join(F.broadcast(sizes), "s").select(F.col("key").alias("substitute"), (F.col("start") + F.row_number().over(Window.partitionBy("s").orderBy(F.md5("key"))) - 1).alias("r"))
+    found = df.select(key, F.explode(F.array_distinct(fragments)).alias("fragment")).join(F.broadcast(n))  # one row
+    found = found.withColumn("r", F.conv(F.substring(F.md5("fragment"), 1, 8), 16, 10).cast("long") % F.col("n")).join(ranked, "r").filter("fragment <> substitute")
+    swaps = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.length("fragment")).alias("order"), "fragment", "substitute"))).alias("swaps"))
+    swapped = F.aggregate("swaps", F.col(text), lambda t, s: F.replace(t, s["fragment"], s["substitute"]))
+    return df.join(swaps, key, "left").withColumn(column, F.coalesce(swapped, F.col(text))).drop("swaps")
+
+
 def stack_conditions(df: DataFrame, keys: list[str], conditions: dict[str, Column]) -> DataFrame:
     """One row per key and condition whose text is not null."""
     cells = F.array(*[F.struct(F.lit(k).alias("cond"), c.alias("prefix")) for k, c in conditions.items()])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceaudit.functions import text as tx
+from traceaudit.operators import audit
 from traceaudit.operators import claims as cl
 from traceaudit.session import table
 
@@ -90,9 +91,8 @@ SQL_TRACE = rf"""CASE WHEN contains(answer, '<|think_start|>') THEN {sql_strip(r
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """responses with answers, plus pred (the answer) and trace (the reasoning, or the whole text)."""
-    rows = responses(spark, sf_dir).filter(F.col("answer") != "")
-    return rows.withColumns({"pred": tx.extract_answer(F.col("answer")), "trace": tx.reasoning_or_answer(F.col("answer"))})
+    """responses with answers, plus pred and trace."""
+    return audit.extract(responses(spark, sf_dir))
 
 
 EXTRACTED = RESPONSES + f""",
@@ -107,13 +107,15 @@ def sql_groups(c: str, lexicon=None) -> str:
     return f"list_sort(list_filter([{cases}], lambda x: x IS NOT NULL))"
 
 
+def evidence() -> Column:
+    """Groups in the truth, for English also those in the question."""
+    named = {c: cl.named_groups(F.col(c), LEXICON) for c in ("gt", "question")}
+    return cl.evidence_for_task(F.col("task"), named, {"en": ("gt", "question")}, ("gt",))
+
+
 def claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """extracted with claimed (groups in the trace), evidence (groups in the truth, for English also in the question), verified and fabricated."""
-    rows = extracted(spark, sf_dir).withColumns({"claimed": cl.named_groups(F.col("trace"), LEXICON), "in_gt": cl.named_groups(F.col("gt"), LEXICON), "in_question": cl.named_groups(F.col("question"), LEXICON)})
-    evidence = cl.evidence_for_task(F.col("task"), {"gt": F.col("in_gt"), "question": F.col("in_question")}, {"en": ("gt", "question")}, ("gt",))
-    rows = rows.withColumn("evidence", evidence)
-    verified, fabricated = cl.verify(F.col("claimed"), F.col("evidence"))
-    return rows.withColumns({"verified": verified, "fabricated": fabricated})
+    """extracted with claimed (groups in the trace), evidence, in_gt, verified and fabricated."""
+    return audit.verify(extracted(spark, sf_dir), LEXICON, evidence()).withColumn("in_gt", cl.named_groups(F.col("gt"), LEXICON))
 
 
 CLAIMED = EXTRACTED + f""",

@@ -8,7 +8,7 @@ from traceaudit.functions.scores import er_bin
 from traceaudit.operators import perturb as pb
 from traceaudit.operators import stats
 from traceaudit.operators.joins import pair_donor
-from traceaudit.plans.base import ANNOTATIONS, EXTRACTED, GENERIC, LEXICON, OUTCOMES, RESPONSES, annotations, extracted, outcomes, query, responses
+from traceaudit.plans.base import ANNOTATIONS, EXTRACTED, GENERIC, LEXICON, OUTCOMES, RESPONSES, annotations, extracted, facts, outcomes, query, responses
 
 ER_BIN = "CASE WHEN er IS NULL THEN 'na' WHEN er = 0 THEN '0' WHEN er <= 25 THEN '<=25' ELSE '>25' END"
 
@@ -100,3 +100,11 @@ def t5_stack_conditions(spark, d):
     a = F.col("answer")
     conds = {"base": a, "drop": F.when(a.contains("<think>"), pb.drop_trace(a)), "short": F.when(F.length(a) > 500, F.substring(a, 1, 500))}
     return pb.stack_conditions(responses(spark, d), ["id", "task"], conds).groupBy("task", "cond").agg(F.count("*").alias("n"), F.sum(F.length("prefix")).cast("long").alias("chars"))
+
+
+@query()
+def t4_corrupt_fragments(spark, d):
+    pool = facts(spark, d).filter("valid").select(F.substring("canonical", 1, 20).alias("key")).distinct()
+    rows = extracted(spark, d).select("id", "trace")
+    out = pb.corrupt_fragments(rows, "id", "trace", F.regexp_extract_all("trace", F.lit(r"[A-Z]{4,}"), 0), pool)
+    return out.select("id", F.md5("corrupted").alias("digest"), (F.col("corrupted") != F.col("trace")).alias("changed"))

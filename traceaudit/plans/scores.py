@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from traceaudit.functions import scores as sc
 from traceaudit.functions import similarity as sim
-from traceaudit.operators import claims as cl
-from traceaudit.operators import stats
-from traceaudit.plans.base import CLAIMED, EXTRACTED, FACTS, GENERIC, PAIRS, RESPONSES, VERDICTS, claimed, extracted, facts, query, responses, sql_norm, sql_strip, turn_pairs, verdicts
+from traceaudit.operators import audit, stats
+from traceaudit.plans.base import CLAIMED, EXTRACTED, GENERIC, LEXICON, PAIRS, RESPONSES, VERDICTS, claimed, evidence, extracted, facts, query, responses, sql_norm, sql_strip, turn_pairs, verdicts
 from traceaudit.session import table
 
 
@@ -185,22 +184,8 @@ def m12_property_bucket(spark, d):
 
 
 def audited(spark, d):
-    """claimed rows with all scores, ready for the roll-ups."""
-    rows = claimed(spark, d)
-    v, f = F.size(cl.specific(F.col("verified"), GENERIC)), F.size(cl.specific(F.col("fabricated"), GENERIC))
-    s = F.when(F.col("pred").isNotNull(), sim.token_jaccard(F.col("pred"), F.col("gt")))
-    rows = rows.withColumns({
-        "ir": sc.self_contradiction(F.col("trace")).cast("double"),
-        "io": sc.caption_validity(F.col("pred")),
-        "er": sc.fabrication(F.size("claimed"), F.size("fabricated")),
-        "eo": sc.caption_deviation(F.coalesce(s, F.lit(0.0))),
-        "perf": F.coalesce(s, F.lit(0.0)),
-        "n_verified": v,
-        "n_fabricated": f,
-        "trace_length": F.length("trace"),
-    })
-    skip = {"er": F.size("claimed") == 0, "eo": F.col("pred").isNull()}
-    return rows.withColumn("overall", sc.overall({k: F.col(k) for k in ("ir", "io", "er", "eo")}, skip))
+    """Responses with all scores, ready for the roll-ups."""
+    return audit.diagnose(responses(spark, d), LEXICON, GENERIC, evidence())
 
 
 AUDITED = CLAIMED + rf""",
@@ -224,3 +209,19 @@ STATS = """count(*) AS n, round(100 * avg(perf), 6) AS perf, round(100 * avg(per
 def flagship_task_stats(spark, d):
     """From tagged text to a table per model and task: extract, claim, verify, score, roll up."""
     return stats.task_stats(audited(spark, d), ["model", "task"]).select("model", "task", "n", *[F.round(c, 6).alias(c) for c in ROUNDED])
+
+
+@query(f"""WITH {EXTRACTED}, s AS (SELECT id, task, coalesce(pred = gt, false) AS exact, CASE WHEN pred IS NOT NULL THEN {sql_jaccard('pred', 'gt')} END AS cap, length(pred) % 2 AS ok FROM extracted)
+  SELECT task, count(*) AS n, round(avg(coalesce(CASE task WHEN 'en' THEN cap WHEN 'de' THEN ok::DOUBLE ELSE exact::INTEGER::DOUBLE END, 0.0)), 6) AS perf FROM s GROUP BY 1""")
+def k9_task_performance(spark, d):
+    rows = extracted(spark, d)
+    kind = F.when(F.col("task") == "en", "caption").when(F.col("task") == "de", "constraint").otherwise("exact")
+    cap = F.when(F.col("pred").isNotNull(), sim.token_jaccard(F.col("pred"), F.col("gt")))
+    perf = audit.task_performance(kind, F.coalesce(F.col("pred") == F.col("gt"), F.lit(False)), cap, F.length("pred") % 2)
+    return rows.groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg(perf), 6).alias("perf"))
+
+
+@query()
+def u3_registered_bleu(spark, d):
+    audit.register(spark)
+    return turn_pairs(spark, d).selectExpr("conv_id", "turn", "round(bleu2(question, reply), 9) AS bleu2", "round(bleu4(question, reply), 9) AS bleu4")

@@ -125,3 +125,10 @@ def x11_upper_fragments(spark, d):
 def x11_extract_fragments(spark, d):
     f = tx.fragments(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(f).cast("long").alias("n_fragments"), F.array_join(F.sort_array(F.array_distinct(f)), " ").alias("fragments"))
+
+
+@query("SELECT c_custkey, regexp_replace(lower(c_mktsegment), 's+$', '') AS added, regexp_replace(reverse(lower(c_mktsegment)), 's+$', '') AS removed FROM customer")
+def x16_edit_instruction(spark, d):
+    prose = F.concat(F.lit("Please replace the "), F.reverse("c_mktsegment"), F.lit(" with a "), F.col("c_mktsegment"), F.lit("."))
+    e = tx.edit_instruction(prose)
+    return table(spark, d, "customer").select("c_custkey", e["added"].alias("added"), e["removed"].alias("removed"))
