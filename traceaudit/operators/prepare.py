@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceaudit.operators.ranks import grouped_rank
+
 
 def to_task_rows(df: DataFrame, id_: Column, input_: Column, gt: Column, task: str, both_ways: str | None = None) -> DataFrame:
     """(id, input, gt, task); with both_ways also the swapped rows under that task name."""
@@ -105,9 +107,8 @@ def cap_per_group(df: DataFrame, group: str, id_: str, cap: int, seed: int = 42)
 
 
 def every_kth(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
-    """split: every k-th row of a group by order is validation, the rest train."""
-    r = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("split", F.when(r % k == 0, "validation").otherwise("train"))
+    """split: every k-th row of a group by order (a numeric key) is validation, the rest train."""
+    return grouped_rank(df, group, order, "_r").withColumn("split", F.when(F.col("_r") % k == 0, "validation").otherwise("train")).drop("_r")
 
 
 def mix_sources(parts: list[DataFrame], names: dict[str, str], task: str, id_: str, seed: int = 42) -> DataFrame:
