@@ -5,8 +5,9 @@ A text is the set of the 64-bit hashes of its distinct k-word shingles. The step
 1. Frequent shingles come from lossy counting over all texts; they only order shingles (rare before frequent), which
    changes the cost and never the result, so the bounded table of them may be sent to all tasks.
 2. Sets that are equal are one node, kept by their smallest doc_id.
-3. Two sets that link share a shingle among the first n - ceil(0.8 n) + 1 in that order (prefix filter), so pairs are searched
-   among the sets that share such a shingle. Shingles of a single set drop out.
+3. Two sets that link share at least l = min(max(1, n // 20)) shingles among the first n - ceil(0.8 n) + max(1, n // 20) of each in that order
+   (prefix filter with more than one shared token). Shingles whose sets have no partner of a size that could link drop out, and so do
+   sets that are left with too few shingles to link with any.
 4. First round: each set meets the sets that share its first or its second such shingle, in chunks of bounded size. A chunk
    is a signature tree: nodes hold the OR of their sets' token bitmaps, a size range and the most bits lost to
    collisions; a dual traversal prunes node pairs by the largest overlap they allow, and node pairs that are already one
@@ -19,10 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import WordHashes, cut, mix64, shingle_hashes, words_of
+from traceaudit.llm.common import WordHashes, cut, in_runs, mix64, pack_sorted, planes, shingle_hashes, slices_of, sorted_runs, unpack_sorted, unplanes, words_of
 from traceaudit.llm.components import components
 
 WORDS = 5
@@ -55,7 +56,12 @@ def frequent_shingles(docs: DataFrame, k: int = WORDS, most: int = FREQUENT) ->
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-4 * n // 5) + 1 if n else 0
+    return n - -(-4 * n // 5) + max(1, n // 20) if n else 0
+
+
+def least_shared() -> Column:
+    """So many prefix shingles a set of n shares with any set that it links with, which has at least 0.8 n."""
+    return F.greatest(F.lit(1), F.floor(F.col("n") * 4 / 100))
 
 
 def shingle_sets(docs: DataFrame, frequent: np.ndarray, k: int = WORDS) -> DataFrame:
@@ -69,7 +75,7 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray, k: int = WORDS) -> DataF
             for text in batch.column(1).to_pylist():
                 s = set_of(text, hashes, k)
                 p = prefix_length(len(s))
-                common = np.isin(s, hot, assume_unique=True)
+                common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
                 rare = s[~common][:p]
                 kept = s[common][: p - len(rare)]
                 f1, f2 = mix64(s + np.uint64(1)), mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
@@ -240,16 +246,54 @@ def pairs_batch(pairs: list[tuple[int, int]]):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """(h, hot, doc_id, n, size): prefix shingles of the sets that at least two of them share; size: how many do.
+def send_prefixes(bits: int):
+    """Rare prefix shingles of (doc_id, n, rare) as packed slices by hash range: (slice, keys, docs, sizes)."""
 
-    Rare shingles are counted in one exchange; frequent ones, whose table is bounded, with partial sums.
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            counts = np.diff(lists.offsets.to_numpy())
+            order = np.argsort(keys)
+            docs, sizes = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), counts)[order] for i in (0, 1))
+            keys = keys[order]
+            for s, lo, hi in slices_of(keys, bits):
+                data = pack_sorted(keys[lo:hi]), planes(docs[lo:hi]), planes(sizes[lo:hi].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([s]), *[pa.array([x], pa.binary()) for x in data]], ["slice", "keys", "docs", "sizes"])
+
+    return run
+
+
+def find_shared(batches):
+    """(h, doc_id, n, size): shingles of a slice with the sets that have a partner of a size that could link there."""
+    for rows in sorted_runs(batches, ("slice",)):
+        keys = np.concatenate([unpack_sorted(r["keys"]) for r in rows])
+        docs, sizes = (np.concatenate([unplanes(r[c], kind) for r in rows]) for c, kind in (("docs", np.int64), ("sizes", np.int32)))
+        order = np.lexsort((sizes, keys))
+        keys, docs, sizes = keys[order], docs[order], sizes[order].astype(np.int64)
+        near = (keys[1:] == keys[:-1]) & (5 * sizes[:-1] >= 4 * sizes[1:])
+        kept = np.zeros(len(keys), bool)
+        kept[1:] |= near
+        kept[:-1] |= near
+        _, inverse, counts = np.unique(keys[kept], return_inverse=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(docs[kept]), pa.array(sizes[kept]), pa.array(counts[inverse])], ["h", "doc_id", "n", "size"])
+
+
+def shared_prefixes(sets: DataFrame, slice_keys: int = 1_000_000) -> DataFrame:
+    """(h, hot, doc_id, n, size): prefix shingles that sets of sizes that could link share, of sets with enough of them; size: how many sets have the shingle.
+
+    Rare shingles travel packed, in one exchange; frequent ones, whose table is bounded, are counted with partial sums.
     """
-    rare = sets.select(F.explode("rare").alias("h"), "doc_id", "n").withColumn("size", F.expr("count(*) OVER (PARTITION BY h)")).filter("size > 1")
+    total = sets.agg(F.sum(F.size("rare"))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, total / slice_keys)))))
+    sent = sets.filter(F.size("rare") > 0).select("doc_id", "n", "rare").mapInArrow(send_prefixes(bits), "slice long, keys binary, docs binary, sizes binary")
+    rare = in_runs(sent, ["slice"], ["slice"]).mapInArrow(find_shared, "h long, doc_id long, n long, size long")
     hot = sets.filter(F.size("hot") > 0).select(F.explode("hot").alias("h"), "doc_id", "n")
     sizes = hot.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")  # at most FREQUENT rows
     hot = hot.join(F.broadcast(sizes), "h")
-    return rare.select("h", F.lit(0).alias("hot"), "doc_id", "n", "size").union(hot.select("h", F.lit(1), "doc_id", "n", "size"))
+    shared = cut(rare.select("h", F.lit(0).alias("hot"), "doc_id", "n", "size").union(hot.select("h", F.lit(1), "doc_id", "n", "size")), "jaccard-shared")
+    enough = cut(shared.groupBy("doc_id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least_shared()).select("doc_id").distinct(), "jaccard-enough")
+    return shared.join(enough, "doc_id")
 
 
 def cell_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -269,10 +313,6 @@ def cell_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return cut(texts.mapInArrow(run, "doc_id long, n long, excess long, signature binary, cells binary"), "jaccard-cells")
 
 
-def in_runs(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys)
-
-
 def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -289,7 +329,7 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     ranked = F.slice(F.sort_array(F.collect_list(F.struct("hot", "h", "size"))), 1, 2)
     keyed = prefixes.groupBy("doc_id").agg(ranked.alias("keys")).select("doc_id", F.posexplode("keys").alias("turn", "key"))
     keyed = keyed.select("doc_id", F.col("key.h").alias("h"), F.pmod(F.xxhash64("doc_id", "turn"), F.ceil(F.col("key.size") / chunk)).alias("part"))
-    chunks = in_runs(keyed.join(cells.select("doc_id", "cells"), "doc_id").select("h", "part", "doc_id", "cells"), "h", "part")
+    chunks = in_runs(keyed.join(cells.select("doc_id", "cells"), "doc_id").select("h", "part", "doc_id", "cells"), ["h", "part"], ["h", "part"])
     links = cut(chunks.mapInArrow(first_round, "a long, b long").distinct(), "jaccard-links")
     parts = cut(components(links), "jaccard-parts").withColumnsRenamed({"node": "doc_id", "component": "part_id"})
 
@@ -305,7 +345,7 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
         .select("h", "band", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature")
     )
-    maybe = in_runs(tree_rows, "h", "band", "i", "j").mapInArrow(second_round, "a long, b long")
+    maybe = in_runs(tree_rows, ["h", "band", "i", "j"], ["h", "band", "i", "j"]).mapInArrow(second_round, "a long, b long")
     maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = [cells.select(F.col("doc_id").alias(x), F.col("cells").alias(f"cells_{x}")) for x in ("a", "b")]
 
