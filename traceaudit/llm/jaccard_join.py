@@ -32,6 +32,9 @@ FREQUENT = 50_000
 #: Sets of one chunk, about; chunks are dealt by a hash.
 CHUNK = 512
 BITS = 2048
+#: Pairs that a task of the second round remembers, and rows of a family that it takes, about.
+SEEN_PAIRS = 1_000_000
+FAMILY_ROWS = 200_000
 FANOUT = 8
 
 
@@ -212,19 +215,35 @@ def first_round(batches):
 
 
 def second_round(batches):
-    """Pairs (a, b) that may link, of each pair of chunks (key, band, i, j, doc_id, side, component, n, excess, signature)."""
-    for (_, _, i, j), rows in runs(batches, 4):
+    """Pairs (a, b) that may link, of each pair of chunks (family, salt, key, band, i, j, doc_id, side, component, n, excess, signature).
+
+    A pair usually shares many shingles, all in one family, so pairs that a task has named are remembered, up to SEEN_PAIRS of them.
+    """
+    seen: set[tuple[int, int]] = set()
+    family = None
+    for key, rows in runs(batches, 6):
+        if key[:2] != family or len(seen) > SEEN_PAIRS:
+            family, seen = key[:2], set()
         stats = [(int.from_bytes(r[5], "little"), r[3], r[3], r[4]) for r in rows]
-        forest = Forest([r[2] for r in rows])
         found = []
-        note = lambda x, y: found.append((rows[x][0], rows[y][0]))  # noqa: B023, E731
-        if i == j:
-            forest.traverse(build(stats), stats, None, note)
+
+        def note(x, y, rows=rows, found=found, seen=seen):
+            pair = min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])
+            if pair not in seen:
+                seen.add(pair)
+                found.append(pair)
+
+        i, j = key[4:]
+        if len(rows) == 2:
+            if (i == j or rows[0][1] != rows[1][1]) and rows[0][2] != rows[1][2] and possible(*stats):
+                note(0, 1)
+        elif i == j:
+            Forest([r[2] for r in rows]).traverse(build(stats), stats, None, note)
         else:
             sides = [[x for x, r in enumerate(rows) if r[1] == s] for s in (0, 1)]
             if all(sides):
                 trees = [build_of(stats, side) for side in sides]
-                forest.traverse(trees[0], stats, trees[1], note)
+                Forest([r[2] for r in rows]).traverse(trees[0], stats, trees[1], note)
         yield from pairs_batch(found)
 
 
@@ -334,8 +353,10 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     parts = cut(components(links), "jaccard-parts").withColumnsRenamed({"node": "doc_id", "component": "part_id"})
 
     placed = prefixes.join(parts, "doc_id", "left").withColumn("part_id", F.coalesce("part_id", "doc_id"))
-    split = placed.groupBy("h").agg(F.min("part_id").alias("lo"), F.max("part_id").alias("hi")).filter("lo <> hi").select("h")
-    rest = cut(placed.join(split, "h").select("h", "doc_id", "part_id", "size"), "jaccard-rest")
+    split = placed.groupBy("h").agg(F.min("part_id").alias("lo"), F.max("part_id").alias("hi")).filter("lo <> hi").select("h", F.col("lo").alias("family"))
+    rest = cut(placed.join(split, "h").select("h", "family", "doc_id", "part_id", "size"), "jaccard-rest")
+    families = rest.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_ROWS).alias("n_salts"))  # blocks of one family meet in few tasks, which then name a pair once
+    rest = rest.join(families, "family").withColumn("salt", F.pmod("h", F.col("n_salts")))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26)))  # sets that link differ by a factor of at most 1.25, so by one band at most
     tree_rows = (
         rest.join(cells.drop("cells"), "doc_id")
@@ -343,9 +364,9 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
         .withColumn("n_parts", F.ceil(F.col("size") / (4 * chunk)).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n_parts")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-        .select("h", "band", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature")
+        .select("family", "salt", "h", "band", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature")
     )
-    maybe = in_runs(tree_rows, ["h", "band", "i", "j"], ["h", "band", "i", "j"]).mapInArrow(second_round, "a long, b long")
+    maybe = in_runs(tree_rows, ["family", "salt"], ["family", "salt", "h", "band", "i", "j"]).mapInArrow(second_round, "a long, b long")
     maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = [cells.select(F.col("doc_id").alias(x), F.col("cells").alias(f"cells_{x}")) for x in ("a", "b")]
 
