@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
 #: Distinct words whose hashes a Python worker remembers at once.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,10 +94,17 @@ def slices_of(keys: np.ndarray, bits: int):
     return zip(top[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)][: len(starts)], strict=True)
 
 
+def pieces_of(batches, rows: int):
+    """The same record batches in pieces of at most `rows` rows, for less memory once they become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sorted_runs(batches, keys: tuple[str, ...]):
     """Lists of rows (dicts) with equal keys, from batches sorted by them."""
     held, key = [], None
-    for batch in batches:
+    for batch in pieces_of(batches, 64):
         for row in batch.to_pylist():
             now = tuple(row[k] for k in keys)
             if now != key and held:

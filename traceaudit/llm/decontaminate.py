@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceaudit.llm.common import mix64
+from traceaudit.llm.common import mix64, pieces_of
 
 #: Shortest tile in words; an item with fewer words has to match as a whole.
 LEAST_TILE = 4
 #: An item counts as contaminating once this share of its words is tiled.
 COVERAGE = 0.5
+#: Rows that are Python objects at once in a task.
+TASK_ROWS = 500
 #: Words of benchmark items that one block, and so one broadcast, holds at most (a single longer item is a block of its own).
 BLOCK_WORDS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -150,7 +152,7 @@ def contaminated_pairs(docs: DataFrame, bench: DataFrame, least: int = LEAST_TIL
 
         def run(batches, shared=shared):
             seeds = shared.value
-            for batch in batches:
+            for batch in pieces_of(batches, TASK_ROWS):
                 rows = []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for n, n_tiles, words in _tiled(seeds, text):
@@ -172,7 +174,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_TILE
 
         def run(batches, shared=shared):
             seeds = shared.value
-            for batch in batches:
+            for batch in pieces_of(batches, TASK_ROWS):
                 clean = [all(words < coverage * len(seeds.items[n]) for n, _, words in _tiled(seeds, t)) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import WordHashes, cut, in_runs, mix64, pack_sorted, planes, shingle_hashes, slices_of, sorted_runs, unpack_sorted, unplanes, words_of
+from traceaudit.llm.common import WordHashes, cut, in_runs, mix64, pack_sorted, pieces_of, planes, shingle_hashes, slices_of, sorted_runs, unpack_sorted, unplanes, words_of
 from traceaudit.llm.components import components
 
 WORDS = 5
@@ -36,6 +36,8 @@ BITS = 2048
 SEEN_PAIRS = 1_000_000
 FAMILY_ROWS = 200_000
 FANOUT = 8
+#: Rows that are Python objects at once in a task.
+TASK_ROWS = 1000
 
 
 def set_of(text: str | None, hashes: WordHashes, k: int = WORDS) -> np.ndarray:
@@ -44,14 +46,14 @@ def set_of(text: str | None, hashes: WordHashes, k: int = WORDS) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame, k: int = WORDS, most: int = FREQUENT) -> np.ndarray:
-    """At most `most` shingles of the highest document counts, sorted. Each task forgets shingles of fewer than 4 texts of a batch."""
+    """At most `most` shingles of the highest document counts, sorted. Each task forgets shingles of fewer than 3 of TASK_ROWS texts."""
 
     def count(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces_of(batches, TASK_ROWS):
             sets = [set_of(t, hashes, k) for t in batch.column(0).to_pylist()]
             h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n >= 4].view(np.int64)), pa.array(n[n >= 4])], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[n >= 3].view(np.int64)), pa.array(n[n >= 3])], ["h", "n"])
 
     counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.filter("n >= 8").orderBy(F.desc("n"), "h").limit(most).toPandas()
@@ -73,7 +75,7 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray, k: int = WORDS) -> DataF
 
     def run(batches):
         hot, hashes = shared.value, WordHashes()
-        for batch in batches:
+        for batch in pieces_of(batches, TASK_ROWS):
             out = [[], [], [], [], []]
             for text in batch.column(1).to_pylist():
                 s = set_of(text, hashes, k)
@@ -188,7 +190,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def runs(batches, keys: int):
     """Lists of rows with the same first `keys` columns, from batches sorted by them; a list holds one chunk."""
     held, key = [], None
-    for batch in batches:
+    for batch in pieces_of(batches, TASK_ROWS):
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if row[:keys] != key:
                 if held:
@@ -269,10 +271,10 @@ def send_prefixes(bits: int):
     """Rare prefix shingles of (doc_id, n, rare) as packed slices by hash range: (slice, keys, docs, sizes)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces_of(batches, 4 * TASK_ROWS):
             lists = batch.column(2)
             keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            counts = np.diff(lists.offsets.to_numpy())
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             order = np.argsort(keys)
             docs, sizes = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), counts)[order] for i in (0, 1))
             keys = keys[order]
@@ -298,7 +300,7 @@ def find_shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(docs[kept]), pa.array(sizes[kept]), pa.array(counts[inverse])], ["h", "doc_id", "n", "size"])
 
 
-def shared_prefixes(sets: DataFrame, slice_keys: int = 1_000_000) -> DataFrame:
+def shared_prefixes(sets: DataFrame, slice_keys: int = 500_000) -> DataFrame:
     """(h, hot, doc_id, n, size): prefix shingles that sets of sizes that could link share, of sets with enough of them; size: how many sets have the shingle.
 
     Rare shingles travel packed, in one exchange; frequent ones, whose table is bounded, are counted with partial sums.
@@ -320,7 +322,7 @@ def cell_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces_of(batches, TASK_ROWS):
             sets = [set_of(t, hashes, k) for t in batch.column(1).to_pylist()]
             maps = [bitmap(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -371,7 +373,7 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     sides = [cells.select(F.col("doc_id").alias(x), F.col("cells").alias(f"cells_{x}")) for x in ("a", "b")]
 
     def check(batches):
-        for batch in batches:
+        for batch in pieces_of(batches, TASK_ROWS):
             yield from pairs_batch([(a, b) for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True) if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))])
 
     more = maybe.join(sides[0], "a").join(sides[1], "b").select("a", "b", "cells_a", "cells_b").mapInArrow(check, "a long, b long")

@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceaudit.llm.common import cut
+from traceaudit.llm.common import cut, pieces_of
 from traceaudit.llm.labelled import training_sample
 
 #: At most so many labelled documents train the document classifier.
 TRAINING_ROWS = 12_000
 STRENGTH = 50.0
 THRESHOLD = 0.4
+#: Rows that are Python objects at once in a task.
+TASK_ROWS = 500
 _KIND = np.zeros(256, np.uint8)  # 1 space, 2 upper, 3 lower, 4 digit, 5 plain punctuation, 6 other ASCII, 7 part of a longer UTF-8 character
 _KIND[128:] = 7
 _KIND[33:127] = 6
@@ -60,7 +62,7 @@ def with_measures(docs: DataFrame) -> DataFrame:
     """docs with `_measures`, an array of doubles; all columns stay."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces_of(batches, TASK_ROWS):
             found = [measures(t) for t in batch.column("text").to_pylist()]
             yield batch.append_column("_measures", pa.array(found, pa.list_(pa.float64())))
 

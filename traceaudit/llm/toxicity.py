@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceaudit.llm.common import cut
+from traceaudit.llm.common import cut, pieces_of
 from traceaudit.llm.labelled import crc_remainder, training_sample
 
 BUCKETS = 1 << 20
@@ -27,6 +27,8 @@ TRAINING_ROWS = 12_000
 #: So many n-grams with the most significant ratios become features.
 FEATURES = 6_000
 THRESHOLD = 0.3
+#: Rows that are Python objects at once in a task.
+TASK_ROWS = 500
 
 
 def gram_buckets(text: str | None) -> np.ndarray:
@@ -51,7 +53,7 @@ def bucket_counts(sample: DataFrame) -> DataFrame:
 
     def count(batches):
         pos, neg, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), [0, 0]
-        for batch in batches:
+        for batch in pieces_of(batches, TASK_ROWS):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 (pos if y else neg)[np.unique(gram_buckets(text))] += 1
                 n[bool(y)] += 1
@@ -90,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, where=None, most: int = TRAINING_R
     mask[ids] = True
 
     def active(batches):
-        for batch in batches:
+        for batch in pieces_of(batches, TASK_ROWS):
             grams = []
             for text in batch.column("text").to_pylist():
                 h = gram_buckets(text)
@@ -112,7 +114,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "toxic
 
     def run(batches):
         w = weights.value
-        for batch in batches:
+        for batch in pieces_of(batches, TASK_ROWS):
             z = np.empty(batch.num_rows)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 h = gram_buckets(text)
