@@ -30,7 +30,7 @@ MARK = "▁"
 #: Path of the vocabulary file; a parameter of load().
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text whose distinct words are walked together, and words whose ids a worker remembers.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 MEMO_WORDS = 300_000
 UNKNOWN = -1
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -62,17 +62,18 @@ class Encoder:
         self.byte_ids, self.unk = model["byte_ids"], model["unk"]
         self.unknown_score = min(self.scores, default=0.0) - 10.0
         self.beside: dict[int, bool] = {}  # of pairs of pieces, by first * number of pieces + second
-        self.alone: dict[int, bool] = {}
-        self.memo: dict[str, list[int]] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.made_at = [-1.0 if len(p) == 1 else -x for p, x in zip(self.pieces, self.scores, strict=True)]  # merges in order of falling score
+        self.memo: dict[str, tuple[int, ...]] = {}
         silent = set(model["silent"])
         by_id = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.automaton()
         self.bytes = [by_id.get(i, b"" if i in silent else " ⁇ ".encode() if i == self.unk else p.encode()) for i, p in enumerate(self.pieces)]
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by merging neighbours in order of score, leftmost first."""
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """Pieces of a short text by merging neighbours in order of score, leftmost first, until no merge is left or `least` pieces are."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 k = self.ids.get(parts[i] + parts[i + 1])
@@ -83,27 +84,44 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands_alone(self, piece: int) -> bool:
-        ok = self.alone.get(piece)
-        if ok is None:
-            ok = self.alone[piece] = self.merged(self.pieces[piece]) == [self.pieces[piece]]
-        return ok
+    def last_merge(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces that merge last into this one; itself twice for a single character, None for a piece that merges never make."""
+        parts = self.merged(self.pieces[piece], 2)
+        if len(parts) == 1:
+            return piece, piece
+        if len(parts) > 2 or self.merged(self.pieces[piece]) != [self.pieces[piece]]:
+            return None
+        return self.ids[parts[0]], self.ids[parts[1]]
 
     def stand_together(self, a: int, b: int) -> bool:
-        key = a * len(self.pieces) + b
-        ok = self.beside.get(key)
-        if ok is None:
-            if len(self.beside) >= 2_000_000:
-                self.beside.clear()
-            ok = self.beside[key] = self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+        """Whether merges leave a and b standing side by side: going back through the merges that made them, later ones first, no
+        merge across their border may come before the merge that takes its left or right part away. Remembered, up to two million pairs."""
+        x, y, limit, ok = a, b, float("inf"), True
+        while True:
+            across = self.ids.get(self.pieces[x] + self.pieces[y])
+            if across is not None and self.made_at[across] < limit:
+                ok = False
+                break
+            if self.made_at[x] < 0 and self.made_at[y] < 0:
+                break
+            if self.made_at[x] > self.made_at[y]:
+                limit, x = self.made_at[x], self.halves[x][1]
+            else:  # of two merges of one score the left one comes first
+                limit, y = self.made_at[y] + 0.5, self.halves[y][0]
+        if len(self.beside) >= 2_000_000:
+            self.beside.clear()
+        self.beside[a * len(self.pieces) + b] = ok
         return ok
 
     def automaton(self) -> None:
         """All pieces that may end at a place, longest first, for each state of a suffix automaton over the pieces; unreachable pieces are left out."""
         self.next, self.ends, self.fail, self.learnt = [{}], [()], [0], 0
         for piece, i in self.ids.items():
-            if self.kind == "bpe" and not self.stands_alone(i):
-                continue
+            if self.kind == "bpe":
+                halves = self.last_merge(i)
+                if halves is None:
+                    continue
+                self.halves[i] = halves
             state = 0
             for ch in piece:
                 if ch not in self.next[state]:
@@ -144,9 +162,9 @@ class Encoder:
         best.append(top)
         return pick
 
-    def encode_sorted(self, words: list[str]) -> dict[str, list[int]]:
+    def encode_sorted(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each of the sorted, distinct marked words: a depth-first walk that keeps the forward entries of the common prefix."""
-        out: dict[str, list[int]] = {}
+        out: dict[str, tuple[int, ...]] = {}
         last: list[int] = []
         states = [0]
         best: list[float] = []
@@ -192,7 +210,7 @@ class Encoder:
                     found.append(piece)
                     i -= lengths[piece]
             found.reverse()
-            out[word] = found
+            out[word] = tuple(found)
             previous = word
         return out
 
