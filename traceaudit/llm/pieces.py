@@ -31,7 +31,10 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text whose distinct words are walked together, and words whose ids a worker remembers.
 BATCH_CHARS = 2_000_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
+#: Pairs of pieces and automaton edges that a worker remembers.
+MEMO_PAIRS = 400_000
+MEMO_EDGES = 200_000
 UNKNOWN = -1
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -95,7 +98,7 @@ class Encoder:
 
     def stand_together(self, a: int, b: int) -> bool:
         """Whether merges leave a and b standing side by side: going back through the merges that made them, later ones first, no
-        merge across their border may come before the merge that takes its left or right part away. Remembered, up to two million pairs."""
+        merge across their border may come before the merge that takes its left or right part away. Remembered, up to MEMO_PAIRS."""
         x, y, limit, ok = a, b, float("inf"), True
         while True:
             across = self.ids.get(self.pieces[x] + self.pieces[y])
@@ -108,7 +111,7 @@ class Encoder:
                 limit, x = self.made_at[x], self.halves[x][1]
             else:  # of two merges of one score the left one comes first
                 limit, y = self.made_at[y] + 0.5, self.halves[y][0]
-        if len(self.beside) >= 2_000_000:
+        if len(self.beside) >= MEMO_PAIRS:
             self.beside.clear()
         self.beside[a * len(self.pieces) + b] = ok
         return ok
@@ -142,12 +145,12 @@ class Encoder:
             self.ends[state] += self.ends[self.fail[state]]
 
     def step(self, state: int, ch: str) -> int:
-        """The state after ch where the state has no edge for it; remembered up to a million edges."""
+        """The state after ch where the state has no edge for it; remembered up to MEMO_EDGES."""
         f = state
         while f and ch not in self.next[f]:
             f = self.fail[f]
         target = self.next[f].get(ch, 0)
-        if self.learnt < 1_000_000:
+        if self.learnt < MEMO_EDGES:
             self.learnt += 1
             self.next[state][ch] = target
         return target
