@@ -50,3 +50,49 @@ def test_verified_and_fabricated_partition_the_claims(spark):
     v, f = verify(F.col("c"), F.col("e"))
     for r in spark.createDataFrame(rows, "c array<string>, e array<string>").select("c", "e", v.alias("v"), f.alias("f")).collect():
         assert sorted(r["v"] + r["f"]) == sorted(r["c"]) and not set(r["v"]) & set(r["f"]) and set(r["v"]) <= set(r["e"])
+
+
+def test_families_have_rules_of_their_own(spark):
+    rows = [
+        ("label", "label", "<think>an acid here</think><answer>Yes</answer>", "yes"),
+        ("no label", "label", "<think>an acid here</think><answer>perhaps</answer>", "yes"),
+        ("set", "set", "<think>nothing at all to say</think><answer>CC.XX</answer>", "CC"),
+        ("structure", "structure", "<think>a ring, formed from the acid, is here</think><answer>CCO</answer>", "CC"),
+        ("invalid", "structure", "<think>a ring is all that is here</think><answer>XX</answer>", "CC"),
+        ("edit", "edit", "<think>as it was before, no change</think><answer>CC</answer>", "CC"),
+        ("constraint", "constraint", "<think>as it was before, no change</think><answer>XX</answer>", "CC"),
+        ("caption", "caption", "The molecule is an acid that was found in some plants.", "The molecule is an acid."),
+    ]
+    df = audit.extract(spark.createDataFrame(rows, "id string, family string, answer string, gt string"), family="family")
+    df = audit.verify(df, LEXICON, F.array(F.lit("acid")), family="family")
+    parts = F.split("pred", r"\.")
+    valid = F.filter(parts, lambda p: p != "XX")
+    measures = {
+        "truth_label": F.col("gt"), "valid": F.col("pred") != "XX", "similarity": F.lit(0.5), "parts": F.size(parts), "valid_parts": F.size(valid), "pred_set": valid, "truth_set": F.array("gt"),
+        "violations": F.lit(2), "wanted": F.array(F.lit("ring"), F.lit("acid")), "pred_groups": F.array(F.lit("acid")), "structure_similarity": F.lit(0.25), "unchanged": F.col("pred") == F.col("gt"), "has_source": F.lit(True), "success": F.lit(1),
+    }
+    got = {r["id"]: r for r in audit.score_by_family(df, (), "family", measures).collect()}
+    of = lambda k: tuple(got[k][c] for c in ("io", "er", "eo", "pred_valid", "validity_issue", "perf"))
+    assert of("label") == (0.0, 0.0, 0.0, True, None, 1.0)
+    assert of("no label") == (70.0, 0.0, 0.0, False, "no_prediction", 0.0) and abs(got["no label"]["overall"] - 0.25 * 70 / 0.65) < 1e-9
+    assert of("set") == (40.0, 0.0, 0.0, False, "invalid", 1.0)
+    assert got["structure"]["claimed"] == [] and got["invalid"]["claimed"] == ["ring"]
+    assert of("structure")[2:] == (75.0, True, None, 0.0)
+    assert of("invalid") == (0.0, 75.0, 0.0, False, "invalid", 0.0) and abs(got["invalid"]["overall"] - 0.25 * 75 / 0.4) < 1e-9
+    assert of("edit") == (0.0, 0.0, 60.0, True, None, 1.0)
+    assert of("constraint") == (80.0, 0.0, 100.0, False, "invalid", 1.0)
+    assert of("caption") == (0.0, 0.0, 50.0, True, None, 0.5)
+
+
+def test_structure_validity_and_unknown_families(spark):
+    import pytest
+
+    from traceaudit.functions import scores as sc
+
+    a = lambda *groups: F.array(*[F.lit(g) for g in groups]).cast("array<string>")
+    one = lambda c: spark.range(1).select(c.alias("x")).head()["x"]
+    assert one(sc.structure_validity(F.lit(2), a("ring", "acid"), a("ring"), a("acid"), F.lit(4), F.lit(3))) == 20 + 15 + 25 + 3.75
+    assert one(sc.structure_validity(F.lit(9), a(), a("ring"), a(), F.lit(0), F.lit(0))) == 40.0
+    df = audit.extract(spark.createDataFrame([("x", "<answer>y</answer>")], "family string, answer string"), family="family")
+    with pytest.raises(Exception, match="Unknown task family: x"):
+        audit.score_by_family(audit.verify(df, LEXICON, F.array(F.lit("acid")), family="family"), (), "family", {}).collect()

@@ -40,11 +40,11 @@ def self_contradiction(trace: Column) -> Column:
     return F.when(F.length(strip(trace)) >= 20, F.least(F.lit(100.0), total)).otherwise(F.lit(0.0))
 
 
-def fabrication(claimed: Column, fabricated: Column, wrong_classes: Column | None = None) -> Column:
-    """min(100, 60 fabricated / claimed), or with wrong_classes min(100, 15 (5 fabricated + 8 wrong) / checks); 0 without claims."""
+def fabrication(claimed: Column, fabricated: Column, wrong_classes: Column | None = None, classes: Column | None = None) -> Column:
+    """min(100, 60 fabricated / claimed), or with wrong_classes min(100, 15 (5 fabricated + 8 wrong) / checks); 0 without claims. classes: how many were named (all of them wrong where it is not given)."""
     if wrong_classes is None:
         return F.when(claimed > 0, F.least(F.lit(100.0), F.lit(60.0) * fabricated / claimed)).otherwise(F.lit(0.0))
-    checks = F.greatest(claimed, F.lit(1)) + F.when(wrong_classes > 0, wrong_classes).otherwise(0)
+    checks = F.greatest(claimed, F.lit(1)) + F.when(wrong_classes > 0, wrong_classes if classes is None else classes).otherwise(0)
     return F.least(F.lit(100.0), F.lit(15.0) * (5 * fabricated + 8 * wrong_classes) / checks)
 
 
@@ -64,6 +64,26 @@ def set_validity(parts: Column, valid: Column) -> Column:
     return F.when(parts > 0, F.lit(80.0) * (parts - valid) / parts).otherwise(F.lit(80.0))
 
 
+def structure_validity(violations: Column, wanted: Column, named: Column, found: Column, fragments: Column, fragments_found: Column) -> Column:
+    """Of a valid structure against its description and trace: 10 for each class violation (40 at most), 30 times the share of wanted groups that it
+    lacks, 25 times that of the wanted groups named in the trace, 15 times the share of the trace's fragments that it lacks. wanted, named, found: arrays of groups."""
+    known = F.array_intersect(wanted, named)
+    lacking = lambda groups: F.coalesce(F.try_divide(F.size(F.array_except(groups, found)).cast("double"), F.size(groups)), F.lit(0.0))
+    apart = F.coalesce(F.try_divide((fragments - fragments_found).cast("double"), fragments), F.lit(0.0))
+    return F.least(F.lit(100.0), F.least(F.lit(40.0), violations * F.lit(10.0)) + 30 * lacking(wanted) + 25 * lacking(known) + 15 * apart)
+
+
+def label_deviation(label: Column, exact: Column) -> Column:
+    """0 without a label, as its absence counts as invalid."""
+    return F.when(label.isNull() | exact, 0.0).otherwise(100.0)
+
+
+def set_deviation(predicted: Column, truth: Column, similarity: Column) -> Column:
+    """Of two arrays of canonical parts: 80 if one side is empty, 0 if they are equal as multisets, else 100 (1 - similarity)."""
+    a, b = F.sort_array(predicted), F.sort_array(truth)
+    return F.when(a == b, 0.0).when((F.size(a) == 0) | (F.size(b) == 0), 80.0).otherwise(F.greatest(F.lit(0.0), 100 * (1 - F.coalesce(similarity, F.lit(0.0)))))
+
+
 def deviation(exact: Column, similarity: Column) -> Column:
     return F.when(exact, 0.0).when(similarity.isNull(), 80.0).otherwise(100 * (1 - similarity))
 
@@ -72,9 +92,9 @@ def caption_deviation(jaccard: Column) -> Column:
     return F.when(jaccard >= 0.85, 0.0).otherwise(100 * (1 - jaccard))
 
 
-def edit_deviation(valid: Column, has_source: Column, similarity: Column) -> Column:
-    """Of an edited item against its source: 60 unchanged, 80 too far, 40 hardly changed, else 50 (1 - similarity)."""
-    return F.when(~valid, 100.0).when(~has_source, 50.0).when(similarity >= 1.0, 60.0).when(similarity < 0.2, 80.0).when(similarity > 0.95, 40.0).otherwise(50 * (1 - similarity))
+def edit_deviation(valid: Column, has_source: Column, similarity: Column, unchanged: Column | None = None) -> Column:
+    """Of an edited item against its source: 60 unchanged (similarity 1 where it is not given), 80 too far, 40 hardly changed, else 50 (1 - similarity)."""
+    return F.when(~valid, 100.0).when(~has_source, 50.0).when(similarity >= 1.0 if unchanged is None else unchanged, 60.0).when(similarity < 0.2, 80.0).when(similarity > 0.95, 40.0).otherwise(50 * (1 - similarity))
 
 
 def constraint_deviation(targets: Column, got: Column) -> Column:

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from traceaudit.functions import scores as sc
 from traceaudit.functions import similarity as sim
+from traceaudit.functions import text as tx
 from traceaudit.operators import audit, stats
-from traceaudit.plans.base import CLAIMED, EXTRACTED, GENERIC, LEXICON, PAIRS, RESPONSES, VERDICTS, claimed, evidence, extracted, facts, query, responses, sql_norm, sql_strip, turn_pairs, verdicts
+from traceaudit.operators import claims as cl
+from traceaudit.operators import prepare as pr
+from traceaudit.plans.base import CLAIMED, EXTRACTED, GENERIC, LEXICON, PAIRS, RESPONSES, SQL_ANSWER, SQL_TRACE, VERDICTS, claimed, evidence, extracted, facts, query, responses, sql_groups, sql_norm, sql_strip, turn_pairs, verdicts
 from traceaudit.session import table
 
 
@@ -225,3 +228,97 @@ def k9_task_performance(spark, d):
 def u3_registered_bleu(spark, d):
     audit.register(spark)
     return turn_pairs(spark, d).selectExpr("conv_id", "turn", "round(bleu2(question, reply), 9) AS bleu2", "round(bleu4(question, reply), 9) AS bleu4")
+
+
+#: Language and every other ten documents -> family; a code that is missing here is an unknown task.
+FAMILY_OF = {"en0": "caption", "en1": "structure", "de0": "label", "de1": "constraint", "fr0": "set", "fr1": "edit", "es0": "label"}
+EVIDENCE_OF = {"caption": ("question",), "label": ("question",), "structure": ("question", "pred", "gt")}
+
+
+def sql_groups_outside(c: str) -> str:
+    """sql_groups, of keywords without a derivation phrase around them."""
+    from traceaudit.operators.claims import DERIVATION, DERIVATION_WINDOW
+
+    def named(words):
+        at = f"regexp_extract(substr({c}, i), '^((?:{'|'.join(words)})(?:e?s)?)(?:[^a-z]|$)', 1)"
+        near = f"substr({c}, greatest(1, i - {DERIVATION_WINDOW}), i + length({at}) + {DERIVATION_WINDOW} - greatest(1, i - {DERIVATION_WINDOW}))"
+        return f"len(list_filter(range(1, length({c}) + 1), lambda i: {at} <> '' AND NOT regexp_matches(substr({c}, i - 1, 1), '^[a-z]') AND NOT regexp_matches({near}, '{DERIVATION}'))) > 0"
+
+    cases = ", ".join(f"CASE WHEN {named(words)} THEN '{g}' END" for g, words in LEXICON.items())
+    return f"CASE WHEN regexp_matches({c}, '{DERIVATION}') THEN list_sort(list_filter([{cases}], lambda x: x IS NOT NULL)) ELSE {sql_groups(c)} END"
+
+
+def sql_parts(c: str) -> str:
+    return f"list_filter(list_transform(string_split({c}, '.'), lambda p: {sql_strip('p')}), lambda p: p <> '')"
+
+
+def sql_canonical(parts: str) -> str:
+    return f"list_sort(list_transform(list_filter({parts}, lambda p: length(p) % 7 <> 0), lambda p: {sql_norm('p')}))"
+
+
+SQL_WHOLE = f"coalesce(tagged, {sql_strip('answer')})"
+SQL_SET_SIMILARITY = """list_avg(list_transform(truth_set, lambda a: list_max(list_transform(pred_set, lambda b:
+    len(list_intersect(string_split(a, ' '), string_split(b, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' '))))))))"""
+BY_FAMILY = RESPONSES + rf""",
+families(code, family) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in FAMILY_OF.items())}),
+routed AS (SELECT id, family, question, gt, CASE WHEN family = 'label' AND doc_id % 3 = 1 THEN replace(answer, '<answer>', '<answer>Yes ') ELSE answer END AS answer
+  FROM responses JOIN families ON code = task || (doc_id // 10) % 2 WHERE answer <> ''),
+tags AS (SELECT *, {SQL_ANSWER} AS tagged, coalesce({SQL_TRACE}, answer) AS trace FROM routed),
+preds AS (SELECT *, CASE WHEN family = 'label' THEN nullif(regexp_extract(lower({SQL_WHOLE}), '(^|[^\pL\pN_])(yes|no)([^\pL\pN_]|$)', 2), '') WHEN family IN ('caption', 'set') THEN {SQL_WHOLE}
+    WHEN family = 'structure' THEN coalesce(tagged, nullif(regexp_extract(answer, '{audit.STRUCTURE}'), '')) ELSE tagged END AS pred FROM tags),
+texts AS (SELECT *, {sql_norm('question')} AS nq, {sql_norm('gt')} AS ng, {sql_norm("coalesce(pred, '')")} AS np, {sql_norm('trace')} AS nt, {sql_norm("concat_ws(' ', trace, pred)")} AS nc FROM preds),
+named AS (SELECT *, {sql_groups('nq')} AS in_question, {sql_groups('ng')} AS in_gt, {sql_groups('np')} AS in_pred,
+    CASE family WHEN 'structure' THEN {sql_groups_outside('nt')} WHEN 'caption' THEN {sql_groups('nc')} ELSE {sql_groups('nt')} END AS claimed FROM texts),
+checked AS (SELECT *, list_filter(claimed, lambda x: NOT list_contains(evidence, x)) AS fabricated, {sql_ir('trace')} AS ir, coalesce(pred IS NOT NULL AND length(pred) % 7 <> 0, false) AS ok, {sql_jaccard('pred', 'gt')} AS jac,
+    {sql_jaccard('pred', 'question')} AS near, {sql_parts('pred')} AS parts, {sql_canonical(sql_parts('pred'))} AS pred_set, {sql_canonical(sql_parts('gt'))} AS truth_set, list_intersect(in_question, claimed) AS known,
+    list_distinct(regexp_extract_all(trace, '[A-Z][a-z]{{6,}}')) AS frags, CAST(contains(trace, 'von') AS INTEGER) AS wrong, CASE WHEN length(gt) % 2 = 1 THEN 'yes' ELSE 'no' END AS truth_label, length(gt) % 4 AS t1, length(gt) % 3 AS t2
+  FROM (SELECT *, CASE WHEN family IN ('caption', 'label') THEN in_question WHEN family = 'structure' THEN list_concat(in_question, in_pred, in_gt) ELSE list_concat(in_question, in_pred) END AS evidence FROM named)),
+dims AS (SELECT *,
+    CASE family WHEN 'caption' THEN CASE WHEN length(pred) < 10 THEN 80.0::DOUBLE ELSE CASE WHEN contains(lower(pred), 'molecule is') THEN 0.0::DOUBLE ELSE 25.0::DOUBLE END + CASE WHEN len(list_filter(string_split_regex(pred, '\s+'), lambda w: w <> '')) < 8 THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END END
+      WHEN 'label' THEN CASE WHEN pred IS NULL THEN 70.0::DOUBLE ELSE 0.0::DOUBLE END
+      WHEN 'set' THEN CASE WHEN len(parts) > 0 THEN 80.0::DOUBLE * (len(parts) - len(pred_set)) / len(parts) ELSE 80.0::DOUBLE END
+      WHEN 'structure' THEN CASE WHEN ok THEN least(100.0::DOUBLE, least(40.0::DOUBLE, 10.0::DOUBLE * (length(pred) % 6)) + CASE WHEN len(in_question) > 0 THEN 30.0::DOUBLE * len(list_filter(in_question, lambda x: NOT list_contains(in_pred, x))) / len(in_question) ELSE 0 END
+        + CASE WHEN length({sql_strip('trace')}) > 20 AND len(known) > 0 THEN 25.0::DOUBLE * len(list_filter(known, lambda x: NOT list_contains(in_pred, x))) / len(known) ELSE 0 END
+        + CASE WHEN length({sql_strip('trace')}) > 20 AND len(frags) > 0 THEN 15.0::DOUBLE * len(list_filter(frags, lambda x: NOT contains(pred, x))) / len(frags) ELSE 0 END) ELSE 0.0::DOUBLE END
+      ELSE CASE WHEN ok THEN 0.0::DOUBLE ELSE 80.0::DOUBLE END END AS io,
+    CASE WHEN family = 'structure' THEN least(100.0::DOUBLE, 15.0::DOUBLE * (5 * len(fabricated) + 8 * wrong) / (greatest(len(claimed), 1) + 2 * wrong)) WHEN len(claimed) > 0 THEN least(100.0::DOUBLE, 60.0::DOUBLE * len(fabricated) / len(claimed)) ELSE 0.0::DOUBLE END AS er,
+    CASE family WHEN 'caption' THEN CASE WHEN jac >= 0.85 THEN 0.0::DOUBLE ELSE 100 * (1 - jac) END WHEN 'label' THEN CASE WHEN pred IS NULL OR pred = truth_label THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END
+      WHEN 'set' THEN CASE WHEN pred_set = truth_set THEN 0.0::DOUBLE WHEN len(pred_set) = 0 OR len(truth_set) = 0 THEN 80.0::DOUBLE ELSE 100 * (1 - {SQL_SET_SIMILARITY}) END
+      WHEN 'structure' THEN CASE WHEN NOT ok OR np = ng THEN 0.0::DOUBLE WHEN length(gt) % 5 = 0 THEN 80.0::DOUBLE ELSE 100 * (1 - jac) END
+      WHEN 'edit' THEN CASE WHEN NOT ok THEN 100.0::DOUBLE WHEN length(gt) % 6 = 0 THEN 50.0::DOUBLE WHEN np = nq THEN 60.0::DOUBLE WHEN near < 0.2 THEN 80.0::DOUBLE WHEN near > 0.95 THEN 40.0::DOUBLE ELSE 50 * (1 - near) END
+      ELSE CASE WHEN NOT ok THEN 100.0::DOUBLE WHEN t1 > 0 OR t2 > 0 THEN least(100.0::DOUBLE, 100 * (CASE WHEN t1 > 0 THEN abs(length(pred) % 4 - t1) / t1::DOUBLE ELSE 0 END + CASE WHEN t2 > 0 THEN abs(length(pred) % 3 - t2) / t2::DOUBLE ELSE 0 END) / ((t1 > 0)::INTEGER + (t2 > 0)::INTEGER)) ELSE 0.0::DOUBLE END END AS eo,
+    CASE family WHEN 'caption' THEN len(list_filter(string_split_regex(pred, '\s+'), lambda w: w <> '')) >= 3 WHEN 'label' THEN pred IS NOT NULL WHEN 'set' THEN len(parts) > 0 AND len(parts) = len(pred_set) ELSE ok END AS pred_valid,
+    CASE family WHEN 'caption' THEN jac WHEN 'label' THEN coalesce(pred = truth_label, false)::INTEGER::DOUBLE WHEN 'set' THEN (len(pred_set) > 0 AND pred_set = truth_set)::INTEGER::DOUBLE WHEN 'structure' THEN (ok AND np = ng)::INTEGER::DOUBLE
+      WHEN 'edit' THEN coalesce(length(pred) > length(question), false)::INTEGER::DOUBLE ELSE coalesce((t1 <= 0 OR length(pred) % 4 = t1) AND (t2 <= 0 OR length(pred) % 3 = t2), false)::INTEGER::DOUBLE END AS perf,
+    family = 'structure' AND NOT ok AS no_io, family <> 'structure' AND len(claimed) = 0 AS no_er, (family = 'structure' AND NOT ok) OR (family = 'label' AND pred IS NULL) OR (family = 'set' AND len(pred_set) = 0) AS no_eo FROM checked)"""
+
+
+@query(f"""WITH {BY_FAMILY} SELECT id, family, round(ir, 6) AS ir, round(io, 6) AS io, round(er, 6) AS er, round(eo, 6) AS eo, round(perf, 6) AS perf, pred_valid, CASE WHEN NOT pred_valid THEN CASE WHEN coalesce(pred, '') = '' THEN 'no_prediction' ELSE 'invalid' END END AS validity_issue,
+  round((0.15 * ir + CASE WHEN no_io THEN 0.0 ELSE 0.25 * io END + CASE WHEN no_er THEN 0.0 ELSE 0.25 * er END + CASE WHEN no_eo THEN 0.0 ELSE 0.35 * eo END) / (0.15 + CASE WHEN no_io THEN 0.0 ELSE 0.25 END + CASE WHEN no_er THEN 0.0 ELSE 0.25 END + CASE WHEN no_eo THEN 0.0 ELSE 0.35 END)::DOUBLE, 6) AS overall FROM dims""")
+def u3_diagnose_families(spark, d):
+    """Responses routed to all six task families and scored by the rules of each."""
+    dimension = spark.createDataFrame(list(FAMILY_OF.items()), "code string, family string")
+    rows = responses(spark, d).withColumn("code", F.concat("task", (F.floor(F.col("doc_id") / 10) % 2).cast("string")))
+    rows, _ = pr.route_tasks(rows, dimension, "code")
+    yes = F.when((F.col("family") == "label") & (F.col("doc_id") % 3 == 1), F.replace("answer", F.lit("<answer>"), F.lit("<answer>Yes "))).otherwise(F.col("answer"))
+    rows = audit.extract(rows.withColumn("answer", yes), family="family")
+    named = {c: cl.named_groups(F.col(c), LEXICON) for c in ("gt", "question", "pred")}
+    rows = audit.verify(rows, LEXICON, cl.evidence_for_task(F.col("family"), named, EVIDENCE_OF, ("question", "pred")), family="family")
+    pred, gt, question, n, length = F.col("pred"), F.col("gt"), F.col("question"), F.length("gt"), F.coalesce(F.length("pred"), F.lit(0))
+    same = lambda a, b: tx.normalize_text(a) == tx.normalize_text(b)
+    parts = lambda c: F.filter(F.transform(F.split(c, r"\."), tx.strip), lambda p: p != "")
+    good = lambda c: F.transform(F.filter(parts(c), lambda p: F.length(p) % 7 != 0), tx.normalize_text)
+    words = lambda c: F.transform(good(c), lambda p: F.array_distinct(F.split(p, " ")))
+    fragments = F.array_distinct(F.regexp_extract_all("trace", F.lit("[A-Z][a-z]{6,}"), 0))
+    counts = lambda c, kind: F.create_map(F.lit("a"), (c % 4).cast(kind), F.lit("b"), (c % 3).cast(kind))
+    targets, got = counts(n, "string"), counts(F.length("pred"), "int")
+    success = F.when(F.col("family") == "edit", sc.edit_success(F.lit("up"), F.length("question"), F.length("pred"))).otherwise(sc.constraint_success(targets, got))
+    measures = {
+        "similarity": F.when(pred.isNotNull(), sim.token_jaccard(pred, gt)), "truth_label": F.when(n % 2 == 1, "Yes").otherwise("No"), "valid": length % 7 != 0,
+        "parts": F.size(parts(pred)), "valid_parts": F.size(good(pred)), "pred_set": good(pred), "truth_set": good(gt), "set_similarity": sim.best_match(words(gt), words(pred)),
+        "exact": same(pred, gt), "structure_similarity": F.when(n % 5 != 0, sim.token_jaccard(pred, gt)), "violations": length % 6, "wanted": named["question"], "pred_groups": named["pred"],
+        "fragments": F.size(fragments), "fragments_found": F.size(F.filter(fragments, lambda x: F.contains(pred, x))), "wrong_classes": F.col("trace").contains("von").cast("int"), "classes": F.lit(2),
+        "source_similarity": sim.token_jaccard(pred, question), "unchanged": same(pred, question), "has_source": n % 6 != 0, "targets": targets, "got": got, "success": success,
+    }
+    out = audit.score_by_family(rows, GENERIC, "family", measures)
+    return out.select("id", "family", *[F.round(c, 6).alias(c) for c in ("ir", "io", "er", "eo", "perf")], "pred_valid", "validity_issue", F.round("overall", 6).alias("overall"))
