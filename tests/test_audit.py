@@ -96,3 +96,15 @@ def test_structure_validity_and_unknown_families(spark):
     df = audit.extract(spark.createDataFrame([("x", "<answer>y</answer>")], "family string, answer string"), family="family")
     with pytest.raises(Exception, match="Unknown task family: x"):
         audit.score_by_family(audit.verify(df, LEXICON, F.array(F.lit("acid")), family="family"), (), "family", {}).collect()
+
+
+def test_caption_validity_reads_the_whole_answer(spark):
+    from traceaudit.plans.scores import whole_caption_validity
+
+    rows = [
+        ("late", "<think>Hm. Well.</think><answer>Seen in plants. The molecule is an acid of low weight.</answer>"),
+        ("short", "<think>The molecule is an acid that was found in some plants.</think><answer>acid</answer>"),
+        ("bare", "Seen in plants. The molecule is an acid of low weight."),
+    ]
+    got = whole_caption_validity(spark.createDataFrame(rows, "id string, answer string"))
+    assert {r["id"]: r["io"] for r in got.collect()} == {"late": 0.0, "short": 80.0, "bare": 0.0}

@@ -36,6 +36,17 @@ def k2_caption_validity(spark, d):
     return responses(spark, d).select("id", sc.caption_validity(F.substring_index("answer", ".", 1)).alias("io"))
 
 
+@query(rf"""WITH {EXTRACTED}, p AS (SELECT id, {sql_strip("coalesce(pred, answer)")} AS c FROM extracted)
+  SELECT id, CASE WHEN length(c) < 10 THEN 80.0::DOUBLE ELSE CASE WHEN contains(lower(c), 'molecule is') THEN 0.0::DOUBLE ELSE 25.0::DOUBLE END + CASE WHEN len(list_filter(string_split_regex(c, '\s+'), lambda w: w <> '')) < 8 THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END END AS io FROM p""")
+def k2_caption_validity_whole(spark, d):
+    """Of the whole answer, or of the whole text where it has no tags."""
+    return whole_caption_validity(responses(spark, d))
+
+
+def whole_caption_validity(rows):
+    return audit.extract(rows).select("id", sc.caption_validity(F.coalesce("pred", "answer")).alias("io"))
+
+
 @query("""SELECT l_orderkey, CASE WHEN count(*) > 0 THEN 80.0::DOUBLE * (count(*) - count(*) FILTER (l_returnflag = 'N')) / count(*) ELSE 80.0::DOUBLE END AS io FROM lineitem GROUP BY 1""")
 def k2_set_validity(spark, d):
     per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("p"), F.count(F.when(F.col("l_returnflag") == "N", 1)).alias("v"))
