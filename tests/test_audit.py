@@ -108,3 +108,11 @@ def test_caption_validity_reads_the_whole_answer(spark):
     ]
     got = whole_caption_validity(spark.createDataFrame(rows, "id string, answer string"))
     assert {r["id"]: r["io"] for r in got.collect()} == {"late": 0.0, "short": 80.0, "bare": 0.0}
+
+
+def test_substitutes_are_whole_facts(spark):
+    from traceaudit.plans.outcomes import substitutes
+
+    rows = [("the same beginning of all, one", True), ("the same beginning of all, two", True), ("not valid", False)]
+    got = substitutes(spark.createDataFrame(rows, "canonical string, valid boolean")).collect()
+    assert sorted(r["key"] for r in got) == [rows[0][0], rows[1][0]]

@@ -102,9 +102,14 @@ def t5_stack_conditions(spark, d):
     return pb.stack_conditions(responses(spark, d), ["id", "task"], conds).groupBy("task", "cond").agg(F.count("*").alias("n"), F.sum(F.length("prefix")).cast("long").alias("chars"))
 
 
+def substitutes(known):
+    """Whole canonical values of the valid facts."""
+    return known.filter("valid").select(F.col("canonical").alias("key")).distinct()
+
+
 @query()
 def t4_corrupt_fragments(spark, d):
-    pool = facts(spark, d).filter("valid").select(F.substring("canonical", 1, 20).alias("key")).distinct()
+    pool = substitutes(facts(spark, d))
     rows = extracted(spark, d).select("id", "trace")
     out = pb.corrupt_fragments(rows, "id", "trace", F.regexp_extract_all("trace", F.lit(r"[A-Z]{4,}"), 0), pool)
     return out.select("id", F.md5("corrupted").alias("digest"), (F.col("corrupted") != F.col("trace")).alias("changed"))
