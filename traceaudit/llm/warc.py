@@ -1,9 +1,10 @@
 """WARC archives, index first: every written record gives an index row (file, offset, length, url, digest), and
 reads go through the index, as few sorted byte ranges that cover the selected records.
 
-Which record holds a payload and which ones revisit it is decided on (page, digest) rows alone, before any
-payload is shuffled. Archives are gzip members of one record each, in files of bounded size that a task
+Which record holds a payload and which ones revisit it is decided on (page, digest) rows alone; a payload then moves once
+at most. Archives are gzip members of one record each, in files of bounded size that a task
 attempt names by itself, so that an attempt that is lost or run twice leaves nothing that the index points at.
+Reads are dealt to tasks by summed bytes.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ LEAST_SHARED = 100
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
 RANGE_GAP = 64 << 10
+#: Archive bytes that one task of a read takes, about; less where that leaves cores idle, down to one range.
+READ_BYTES = 64 << 20
 INDEX = "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, file string, offset long, length long"
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -31,21 +34,26 @@ def plan_records(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """pages(page_id, url, html) with digest, payload_bytes, record_type and refers_to.
 
     Of equal payloads of at least `least` bytes the smallest page_id is the response and the others revisit it;
-    smaller payloads are responses. A null html is an empty payload. page_id is a key; a page repeated with the same id and payload
-    is one response and revisits of itself never arise (both rows are responses).
+    smaller payloads are responses. A null html is an empty payload. Each row becomes one record: rows that repeat the smallest page_id are
+    all responses, and a null page_id, which has no place in the order, revisits like any other (it is a response where all ids are null).
+
+    The decision is made on (page_id, digest) rows. What joins the payloads is the table of revisits alone, by both columns, so that a
+    payload of very many pages is no hot key and each payload moves once at most.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    first = keyed.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
-    first = cut(first, "warc-first")  # its size is then known, and Spark broadcasts it only if it is small
-    known = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    joined = known.join(first, "digest", "left")
-    revisit = F.col("first_id").isNotNull() & (F.col("first_id") != F.col("page_id")) & (F.col("payload_bytes") >= least)
+    digest, size = F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes")
+    keyed = pages.select("page_id", digest, size).filter(F.col("payload_bytes") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    first = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL").drop("n")
+    revisits = keyed.drop("n").join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = cut(revisits, "warc-revisits").select(F.col("digest").alias("its_digest"), F.col("page_id").alias("its_id"), "refers_to")  # its size is then known: broadcast only if small
+    known = pages.select("page_id", "url", payload.alias("payload"), digest, size)
+    joined = known.join(revisits, (F.col("digest") == F.col("its_digest")) & F.col("page_id").eqNullSafe(F.col("its_id")), "left")
+    revisit = F.col("refers_to").isNotNull()
     return joined.select(
         "page_id",
         "url",
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
+        "refers_to",
         "digest",
         "payload_bytes",
         F.when(~revisit, F.col("payload")).alias("payload"),
@@ -53,8 +61,8 @@ def plan_records(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
 
 
 def record_bytes(page_id, url, kind, refers_to, digest, payload) -> bytes:
-    """One WARC/1.1 record as a gzip member. A line break in a url is percent-encoded; a null url leaves out the target line."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>"]
+    """One WARC/1.1 record as a gzip member. A line break in a url is percent-encoded; a null url leaves out the target line, and a null page_id has an empty id."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
@@ -70,7 +78,7 @@ def parse_record(data: bytes) -> tuple:
     whole = zlib.decompress(data, 31)
     head, _, rest = whole.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    ident = lambda s: int(s[10:-1])
+    ident = lambda s: int(s[10:-1]) if len(s) > 11 else None
     url = fields.get("WARC-Target-URI")
     return (
         ident(fields["WARC-Record-ID"]),
@@ -150,8 +158,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     rows.append((page, url, kind, refers, len(payload), digest, payload))
                 yield batch_of(rows, READ)
 
-    ranges = byte_ranges(index)
-    return ranges.mapInArrow(read, READ)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    spread = max(1, -(-size // READ_BYTES), min(-(-size // RANGE_BYTES), index.sparkSession.sparkContext.defaultParallelism))
+    return byte_ranges(index).repartition(spread, "file", "part").mapInArrow(read, READ)
 
 
 def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
@@ -162,11 +171,12 @@ def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Give each revisit the payload_bytes of the response that it refers to. records: read_records without payload."""
-    targets = records.filter("record_type = 'response'").select(F.col("page_id").alias("target"), F.col("payload_bytes").alias("target_bytes"))
-    wanted = records.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("target")).distinct()
-    sizes = targets.join(wanted, "target")
-    return records.join(sizes, F.col("refers_to") == F.col("target"), "left").withColumn("payload_bytes", F.coalesce("target_bytes", "payload_bytes")).drop("target", "target_bytes")
+    """Give each revisit the payload_bytes of the response that it refers to, found by id and digest. records: read_records without payload; none is repeated."""
+    sizes = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("target"), F.col("payload_digest").alias("held")).agg(F.max("payload_bytes").alias("target_bytes"))
+    wanted = records.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("target"), F.col("payload_digest").alias("held")).distinct()
+    sizes = sizes.join(wanted, ["target", "held"])
+    found = records.join(sizes, (F.col("refers_to") == F.col("target")) & (F.col("payload_digest") == F.col("held")), "left")
+    return found.withColumn("payload_bytes", F.coalesce("target_bytes", "payload_bytes")).drop("target", "held", "target_bytes")
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
@@ -182,7 +192,7 @@ WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN first_id IS NOT NULL AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+  CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
