@@ -88,3 +88,16 @@ def test_license_edges(spark):
     assert pick(8) == (5, 1, 2, 2, "gpl", "gpl", 1.0)
     assert pick(9)[1] == 0  # a letter beyond ASCII belongs to the word
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_license_scan_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "all rights reserved"), (1, "all rights reserved"), (1, "cc by"), (None, "cc by cc by")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_base"], r["labels"], r["score"]) for r in license_scan.scan(docs).collect())
+    assert got == [("1", 2, 1, "cc-by", 1.0), ("1", 3, 1, "reserved", 1.0), ("1", 3, 1, "reserved", 1.0), ("None", 4, 2, "cc-by", 1.0)]
+
+
+def test_license_share_counts_positions_once(spark):
+    again = "permission is hereby granted " * 6  # many votes, few of the template's positions
+    assert license_scan.scan(spark.createDataFrame([(1, again)], "doc_id long, text string")).first()["labels"] == ""
+    with pytest.raises(ValueError):
+        license_scan.template_grams(spark, templates=(("long", "w " * 70),))

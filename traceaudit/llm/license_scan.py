@@ -2,9 +2,9 @@
 
 Every rolling word 2-gram of every text is joined with the positions of the same 2-gram in the templates (a parameter
 list, so its join table is bounded and broadcast). A hit votes for the diagonal text position - template position; votes
-are summed per (document, template, diagonal) with partial aggregation, which leaves a few rows per document.
-Neighbouring diagonals (a word more or less) merge, and a merged span is verified by the share of the
-template that it covers. Phrases are templates that need every vote on one diagonal.
+are gathered per (row, template, diagonal) with partial aggregation, as a bit mask of the template positions that voted, which leaves
+a few rows per document. Neighbouring diagonals (a word more or less) merge, and a merged span is verified by the share of the
+template's positions that it covers. Phrases are templates that need every position on one diagonal.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
+#: 2-grams of one template at most, as many as a mask of votes has bits for; a longer notice is given as several templates.
+MOST_GRAMS = 62
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,50 +35,58 @@ def template_grams(spark, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     for exact, group in ((True, phrases), (False, templates)):
         for label, text in group:
             words = text.split()
+            if len(words) - 1 > MOST_GRAMS:
+                raise ValueError(f"template {label!r} has more than {MOST_GRAMS + 1} words; give it as several templates")
             rows += [(a, b, f"{label}/{exact}", label, exact, i, len(words) - 1) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
     grams = spark.createDataFrame(rows, "a string, b string, tpl string, label string, exact boolean, tpos int, n_grams int")
     return grams.select(F.xxhash64("a", "b").alias("gram"), F.col("a").alias("t_a"), F.col("b").alias("t_b"), "tpl", "label", "exact", "tpos", "n_grams")
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, drift: int = 2, least: float = 0.7) -> DataFrame:
-    """One row per document of docs(doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row for each row of docs(doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of phrases, first_word and last_word are their smallest and largest start (null without one), labels
-    are distinct, sorted and comma-joined ('' for none), score is 1 where a phrase stands, else the best share of a template's
-    2-grams in one verified span (0 without hits). A template counts where that share is at least `least`
-    after diagonals at most `drift` apart were merged. A null or empty text has no words. doc_id is a key; other columns are ignored.
+    are distinct, sorted and comma-joined ('' for none), score is 1 where a phrase stands, else the largest share of a template's
+    2-grams that one verified span covers (0 without hits). A template counts where that share is at least `least`
+    after diagonals at most `drift` apart were merged. A null or empty text has no words. Rows are told apart by a number of their own, so
+    a repeated or null doc_id gives one result for each of its rows; other columns are ignored.
     """
     words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
+    keys = ["row", "doc_id"]
     grams = (
-        docs.select("doc_id", words.alias("w"))
-        .select("doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
-        .select("doc_id", "n_words", F.col("pos").alias("at"), F.col("col.a").alias("a"), F.col("col.b").alias("b"))
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("w"))
+        .select(*keys, F.size("w").cast("long").alias("n_words"), F.posexplode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
+        .select(*keys, "n_words", F.col("pos").alias("at"), F.col("col.a").alias("a"), F.col("col.b").alias("b"))
         .withColumn("gram", F.xxhash64("a", "b"))
     )
     table = F.broadcast(template_grams(docs.sparkSession, phrases, templates))
     hits = grams.join(table, (grams.gram == table.gram) & (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left")
-    votes = hits.groupBy("doc_id", "tpl", "label", "exact", "n_grams", (F.col("at") - F.col("tpos")).alias("diagonal")).agg(
-        F.max("n_words").alias("n_words"), F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high")
+    votes = hits.groupBy(*keys, "tpl", "label", "exact", "n_grams", (F.col("at") - F.col("tpos")).alias("diagonal")).agg(
+        F.max("n_words").alias("n_words"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tpos"))).alias("covered"), F.min("at").alias("low"), F.max("at").alias("high")
     )
-    w = Window.partitionBy("doc_id", "tpl").orderBy("diagonal")
+    w = Window.partitionBy(*keys, "tpl").orderBy("diagonal")
     far = F.lag("diagonal").over(w).isNull() | (F.col("diagonal") - F.lag("diagonal").over(w) > drift) | F.coalesce("exact", F.lit(True))
     spans = (
         votes.withColumn("span", F.sum(far.cast("int")).over(w))
-        .groupBy("doc_id", "tpl", "label", "exact", "n_grams", "span")
-        .agg(F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
+        .groupBy(*keys, "tpl", "label", "exact", "n_grams", "span")
+        .agg(F.max("n_words").alias("n_words"), F.bit_count(F.bit_or("covered")).alias("n_covered"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .withColumn("share", F.col("n_covered") / F.col("n_grams"))
     )
-    base = F.col("exact") & (F.col("votes") == F.col("n_grams"))
+    base = F.col("exact") & (F.col("n_covered") == F.col("n_grams"))
     own = ~F.col("exact") & (F.col("share") >= least) & (F.col("high") - F.col("low") <= F.col("n_grams") + drift)
     names = lambda cond: F.array_join(F.sort_array(F.collect_set(F.when(cond, F.col("label")))), ",")
-    return spans.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("low"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("low"))).cast("long").alias("last_word"),
-        names(base).alias("base_labels"),
-        names(base | own).alias("labels"),
-        F.round(F.coalesce(F.max(F.when(base, F.lit(1.0)).when(own, F.col("share"))), F.lit(0.0)), 6).alias("score"),
+    return (
+        spans.groupBy(*keys)
+        .agg(
+            F.max("n_words").alias("n_words"),
+            F.count(F.when(base, 1)).alias("n_base"),
+            F.min(F.when(base, F.col("low"))).cast("long").alias("first_word"),
+            F.max(F.when(base, F.col("low"))).cast("long").alias("last_word"),
+            names(base).alias("base_labels"),
+            names(base | own).alias("labels"),
+            F.round(F.coalesce(F.max(F.when(base, F.lit(1.0)).when(own, F.col("share"))), F.lit(0.0)), 6).alias("score"),
+        )
+        .drop("row")
     )
 
 
@@ -96,18 +106,17 @@ tg AS (SELECT label, exact, len(w) - 1 AS n_grams, i - 1 AS tpos, w[i] || ' ' ||
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 dg AS (SELECT doc_id, i - 1 AS place, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d)),
 votes AS (
-  SELECT doc_id, label, exact, n_grams, place - tpos AS diagonal, count(*) AS votes, min(place) AS low, max(place) AS high
+  SELECT doc_id, label, exact, n_grams, place - tpos AS diagonal, bit_or(1::BIGINT << tpos::BIGINT) AS covered, min(place) AS low, max(place) AS high
   FROM dg JOIN tg USING (gram) GROUP BY ALL),
 marked AS (
   SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER w <= 2 IS NOT TRUE THEN 1 ELSE 0 END AS far
   FROM votes WINDOW w AS (PARTITION BY doc_id, label, exact ORDER BY diagonal)),
 numbered AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, label, exact ORDER BY diagonal) AS span FROM marked),
 spans AS (
-  SELECT doc_id, label, exact, n_grams, sum(votes) AS votes, min(low) AS low, max(high) AS high,
-    least(1.0, sum(votes) / n_grams) AS share
+  SELECT doc_id, label, exact, n_grams, min(low) AS low, max(high) AS high, bit_count(bit_or(covered)) / n_grams AS share
   FROM numbered GROUP BY doc_id, label, exact, n_grams, span),
 kept AS (
-  SELECT *, exact AND votes = n_grams AS base, NOT exact AND share >= 0.7 AND high - low <= n_grams + 2 AS own FROM spans)
+  SELECT *, exact AND share = 1 AS base, NOT exact AND share >= 0.7 AND high - low <= n_grams + 2 AS own FROM spans)
 SELECT d.doc_id, len(any_value(w))::BIGINT AS n_words, count(*) FILTER (base) AS n_base,
   min(low) FILTER (base) AS first_word, max(low) FILTER (base) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
