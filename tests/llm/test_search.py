@@ -5,6 +5,7 @@ import random
 import uuid
 
 import numpy as np
+import pytest
 
 from traceaudit.llm import components, jaccard_join, knn, warc
 from traceaudit.llm.common import WordHashes
@@ -120,6 +121,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_records(none, folder).count() == 0
 
 
+def test_warc_of_repeated_rows_and_null_ids(spark, tmp_path):
+    big, other = "y" * 200, "z" * 200
+    pages = [(1, "u", big), (1, "u", big), (2, "u", big), (2, "u", big), (None, "u", big), (None, None, None), (5, "u", other), (5, "u", "short"), (6, "u", other), (None, "u", "n" * 200), (None, "u", "n" * 200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    folder = f"file://{tmp_path}/{uuid.uuid4().hex}"
+    index = warc.write_archives(warc.plan_records(df), folder)
+    back = warc.resolve_revisits(warc.read_records(index, folder).drop("payload"))
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in back.collect())
+    want = [("1", 200, "response", "None")] * 2 + [("2", 200, "revisit", "1")] * 2 + [("5", 5, "response", "None"), ("5", 200, "response", "None"), ("6", 200, "revisit", "5")]
+    want += [("None", 0, "response", "None"), ("None", 200, "response", "None"), ("None", 200, "response", "None"), ("None", 200, "revisit", "1")]
+    assert got == sorted(want)
+
+
 def test_byte_ranges_cover_the_selection(spark):
     index = spark.createDataFrame([("f", 0, 10), ("f", 10, 5), ("f", 500, 5), ("g", 3, 4)], "file string, offset long, length long")
     got = sorted((r["file"], r["start"], r["stop"], len(r["spans"])) for r in warc.byte_ranges(index, gap=100).collect())
@@ -155,10 +169,36 @@ def test_nearest_neighbours(spark):
     assert knn.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_of_repeated_ids_and_copies(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    one = [1.0, 2.0, 3.0, 4.0]
+    rows += [(i, one) for i in range(60, 260)]  # ties by the hundred
+    rows += [(0, rows[0][1]), (7, rows[7][1]), (7, [9.0, 9.0, 9.0, 9.0]), (50, rows[50][1])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    got = {}
+    for r in knn.nearest(df, df.filter("id % 50 = 0"), query_rows=3, candidate_rows=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    kept = {}
+    for i, v in rows:
+        kept[i] = min(v, kept.get(i, v))
+    want = brute_knn(list(kept.items()), 5)
+    assert got == {q: [i for i, _ in found] for q, found in want.items()}
+    assert got[100] == [60, 61, 62, 63, 64] and got[0][0] != got[0][1]
+
+
+def test_query_of_neighbours_against_brute_force(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = {}
+    for r in knn.op7_block_knn(spark, sf_dir).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], pytest.approx(r["score"], abs=1e-14)))
+    assert got == {q: [(n + 1, i, s) for n, (i, s) in enumerate(found)] for q, found in brute_knn(rows, 5).items()}
+
+
 def test_int8_bound_holds():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(50, 64)), rng.normal(size=(60, 64)) * 10.0 ** rng.integers(-3, 3, (60, 1))
     (qc, qs, qr, qn), (cc, cs, cr, cn) = knn.quantise(x), knn.quantise(y)
-    dots = (qc @ cc.T) * qs[:, None] * cs[None]
+    dots = knn.products(qc, cc) * qs[:, None] * cs[None]
     exact = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
     assert (np.abs(dots - exact) <= qr[:, None] * (cn + cr)[None] + qn[:, None] * cr[None] + 1e-9).all()
