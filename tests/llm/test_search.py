@@ -82,6 +82,30 @@ def test_jaccard_join_of_nothing(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in rows) == [("1", 1, 1), ("1", 1, 1), ("None", 1, None)]
 
 
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    rng = random.Random(6)
+    a, b, c = ([f"{x}{rng.randrange(500)}" for _ in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:-2], "other", "words"])
+    rows = [(1, " ".join(a)), (3, " ".join(b)), (7, near(a)), (7, " ".join(b)), (7, near(c)), (9, " ".join(c)), (9, " ".join(c)), (12, " ".join(c[:30]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in ({}, {"chunk": 1, "most": 0}):
+        got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.component_table(df, **options).collect())
+        assert got == [(1, 1), (3, 1), (7, 1), (7, 1), (7, 1), (9, 1), (9, 1), (12, 12)]
+
+
+def test_jaccard_join_of_a_large_component_and_stragglers(spark):
+    rng = random.Random(8)
+    base = ["w" + str(rng.randrange(3000)) for _ in range(60)]
+    rows = []
+    for i in range(120):  # most are copies with one edit near the end; some keep 70 to 80 percent
+        w = list(base)
+        for j in range(1 if i % 6 else 5 + i % 3):
+            w[-1 - j * 2] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    check_join(spark, rows, chunk=2, most=0)
+    check_join(spark, rows, chunk=2, most=50)
+
+
 def test_signature_bound_never_prunes_a_link():
     rng = random.Random(3)
     for _ in range(300):

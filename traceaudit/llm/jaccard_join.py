@@ -13,7 +13,8 @@ A text is the set of the 64-bit hashes of its distinct k-word shingles. The step
    collisions; a dual traversal prunes node pairs by the largest overlap they allow, and node pairs that are already one
    component. What remains is checked exactly.
 5. Second round: only shingles whose sets are not yet in one component matter. Their sets meet in trees of signatures alone, all pairs of
-   chunks included; pairs that survive are checked exactly. No link between sets of different components is lost.
+   chunks included but those of the largest component of a shingle among themselves; pairs that survive are checked exactly. No link
+   between sets of different components is lost. Work is dealt by (shingle, pair of chunks), so a shingle of very many sets is many pieces.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ FREQUENT = 50_000
 #: Sets of one chunk, about; chunks are dealt by a hash.
 CHUNK = 512
 BITS = 2048
-#: Pairs that a task of the second round remembers, and rows of a family that it takes, about.
+#: Pairs that a task of the second round remembers, and signature rows of a family that one deal of it holds, about.
 SEEN_PAIRS = 1_000_000
-FAMILY_ROWS = 200_000
+DEAL_ROWS = 10_000
 FANOUT = 8
 #: Rows that are Python objects at once in a task.
 TASK_ROWS = 1000
@@ -202,9 +203,9 @@ def runs(batches, keys: int):
 
 
 def first_round(batches):
-    """Links (a, b) of each chunk (key, chunk, doc_id, cells): a star for each of its components."""
+    """Links (a, b) of each chunk (key, chunk, doc_id, cells): a star for each of its components. A doc_id with several sets comes with each of them."""
     for _, rows in runs(batches, 2):
-        rows = list({r[0]: r for r in rows}.values())
+        rows = list(dict.fromkeys(rows))
         if len(rows) > 1:
             sets = [np.frombuffer(r[1], np.uint64) for r in rows]
             stats = [(bits, len(s), len(s), excess) for s in sets for bits, excess in (bitmap(s),)]
@@ -338,13 +339,16 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Texts of fewer than k words are one shingle of all their words; null and wordless texts have no shingles and link with nothing.
-    Rows that repeat a doc_id are one node; a null doc_id takes no part in links and has a null component_id. Other columns are ignored.
+    Rows that repeat a doc_id are one node, which has the links of all its texts, and n_shingles of their own; a null doc_id takes no part
+    in links and has a null component_id. Other columns are ignored.
     """
     sets = cut(shingle_sets(docs, frequent_shingles(docs, k, most), k), "jaccard-sets")
     real = sets.filter("n > 0 AND doc_id IS NOT NULL")
     firsts = cut(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1"), "jaccard-copies")
-    copies = cut(real.select("doc_id", "f1", "f2", "n").join(firsts, ["f1", "f2", "n"]).filter("doc_id <> first_id").select("doc_id", "first_id").distinct(), "jaccard-copies")
-    prefixes = cut(shared_prefixes(real.join(copies.select("doc_id"), "doc_id", "left_anti")), "jaccard-prefixes")
+    copies = cut(real.select("doc_id", "f1", "f2", "n").join(firsts.drop("copies"), ["f1", "f2", "n"]).filter("doc_id <> first_id").distinct(), "jaccard-copies")
+    one_set = F.struct("f1", "f2", "n")
+    several = cut(real.groupBy("doc_id").agg(F.min(one_set).alias("lo"), F.max(one_set).alias("hi")).filter("lo <> hi").select("doc_id"), "jaccard-several")  # ids with different texts
+    prefixes = cut(shared_prefixes(real.join(copies.drop("first_id"), ["doc_id", "f1", "f2", "n"], "left_anti")), "jaccard-prefixes")
 
     cells = cell_table(docs, prefixes.select("doc_id").distinct(), k)
     ranked = F.slice(F.sort_array(F.collect_list(F.struct("hot", "h", "size"))), 1, 2)
@@ -356,17 +360,30 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
 
     placed = prefixes.join(parts, "doc_id", "left").withColumn("part_id", F.coalesce("part_id", "doc_id"))
     split = placed.groupBy("h").agg(F.min("part_id").alias("lo"), F.max("part_id").alias("hi")).filter("lo <> hi").select("h", F.col("lo").alias("family"))
-    rest = cut(placed.join(split, "h").select("h", "family", "doc_id", "part_id", "size"), "jaccard-rest")
-    families = rest.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_ROWS).alias("n_salts"))  # blocks of one family meet in few tasks, which then name a pair once
-    rest = rest.join(families, "family").withColumn("salt", F.pmod("h", F.col("n_salts")))
+    rest = placed.join(split, "h").select("h", "family", "doc_id", "part_id", "size")
+    # of a shingle with more sets than a chunk, sets of its largest component need not meet each other
+    largest = rest.filter(F.col("size") > 4 * chunk).groupBy("h", "part_id").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "part_id")).alias("top"))
+    largest = largest.select("h", F.col("top.part_id").alias("major"), F.col("top.c").alias("n_major"))
+    parts_of = lambda n: F.ceil(n / (4 * chunk)).cast("int")
+    rest = (
+        rest.join(largest, "h", "left")
+        .withColumn("n_first", F.coalesce(parts_of(F.col("n_major")), F.lit(0)))  # chunks of the largest component come first
+        .withColumn("n_other", parts_of(F.greatest(F.col("size") - F.coalesce("n_major", F.lit(0)), F.lit(1))))
+        .withColumn("first", F.coalesce(F.col("part_id") == F.col("major"), F.lit(False)))
+    )
+    rest = cut(rest.select("h", "family", "doc_id", "part_id", "n_first", "n_other", "first"), "jaccard-rest")
+    meets = 2 * F.when(F.col("first"), F.col("n_other")).otherwise(F.col("n_first") + F.col("n_other"))  # signature rows of a set: two bands, each chunk that it meets
+    families = rest.groupBy("family").agg(F.ceil(F.sum(meets) / DEAL_ROWS).alias("n_deals"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26)))  # sets that link differ by a factor of at most 1.25, so by one band at most
     tree_rows = (
-        rest.join(cells.drop("cells"), "doc_id")
+        rest.join(families, "family")
+        .join(cells.drop("cells"), "doc_id")
         .withColumn("band", F.explode(F.array(band, band + 1)))
-        .withColumn("n_parts", F.ceil(F.col("size") / (4 * chunk)).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n_parts")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-        .select("family", "salt", "h", "band", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature")
+        .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.when(F.col("first"), F.col("n_first")).otherwise(F.col("n_other"))).cast("int") + F.when(F.col("first"), 0).otherwise(F.col("n_first")))
+        .withColumn("with", F.explode(F.sequence(F.when(F.col("first"), F.col("n_first")).otherwise(0), F.col("n_first") + F.col("n_other") - 1)))
+        .withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with")})
+        .withColumn("salt", F.when(F.col("n_first") + F.col("n_other") > 1, F.pmod(F.xxhash64("h", "band", "i", "j"), F.col("n_deals"))).otherwise(F.pmod(F.xxhash64("h"), F.col("n_deals"))))
+        .select("family", "salt", "h", "band", "i", "j", "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature")
     )
     maybe = in_runs(tree_rows, ["family", "salt"], ["family", "salt", "h", "band", "i", "j"]).mapInArrow(second_round, "a long, b long")
     maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -378,10 +395,11 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
 
     more = maybe.join(sides[0], "a").join(sides[1], "b").select("a", "b", "cells_a", "cells_b").mapInArrow(check, "a long, b long")
     old = parts.filter("doc_id <> part_id").select(F.col("doc_id").alias("a"), F.col("part_id").alias("b"))
-    final = components(cut(more.union(old), "jaccard-links")).withColumnsRenamed({"node": "first_id", "component": "component_id"})
+    same = copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+    final = components(cut(more.union(old).union(same), "jaccard-links")).withColumnsRenamed({"node": "first_id", "component": "component_id"})
     return (
         sets.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(copies, "doc_id", "left")
+        .join(copies.groupBy("doc_id").agg(F.min("first_id").alias("first_id")), "doc_id", "left")
         .withColumn("first_id", F.coalesce("first_id", "doc_id"))
         .join(final, "first_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "first_id").alias("component_id"))
