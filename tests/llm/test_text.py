@@ -152,24 +152,44 @@ def test_tiling_against_brute_force():
         text = [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60))]
         cut = rng.randrange(len(item))
         text[len(text) // 2 :] = item[cut:] + item[:cut]
-        seeds = decontaminate.Seeds([(1, item)], 3)
-        found = [decontaminate.tile(s, k) for _, k, s in seeds.matches(text)]
-        mine = sum(t[2] for tiles in found for t in tiles)
-        assert mine == sum(t[2] for t in brute_tiles(text, item, 3))
+        assert decontaminate.tile(text, item, 3) == brute_tiles(text, item, 3)
+    assert decontaminate.tile(["a"] * 50, ["a"] * 7, 4) == [(0, 0, 7)]
+    assert decontaminate.tile([], ["a"], 4) == decontaminate.tile(["a"], [], 4) == []
 
 
 def test_decontamination(spark):
     item = [f"q{i}" for i in range(40)]
     reordered = " ".join(item[20:] + ["filler"] * 10 + item[:20])
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "Two Words"), (5, "...")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (8, " ".join(item)), (2, None), (3, ""), (4, "Two Words"), (5, "...")], "item_id long, text string")
     docs = spark.createDataFrame(
         [(1, "x " * 100_000 + reordered.upper()), (2, " ".join(item[:10])), (3, None), (4, ""), (5, "only two words here"), (6, "two other words"), (7, " ".join(item[:20])), (7, " ".join(item[:20]))], "doc_id long, text string"
-    ).withColumn("item_id", F.lit("clash"))
-    got = sorted((r["doc_id"], r["item_id"], r["n_tiles"], r["coverage"]) for r in decontaminate.contaminated_pairs(docs, bench).collect())
-    assert got == [(1, 1, 2, 1.0), (5, 4, 1, 1.0), (7, 1, 1, 0.5), (7, 1, 1, 0.5)]
+    ).withColumns({"item_id": F.lit("clash"), "t1": F.lit("x"), "h": F.lit(None)})
+    got = sorted((r["doc_id"], r["item_id"], r["n_items"], r["n_tiles"], r["coverage"]) for r in decontaminate.contaminated_pairs(docs, bench).collect())
+    assert got == [(1, 1, 2, 2, 1.0), (5, 4, 1, 1, 1.0), (7, 1, 2, 1, 0.5), (7, 1, 2, 1, 0.5)]
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 3, 4, 6]
     assert decontaminate.contaminated_pairs(docs.limit(0), bench).count() == 0
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 8
+    assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
+
+
+def test_query_of_contaminated_pairs_against_brute_force(spark, sf_dir):
+    read = lambda name, key: [(r[key], decontaminate.tokens(r["text"])) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()]
+    grams = lambda w: {tuple(w[i : i + min(4, len(w))]) for i in range(max(1, len(w) - 3))} if w else set()
+    docs, want = [(i, w, grams(w)) for i, w in read("documents", "doc_id")], set()
+    for item, words in read("benchmark", "item_id"):
+        mine = grams(words)
+        for i, w, theirs in docs:
+            if mine & theirs:
+                starts = {p + j for p in range(len(w)) if tuple(w[p : p + 4]) in mine for j in range(4)}  # brute force over the parts that share a 4-gram
+                part = [x if p in starts else None for p, x in enumerate(w) if p in starts or p - 1 in starts]
+                covered = sum(t[2] for t in brute_tiles(part, words, 4))
+                if covered >= 0.5 * len(words):
+                    want.add((i, tuple(words), covered))
+    items = {}
+    for item, words in read("benchmark", "item_id"):
+        items[item] = tuple(words)
+    got = {(r["doc_id"], items[r["item_id"]], r["tiled_words"]) for r in decontaminate.op8_decontaminate(spark, sf_dir).collect()}
+    assert got == want and got
 
 
 def brute_katz(rows):

@@ -8,8 +8,11 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+#: Narrow rows that a broadcast table has at most.
+SMALL_ROWS = 1_000_000
 #: Distinct words whose hashes a Python worker remembers at once.
 MEMO_WORDS = 200_000
 
@@ -32,6 +35,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_or_shuffled(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most `most` of them; else Spark chooses by its size and shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text, with A-Z lower-cased, in UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
