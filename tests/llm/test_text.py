@@ -195,11 +195,8 @@ def test_query_of_contaminated_pairs_against_brute_force(spark, sf_dir):
 def brute_katz(rows):
     tok = [(t or "").encode().lower().split() + [0] for _, t, _ in rows]
     train = [w for w, r in zip(tok, rows, strict=True) if r[2]]
-    c = Counter(w for x in train for w in x)
-    c2 = Counter(p for x in train for p in zip([1, *x], x, strict=False))
-    ch = defaultdict(int)
-    for (h, _), n in c2.items():
-        ch[h] += n
+    counts = {1: Counter(w for x in train for w in x), 2: Counter(p for x in train for p in zip([1, *x], x, strict=False)), 3: Counter(p for x in train for p in zip([1, *x], x, x[1:], strict=False))}
+    c = counts[1]
     total = sum(c.values())
 
     def kept(counts):
@@ -213,25 +210,33 @@ def brute_katz(rows):
                 d[r] = x if 0 < x < 1 else d[r]
         return lambda r: d[r] * r if r <= 5 else r - 0.5
 
-    d1, d2 = kept(c), kept(c2)
-    left = (total - sum(map(d1, c.values()))) / total if total else 1.0
-    p1 = lambda w: d1(c[w]) / total if w in c else left
-    a, b = defaultdict(float), defaultdict(float)
-    for (h, w), n in c2.items():
-        a[h] += d2(n) / ch[h]
-        b[h] += p1(w)
+    d = {k: kept(x) for k, x in counts.items()}
+    left = (total - sum(map(d[1], c.values()))) / total if total else 1.0
+    after, times = defaultdict(list), defaultdict(int)  # of each history
+    for k in (2, 3):
+        for g, n in counts[k].items():
+            after[g[:-1]].append(g[-1])
+            times[g[:-1]] += n
+    known = {}
 
     def p(h, w):
-        if h not in ch:
-            return p1(w)
-        return d2(c2[h, w]) / ch[h] if (h, w) in c2 else (1 - a[h]) / (1 - b[h]) * p1(w)
-
-    for h in ch:
+        if not h:
+            return d[1](c[w]) / total if w in c else left
+        if h not in times:
+            return p(h[1:], w)
+        if (*h, w) in counts[len(h) + 1]:
+            return d[len(h) + 1](counts[len(h) + 1][*h, w]) / times[h]
+        if h not in known:
+            known[h] = (1 - sum(p(h, x) for x in after[h])) / (1 - sum(p(h[1:], x) for x in after[h]))
+        return known[h] * p(h[1:], w)
+
+    for h in list(times)[:300]:
         assert sum(p(h, w) for w in c) + p(h, "never") == pytest.approx(1)
     out = []
     for x, (i, _, _) in zip(tok, rows, strict=True):
         base = sum(math.log10((c.get(w, 0) + 1) / (total + len(c) + 1)) for w in x)
-        out.append((str(i), len(x), sum(w in c for w in x), total, pytest.approx(base), pytest.approx(sum(math.log10(p(h, w)) for h, w in zip([1, *x], x, strict=False)))))
+        score = sum(math.log10(p(tuple([1, *x[:j]][-2:]), w)) for j, w in enumerate(x))
+        out.append((str(i), len(x), sum(w in c for w in x), total, pytest.approx(base), pytest.approx(score)))
     return sorted(out, key=lambda r: (r[0], r[1]))
 
 
@@ -239,7 +244,7 @@ def brute_katz(rows):
 def test_katz_against_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(katz, "RANGE_KEYS", 50)
-        monkeypatch.setattr(katz, "HELD_PARTS", 5)
+        monkeypatch.setattr(katz, "BATCH_TOKENS", 90)
     rng = random.Random(1)
     rows = [(i, " ".join(f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(rng.randrange(0, 40))), zlib.crc32(str(i).encode()) % 3 != 0) for i in range(120)]
     rows += [(500, None, True), (501, "", False), (None, "A a\tA", True), (502, "unseen words " * 3000, False), (503, "w1", True), (503, "w1", True)]

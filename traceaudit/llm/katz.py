@@ -1,19 +1,23 @@
-"""LM scoring with a Katz backoff bigram model over words, trained and applied without joining token by token.
+"""LM scoring with a Katz backoff trigram model over words, trained and applied without joining token by token.
 
-The texts are cut into batches of token ids that stay where they are. What travels are, for each batch, its distinct unigrams
-and bigrams as sorted 64-bit hashes with training counts, in slices by hash range (the partitioned tables of the model); a
-range adds up what all batches have of it and sends each batch its totals back. With its totals, a batch scores its own
-tokens. A key with a third of all tokens is one entry per batch, so no key is hot. Only for the backoff
-weights, each history's sums meet the texts that need them, again in ranges of hashed histories.
+The texts are cut into batches of token ids that stay where they are. What travels are, for each batch, its distinct 1-, 2- and
+3-grams as sorted hashes with training counts, in slices by hash range (the partitioned tables of the model, one for each
+order); a range adds up what all batches have of it and sends each batch its totals back. With its totals, a batch scores its
+own tokens, longest n-gram first. A key with a third of all tokens is one entry per batch, so no key is hot. Backoff
+weights are made the same way: each history's sums meet in its range, and each batch that needs its weight gets it back once.
 
-Probabilities, with counts c over the training tokens:
+Probabilities, with counts c over the training tokens and a history h of one or two words, h' the same without its first word:
 
-* P(w | h) = d(c(hw)) c(hw) / c(h) where the bigram was seen, else alpha(h) P(w); P(w) itself where h was not seen;
+* P(w | h) = d(c(hw)) c(hw) / c(h) where hw was seen, else alpha(h) P(w | h'), or P(w | h') itself where h was not seen;
 * P(w) = d(c(w)) c(w) / N; what discounting leaves is the probability of one unknown word that stands for all others;
-* d: Good-Turing discounts up to a count of 5, (r - 0.5) / r above and wherever Good-Turing gives no value inside (0, 1);
-* alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w) over seen w), which makes P(. | h) sum to 1.
+* d: Good-Turing discounts of each order up to a count of 5, where they lie inside (0, 1), else (r - 0.5) / r. Katz leaves counts above 5
+  whole; here (r - 0.5) / r stands there too, as a history whose counts are all above 5 would leave unseen words probability 0;
+* alpha(h) = (1 - sum of P(w | h) over w seen after h) / (1 - sum of P(w | h') over the same w), which makes P(. | h) sum to 1.
 
-A text begins after a start mark, a history only, and ends with an end token.
+A text begins after a start mark, a history only, and ends with an end token. Its first token has the start mark alone as history.
+
+Words and n-grams are told apart by hashes of SPARE_BITS bits more than the number of tokens has, 64 at most, so that the chance that an
+n-gram is taken for another stays the same at every size.
 """
 
 from __future__ import annotations
@@ -26,21 +30,51 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import cut, in_runs, mix64, pack_sorted, planes, slices_of, sorted_runs, unpack_sorted, unplanes, words_of
+from traceaudit.llm.common import cut, in_runs, mix64, pack_sorted, pieces_of, planes, slices_of, sorted_runs, unpack_sorted, unplanes, words_of
 from traceaudit.llm.labelled import crc_remainder
 
 #: Tokens of one batch of texts (a longer text is a batch of its own), and hashes of one range, about.
-BATCH_TOKENS = 2_000_000
-RANGE_KEYS = 1_000_000
+BATCH_TOKENS = 1_500_000
+RANGE_KEYS = 2_000_000
+SPARE_BITS = 20
 #: Counts up to this are discounted by Good-Turing.
 GT_MOST = 5
-#: Texts for which a task sums backoff weights before it sends them.
-HELD_PARTS = 2_000_000
-END, START = 0, 1  # local ids
-BATCHES = "batch long, doc_ids array<long>, train array<boolean>, lens array<int>, stream binary, words binary"
+#: Rows that are Python objects at once in a task.
+TASK_ROWS = 1000
+#: Hashes of the end token and of the start mark.
+END, START = np.uint64(0x9E6C63D0876A9A47), np.uint64(0x5851F42D4C957F2D)
+BATCHES = "batch long, doc_ids array<long>, train array<boolean>, lens array<int>, stream binary, words binary, ranks binary"
 SENT = "kind int, slice long, batch long, keys binary, counts binary, others binary"
-TOTALS = "batch long, kind int, slice long, totals binary, flags binary, stats array<long>"
-SCORED = "batch long, kind int, slice long, hists binary, x binary, y binary, z binary, doc_ids array<long>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
+TOTALS = "batch long, kind int, slice long, totals binary, owned binary, asked binary, stats array<long>"
+SCORED = "batch long, kind int, slice long, turn int, hists binary, sums binary, lower binary, c binary, c_lower binary, needs binary, doc_ids array<long>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
+REPLY = "batch long, kind int, slice long, alphas binary, needs binary, doc_ids array<long>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
+
+
+def pack(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Compressed planes of an array, with its length in front."""
+    data = planes(a)
+    return len(data).to_bytes(8, "little") + pack(data)
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return unplanes(pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b"", kind)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def flags_of(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
 class LocalIds(dict):
@@ -49,37 +83,32 @@ class LocalIds(dict):
         return n
 
 
-def text_batches(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """Texts of docs(doc_id, text, train) as batches: word ids of the batch, with an end token after each text, and the hash of each id's word."""
+def text_batches(docs: DataFrame, width: int, batch_tokens: int) -> DataFrame:
+    """Texts of docs(doc_id, text, train) as batches: word ids of the batch by falling frequency, with an end token after each text, and the hash of each id's word."""
+    cutoff = np.uint64(64 - width)
 
     def run(batches):
         state: list = [[], [], [], [], LocalIds(), 0]
 
         def flush():
             ids, train, lens, streams, vocabulary, _ = state
-            words = np.array([1, 2] + [xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([uuid.uuid4().int >> 65], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([train], pa.list_(pa.bool_())),
-                    pa.array([lens], pa.list_(pa.int32())),
-                    pa.array([np.concatenate(streams).tobytes()], pa.binary()),
-                    pa.array([words.tobytes()], pa.binary()),
-                ],
-                ["batch", "doc_ids", "train", "lens", "stream", "words"],
-            )
+            words = np.concatenate([np.array([END, START], np.uint64), np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))])
+            words = words >> cutoff << cutoff
+            stream = np.concatenate(streams)
+            number = np.empty(len(words), np.int32)
+            number[np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.int32)
+            order = np.argsort(words, kind="stable")
+            row = {"batch": uuid.uuid4().int >> 65, "doc_ids": ids, "train": train, "lens": lens, "stream": packed(number[stream]), "words": packed_keys(words[order]), "ranks": packed(number[order])}
             state[:] = [[], [], [], [], LocalIds(), 0]
-            return out
+            return record([row], BATCHES)
 
-        for batch in batches:
+        for batch in pieces_of(batches, TASK_ROWS):
             for doc, text, train in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = words_of(text)
                 if state[5] and state[5] + len(words) > batch_tokens:
                     yield flush()
-                ids = np.empty(len(words) + 1, np.int32)
+                ids = np.zeros(len(words) + 1, np.int32)  # 0, the end, stands last
                 ids[:-1] = np.fromiter(map(state[4].__getitem__, words), np.int32, len(words))
-                ids[-1] = END
                 for held, value in zip(state, (doc, train, len(ids), ids), strict=False):
                     held.append(value)
                 state[5] += len(ids)
@@ -89,79 +118,128 @@ def text_batches(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame
     return docs.select("doc_id", "text", "train").mapInArrow(run, BATCHES)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of each key among them, and the place of one occurrence of each."""
+    if not len(keys):
+        return keys, np.empty(0, np.int32), np.empty(0, np.int64)
+    order = np.argsort(keys)
+    found = keys[order]
+    new = np.concatenate([[True], found[1:] != found[:-1]])
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return found[new], inverse, order[new]
+
+
 class Batch:
-    """A batch with its sorted distinct unigram and bigram keys."""
+    """A batch of texts: its word hashes, and each token with the word before it."""
 
-    def __init__(self, row: dict):
-        self.row = row
+    def __init__(self, row: dict, width: int):
+        self.row, self.cutoff = row, np.uint64(64 - width)
         self.lens = np.array(row["lens"], np.int64)
         self.train = np.repeat(np.array(row["train"], bool), self.lens)
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.stream = np.frombuffer(row["stream"], np.int32)
+        words = unpacked_keys(row["words"])
+        ranks = unpacked(row["ranks"], np.int32)
+        self.words = np.empty_like(words)
+        self.words[ranks] = words
+        self.order = ranks  # ids by hash
+        self.stream = unpacked(row["stream"], np.int32)
+        self.start = int(np.flatnonzero(self.words == START >> self.cutoff << self.cutoff)[0])
+        self.first = np.zeros(len(self.stream), bool)  # tokens that begin a text
+        self.first[np.cumsum(self.lens) - self.lens] = True
         self.hist = np.empty_like(self.stream)
         self.hist[1:] = self.stream[:-1]
-        self.hist[np.cumsum(self.lens) - self.lens] = START
-        self.order = np.argsort(self.words)  # of unigram keys
+        self.hist[self.first] = self.start
 
     def unigrams(self):
         """(keys, training counts, other counts) by key; the start mark counts the texts."""
         n = len(self.words)
         seen, both = np.bincount(self.stream[self.train], minlength=n), np.bincount(self.stream, minlength=n)
         firsts = np.array(self.row["train"], bool)
-        seen[START], both[START] = firsts.sum(), len(firsts)
+        seen[self.start], both[self.start] = firsts.sum(), len(firsts)
         return self.words[self.order], seen[self.order], (both - seen)[self.order]
 
-    def bigrams(self):
-        """(keys, place of each token's bigram among them, one token with each key)."""
-        h = mix64(self.words) * np.uint64(0x9E3779B97F4A7C15)
-        keys = mix64(h[self.hist] + self.words[self.stream])
-        return np.unique(keys, return_inverse=True, return_index=True)
+    def grams(self):
+        """distinct() of the 2-grams of all tokens, and of the 3-grams of all tokens but the first of each text."""
+        base = np.uint64(0x9E3779B97F4A7C15)
+        two = mix64(mix64(self.words)[self.hist] * base + self.words[self.stream])
+        at = np.flatnonzero(~self.first)
+        three = mix64(two[at - 1] * base + self.words[self.stream[at]] + np.uint64(1))
+        return [distinct(g >> self.cutoff << self.cutoff) for g in (two, three)]
 
 
 def record(rows: list[dict], ddl: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
     fields = [pa.field(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))]
     return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in fields], schema=pa.schema(fields))
 
 
-def send_counts(bits: int):
+def one_by_one(batches):
+    """Rows of the batches as dicts, one at a time, as they are large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def runs_of(batches, keys: tuple[str, ...]):
+    """Rows with equal keys, from batches sorted by them."""
+    held, key = [], None
+    for row in one_by_one(batches):
+        now = tuple(row[k] for k in keys)
+        if now != key and held:
+            yield held
+            held = []
+        key = now
+        held.append(row)
+    if held:
+        yield held
+
+
+def send_counts(width: int, bits: int):
     def run(batches):
-        for arrow in batches:
-            for row in arrow.to_pylist():
-                b = Batch(row)
-                uni, seen, other = b.unigrams()
-                keys, _, inverse = b.bigrams()
-                pairs = np.bincount(inverse[b.train], minlength=len(keys))
-                for kind, k, n, o in ((1, uni, seen, other), (2, keys, pairs, None)):
-                    for s, lo, hi in slices_of(k, bits):
-                        yield record([{"kind": kind, "slice": s, "batch": row["batch"], "keys": pack_sorted(k[lo:hi]), "counts": planes(n[lo:hi].astype(np.int32)), "others": None if o is None else planes((o[lo:hi] > 0).astype(np.int8))}], SENT)
+        for row in one_by_one(batches):
+            b = Batch(row, width)
+            tables = [(1, *b.unigrams())]
+            for kind, (keys, inverse, _) in zip((2, 3), b.grams(), strict=True):
+                train = b.train if kind == 2 else b.train[~b.first]
+                counts = np.bincount(inverse[train], minlength=len(keys))
+                tables.append((kind, keys, counts, np.bincount(inverse, minlength=len(keys)) - counts))
+            for kind, keys, n, other in tables:
+                for s, lo, hi in slices_of(keys, bits):
+                    others = np.packbits(other[lo:hi] > 0).tobytes() if kind < 3 else None
+                    yield record([{"kind": kind, "slice": s, "batch": row["batch"], "keys": packed_keys(keys[lo:hi]), "counts": packed(n[lo:hi].astype(np.int32)), "others": others}], SENT)
 
     return run
 
 
-def add_up(batches):
-    """Totals of each range for each batch in it. flags: for unigrams whether texts outside the training set have it, for bigrams whether this batch is the one to
-    speak for it. stats, on one row of a range: how many keys have count 1 .. GT_MOST + 1, any count, and the sum of counts."""
-    for rows in sorted_runs(batches, ("kind", "slice")):
-        keys = [unpack_sorted(r["keys"]) for r in rows]
-        counts = np.concatenate([unplanes(r["counts"], np.int32) for r in rows])
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, counts, minlength=len(every)).astype(np.int64)
-        if rows[0]["kind"] == 1:
-            flags = np.bincount(inverse, np.concatenate([unplanes(r["others"], np.int8) for r in rows]), minlength=len(every))[inverse] > 0
-        else:
+def add_up(start: np.uint64):
+    """Totals of each range for each batch in it. owned: which keys this batch is the one to speak for; asked: which ones texts outside the training set have.
+    stats, on one row of a range: how many keys have count 1 .. GT_MOST + 1, any count, and the sum of counts."""
+
+    def run(batches):
+        for rows in runs_of(batches, ("kind", "slice")):
+            kind = rows[0]["kind"]
+            keys = [unpacked_keys(r["keys"]) for r in rows]
+            counts = np.concatenate([unpacked(r["counts"], np.int32) for r in rows])
+            every, inverse, _ = distinct(np.concatenate(keys))
+            total = np.bincount(inverse, counts, minlength=len(every)).astype(np.int64)
             owner = np.full(len(every), -1, np.int64)
             trained = np.flatnonzero(counts > 0)[::-1]
             owner[inverse[trained]] = trained
-            flags = owner[inverse] == np.arange(len(inverse))
-        no_start = total[every != np.uint64(2)] if rows[0]["kind"] == 1 else total
-        stats = [*(int((no_start == r).sum()) for r in range(1, GT_MOST + 2)), int((no_start > 0).sum()), int(no_start.sum())]
-        at = 0
-        for r, k in zip(rows, keys, strict=True):
-            mine = slice(at, at + len(k))
-            at += len(k)
-            yield record([{"batch": r["batch"], "kind": r["kind"], "slice": r["slice"], "totals": planes(total[inverse[mine]]), "flags": np.packbits(flags[mine]).tobytes(), "stats": stats}], TOTALS)
-            stats = None
+            owned = owner[inverse] == np.arange(len(inverse))
+            asked = None
+            if kind < 3:
+                asked = np.bincount(inverse, np.concatenate([flags_of(r["others"], len(k)) for r, k in zip(rows, keys, strict=True)]), minlength=len(every))[inverse] > 0
+            counted = total[every != start] if kind == 1 else total
+            stats = [*(int((counted == r).sum()) for r in range(1, GT_MOST + 2)), int((counted > 0).sum()), int(counted.sum())]
+            at = 0
+            for r, k in zip(rows, keys, strict=True):
+                mine = slice(at, at + len(k))
+                at += len(k)
+                out = {"batch": r["batch"], "kind": kind, "slice": r["slice"], "totals": packed(total[inverse[mine]]), "owned": np.packbits(owned[mine]).tobytes(), "stats": stats}
+                yield record([out | {"asked": None if asked is None else np.packbits(asked[mine]).tobytes()}], TOTALS)
+                stats = None
+
+    return run
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -182,96 +260,107 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c > GT_MOST, c - 0.5, np.where(c > 0, d[small] * c, 0.0))
 
 
-def unigram_probability(c: np.ndarray, d: np.ndarray, kept: float, n: int) -> np.ndarray:
-    """P(w) of words with count c; kept: the sum of all discounted counts. Count 0 gets what is left, as one unknown word."""
-    return np.where(c > 0, discounted(c, d), n - kept) / n if n else np.ones(len(c))
+def unigram_counts(c: np.ndarray, d: np.ndarray, kept: float, n: int) -> np.ndarray:
+    """N * P(w) of words with count c; kept: the sum of all discounted counts. Count 0 gets what is left, as one unknown word."""
+    return np.where(c > 0, discounted(c, d), n - kept)
+
 
+def score_batches(model: dict, width: int, bits: int):
+    d1, d2, d3, n, v, kept = (model[k] for k in ("d1", "d2", "d3", "n", "v", "kept"))
 
-def score_batches(model: dict, bits: int):
-    d1, d2, n, v, kept = model["d1"], model["d2"], model["n"], model["v"], model["kept"]
+    def own_sums(batch, order, hists, mine, x, y, c, c_lower):
+        """Rows of what this batch's own n-grams add to their histories: hists, the key of each token's history; mine: tokens of own n-grams."""
+        keys, inverse, one = distinct(hists[mine])
+        sums = [np.bincount(inverse, values[mine], minlength=len(keys)) for values in (x, y)]
+        at = mine[one]
+        for s, lo, hi in slices_of(keys, bits):
+            part = slice(lo, hi)
+            yield record([{"batch": batch, "kind": order, "slice": s, "turn": 0, "hists": packed_keys(keys[part]), "sums": packed(sums[0][part]), "lower": packed(sums[1][part]), "c": packed(c[at[part]]), "c_lower": packed(c_lower[at[part]])}], SCORED)
 
     def run(batches):
-        for rows in sorted_runs(batches, ("batch",)):
-            b = Batch(rows[0])
-            found = {k: [r for r in rows[1:] if r["kind"] == k] for k in (1, 2)}
-            total, flag = {}, {}
-            for k, parts in found.items():
-                arrays = [unplanes(r["totals"], np.int64) for r in parts]
-                total[k] = np.concatenate(arrays)
-                flag[k] = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(a)).astype(bool) for r, a in zip(parts, arrays, strict=True)])
-            c1, held = np.empty(len(b.words), np.int64), np.empty(len(b.words), bool)
-            c1[b.order], held[b.order] = total[1], flag[1]
-            p1 = unigram_probability(c1, d1, kept, n)
-            _, one, inverse = b.bigrams()
-            c2 = total[2][inverse]
-            c, ch = c1[b.stream], c1[b.hist]
+        for rows in runs_of(batches, ("batch",)):
+            b, batch = Batch(rows[0], width), rows[0]["batch"]
+            total, owned, asked = {}, {}, {}
+            for k in (1, 2, 3):
+                parts = [r for r in rows[1:] if r["kind"] == k]
+                arrays = [unpacked(r["totals"], np.int64) for r in parts]
+                join = lambda field, parts=parts, arrays=arrays: np.concatenate([np.empty(0, bool), *[flags_of(r[field], len(a)) for r, a in zip(parts, arrays, strict=True)]])
+                total[k] = np.concatenate([np.empty(0, np.int64), *arrays])
+                owned[k], asked[k] = join("owned"), join("asked") if k < 3 else None
+            del rows[1:]
+            c1, asked1 = np.empty(len(b.words), np.int64), np.empty(len(b.words), bool)
+            c1[b.order], asked1[b.order] = total[1], asked[1]
+            u1 = unigram_counts(c1, d1, kept, n)
+            p1 = u1 / n if n else np.ones(len(c1))
+            (keys2, inverse2, one2), (_, inverse3, one3) = b.grams()
+            later = np.flatnonzero(~b.first)
+            c2, c3 = total[2][inverse2], np.zeros(len(b.stream), np.int64)
+            c3[later] = total[3][inverse3]
+            ch2 = np.zeros(len(b.stream), np.int64)
+            ch2[later] = c2[later - 1]  # of the two words before a token
+            c, ch1 = c1[b.stream], c1[b.hist]
             base = np.log10((c + 1) / (n + 1 * (v + 1)))
-            seen = c2 > 0
+            k2, k3 = discounted(c2, d2), discounted(c3, d3)
             with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.where(seen, np.log10(discounted(c2, d2) / ch), np.log10(p1[b.stream]))
-            doc = np.repeat(np.arange(len(b.lens)), b.lens)
+                lower = np.where(c2 > 0, np.log10(k2 / ch1), np.log10(p1[b.stream]))
+                score = np.where(c3 > 0, np.log10(k3 / ch2), lower)
+            doc = np.repeat(np.arange(len(b.lens), dtype=np.int32), b.lens)
             per_doc = lambda x: np.bincount(doc, x, minlength=len(b.lens))  # noqa: B023, E731
-            yield record([{"batch": rows[0]["batch"], "kind": 0, "slice": 0, "doc_ids": rows[0]["doc_ids"], "n_tokens": b.lens, "n_known": per_doc(c > 0).astype(np.int64), "base": per_doc(base), "score": per_doc(score)}], SCORED)
-            own = one[flag[2]]  # one token of each bigram that this batch speaks for
-            own = own[held[b.hist[own]]]
-            a = np.bincount(b.hist[own], discounted(c2[own], d2), minlength=len(b.words))
-            p = np.bincount(b.hist[own], p1[b.stream[own]], minlength=len(b.words))
-            has = np.flatnonzero(np.bincount(b.hist[own], minlength=len(b.words)))
-            has = has[np.argsort(b.words[has])]
-            for s, lo, hi in slices_of(b.words[has], bits):
-                at = has[lo:hi]
-                yield record([{"batch": rows[0]["batch"], "kind": 1, "slice": s, "hists": pack_sorted(b.words[at]), "x": a[at].tobytes(), "y": p[at].tobytes(), "z": planes(c1[at])}], SCORED)
-            need = np.flatnonzero(~seen & (ch > 0))
-            if len(need):
-                wanted, times = np.unique(b.hist[need].astype(np.int64) * len(b.lens) + doc[need], return_counts=True)
-                hist, of = wanted // len(b.lens), wanted % len(b.lens)
-                order = np.argsort(b.words[hist], kind="stable")
-                hist, of, times = hist[order], of[order], times[order]
-                for s, lo, hi in slices_of(b.words[hist], bits):
-                    yield record([{"batch": rows[0]["batch"], "kind": 2, "slice": s, "hists": pack_sorted(b.words[hist[lo:hi]]), "x": planes(of[lo:hi]), "y": planes(times[lo:hi].astype(np.int64))}], SCORED)
+            hist2 = np.zeros(len(b.stream), np.uint64)
+            hist2[later] = keys2[inverse2[later - 1]]
+            needs = []
+            for order, hists, need in ((2, b.words[b.hist], (c3 == 0) & (c2 == 0) & (ch1 > 0)), (3, hist2, (c3 == 0) & (ch2 > 0))):
+                at = np.flatnonzero(need)
+                keys, inverse, _ = distinct(hists[at])
+                wanted, times = np.unique(inverse.astype(np.int64) * len(b.lens) + doc[at], return_counts=True)
+                needs.append(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(np.diff(wanted // len(b.lens), prepend=0).astype(np.int32)), packed((wanted % len(b.lens)).astype(np.int32)), packed(times.astype(np.int32)))))
+                for s, lo, hi in slices_of(keys, bits):
+                    yield record([{"batch": batch, "kind": order, "slice": s, "turn": 1, "hists": packed_keys(keys[lo:hi])}], SCORED)
+            own = one2[owned[2]]  # one token of each 2-gram that this batch speaks for
+            yield from own_sums(batch, 2, b.words[b.hist], own[asked1[b.hist[own]]], k2, u1[b.stream], ch1, np.full(len(b.stream), n, np.int64))
+            own = later[one3[owned[3]]]
+            yield from own_sums(batch, 3, hist2, own[asked[2][inverse2[own - 1]]], k3, k2, ch2, ch1)
+            yield record(
+                [{"batch": batch, "kind": 0, "slice": batch, "turn": 0, "needs": len(needs[0]).to_bytes(8, "little") + needs[0] + needs[1], "doc_ids": b.row["doc_ids"], "n_tokens": b.lens, "n_known": per_doc(c > 0).astype(np.int64), "base": per_doc(base), "score": per_doc(score)}],
+                SCORED,
+            )
 
     return run
 
 
 def back_off(batches):
-    """(batch, kind 1, docs, parts): for texts of a batch, the sum of log10 alpha over their unseen bigrams whose history lies in this task's ranges. Sums are kept
-    for HELD_PARTS texts at most before they are sent."""
-    held: dict[int, list] = {}
-    size = 0
-
-    def flush():
-        for batch, pairs in held.items():
-            docs, inverse = np.unique(np.concatenate([d for d, _ in pairs]), return_inverse=True)
-            parts = np.bincount(inverse, np.concatenate([x for _, x in pairs]))
-            yield record([{"batch": batch, "kind": 1, "docs": docs.tobytes(), "parts": parts.tobytes()}], "batch long, kind int, docs binary, parts binary")
-        held.clear()
-
-    for rows in sorted_runs(batches, ("slice",)):
-        own, need = ([r for r in rows if r["kind"] == k] for k in (1, 2))
+    """Rows of kind 0 as they are, and for each batch that needs weights of a range the log10 alpha of its histories there, in their order."""
+    for rows in runs_of(batches, ("kind", "slice")):
+        if rows[0]["kind"] == 0:
+            for r in rows:
+                yield record([r], REPLY)
+            continue
+        own, need = ([r for r in rows if r["turn"] == t] for t in (0, 1))
         if not need:
             continue
-        keys = np.concatenate([unpack_sorted(r["hists"]) for r in own])
-        every, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        x, y = (np.bincount(inverse, np.concatenate([np.frombuffer(r[f]) for r in own])) for f in ("x", "y"))
-        c = np.concatenate([unplanes(r["z"], np.int64) for r in own])[first]
-        alpha = np.log10((1 - x / c) / (1 - y))
+        every, inverse, first = distinct(np.concatenate([unpacked_keys(r["hists"]) for r in own]))
+        x, y = (np.bincount(inverse, np.concatenate([unpacked(r[f], np.float64) for r in own])) for f in ("sums", "lower"))
+        c, c_lower = (np.concatenate([unpacked(r[f], np.int64) for r in own])[first] for f in ("c", "c_lower"))
+        alpha = np.log10((1 - x / c) / (1 - y / c_lower)).astype(np.float32)
         for r in need:
-            at = np.searchsorted(every, unpack_sorted(r["hists"]))
-            docs, inverse = np.unique(unplanes(r["x"], np.int64), return_inverse=True)
-            held.setdefault(r["batch"], []).append((docs, np.bincount(inverse, alpha[at] * unplanes(r["y"], np.int64))))
-            size += len(docs)
-        if size > HELD_PARTS:
-            yield from flush()
-            size = 0
-    yield from flush()
+            at = np.searchsorted(every, unpacked_keys(r["hists"]))
+            yield record([{"batch": r["batch"], "kind": r["kind"], "slice": r["slice"], "alphas": packed(alpha[at])}], REPLY)
 
 
 def finish(batches):
-    """One row per text: the scores of its batch plus what back_off found."""
-    for rows in sorted_runs(batches, ("batch",)):
+    """One row per text: the scores of its batch plus the weights that it needs."""
+    for rows in runs_of(batches, ("batch",)):
         r, score = rows[0], np.array(rows[0]["score"])
-        for more in rows[1:]:
-            np.add.at(score, np.frombuffer(more["docs"], np.int64), np.frombuffer(more["parts"]))
+        data, of_two = r["needs"], int.from_bytes(r["needs"][:8], "little")
+        for order, part in ((2, data[8 : 8 + of_two]), (3, data[8 + of_two :])):
+            arrays, at = [], 0
+            for _ in range(3):
+                size = int.from_bytes(part[at : at + 8], "little")
+                arrays.append(unpacked(part[at + 8 : at + 8 + size], np.int32))
+                at += 8 + size
+            hist, doc, times = np.cumsum(arrays[0], dtype=np.int64), arrays[1], arrays[2]
+            alphas = np.concatenate([np.empty(0, np.float32), *[unpacked(x["alphas"], np.float32) for x in rows[1:] if x["kind"] == order]]).astype(np.float64)
+            score += np.bincount(doc, alphas[hist] * times, minlength=len(score))
         columns = {"doc_id": pa.array(r["doc_ids"], pa.int64()), "n_tokens": pa.array(r["n_tokens"]), "n_known": pa.array(r["n_known"]), "base_score": pa.array(r["base"]), "score": pa.array(score)}
         yield pa.RecordBatch.from_pydict(columns)
 
@@ -280,33 +369,32 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """Train on docs(doc_id, text, train) where train is true, and score all: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end; a null or empty text is an end alone. base_score is the sum of
-    log10((c + 1) / (N + V + 1)), score the log10 probability of the text. Rows may repeat; one row comes back for each. Without training texts every
-    probability is that of the one unknown word, 1. Distinct words or bigrams with equal 64-bit hashes would be taken for one.
+    log10((c + 1) / (N + V + 1)), score the log10 probability of the text. Rows may repeat; one row comes back for each, and other columns are
+    ignored. A null train counts as false. Without training texts every probability is that of the one unknown word, 1.
     """
-    parts = cut(text_batches(docs), "katz-batches")
-    tokens = parts.agg(F.sum(F.octet_length("stream") / 4)).first()[0] or 0
+    docs = docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
+    width = min(64, max(40, int(size).bit_length() + SPARE_BITS - 2))  # a token takes some four to eight bytes
+    parts = cut(text_batches(docs, width, BATCH_TOKENS), "katz-batches")
+    tokens = parts.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, tokens / RANGE_KEYS)))))
-    sent = parts.mapInArrow(send_counts(bits), SENT)
-    totals = cut(in_runs(sent, ["kind", "slice"], ["kind", "slice"]).mapInArrow(add_up, TOTALS), "katz-totals")
-    sums = {r["kind"]: r for r in totals.filter("stats IS NOT NULL").select("kind", *[F.col("stats")[i].alias(f"s{i}") for i in range(GT_MOST + 3)]).groupBy("kind").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(GT_MOST + 3)]).collect()}
-    stat = lambda kind: [int(sums[kind][f"s{i}"]) for i in range(GT_MOST + 3)] if kind in sums else [0] * (GT_MOST + 3)
-    uni, bi = stat(1), stat(2)
-    d1 = discounts(uni[: GT_MOST + 1])
-    n, v = uni[-1], uni[-2]
-    above = (n - sum(r * uni[r - 1] for r in range(1, GT_MOST + 1)), v - sum(uni[:GT_MOST]))
-    kept = float(sum(d1[r - 1] * r * uni[r - 1] for r in range(1, GT_MOST + 1)) + above[0] - 0.5 * above[1])
-    model = {"d1": d1, "d2": discounts(bi[: GT_MOST + 1]), "n": n, "v": v, "kept": kept}
-
-    left = parts.withColumns({"kind": F.lit(0), "slice": F.lit(0).cast("long"), "totals": F.lit(None).cast("binary"), "flags": F.lit(None).cast("binary")})
+    sent = parts.mapInArrow(send_counts(width, bits), SENT)
+    cutoff = np.uint64(64 - width)
+    totals = cut(in_runs(sent, ["kind", "slice"], ["kind", "slice"]).mapInArrow(add_up(START >> cutoff << cutoff), TOTALS), "katz-totals")
+    n_stats = GT_MOST + 3
+    sums = {r["kind"]: [int(r[f"s{i}"]) for i in range(n_stats)] for r in totals.filter("stats IS NOT NULL").groupBy("kind").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(n_stats)]).collect()}
+    one, two, three = (sums.get(k, [0] * n_stats) for k in (1, 2, 3))
+    d1, n, v = discounts(one[: GT_MOST + 1]), one[-1], one[-2]
+    above = (n - sum(r * one[r - 1] for r in range(1, GT_MOST + 1)), v - sum(one[:GT_MOST]))
+    kept = float(sum(d1[r - 1] * r * one[r - 1] for r in range(1, GT_MOST + 1)) + above[0] - 0.5 * above[1])
+    model = {"d1": d1, "d2": discounts(two[: GT_MOST + 1]), "d3": discounts(three[: GT_MOST + 1]), "n": n, "v": v, "kept": kept}
+
+    left = parts.withColumns({"kind": F.lit(0), "slice": F.lit(0).cast("long"), **{c: F.lit(None).cast("binary") for c in ("totals", "owned", "asked")}})
     right = totals.drop("stats").withColumns({c: F.lit(None).cast(t) for c, t in parts.dtypes if c != "batch"}).select(left.columns)
     both = in_runs(left.union(right), ["batch"], ["batch", "kind", "slice"])
-    scored = cut(both.mapInArrow(score_batches(model, bits), SCORED), "katz-scored")
-
-    meet = in_runs(scored.filter("kind > 0").select("slice", "kind", "batch", "hists", "x", "y", "z"), ["slice"], ["slice"])
-    parts = meet.mapInArrow(back_off, "batch long, kind int, docs binary, parts binary")
-    done = scored.filter("kind = 0").select("batch", "kind", "doc_ids", "n_tokens", "n_known", "base", "score")
-    both = in_runs(done.unionByName(parts, allowMissingColumns=True), ["batch"], ["batch", "kind"])
-    rows = both.mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = both.mapInArrow(score_batches(model, width, bits), SCORED)
+    replies = in_runs(scored, ["kind", "slice"], ["kind", "slice", "turn"]).mapInArrow(back_off, REPLY)
+    rows = in_runs(replies, ["batch"], ["batch", "kind", "slice"]).mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
