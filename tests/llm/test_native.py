@@ -1,9 +1,11 @@
 """URL reputation, license scan: SQL comparison and edge rows."""
 
+import numpy as np
 import pytest
 from compare import differences
+from pyspark.sql import functions as F
 
-from traceaudit.llm import license_scan, url_reputation
+from traceaudit.llm import license_scan, shrinkage, url_reputation
 from traceaudit.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -48,9 +50,30 @@ def test_urls(spark):
 
 
 def test_sparse_hosts_shrink(spark):
+    hosts = ["good.net", "one.net", "bad.net", "new.net", "other.org"]
     outcomes = spark.createDataFrame([("good.net", 1)] * 500 + [("one.net", 0)] + [("bad.net", 0)] * 50, "host string, good int")
-    post = {r["host"]: r["mean"] for r in url_reputation.host_posteriors(outcomes).collect()}
-    assert post["bad.net"] < 0.3 < post["one.net"] < post["good.net"]
+    post = {r["host"]: r["mean"] for r in url_reputation.host_posteriors(spark.createDataFrame([(h,) for h in hosts], "host string"), outcomes).collect()}
+    assert post["bad.net"] < 0.3 < post["one.net"] < post["good.net"] and 0.3 < post["new.net"] < 0.97
+
+
+def test_prior_strength_recovers_what_the_data_were_drawn_from(spark):
+    rng = np.random.default_rng(4)
+    for strength in (5.0, 60.0):
+        rows = []
+        for parent, mean in (("a", 0.8), ("b", 0.3)):
+            p = rng.beta(strength * mean, strength * (1 - mean), 400)
+            n = rng.integers(1, 200, 400)
+            rows += [(parent, int(x), int(k)) for x, k in zip(n, rng.binomial(n, p), strict=True)]
+        got = shrinkage.prior_strength(spark.createDataFrame(rows, "parent string, n long, k long"), ["parent"])
+        assert 0.7 * strength < got < 1.4 * strength
+    none = spark.createDataFrame([("a", 5, 5), ("b", 4, 0)], "parent string, n long, k long")
+    assert shrinkage.prior_strength(none, ["parent"]) == shrinkage.DEFAULT == shrinkage.prior_strength(none.limit(0), [])
+
+
+def test_domains(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.example.com:80", "10.0.0.1", "10.0.0.1:8080", "user.github.io", "localhost", ""]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_reputation.registered_domain(F.col("host")), url_reputation.suffix(F.col("host"))).collect()
+    assert [tuple(r)[1:] for r in rows] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("10.0.0.1", ""), ("10.0.0.1", ""), ("user.github.io", "github.io"), ("localhost", "localhost"), ("", "")]
 
 
 def test_no_outcomes_and_no_pages(spark):
