@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ EDGES = [(9001, None, None, None), (9002, "", "s1", "en"), (None, "x", "s1", "en
 
 
 def with_edges(spark, docs):
-    return docs.unionByName(spark.createDataFrame(EDGES, docs.schema)).withColumns({"score": F.lit("x"), "_p": F.lit(1), "y": F.lit(2)})
+    return docs.unionByName(spark.createDataFrame(EDGES, docs.schema)).withColumns({"score": F.lit("x"), "_p": F.lit(1), "y": F.lit(2), "p": F.lit(7), "h": F.lit(8), "shift": F.lit(9), "Q": F.lit(10), "by_fold": F.lit(11), "toxicity": F.lit(12)})
 
 
 def test_toxicity(spark):
@@ -108,21 +109,74 @@ def test_training_sample_is_bounded_and_skips_conflicts(spark):
     assert training_sample(docs, odd, "toxic", 10).count() == 10
 
 
+def test_toxicity_against_a_plain_model(spark):
+    """The same features, ratios and regression without Spark's counting and scoring."""
+    docs, labels = labelled(spark, 200)
+    weights, intercept = toxicity.train(docs, labels, features=300)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    sets = {r["doc_id"]: {int(x) for x in toxicity.gram_buckets(r["text"])} for r in docs.collect()}
+    n = [sum(1 for t in truth.values() if t == y) for y in (0, 1)]
+    ratios = {}
+    for x in set().union(*sets.values()):
+        c = [sum(1 for i, s in sets.items() if x in s and truth[i] == y) for y in (0, 1)]
+        if sum(c) >= 3:
+            ratio = math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))
+            ratios[x] = ratio, abs(ratio) / math.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5))
+    chosen = sorted(ratios, key=lambda x: (-round(ratios[x][1], 9), x))[:300]
+    assert set(np.flatnonzero(weights)) <= set(ratios) and len(set(np.flatnonzero(weights)) & set(chosen)) >= 290
+    for r in toxicity.score(docs, (weights, intercept), "t").collect():
+        z = intercept + sum(float(weights[x]) for x in sets[r["doc_id"]])
+        assert r["t"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def quality_scores(spark, docs, labels):
+    return quality.score(docs, quality.train(docs.select("doc_id", "text"), labels), quality.site_outcomes(docs, labels, "source", "lang"), column="quality_now")
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
-    scored = quality.score(with_edges(spark, docs), quality.train(docs, labels), column="q")
+    wide = with_edges(spark, docs)
+    scored = quality_scores(spark, wide, labels).withColumnRenamed("quality_now", "q_now")
+    assert scored.columns == [*wide.columns, "q_now"] and {(r["p"], r["h"], r["shift"], r["_p"]) for r in scored.collect()} == {(7, 8, 9, 1)}
     rows = scored.join(labels, "doc_id").collect()
-    assert sum((r["q"] >= quality.THRESHOLD) == bool(r["quality"]) for r in rows) >= 0.97 * len(rows)
+    assert sum((r["q_now"] >= quality.THRESHOLD) == bool(r["quality"]) for r in rows) >= 0.97 * len(rows)
     assert scored.filter("doc_id > 9000 OR doc_id IS NULL").count() == 4
-    assert scored.filter("q IS NULL OR q < 0 OR q > 1").count() == 0
-    assert quality.score(docs.limit(0), quality.train(docs, labels.limit(0)), column="q").count() == 0
-    assert quality.drop_poor(docs, labels, docs).columns == docs.columns
-
-
-def test_sparse_paths_shrink_towards_the_global_rate(spark):
-    rows = [("big", "a", 0.9)] * 500 + [("bad", "a", 0.1)] * 500 + [("tiny", "a", 0.1)]
-    got = {r["_host"]: r["shift"] for r in quality.path_posteriors(spark.createDataFrame(rows, "_host string, _path string, p double")).collect()}
-    assert got["bad"] < -1 < got["tiny"] < 0 < got["big"]
+    assert scored.filter("q_now IS NULL OR q_now < 0 OR q_now > 1").count() == 0
+    assert quality_scores(spark, docs.limit(0), labels.limit(0)).count() == 0
+    kept = quality.drop_poor(wide, labels, docs)
+    assert kept.columns == wide.columns and kept.filter("p <> 7").count() == 0
+    with pytest.raises(ValueError):
+        quality.score(wide, (np.zeros(quality.BUCKETS), [0.0] * quality.N_FEATURES, 0.0), quality.site_outcomes(docs, labels, "source", "lang"), column="P")
+    with pytest.raises(ValueError):
+        toxicity.score(wide, (np.zeros(toxicity.BUCKETS), 0.0), "toxicity")
+
+
+def brute_shifts(rows, strength, host_strength, leave_out):
+    """Log-odds shifts per (host, path) from rows (host, path, fold, n, k), without the fold that is left out."""
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    g = (sum(r[4] for r in rows) + 1) / (sum(r[3] for r in rows) + 2)
+    out = {}
+    for h, p in {r[:2] for r in rows}:
+        of_host, of_path = ([r for r in rows if r[0] == h and (x or r[1] == p) and r[2] != leave_out] for x in (True, False))
+        rate = (sum(r[4] for r in of_host) + host_strength * g) / (sum(r[3] for r in of_host) + host_strength)
+        out[h, p] = logit((sum(r[4] for r in of_path) + strength * rate) / (sum(r[3] for r in of_path) + strength)) - logit(g)
+    return out
+
+
+def test_site_posteriors_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(h, p, f, n, rng.randrange(n + 1)) for h in ("a", "b", "c") for p in ("x", "y") for f in range(quality.FOLDS) for n in (rng.randrange(1, 30),) if rng.random() < 0.8]
+    rows += [("big", "x", 0, 500, 480), ("bad", "x", 1, 500, 20), ("tiny", "x", 2, 1, 0)]
+    df = spark.createDataFrame(rows, "h string, p string, fold int, n long, k long")
+    paths = df.groupBy("h", "p").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    strengths = quality.prior_strength(paths, ["h"]), quality.prior_strength(paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), [])
+    got = {(r["h"], r["p"]): r["shifts"] for r in quality.path_shifts(df).collect()}
+    for fold in range(-1, quality.FOLDS):
+        for key, shift in brute_shifts(rows, *strengths, fold).items():
+            if fold in got[key]:
+                assert got[key][fold] == pytest.approx(shift)
+    assert all(set(got[r[:2]]) >= {-1, r[2]} for r in rows)
+    assert got["bad", "x"][-1] < got["tiny", "x"][-1] < 0 < got["big", "x"][-1]
 
 
 def brute_tiles(text, item, k):

@@ -40,6 +40,22 @@ def small_or_shuffled(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores in front as it takes to be no column of df (upper and lower case count as the same)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def require_new(df: DataFrame, column: str) -> None:
+    if column.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the input already has a column {column!r}; name another one for the result")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text, with A-Z lower-cased, in UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traceaudit.llm.common import require_new
+
 MARK = "▁"
 #: Path of the vocabulary file; a parameter of load().
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -257,8 +259,9 @@ def slices(texts: list[str | None], chars: int = BATCH_CHARS):
 def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", column: str = "ids") -> DataFrame:
     """docs with one more column, the ids of text as array<int>; other columns stay.
 
-    A null text has null ids and an empty one none. Very long texts are encoded whole.
+    A null text has null ids and an empty one none. Very long texts are encoded whole. A column of that name must not exist.
     """
+    require_new(docs, column)
     shared, key = docs.sparkSession.sparkContext.broadcast(load(path, kind)), f"{path} {kind}"
 
     def run(batches):
@@ -277,7 +280,8 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", column: str =
 
 
 def decode(rows: DataFrame, path: str = MODEL, column: str = "decoded", ids: str = "ids") -> DataFrame:
-    """rows with one more column, the text of the ids; null where ids are null. Bytes that are not UTF-8 become U+FFFD; an id outside the vocabulary is an error."""
+    """rows with one more column, the text of the ids; null where ids are null. Bytes that are not UTF-8 become U+FFFD; an id outside the vocabulary is an error, as is a column that has the name already."""
+    require_new(rows, column)
     shared, key = rows.sparkSession.sparkContext.broadcast(load(path)), f"{path} bpe"
 
     def run(batches):

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceaudit.llm.common import cut, pieces_of
+from traceaudit.llm.common import cut, new_names, pieces_of, require_new
 from traceaudit.llm.labelled import crc_remainder, training_sample
 
 BUCKETS = 1 << 20
 ORDERS = (3, 5)
 #: At most so many labelled documents train the model.
 TRAINING_ROWS = 12_000
-#: So many n-grams with the most significant ratios become features.
+#: So many n-grams with the most significant ratios become features, of those that at least 3 documents of the sample have. Like BUCKETS, a bound of the model.
 FEATURES = 6_000
 THRESHOLD = 0.3
 #: Rows that are Python objects at once in a task.
@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, where=None, most: int = TRAINING_R
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "toxicity") -> DataFrame:
-    """docs with one more column, 0 to 1, higher where toxicity is likelier. A null or empty text scores what its few n-grams give; other columns stay."""
+    """docs with one more column, 0 to 1, higher where toxicity is likelier. A null or empty text scores what its few n-grams give; other columns stay, and none may have that name."""
+    require_new(docs, column)
     weights = docs.sparkSession.sparkContext.broadcast(model[0])
     intercept = model[1]
 
@@ -128,7 +129,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "toxic
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score at least `threshold`; all columns stay. labels with crc32(doc_id) mod 4 = 2 are not learnt from."""
     model = train(train_docs, labels, crc_remainder(F.col("doc_id"), 4) != 2)
-    return score(docs, model, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    (column,) = new_names(docs, "toxicity")
+    return score(docs, model, column).filter(F.col(column) < threshold).drop(column)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
