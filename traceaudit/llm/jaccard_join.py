@@ -15,6 +15,8 @@ A text is the set of the 64-bit hashes of its distinct k-word shingles. The step
 5. Second round: only shingles whose sets are not yet in one component matter. Their sets meet in trees of signatures alone, all pairs of
    chunks included but those of the largest component of a shingle among themselves; pairs that survive are checked exactly. No link
    between sets of different components is lost. Work is dealt by (shingle, pair of chunks), so a shingle of very many sets is many pieces.
+   A pair that shares many shingles is named where it meets first, in the order of falling frequency: each set brings the few of its shingles along that
+   come first and before the shingle at hand, and a pair that has one of them in common has met there.
 """
 
 from __future__ import annotations
@@ -33,9 +35,8 @@ FREQUENT = 50_000
 #: Sets of one chunk, about; chunks are dealt by a hash.
 CHUNK = 512
 BITS = 2048
-#: Pairs that a task of the second round remembers, and signature rows of a family that one deal of it holds, about.
-SEEN_PAIRS = 1_000_000
-DEAL_ROWS = 10_000
+#: Most common shingles of a set that travel with it in the second round, to tell where a pair has met before.
+LOWS = 6
 FANOUT = 8
 #: Rows that are Python objects at once in a task.
 TASK_ROWS = 1000
@@ -218,25 +219,16 @@ def first_round(batches):
 
 
 def second_round(batches):
-    """Pairs (a, b) that may link, of each pair of chunks (family, salt, key, band, i, j, doc_id, side, component, n, excess, signature).
-
-    A pair usually shares many shingles, all in one family, so pairs that a task has named are remembered, up to SEEN_PAIRS of them.
-    """
-    seen: set[tuple[int, int]] = set()
-    family = None
-    for key, rows in runs(batches, 6):
-        if key[:2] != family or len(seen) > SEEN_PAIRS:
-            family, seen = key[:2], set()
+    """Pairs (a, b) that may link, of each pair of chunks (h, band, i, j, doc_id, side, component, n, excess, signature, earlier)."""
+    for (_, _, i, j), rows in runs(batches, 4):
         stats = [(int.from_bytes(r[5], "little"), r[3], r[3], r[4]) for r in rows]
-        found = []
+        earlier = [frozenset(r[6] or ()) for r in rows]
+        found = set()
 
-        def note(x, y, rows=rows, found=found, seen=seen):
-            pair = min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])
-            if pair not in seen:
-                seen.add(pair)
-                found.append(pair)
+        def note(x, y, rows=rows, earlier=earlier, found=found):
+            if earlier[x].isdisjoint(earlier[y]):
+                found.add((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])))
 
-        i, j = key[4:]
         if len(rows) == 2:
             if (i == j or rows[0][1] != rows[1][1]) and rows[0][2] != rows[1][2] and possible(*stats):
                 note(0, 1)
@@ -247,7 +239,7 @@ def second_round(batches):
             if all(sides):
                 trees = [build_of(stats, side) for side in sides]
                 Forest([r[2] for r in rows]).traverse(trees[0], stats, trees[1], note)
-        yield from pairs_batch(found)
+        yield from pairs_batch(sorted(found))
 
 
 def build_of(stats: list[tuple], items: list[int]) -> Node:
@@ -359,8 +351,8 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     parts = cut(components(links), "jaccard-parts").withColumnsRenamed({"node": "doc_id", "component": "part_id"})
 
     placed = prefixes.join(parts, "doc_id", "left").withColumn("part_id", F.coalesce("part_id", "doc_id"))
-    split = placed.groupBy("h").agg(F.min("part_id").alias("lo"), F.max("part_id").alias("hi")).filter("lo <> hi").select("h", F.col("lo").alias("family"))
-    rest = placed.join(split, "h").select("h", "family", "doc_id", "part_id", "size")
+    split = placed.groupBy("h").agg(F.min("part_id").alias("lo"), F.max("part_id").alias("hi")).filter("lo <> hi").select("h")
+    rest = placed.join(split, "h").select("h", "doc_id", "part_id", "size")
     # of a shingle with more sets than a chunk, sets of its largest component need not meet each other
     largest = rest.filter(F.col("size") > 4 * chunk).groupBy("h", "part_id").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "part_id")).alias("top"))
     largest = largest.select("h", F.col("top.part_id").alias("major"), F.col("top.c").alias("n_major"))
@@ -371,21 +363,20 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
         .withColumn("n_other", parts_of(F.greatest(F.col("size") - F.coalesce("n_major", F.lit(0)), F.lit(1))))
         .withColumn("first", F.coalesce(F.col("part_id") == F.col("major"), F.lit(False)))
     )
-    rest = cut(rest.select("h", "family", "doc_id", "part_id", "n_first", "n_other", "first"), "jaccard-rest")
-    meets = 2 * F.when(F.col("first"), F.col("n_other")).otherwise(F.col("n_first") + F.col("n_other"))  # signature rows of a set: two bands, each chunk that it meets
-    families = rest.groupBy("family").agg(F.ceil(F.sum(meets) / DEAL_ROWS).alias("n_deals"))
+    rest = cut(rest.select("h", "doc_id", "part_id", (-F.col("size")).alias("rank"), "n_first", "n_other", "first"), "jaccard-rest")
+    lows = rest.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("rank", "h"))), 1, LOWS).alias("lows")).join(several, "doc_id", "left_anti")
+    earlier = F.transform(F.filter("lows", lambda g: g < F.struct("rank", "h")), lambda g: g["h"])
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26)))  # sets that link differ by a factor of at most 1.25, so by one band at most
     tree_rows = (
-        rest.join(families, "family")
-        .join(cells.drop("cells"), "doc_id")
+        rest.join(cells.drop("cells"), "doc_id")
+        .join(lows, "doc_id", "left")
         .withColumn("band", F.explode(F.array(band, band + 1)))
         .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.when(F.col("first"), F.col("n_first")).otherwise(F.col("n_other"))).cast("int") + F.when(F.col("first"), 0).otherwise(F.col("n_first")))
         .withColumn("with", F.explode(F.sequence(F.when(F.col("first"), F.col("n_first")).otherwise(0), F.col("n_first") + F.col("n_other") - 1)))
-        .withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with")})
-        .withColumn("salt", F.when(F.col("n_first") + F.col("n_other") > 1, F.pmod(F.xxhash64("h", "band", "i", "j"), F.col("n_deals"))).otherwise(F.pmod(F.xxhash64("h"), F.col("n_deals"))))
-        .select("family", "salt", "h", "band", "i", "j", "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature")
+        .select("h", "band", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature", earlier.alias("earlier"))
     )
-    maybe = in_runs(tree_rows, ["family", "salt"], ["family", "salt", "h", "band", "i", "j"]).mapInArrow(second_round, "a long, b long")
+    keys = ["h", "band", "i", "j"]
+    maybe = in_runs(tree_rows, keys, keys).mapInArrow(second_round, "a long, b long")
     maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = [cells.select(F.col("doc_id").alias(x), F.col("cells").alias(f"cells_{x}")) for x in ("a", "b")]
 
