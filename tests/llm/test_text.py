@@ -17,26 +17,75 @@ TEXTS = ["Hello  world", " a b ", "x\ty\nz", "é́ ﬁ ①", "", "  ", "a▁b",
 needs_model = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary file")
 
 
-@needs_model
-def test_pieces_equal_the_library(spark):
+def library(kind):
+    """The sentencepiece library, which reads the vocabulary file as a model of this kind."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = {"unigram": model.trainer_spec.UNIGRAM, "bpe": model.trainer_spec.BPE}[kind]
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
-    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+@needs_model
+@pytest.mark.parametrize("kind", ["unigram", "bpe"])
+def test_pieces_equal_the_library(spark, kind):
+    theirs = library(kind)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, decoded_ids string").repartition(2)
-    for r in pieces.decode(pieces.encode(docs)).collect():
+    for r in pieces.decode(pieces.encode(docs, kind=kind)).collect():
         want = TEXTS[r["doc_id"]]
-        assert r["ids"] == (None if want is None else library.encode(want))
-        assert r["decoded"] == (None if want is None else library.decode(library.encode(want)))
-    assert pieces.encode(docs.limit(0)).count() == 0
+        if kind == "bpe":
+            assert r["ids"] == (None if want is None else theirs.encode(want))
+        assert r["decoded"] == (None if want is None else theirs.decode(theirs.encode(want)))
+    assert pieces.encode(docs.limit(0), kind=kind).count() == 0
+    for clash in (lambda: pieces.encode(docs, column="Text"), lambda: pieces.decode(pieces.encode(docs), column="decoded_ids")):
+        with pytest.raises(ValueError):
+            clash()
+
+
+def random_texts(seed=5):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice("etaoinshr éßñ.-1") for _ in range(rng.randrange(1, 14))) for _ in range(30)) for _ in range(60)]
 
 
 @needs_model
-def test_pieces_of_random_words_equal_the_library():
-    import sentencepiece
+def test_merged_pieces_of_random_words_equal_the_library():
+    ids, sizes = pieces.Encoder({**pieces.load(), "kind": "bpe"}).encode(*pieces.words_in(random_texts()))
+    theirs = library("bpe").encode(random_texts())
+    assert ids.tolist() == [i for t in theirs for i in t] and sizes.tolist() == list(map(len, theirs))
 
-    library, encoder, rng = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Encoder(pieces.load()), random.Random(5)
-    texts = [" ".join("".join(rng.choice("etaoinshr éßñ.-1") for _ in range(rng.randrange(1, 14))) for _ in range(30)) for _ in range(60)]
-    assert [[i for w in t for i in w] for t in encoder.encode(texts)] == library.encode(texts)
+
+@needs_model
+def test_viterbi_pieces_of_random_words_score_best():
+    """The library's exact n-best search over the same pieces and scores finds nothing better, and what it finds best scores the same."""
+    theirs, encoder = library("unigram"), pieces.Encoder({**pieces.load(), "kind": "unigram"})
+    words = sorted({w for t in random_texts() for w in t.split()} | {"the", "thehe", "there", "internationalisation"})
+    ids, sizes = encoder.encode(*pieces.words_in(words))
+    total = lambda found: sum(encoder.scores[i] for i in found)
+    for w, mine in zip(words, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert total(mine.tolist()) == total(theirs.nbest_encode_as_ids(w, 3)[0]), w
+        assert "".join(encoder.pieces[i] for i in mine) == "▁" + w
+
+
+def test_decoding_ids_that_are_no_text():
+    model = {"pieces": ["<unk>", "▁a", "b", "<0xE2>", "<0x82>", "<s>"], "byte_ids": {0xE2: 3, 0x82: 4}, "unk": 0, "silent": [5]}
+    lists = [[1, 2], [3], [4, 2], [], None, [5, 1, 0, 1], [1, 3, 4]]
+    flat, offsets = np.array([i for x in lists if x for i in x]), np.concatenate([[0], np.cumsum([len(x or []) for x in lists])])
+    got = pieces.Decoder(model).decode(flat, offsets, np.array([x is None for x in lists])).to_pylist()
+    assert got == ["ab", "\ufffd", "\ufffdb", "", None, "a ⁇  a", "a\ufffd"]
+
+
+@needs_model
+def test_query_of_pieces_against_the_library(spark, sf_dir):
+    by_id = {r["doc_id"]: r for r in pieces.op3_sentencepiece(spark, sf_dir).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    bpe, encoder = library("bpe"), pieces.Encoder({**pieces.load(), "kind": "unigram"})
+    viterbi = lambda t: encoder.encode(*pieces.words_in([t]))[0].tolist()  # noqa: E731  itself held against the library's n-best above
+    want = spark.createDataFrame([(i, viterbi(t), bpe.encode(t)) for i, t in rows if t is not None], "doc_id long, a array<int>, b array<int>")
+    want = want.select("doc_id", F.size("a").alias("n"), F.xxhash64("a"), F.size("b"), F.xxhash64("b")).collect()
+    assert len(want) > 100 and all(tuple(by_id[r[0]])[1:5] == tuple(r)[1:] and by_id[r[0]]["round_trip"] for r in want)
 
 
 def test_unigram_viterbi_against_all_segmentations():
@@ -52,7 +101,7 @@ def test_unigram_viterbi_against_all_segmentations():
         return max([*found, min(scores) - 10 + best(text[1:])])
 
     for text in ("ab", "abab", "ba", "aabb", "bx", "a ab b"):
-        ids = [i for w in encoder.encode([text])[0] for i in w]
+        ids = encoder.encode(*pieces.words_in([text]))[0].tolist()
         assert sum(scores[i] if i else min(scores) - 10 for i in ids) == pytest.approx(sum(best("▁" + w) for w in text.split(" ")))
 
 

@@ -5,11 +5,14 @@ character into a mark, so marked words are encoded apart from each other. The di
 depth-first walk of their trie; the forward table has one entry per prefix, and going on to the next word only cuts
 the table back to the common prefix and extends it from there. A forward entry is the best last piece of its prefix:
 
-* unigram models: the piece with which the sum of scores is largest (Viterbi);
-* BPE models: merges in score order, rather than sums, define the result. The encoding of a prefix is the encoding of a shorter
+* unigram: the piece with which the sum of scores is largest (Viterbi), kept with that sum;
+* bpe: merges in score order, rather than sums, define the result. The encoding of a prefix is the encoding of a shorter
   prefix plus one last piece, namely the only one that merges leave standing beside the piece before it, so the same
   forward table gives the library's ids exactly.
 
+Any vocabulary file can be read as either kind. As bpe, the ids equal the library's; as unigram, no segmentation that the library's n-best search
+finds scores higher.
+
 Characters without a piece become their UTF-8 bytes. Encoding and decoding read each text once and shuffle nothing.
 """
 
@@ -41,8 +44,8 @@ UNKNOWN = -1
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
-def load(path: str = MODEL, kind: str = "bpe") -> dict:
-    """The pieces of a SentencePiece model file as plain data: pieces, scores, byte_ids, kind. Control, unknown and byte pieces never match text."""
+def load(path: str = MODEL, *kinds: str) -> dict:
+    """The pieces of a SentencePiece model file as plain data: pieces, scores, byte_ids. Control, unknown and byte pieces never match text."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,14 +54,14 @@ def load(path: str = MODEL, kind: str = "bpe") -> dict:
     pieces = [model.id_to_piece(i) for i in range(n)]
     byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if model.is_byte(i)}
     crossing = [p for p, ok in zip(pieces, plain, strict=True) if ok and MARK in p.lstrip(MARK)]
-    if crossing or kind not in ("bpe", "unigram"):
-        raise ValueError(f"kind {kind!r}, pieces with an inner space mark: {crossing[:3]}")
+    if crossing or not set(kinds) <= {"bpe", "unigram"}:
+        raise ValueError(f"kinds {kinds}, pieces with an inner space mark: {crossing[:3]}")
     silent = [i for i in range(n) if model.is_control(i)]
-    return {"pieces": pieces, "scores": [model.get_score(i) for i in range(n)], "plain": plain, "byte_ids": byte_ids, "unk": model.unk_id(), "silent": silent, "kind": kind}
+    return {"pieces": pieces, "scores": [model.get_score(i) for i in range(n)], "plain": plain, "byte_ids": byte_ids, "unk": model.unk_id(), "silent": silent}
 
 
 class Encoder:
-    """Forward tables over sorted words, and ids back to text."""
+    """Forward tables over sorted words."""
 
     def __init__(self, model: dict):
         self.pieces, self.scores, self.kind = model["pieces"], model["scores"], model["kind"]
@@ -70,10 +73,7 @@ class Encoder:
         self.halves: dict[int, tuple[int, int]] = {}
         self.made_at = [-1.0 if len(p) == 1 else -x for p, x in zip(self.pieces, self.scores, strict=True)]  # merges in order of falling score
         self.memo: dict[str, tuple[int, ...]] = {}
-        silent = set(model["silent"])
-        by_id = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.automaton()
-        self.bytes = [by_id.get(i, b"" if i in silent else " ⁇ ".encode() if i == self.unk else p.encode()) for i, p in enumerate(self.pieces)]
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """Pieces of a short text by merging neighbours in order of score, leftmost first, until no merge is left or `least` pieces are."""
@@ -219,29 +219,86 @@ class Encoder:
             previous = word
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[list[int]] | None]:
-        """For each text the ids of its marked words, in order; None for None."""
-        chunks = [None if t is None else _CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    def encode(self, words: list[str], at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; how many each text has) from words_in(texts)."""
         memo = self.memo
-        new = {w for c in chunks if c for w in c if w not in memo}
+        new = [w for w in words if w not in memo]
         if len(memo) + len(new) > MEMO_WORDS:  # words that are in use just now are likely to come again
-            memo = self.memo = {w: memo[w] for c in chunks if c for w in c if w in memo}
-        memo.update(self.encode_sorted(sorted(new)))
-        return [None if c is None else list(map(memo.__getitem__, c)) for c in chunks]
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+            memo = self.memo = {w: memo[w] for w in words if w in memo}
+        new.sort()
+        memo.update(self.encode_sorted(new))
+        found = list(map(memo.__getitem__, words))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+        starts = np.cumsum(lengths) - lengths
+        mine = lengths[at]
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        return flat[ranges(starts[at], mine)], np.bincount(text, mine, minlength=len(sizes)).astype(np.int64)
+
+class Decoder:
+    """Ids back to text."""
 
-
-def encoder_of(shared, key: str) -> Encoder:
-    """The encoder of a broadcast model. A worker process that runs many tasks keeps it, with the words and pairs it knows."""
-    kept = sys.modules.setdefault("_piece_encoders", types.ModuleType("_piece_encoders"))
-    found = kept.__dict__.get(key)
-    if found is None:
-        kept.__dict__.clear()
-        found = kept.__dict__[key] = Encoder(shared.value)
-    return found
+    def __init__(self, model: dict):
+        silent = set(model["silent"])
+        by_id = {i: bytes([b]) for b, i in model["byte_ids"].items()}
+        found = [by_id.get(i, b"" if i in silent else " ⁇ ".encode() if i == model["unk"] else p.replace(MARK, " ").encode()) for i, p in enumerate(model["pieces"])]
+        self.byte_lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
+        self.byte_data = np.frombuffer(b"".join(found), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> pa.Array:
+        """The texts of ids[offsets[i] : offsets[i + 1]], null where null is."""
+        lengths = self.byte_lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
+        data = self.byte_data[ranges(self.byte_starts[ids], lengths)]
+        first = np.zeros(len(null), bool)
+        some = ends[1:] > ends[:-1]
+        first[some] = data[ends[:-1][some]] == 32
+        keep = np.ones(len(data), bool)
+        keep[ends[:-1][first]] = False  # one space in front is the mark of the first word
+        ends = ends - np.concatenate([[0], np.cumsum(first)])
+        data = data[keep].tobytes()
+        try:
+            data.decode()  # where all of it is UTF-8 and no text begins within a character, each text is
+            heads = np.frombuffer(data, np.uint8)[ends[:-1][ends[1:] > ends[:-1]]]
+            if ((heads & 0xC0) != 0x80).all():
+                return pa.StringArray.from_buffers(len(null), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data), pa.array(~null).buffers()[1])
+        except UnicodeDecodeError:
+            pass
+        return pa.array([None if null[i] else data[ends[i] : ends[i + 1]].decode("utf-8", "replace") for i in range(len(null))], pa.string())
+
+
+class WordNumbers(dict):
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def words_in(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct marked words, the number of each word of the texts in order, how many words each text has). A null text has none."""
+    numbers = WordNumbers()
+    chunks = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
+    return list(numbers), at, sizes
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    total = int(lengths.sum())
+    shift = starts - (np.cumsum(lengths) - lengths)
+    return np.arange(total, dtype=np.int64) + np.repeat(shift, lengths)
+
+
+def encoder_of(shared, key: str, kind: str) -> Encoder:
+    """The encoder of a broadcast model. A worker process that runs many tasks keeps those of one vocabulary, with the words and pairs they know."""
+    kept = sys.modules.setdefault("_piece_encoders", types.ModuleType("_piece_encoders")).__dict__
+    if kept.get("key") != key:
+        kept.clear()
+        kept["key"] = key
+    if kind not in kept:
+        kept[kind] = Encoder({**shared.value, "kind": kind})
+    return kept[kind]
 
 
 def slices(texts: list[str | None], chars: int = BATCH_CHARS):
@@ -256,53 +313,78 @@ def slices(texts: list[str | None], chars: int = BATCH_CHARS):
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", column: str = "ids") -> DataFrame:
-    """docs with one more column, the ids of text as array<int>; other columns stay.
+def spans(lists, ids: int = BATCH_CHARS // 4):
+    """(from, to) of consecutive lists with about `ids` ids each; a longer list is a span of its own."""
+    offsets = lists.offsets.to_numpy()
+    start = 0
+    for i in range(1, len(lists) + 1):
+        if i == len(lists) or offsets[i + 1] - offsets[start] > ids:
+            yield start, i
+            start = i
 
-    A null text has null ids and an empty one none. Very long texts are encoded whole. A column of that name must not exist.
-    """
-    require_new(docs, column)
-    shared, key = docs.sparkSession.sparkContext.broadcast(load(path, kind)), f"{path} {kind}"
+
+def encode_as(docs: DataFrame, columns: dict[str, str], path: str = MODEL) -> DataFrame:
+    """docs with one more array<int> column for each of columns, a dict of names and kinds (bpe or unigram); other columns stay. See encode."""
+    for column in columns:
+        require_new(docs, column)
+    shared, key = docs.sparkSession.sparkContext.broadcast(load(path, *columns.values())), path
 
     def run(batches):
-        encoder = encoder_of(shared, key)
+        encoders = [encoder_of(shared, key, kind) for kind in columns.values()]
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
-                rows = encoder.encode(texts[a:b])
-                sizes = [0 if r is None else sum(map(len, r)) for r in rows]
-                flat = np.fromiter(chain.from_iterable(chain.from_iterable(r for r in rows if r is not None)), np.int32, sum(sizes))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([r is None for r in rows]))
-                yield batch.slice(a, b - a).append_column(column, ids)
+                part, words = batch.slice(a, b - a), words_in(texts[a:b])
+                null = pa.array([t is None for t in texts[a:b]])
+                for column, encoder in zip(columns, encoders, strict=True):
+                    ids, sizes = encoder.encode(*words)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                    part = part.append_column(column, pa.ListArray.from_arrays(offsets, pa.array(ids), mask=null))
+                yield part
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in columns]]))
+
+
+def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", column: str = "ids") -> DataFrame:
+    """docs with one more column, the ids of text as array<int>; other columns stay.
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))]))
+    A null text has null ids and an empty one none. Very long texts are encoded whole. A column of that name must not exist.
+    """
+    return encode_as(docs, {column: kind}, path)
 
 
 def decode(rows: DataFrame, path: str = MODEL, column: str = "decoded", ids: str = "ids") -> DataFrame:
     """rows with one more column, the text of the ids; null where ids are null. Bytes that are not UTF-8 become U+FFFD; an id outside the vocabulary is an error, as is a column that has the name already."""
     require_new(rows, column)
-    shared, key = rows.sparkSession.sparkContext.broadcast(load(path)), f"{path} bpe"
+    shared, key = rows.sparkSession.sparkContext.broadcast(load(path)), path
 
     def run(batches):
-        encoder = encoder_of(shared, key)
+        encoder = Decoder(shared.value)
         for batch in batches:
-            lists = batch.column(ids)
-            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            null = lists.is_null().to_numpy(zero_copy_only=False)
-            texts = [None if null[i] else encoder.decode(values[offsets[i] : offsets[i + 1]].tolist()) for i in range(batch.num_rows)]
-            yield batch.append_column(column, pa.array(texts, pa.string()))
+            for a, b in spans(batch.column(ids)):
+                lists = batch.column(ids).slice(a, b - a)
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                values = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)
+                texts = encoder.decode(values, offsets - offsets[0], lists.is_null().to_numpy(zero_copy_only=False))
+                yield batch.slice(a, b - a).append_column(column, texts)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(column, T.StringType())]))
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, n_pieces, ids_hash (Spark's xxhash64 of the id array), round_trip (decoding gives the text, with a literal space mark read as a space)."""
+    """All documents, encoded by Viterbi over the vocabulary's pieces and scores and by its merges.
+
+    doc_id; n_pieces and ids_hash (Spark's xxhash64 of the id array) of the Viterbi encoding; merged_pieces and merged_hash of the BPE encoding; round_trip (decoding either gives the text, with a literal space mark read as a space).
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    back = decode(encode(docs))
+    both = encode_as(docs, {"ids": "unigram", "merged": "bpe"})
+    back = decode(decode(both), column="decoded_merged", ids="merged")
+    text = F.replace("text", F.lit(MARK), F.lit(" "))
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.xxhash64("ids").alias("ids_hash"),
-        F.col("decoded").eqNullSafe(F.replace("text", F.lit(MARK), F.lit(" "))).alias("round_trip"),
+        F.size("merged").cast("long").alias("merged_pieces"),
+        F.xxhash64("merged").alias("merged_hash"),
+        (F.col("decoded").eqNullSafe(text) & F.col("decoded_merged").eqNullSafe(text)).alias("round_trip"),
     )
