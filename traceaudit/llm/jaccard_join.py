@@ -14,7 +14,8 @@ A text is the set of the 64-bit hashes of its distinct k-word shingles. The step
    component. What remains is checked exactly.
 5. Second round: only shingles whose sets are not yet in one component matter. Their sets meet in trees of signatures alone, all pairs of
    chunks included but those of the largest component of a shingle among themselves; pairs that survive are checked exactly. No link
-   between sets of different components is lost. Work is dealt by (shingle, pair of chunks), so a shingle of very many sets is many pieces.
+   between sets of different components is lost. Shingles of one family of sets are dealt together, as their rows are alike, in deals of bounded size;
+   the pairs of chunks of a shingle are deals of their own, so a shingle or a family of very many sets is many pieces.
    A pair that shares many shingles is named where it meets first, in the order of falling frequency: each set brings the few of its shingles along that
    come first and before the shingle at hand, and a pair that has one of them in common has met there.
 """
@@ -23,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import WordHashes, cut, in_runs, mix64, pack_sorted, pieces_of, planes, shingle_hashes, slices_of, sorted_runs, unpack_sorted, unplanes, words_of
+from traceaudit.llm.common import WordHashes, cut, in_runs, mix64, pack_sorted, pieces_of, planes, shingle_hashes, slices_of, small_or_shuffled, sorted_runs, unpack_sorted, unplanes, words_of
 from traceaudit.llm.components import components
 
 WORDS = 5
@@ -36,7 +37,9 @@ FREQUENT = 50_000
 CHUNK = 512
 BITS = 2048
 #: Most common shingles of a set that travel with it in the second round, to tell where a pair has met before.
-LOWS = 6
+LOWS = 4
+#: Signature rows of one deal of the second round, about.
+DEAL_ROWS = 10_000
 FANOUT = 8
 #: Rows that are Python objects at once in a task.
 TASK_ROWS = 1000
@@ -219,8 +222,8 @@ def first_round(batches):
 
 
 def second_round(batches):
-    """Pairs (a, b) that may link, of each pair of chunks (h, band, i, j, doc_id, side, component, n, excess, signature, earlier)."""
-    for (_, _, i, j), rows in runs(batches, 4):
+    """Pairs (a, b) that may link, of each pair of chunks (family, salt, h, band, i, j, doc_id, side, component, n, excess, signature, earlier)."""
+    for (*_, i, j), rows in runs(batches, 6):
         stats = [(int.from_bytes(r[5], "little"), r[3], r[3], r[4]) for r in rows]
         earlier = [frozenset(r[6] or ()) for r in rows]
         found = set()
@@ -338,8 +341,7 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     real = sets.filter("n > 0 AND doc_id IS NOT NULL")
     firsts = cut(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1"), "jaccard-copies")
     copies = cut(real.select("doc_id", "f1", "f2", "n").join(firsts.drop("copies"), ["f1", "f2", "n"]).filter("doc_id <> first_id").distinct(), "jaccard-copies")
-    one_set = F.struct("f1", "f2", "n")
-    several = cut(real.groupBy("doc_id").agg(F.min(one_set).alias("lo"), F.max(one_set).alias("hi")).filter("lo <> hi").select("doc_id"), "jaccard-several")  # ids with different texts
+    several = cut(real.groupBy("doc_id").agg(*[f(c).alias(f"{c}_{x}") for c in ("f1", "n") for x, f in (("lo", F.min), ("hi", F.max))]).filter("f1_lo <> f1_hi OR n_lo <> n_hi").select("doc_id"), "jaccard-several")  # ids with different texts
     prefixes = cut(shared_prefixes(real.join(copies.drop("first_id"), ["doc_id", "f1", "f2", "n"], "left_anti")), "jaccard-prefixes")
 
     cells = cell_table(docs, prefixes.select("doc_id").distinct(), k)
@@ -351,32 +353,37 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     parts = cut(components(links), "jaccard-parts").withColumnsRenamed({"node": "doc_id", "component": "part_id"})
 
     placed = prefixes.join(parts, "doc_id", "left").withColumn("part_id", F.coalesce("part_id", "doc_id"))
-    split = placed.groupBy("h").agg(F.min("part_id").alias("lo"), F.max("part_id").alias("hi")).filter("lo <> hi").select("h")
-    rest = placed.join(split, "h").select("h", "doc_id", "part_id", "size")
+    split = placed.groupBy("h").agg(F.min("part_id").alias("lo"), F.max("part_id").alias("hi")).filter("lo <> hi").select("h", F.col("lo").alias("family"))
+    rest = cut(placed.join(split, "h").select("h", "family", "doc_id", "part_id", "size"), "jaccard-rest")
     # of a shingle with more sets than a chunk, sets of its largest component need not meet each other
-    largest = rest.filter(F.col("size") > 4 * chunk).groupBy("h", "part_id").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "part_id")).alias("top"))
-    largest = largest.select("h", F.col("top.part_id").alias("major"), F.col("top.c").alias("n_major"))
+    largest = rest.filter(F.col("size") > 4 * chunk).groupBy("h", "part_id").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("part_id", "c").alias("major"), F.max("c").alias("n_major"))
     parts_of = lambda n: F.ceil(n / (4 * chunk)).cast("int")
     rest = (
-        rest.join(largest, "h", "left")
+        rest.join(small_or_shuffled(cut(largest, "jaccard-largest")), "h", "left")
         .withColumn("n_first", F.coalesce(parts_of(F.col("n_major")), F.lit(0)))  # chunks of the largest component come first
         .withColumn("n_other", parts_of(F.greatest(F.col("size") - F.coalesce("n_major", F.lit(0)), F.lit(1))))
         .withColumn("first", F.coalesce(F.col("part_id") == F.col("major"), F.lit(False)))
     )
-    rest = cut(rest.select("h", "doc_id", "part_id", (-F.col("size")).alias("rank"), "n_first", "n_other", "first"), "jaccard-rest")
-    lows = rest.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("rank", "h"))), 1, LOWS).alias("lows")).join(several, "doc_id", "left_anti")
-    earlier = F.transform(F.filter("lows", lambda g: g < F.struct("rank", "h")), lambda g: g["h"])
+    meets = 2 * F.when(F.col("first"), F.col("n_other")).otherwise(F.col("n_first") + F.col("n_other"))  # signature rows of a set: two bands, each chunk that it meets
+    families = cut(rest.groupBy("family").agg(F.ceil(F.sum(meets) / DEAL_ROWS).alias("n_deals")).filter("n_deals > 1"), "jaccard-families")
+    by_set = Window.partitionBy("doc_id")
+    lows = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("size")).alias("rank"), "h")).over(by_set)), 1, LOWS)
+    earlier = F.transform(F.filter("lows", lambda g: g < F.struct((-F.col("size")).alias("rank"), "h")), lambda g: g["h"])
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26)))  # sets that link differ by a factor of at most 1.25, so by one band at most
+    deal = F.when(F.col("n_first") + F.col("n_other") > 1, F.xxhash64("h", "band", "i", "j")).otherwise(F.xxhash64("h"))
     tree_rows = (
-        rest.join(cells.drop("cells"), "doc_id")
-        .join(lows, "doc_id", "left")
+        rest.join(small_or_shuffled(families), "family", "left")
+        .join(small_or_shuffled(several.withColumn("has_more", F.lit(True))), "doc_id", "left")  # what holds for one of its texts does not for the others
+        .withColumn("lows", F.when(F.col("has_more").isNull(), lows))
+        .join(cells.drop("cells"), "doc_id")
         .withColumn("band", F.explode(F.array(band, band + 1)))
         .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.when(F.col("first"), F.col("n_first")).otherwise(F.col("n_other"))).cast("int") + F.when(F.col("first"), 0).otherwise(F.col("n_first")))
         .withColumn("with", F.explode(F.sequence(F.when(F.col("first"), F.col("n_first")).otherwise(0), F.col("n_first") + F.col("n_other") - 1)))
-        .select("h", "band", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature", earlier.alias("earlier"))
+        .withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with")})
+        .withColumn("salt", F.pmod(deal, F.coalesce("n_deals", F.lit(1))))
+        .select("family", "salt", "h", "band", "i", "j", "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature", earlier.alias("earlier"))
     )
-    keys = ["h", "band", "i", "j"]
-    maybe = in_runs(tree_rows, keys, keys).mapInArrow(second_round, "a long, b long")
+    maybe = in_runs(tree_rows, ["family", "salt"], ["family", "salt", "h", "band", "i", "j"]).mapInArrow(second_round, "a long, b long")
     maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = [cells.select(F.col("doc_id").alias(x), F.col("cells").alias(f"cells_{x}")) for x in ("a", "b")]
 
