@@ -147,6 +147,7 @@ def test_constraints(spark):
     m = F.create_map(F.lit("c"), F.col("c"), F.lit("o"), F.col("o"))
     got = F.create_map(F.lit("c"), F.lit(2), F.lit("o"), F.lit(0))
     assert one(spark, sc.constraint_success(m, got), c="2", o="0") == 1
+    assert one(spark, sc.constraint_success(m, got), c="2", o="") == one(spark, sc.constraint_success(m, got), c="2", o=None) == 1
     assert one(spark, sc.constraint_success(m, got), c="3", o="") == 0
     assert one(spark, sc.constraint_success(m, got), c="2", o="x") == 0
     assert one(spark, sc.constraint_deviation(m, got), c="4", o="x") == 50.0

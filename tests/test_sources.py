@@ -27,6 +27,10 @@ def test_verdicts_sidecar_tsv(spark, tmp_path):
     assert {r["id"]: r["metadata"] for r in records.read_sidecar(spark, f"{tmp_path}/side.json").collect()} == {"1": {"a": "x"}, "2": {}}
     (tmp_path / "p.tsv").write_text('CID\tSMILES\tdescription\n1\tCC\t"quoted\tand tab\n2\tC\n')
     assert [tuple(r) for r in records.read_pairs_tsv(spark, f"{tmp_path}/p.tsv").collect()] == [("1", "CC", '"quoted\tand tab')]
+    for n, head in ((1, "CID\tSMILES\tdescription"), (2, "id\tstructure\ttext")):  # each file has a header of its own; a row may equal one
+        (tmp_path / f"many{n}.tsv").write_text(f'{head}\n{n}\tCC\tfirst\nCID\tSMILES\tdescription\n\nshort\tline\n')
+    got = sorted(tuple(r) for r in records.read_pairs_tsv(spark, f"{tmp_path}/many*.tsv").collect())
+    assert got == [("1", "CC", "first"), ("2", "CC", "first"), ("CID", "SMILES", "description"), ("CID", "SMILES", "description")]
     (tmp_path / "c.csv").write_text('a,b\n1,"x\ny"\n')
     assert [tuple(r) for r in records.read_csv_rows(spark, f"{tmp_path}/c.csv").collect()] == [("1", "x\ny")]
 

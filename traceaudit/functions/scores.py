@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from traceaudit.functions.text import normalize_text, strip
+from traceaudit.functions.text import normalize_text, once, strip
 
 # Correction phrases with their weights, flip phrases, weights of the four dimensions, bands.
 CORRECTIONS = (
@@ -20,23 +20,24 @@ CORRECTIONS = (
     (r"\bno,?\s*(?:wait|actually)\b", 4),
 )
 FLIP = r"\b(?:this (?:is|should be)|the (?:smiles|molecule|structure) (?:is|should be))\s+([^\n.]{5,50})"
+#: For each correction, words of which a match holds at least one; a text without them is not searched.
+CORRECTION_WORDS = (("wait",), ("actually",), ("reconsider",), ("wrong", "mistake", "incorrect"), ("correction",), ("second thought",), ("wait", "actually"))
 WEIGHTS = {"ir": 0.15, "io": 0.25, "er": 0.25, "eo": 0.35}
 
 
 def self_contradiction(trace: Column) -> Column:
     """Weighted correction phrases, excess flips, repeated sentences and excess length; 0 for null and under 20 characters."""
-    t = normalize_text(trace)
-    corrections = reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(p)) * w for p, w in CORRECTIONS])
-    flips = F.regexp_count(t, F.lit(FLIP))
-    sentences = F.filter(F.transform(F.split(trace, r"\."), normalize_text), lambda s: F.length(s) > 20)
-    repeats = F.size(sentences) - F.size(F.array_distinct(sentences))
+    has = lambda t, words: reduce(lambda a, b: a | b, [t.contains(w) for w in words])
+    flips = lambda n: F.when(n > 3, (n - 3) * 5).otherwise(0)
+
+    def phrases(t: Column) -> Column:
+        corrections = [F.when(has(t, words), F.regexp_count(t, F.lit(p)) * w).otherwise(0) for (p, w), words in zip(CORRECTIONS, CORRECTION_WORDS, strict=True)]
+        return reduce(lambda a, b: a + b, corrections) + once(F.regexp_count(t, F.lit(FLIP)), flips)
+
+    sentences = F.filter(F.split(normalize_text(trace), r" ?\. ?"), lambda s: F.length(s) > 20)
+    repeats = once(once(sentences, lambda s: F.size(s) - F.size(F.array_distinct(s))), lambda r: F.when(r > 2, r * 3).otherwise(0))
     n = F.length(trace)
-    total = (
-        corrections
-        + F.when(flips > 3, (flips - 3) * 5).otherwise(0)
-        + F.when(repeats > 2, repeats * 3).otherwise(0)
-        + F.when(n > 10000, F.least(F.lit(20.0), (n - 10000) / F.lit(1000.0))).otherwise(0.0)
-    )
+    total = once(normalize_text(trace), phrases) + repeats + F.when(n > 10000, F.least(F.lit(20.0), (n - 10000) / F.lit(1000.0))).otherwise(0.0)
     return F.when(F.length(strip(trace)) >= 20, F.least(F.lit(100.0), total)).otherwise(F.lit(0.0))
 
 
@@ -106,8 +107,8 @@ def constraint_deviation(targets: Column, got: Column) -> Column:
 
 
 def constraint_success(targets: Column, got: Column) -> Column:
-    """1 if all positive targets are met exactly, else 0; a target that is no whole number fails."""
-    values = F.transform_values(targets, lambda k, v: v.try_cast("int"))
+    """1 if all positive targets are met exactly, else 0. A null or blank target counts as 0 and demands nothing; one that is no whole number fails."""
+    values = F.transform_values(targets, lambda k, v: F.when(strip(F.coalesce(v, F.lit(""))) == "", F.lit(0)).otherwise(v.try_cast("int")))
     ok = F.forall(F.map_entries(values), lambda e: e["value"].isNotNull() & ((e["value"] <= 0) | (got[e["key"]].eqNullSafe(e["value"]))))
     return F.coalesce(ok, F.lit(False)).cast("int")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.functions.text import normalize_text
+from traceaudit.functions.text import normalize_text, once
 
 #: Phrases near a keyword that make it no claim about the subject itself, and how far they reach.
 DERIVATION = (
@@ -25,9 +25,13 @@ def keyword_pattern(keywords) -> str:
 
 
 def named_groups(text: Column, lexicon: dict[str, tuple[str, ...]]) -> Column:
-    """Sorted names of the groups with a keyword in the text; empty for null. One pattern per group, no explode."""
-    t = normalize_text(F.coalesce(text, F.lit("")))
-    return F.sort_array(F.array_compact(F.array(*[F.when(t.rlike(keyword_pattern(words)), F.lit(g)) for g, words in lexicon.items()])))
+    """Sorted names of the groups with a keyword in the text; empty for null. The text is normalised once; a pattern runs only where one of its keywords stands somewhere in the text."""
+
+    def groups(t: Column) -> Column:
+        near = lambda words: reduce(lambda a, b: a | b, [t.contains(k.lower()) for k in words])
+        return F.sort_array(F.array_compact(F.array(*[F.when(near(words) & t.rlike(keyword_pattern(words)), F.lit(g)) for g, words in lexicon.items()])))
+
+    return once(normalize_text(F.coalesce(text, F.lit(""))), groups)
 
 
 def named_groups_outside(df: DataFrame, text: str, lexicon: dict[str, tuple[str, ...]], phrases: str = DERIVATION, window: int = DERIVATION_WINDOW, column: str = "claimed") -> DataFrame:
@@ -75,10 +79,9 @@ def claims_long(df: DataFrame, keys: list[str], generic) -> DataFrame:
 
 def first_claim_position(trace: Column, fabricated: Column) -> Column:
     """Earliest place of a fabricated group's name (as it is, _ as blank, or without _) over the length of the trace; null if none occurs."""
-    low = F.lower(trace)
     spellings = F.flatten(F.transform(fabricated, lambda g: F.array(F.lower(g), F.replace(F.lower(g), F.lit("_"), F.lit(" ")), F.replace(F.lower(g), F.lit("_"), F.lit("")))))
-    places = F.filter(F.transform(spellings, lambda s: F.instr(low, s)), lambda p: p > 0)
-    return F.try_divide((F.array_min(places) - 1).cast("double"), F.length(trace))
+    first = once(F.lower(trace), lambda low: F.array_min(F.filter(F.transform(spellings, lambda s: F.instr(low, s)), lambda p: p > 0)))
+    return F.try_divide((first - 1).cast("double"), F.length(trace))
 
 
 def class_rule_violations(df: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceaudit.functions.text import once
+
 Lexicon = dict[str, tuple[str, ...]]
 
 
@@ -21,15 +22,22 @@ def _words(keywords: tuple[str, ...]) -> Column:
 
 def choose_target(trace: Column, lexicon: Lexicon, generic=(), prefer_in: Column | None = None) -> Column:
     """struct(group, keyword) of the first specific group, in lexicon order, with a keyword in the trace; with prefer_in, one that is also in that text comes first."""
-    low = F.lower(trace)
     options = F.array(*[F.struct(F.lit(g).alias("group"), _words(w).alias("words")) for g, w in lexicon.items() if g not in generic])
-    found = F.transform(options, lambda o: F.struct(o["group"].alias("group"), F.get(F.filter(o["words"], lambda w: low.contains(F.lower(w))), F.lit(0)).alias("keyword")))
-    named = F.filter(found, lambda o: o["keyword"].isNotNull())
-    first = F.get(named, F.lit(0))
+
+    def in_text(low: Column) -> Column:
+        found = F.transform(options, lambda o: F.struct(o["group"].alias("group"), F.get(F.filter(o["words"], lambda w: low.contains(F.lower(w))), F.lit(0)).alias("keyword")))
+        return F.filter(found, lambda o: o["keyword"].isNotNull())
+
+    named = once(F.lower(trace), in_text)
     if prefer_in is None:
-        return first
-    also = F.lower(prefer_in)
-    return F.coalesce(F.get(F.filter(named, lambda o: also.contains(F.lower(o["keyword"]))), F.lit(0)), first)
+        return F.get(named, F.lit(0))
+    also = lambda low: once(named, lambda n: F.coalesce(F.get(F.filter(n, lambda o: low.contains(F.lower(o["keyword"]))), F.lit(0)), F.get(n, F.lit(0))))
+    return once(F.lower(prefer_in), also)
+
+
+def with_target(df: DataFrame, target: Column, column: str = "t") -> DataFrame:
+    """Rows that have a target, with it in a column. (As a generated row, so that it is chosen once and not again by the filter and by each reader.)"""
+    return df.select("*", F.explode(F.array_compact(F.array(target))).alias(column))
 
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:
@@ -108,6 +116,3 @@ def stack_conditions(df: DataFrame, keys: list[str], conditions: dict[str, Colum
     cells = F.array(*[F.struct(F.lit(k).alias("cond"), c.alias("prefix")) for k, c in conditions.items()])
     return df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.cond", "c.prefix").filter("prefix IS NOT NULL")
 
-
-def keyword_regex(words: tuple[str, ...]) -> str:
-    return "|".join(re.escape(w) for w in words)

@@ -47,7 +47,7 @@ GENERIC = ("g_the", "g_and")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as tagged answers to benchmark items: id, doc_id, model, task, question, gt, answer. The shape of the tags depends on doc_id."""
+    """Documents as tagged answers to benchmark items: id, doc_id, model, task, question (the text of the next item), gt, answer. The shape of the tags depends on doc_id."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     n = bench.agg(F.count("*").alias("n"))
     keyed = docs.join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))  # one row
@@ -59,20 +59,21 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(d == 3, F.lit(""))
         .otherwise(F.concat(F.lit("<think>"), t, F.lit("</think> <answer>"), s, F.lit("</answer>")))
     )
-    return keyed.join(bench.select("item_id", F.col("text").alias("gt")), "item_id").select(
-        F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("source").alias("model"), F.col("lang").alias("task"), F.substring("gt", 1, 200).alias("question"), "gt", answer.alias("answer")
-    )
+    rows = keyed.withColumn("next_id", (F.col("doc_id") + 1) % F.col("n"))
+    rows = rows.join(bench.select("item_id", F.col("text").alias("gt")), "item_id").join(bench.select(F.col("item_id").alias("next_id"), F.col("text").alias("question")), "next_id")
+    return rows.select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("source").alias("model"), F.col("lang").alias("task"), "question", "gt", answer.alias("answer"))
 
 
 RESPONSES = """
 responses AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, source AS model, lang AS task, substr(b.text, 1, 200) AS question, b.text AS gt,
+  SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, source AS model, lang AS task, q.text AS question, b.text AS gt,
     CASE doc_id % 10 WHEN 0 THEN d.text
       WHEN 1 THEN '<think>' || d.text || '</think><answer>draft</answer><answer>' || split_part(d.text, '.', 1) || '</answer>'
       WHEN 2 THEN '<|think_start|>' || d.text || '<|think_end|><|answer_start|>' || split_part(d.text, '.', 1)
       WHEN 3 THEN ''
       ELSE '<think>' || d.text || '</think> <answer>' || split_part(d.text, '.', 1) || '</answer>' END AS answer
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
+  JOIN benchmark q ON q.item_id = (d.doc_id + 1) % (SELECT count(*) FROM benchmark))"""
 
 
 def sql_strip(c: str) -> str:

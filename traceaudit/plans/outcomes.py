@@ -60,21 +60,19 @@ TARGET = "CASE " + " ".join(f"WHEN {_sql_present('trace', w)} IS NOT NULL THEN '
 
 @query(f"WITH {EXTRACTED} SELECT id, split_part(t, ':', 1) AS \"group\", split_part(t, ':', 2) AS keyword FROM (SELECT id, {TARGET} AS t FROM extracted) WHERE t IS NOT NULL")
 def t1_choose_target(spark, d):
-    t = pb.choose_target(F.col("trace"), LEXICON, GENERIC)
-    return extracted(spark, d).select("id", t.alias("t")).filter("t IS NOT NULL").select("id", "t.*")
+    return pb.with_target(extracted(spark, d).select("id", "trace"), pb.choose_target(F.col("trace"), LEXICON, GENERIC)).select("id", "t.*")
 
 
 @query(f"""WITH {EXTRACTED}, t AS (SELECT id, trace, split_part(t, ':', 2) AS k FROM (SELECT *, {TARGET} AS t FROM extracted) WHERE t IS NOT NULL)
   SELECT id, md5(substr(trace, 1, position(k IN lower(trace)) - 1) || 'CORRUPT' || substr(trace, position(k IN lower(trace)) + length(k))) AS digest FROM t""")
 def t2_corrupt_claim(spark, d):
-    rows = extracted(spark, d).withColumn("t", pb.choose_target(F.col("trace"), LEXICON, GENERIC)).filter("t IS NOT NULL")
+    rows = pb.with_target(extracted(spark, d).select("id", "trace"), pb.choose_target(F.col("trace"), LEXICON, GENERIC))
     return rows.select("id", F.md5(pb.replace_first(F.col("trace"), F.col("t.keyword"), F.lit("CORRUPT"))).alias("digest"))
 
 
 @query()
 def t2_corruptions(spark, d):
-    rows = extracted(spark, d).withColumn("t", pb.choose_target(F.col("trace"), LEXICON, GENERIC, F.col("question"))).filter("t IS NOT NULL")
-    rows = rows.select("id", "trace", "question", "t")
+    rows = pb.with_target(extracted(spark, d).select("id", "trace", "question"), pb.choose_target(F.col("trace"), LEXICON, GENERIC, F.col("question")))
     wrong = pb.other_group_keyword(F.col("t.group"), F.col("id"), LEXICON)
     same = pb.synonym(F.col("t.group"), F.col("t.keyword"), LEXICON)
     swap = lambda new: F.md5(pb.replace_first(F.col("trace"), F.col("t.keyword"), new))

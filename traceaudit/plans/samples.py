@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from traceaudit.functions import text as tx
 from traceaudit.operators import cluster as cu
 from traceaudit.plans.base import query
 from traceaudit.session import table
@@ -36,7 +37,7 @@ def c2_cluster_entropy(spark, d):
 
 @query()
 def c3_dual_entropy(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.substring_index("text", " ", 1).alias("output"), F.col("text").alias("reasoning"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(tx.extract_answer(F.col("text")), F.col("text")).alias("output"), tx.reasoning_or_answer(F.col("text")).alias("reasoning"))
     return cu.dual_entropy(rows, "conv_id", "turn", "output", "reasoning")
 
 

@@ -30,10 +30,10 @@ def k1_self_contradiction(spark, d):
     return table(spark, d, "documents").select("doc_id", sc.self_contradiction(F.col("text")).cast("double").alias("ir"))
 
 
-@query(rf"""WITH {RESPONSES}, p AS (SELECT id, {sql_strip("split_part(answer, '.', 1)")} AS c FROM responses)
+@query(rf"""WITH {EXTRACTED}, p AS (SELECT id, {sql_strip("coalesce(pred, '')")} AS c FROM extracted)
   SELECT id, CASE WHEN length(c) < 10 THEN 80.0::DOUBLE ELSE CASE WHEN contains(lower(c), 'molecule is') THEN 0.0::DOUBLE ELSE 25.0::DOUBLE END + CASE WHEN len(list_filter(string_split_regex(c, '\s+'), lambda w: w <> '')) < 8 THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END END AS io FROM p""")
 def k2_caption_validity(spark, d):
-    return responses(spark, d).select("id", sc.caption_validity(F.substring_index("answer", ".", 1)).alias("io"))
+    return extracted(spark, d).select("id", sc.caption_validity(F.col("pred")).alias("io"))
 
 
 @query(rf"""WITH {EXTRACTED}, p AS (SELECT id, {sql_strip("coalesce(pred, answer)")} AS c FROM extracted)

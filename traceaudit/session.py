@@ -20,7 +20,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "conversations") else rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores (a small file of one row group) dealt anew, so that work on its texts uses all cores; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -42,11 +42,11 @@ def read_sidecar(spark: SparkSession, path: str, value: str = "map<string,string
 
 
 def read_pairs_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """(key, structure, description) from tab-separated lines after a header; quotes mean nothing and lines with under three parts drop out."""
-    lines = spark.read.text(path).withColumn("_p", F.split("value", "\t", 3)).filter(F.size("_p") >= 3)
-    rows = lines.select(F.col("_p")[0].alias("key"), F.col("_p")[1].alias("structure"), F.col("_p")[2].alias("description"))
-    header = spark.read.text(path).limit(1).select(F.split("value", "\t", 3)[0].alias("key"), F.split("value", "\t", 3)[1].alias("structure"))
-    return rows.join(F.broadcast(header), ["key", "structure"], "left_anti")
+    """(key, structure, description) from tab-separated lines; the first line of each file is its header, quotes mean nothing and lines with under three parts drop out."""
+    whole_lines = {"header": True, "sep": "\x01", "quote": "", "escape": ""}  # one column, so that tabs in the description stay
+    parts = F.split("value", "\t", 3)
+    lines = spark.read.options(**whole_lines).schema("value string").csv(path).filter(F.size(parts) >= 3)
+    return lines.select(parts[0].alias("key"), parts[1].alias("structure"), parts[2].alias("description"))
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
