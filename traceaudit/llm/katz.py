@@ -34,7 +34,7 @@ from traceaudit.llm.common import cut, in_runs, mix64, pack_sorted, pieces_of, p
 from traceaudit.llm.labelled import crc_remainder
 
 #: Tokens of one batch of texts (a longer text is a batch of its own), and hashes of one range, about.
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
 RANGE_KEYS = 2_000_000
 SPARE_BITS = 20
 #: Counts up to this are discounted by Good-Turing.
