@@ -103,3 +103,8 @@ def matched_mention(left: Column, right: Column, keywords: list[str]) -> Column:
     a, b = F.lower(left), F.lower(right)
     hit = lambda k: F.when((F.instr(a, F.lit(k)) > 0) & (F.instr(b, F.lit(k)) > 0), F.struct(F.lit(k).alias("keyword"), F.instr(a, F.lit(k)).alias("left_at"), F.instr(b, F.lit(k)).alias("right_at")))
     return F.coalesce(*[hit(k) for k in order])
+
+
+def copied_from_trace(trace: Column, answer: Column) -> Column:
+    """Whether the answer stands in the trace, both normalised; null where either is."""
+    return once(normalize_text(trace), lambda t: t.contains(normalize_text(answer)))

@@ -3,33 +3,48 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traceaudit.functions.similarity import SIMILARITIES
+from traceaudit.functions.text import strip
 
 
 def greedy_clusters(df: DataFrame, key: str, position: str, value: str, kind: str = "text", similarity=None, threshold: float | None = None) -> DataFrame:
     """(key, position, cluster): in order, each value joins the first cluster whose first value is similar enough, else opens one.
 
-    The order of samples decides and similarity need not be transitive. Null values take no part. A group is the samples of one prompt, of
-    which there are a few dozen.
+    The order of samples decides and similarity need not be transitive; a value has to be similar to itself, but for a blank one, which opens a
+    cluster each time. Null values take no part. Equal values of a key are one before any of them is compared, so what meets in a task are the
+    distinct answers to one prompt. Labels are equal or not, which takes no comparing: they are numbered by first place alone.
     """
     own, default = SIMILARITIES[kind]
     sim, least = similarity or own, default if threshold is None else threshold
+    rows = df.filter(F.col(value).isNotNull()).select(key, position, value)
+    if kind == "label" and similarity is None:
+        rows = rows.select(key, position, F.lower(strip(F.col(value).cast("string"))).alias("_v"))
+        firsts = rows.groupBy(key, "_v").agg(F.min(position).alias("_first"))
+        numbered = firsts.withColumn("cluster", (F.row_number().over(Window.partitionBy(key).orderBy("_first")) - 1).cast("int"))
+        return rows.join(numbered.drop("_first"), [key, "_v"]).select(key, position, "cluster")
+
+    blank = F.when(strip(F.col(value).cast("string")) == "", F.col(position))
+    rows = rows.withColumn("_blank", blank)
+    firsts = rows.groupBy(key, value, "_blank").agg(F.min(position).alias("_first"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(position, kind="stable")
-        firsts, found = [], []
+        group = group.sort_values("_first", kind="stable")
+        leaders, found = [], []
         for v in group[value]:
-            at = next((i for i, f in enumerate(firsts) if sim(v, f) >= least), len(firsts))
-            if at == len(firsts):
-                firsts.append(v)
+            at = next((i for i, f in enumerate(leaders) if sim(v, f) >= least), len(leaders))
+            if at == len(leaders):
+                leaders.append(v)
             found.append(at)
-        return pd.DataFrame({key: group[key], position: group[position], "cluster": found})
+        return group.assign(cluster=found)
 
-    kinds = dict(df.dtypes)
-    return df.filter(F.col(value).isNotNull()).select(key, position, value).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {position} {kinds[position]}, cluster int")
+    schema = T.StructType([*firsts.schema.fields, T.StructField("cluster", T.IntegerType())])
+    numbered = firsts.groupBy(key).applyInPandas(run, schema).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col("_blank").alias("_b"), "cluster")
+    same = (F.col(key).eqNullSafe(F.col("_k"))) & (F.col(value) == F.col("_v")) & (F.col("_blank").eqNullSafe(F.col("_b")))
+    return rows.join(numbered, same).select(key, position, "cluster")
 
 
 def cluster_entropy(df: DataFrame, key: str, cluster: str) -> DataFrame:
@@ -60,6 +75,12 @@ def dual_entropy(df: DataFrame, key: str, position: str, output: str, reasoning:
     return both.withColumn("entropy_gap", F.col("reasoning_entropy") - F.col("output_entropy"))
 
 
+def sample_validity(df: DataFrame, key: str, value: str, valid, score: str, hit, least: int = 2) -> DataFrame:
+    """Per key with at least `least` samples: n_samples, n_unique values, validity_rate, best score and whether any sample is a hit. valid, hit: boolean columns."""
+    per = df.groupBy(key).agg(F.count("*").alias("n_samples"), F.count_distinct(value).alias("n_unique"), F.avg(valid.cast("int")).alias("validity_rate"), F.max(score).alias("best"), F.bool_or(hit).alias("hit"))
+    return per.filter(F.col("n_samples") >= least)
+
+
 def entropy_summary(df: DataFrame, entropy: str = "entropy", normalized: str = "normalized") -> DataFrame:
     """One row: mean, population deviation, interpolated median, least and largest entropy; mean of the normalised one and its bands."""
     x, y = F.col(entropy), F.col(normalized)

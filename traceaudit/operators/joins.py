@@ -61,20 +61,37 @@ def pair_donor(df: DataFrame, task: str, uid: str, text: str, slices: int = 64)
     """(uid, donor, donor_text): the next response of the task in md5 order whose text differs, at most two steps on, cyclic; absent otherwise.
 
     Ranks come from counts per (task, slice of the order) plus a rank inside the slice, so that a task with a third of all rows
-    is spread over `slices` windows.
+    is spread over `slices` windows. Ranks and comparisons take hashes of the texts; only the donors' texts are fetched, in one join at the end.
+    (task, uid) is a key.
     """
     h = F.md5(F.concat_ws("|", F.col(task), F.col(uid).cast("string")))
-    keyed = df.select(task, uid, F.col(text).alias("text"), h.alias("h")).withColumn("slice", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("int"))
+    keyed = df.select(task, uid, F.md5(text).alias("same"), h.alias("h")).withColumn("slice", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("int"))
     counts = keyed.groupBy(task, "slice").agg(F.count("*").alias("c"))
     before = Window.partitionBy(task).orderBy("slice")
     starts = counts.withColumn("start", F.sum("c").over(before) - F.col("c")).withColumn("total", F.sum("c").over(Window.partitionBy(task))).drop("c")
     ranked = keyed.join(starts, [task, "slice"]).withColumn("rank", F.col("start") + F.row_number().over(Window.partitionBy(task, "slice").orderBy("h", uid)) - 1)
-    out = ranked.select(task, uid, "text", "rank", "total")
+    out = ranked.select(task, uid, "same", "rank", "total")
     for step in (1, 2):
-        donor = ranked.select(task, F.col("rank").alias(f"r{step}"), F.col(uid).alias(f"u{step}"), F.col("text").alias(f"t{step}"))
+        donor = ranked.select(task, F.col("rank").alias(f"r{step}"), F.col(uid).alias(f"u{step}"), F.col("same").alias(f"s{step}"))
         out = out.withColumn(f"r{step}", F.pmod(F.col("rank") + step, F.col("total"))).join(donor, [task, f"r{step}"], "left")
-    pick = lambda a, b: F.when(F.col("t1") != F.col("text"), F.col(a)).when(F.col("t2") != F.col("text"), F.col(b))
-    return out.select(uid, pick("u1", "u2").alias("donor"), pick("t1", "t2").alias("donor_text")).filter("donor IS NOT NULL")
+    pick = F.when(F.col("s1") != F.col("same"), F.col("u1")).when(F.col("s2") != F.col("same"), F.col("u2"))
+    chosen = out.select(F.col(task).alias("_task"), uid, pick.alias("donor")).filter("donor IS NOT NULL")
+    texts = df.select(F.col(task).alias("_task"), F.col(uid).alias("donor"), F.col(text).alias("donor_text"))
+    return chosen.join(texts, ["_task", "donor"]).select(uid, "donor", "donor_text")
+
+
+def exact_by_facts(df: DataFrame, facts: DataFrame, predicted: str, truth: str) -> DataFrame:
+    """df with exact: whether the canonical forms of both strings in facts(key, canonical) are the same; a string without facts stands for itself."""
+    canonical = facts.select("key", "canonical")
+    rows = facts_join(facts_join(df, canonical, predicted, "_p_"), canonical, truth, "_t_")
+    same = F.coalesce("_p_canonical", predicted) == F.coalesce("_t_canonical", truth)
+    return rows.withColumn("exact", F.coalesce(same, F.lit(False))).drop("_p_canonical", "_t_canonical")
+
+
+def set_counts_by_facts(df: DataFrame, facts: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """Per keys, over rows of one part each: parts, and valid_parts, those that facts(key, valid) call valid."""
+    rows = facts_join(df, facts.select("key", "valid"), part, "_")
+    return rows.groupBy(*keys).agg(F.count("*").alias("parts"), F.count(F.when(F.col("_valid"), 1)).alias("valid_parts"))
 
 
 def against_base(df: DataFrame, uid: str, cond: str, value: str, base: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceaudit.operators.ranks import grouped_sum
+
 
 def share(cond: Column) -> Column:
     """Percentage of rows where cond is true, over rows where it is not null."""
@@ -133,6 +135,11 @@ def attention_share(a: Column, b: Column) -> Column:
     return r / (r + 1)
 
 
+def perturbation_delta(df: DataFrame, by: list[str], base: str, perturbed: str) -> DataFrame:
+    """Per group the mean of perturbed less base over rows that have both, and how many there are."""
+    return df.groupBy(*by).agg(F.avg(F.col(perturbed) - F.col(base)).alias("mean_delta"), F.count(F.col(perturbed) - F.col(base)).alias("n"))
+
+
 def audit_precision(df: DataFrame, by: list[str]) -> DataFrame:
     """Of (verdict fabricated/verified, label claims/no_claim/unsure): precision among fabricated, verified and both, per `by`; unsure rows are only counted."""
     sure = F.col("label").isin("claims", "no_claim")
@@ -148,7 +155,7 @@ def audit_precision(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def describe_scores(df: DataFrame, by: list[str], score: str) -> DataFrame:
-    """n, mean, upper median (element n div 2 of the sorted scores), least, most, population deviation and counts of the three bands."""
+    """n, mean, interpolated median, least, most, population deviation and counts of the three bands. The median is exact: Spark keeps a count per distinct score and group."""
     x = F.col(score)
     n = F.count(x)
     return df.groupBy(*by).agg(
@@ -165,13 +172,13 @@ def describe_scores(df: DataFrame, by: list[str], score: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Element n div 2 (from 0) of the sorted scores: from counts per distinct value, so that no group is gathered."""
-    from pyspark.sql import Window
-
-    counts = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(score))
-    total = F.sum("c").over(Window.partitionBy(*by))
-    return counts.withColumn("_u", upto).withColumn("_n", total).filter((F.col("_u") > F.floor(F.col("_n") / 2)) & (F.col("_u") - F.col("c") <= F.floor(F.col("_n") / 2))).select(*by, F.col("_n").alias("n"), F.col(score).alias("upper_median"))
+    """Element n div 2 (from 0) of the sorted scores: from counts per distinct value, ranked by slices of the scores, so that no group is gathered in a task."""
+    counts = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_c"))
+    upto = grouped_sum(counts, by, score, "_c", "_u")
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.lit(True))
+    middle = F.floor(F.col("_n") / 2)
+    return upto.join(totals, same).filter((F.col("_u") > middle) & (F.col("_u") - F.col("_c") <= middle)).select(*by, F.col("_n").alias("n"), F.col(score).alias("upper_median"))
 
 
 def correlate(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

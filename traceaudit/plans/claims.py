@@ -87,9 +87,7 @@ def j4_facts_join(spark, d):
 
 @query(f"""WITH {EXTRACTED} SELECT id, contains({sql_norm('trace')}, {sql_norm('pred')}) AS copied FROM extracted WHERE pred IS NOT NULL""")
 def j8_copied_from_trace(spark, d):
-    from traceaudit.functions.text import normalize_text
-
-    return extracted(spark, d).filter("pred IS NOT NULL").select("id", normalize_text(F.col("trace")).contains(normalize_text(F.col("pred"))).alias("copied"))
+    return extracted(spark, d).filter("pred IS NOT NULL").select("id", cl.copied_from_trace(F.col("trace"), F.col("pred")).alias("copied"))
 
 
 WORDS = ["the", "which", "nicht", "dans", "und", "del"]

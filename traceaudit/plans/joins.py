@@ -73,13 +73,6 @@ def w6_keep_last(spark, d):
     return wn.keep_last(rows, ["user_id", "event_type"], "position").select("user_id", "event_type", "event_id", "value")
 
 
-@query("""SELECT event_type, model, count(*) AS n, sum(k) AS total FROM (SELECT event_type, CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS model, CAST(regexp_extract(props, '"k": *(\\d+)', 1) AS BIGINT) AS k FROM events) GROUP BY ALL""")
-def s3_read_sidecar(spark, d):
-    e = table(spark, d, "events")
-    k = F.from_json("props", "map<string,string>")["k"].cast("long")
-    return e.select("event_type", F.when(F.col("user_id") % 3 == 0, "a").otherwise("b").alias("model"), k.alias("k")).groupBy("event_type", "model").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
-
-
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def s6_select_by_index(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")

@@ -19,7 +19,7 @@ def user_entropy(spark, d):
 
 @query()
 def c1_greedy_clusters(spark, d):
-    return cu.greedy_clusters(table(spark, d, "conversations"), "conv_id", "turn", "text", "text", threshold=0.1)
+    return cu.greedy_clusters(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY ALL")
@@ -43,9 +43,8 @@ def c3_dual_entropy(spark, d):
 
 @query("""SELECT user_id, count(*) AS n_samples, count(DISTINCT floor(value / 10)) AS n_unique, avg(CAST(value < 60 AS INTEGER)) AS validity_rate, max(value) AS best, bool_or(value > 95) AS hit FROM events GROUP BY 1 HAVING count(*) >= 2""")
 def c4_sample_validity(spark, d):
-    e = table(spark, d, "events")
-    per = e.groupBy("user_id").agg(F.count("*").alias("n_samples"), F.count_distinct(F.floor(F.col("value") / 10)).alias("n_unique"), F.avg((F.col("value") < 60).cast("int")).alias("validity_rate"), F.max("value").alias("best"), F.bool_or(F.col("value") > 95).alias("hit"))
-    return per.filter("n_samples >= 2")
+    e = table(spark, d, "events").withColumn("bucket", F.floor(F.col("value") / 10))
+    return cu.sample_validity(e, "user_id", "bucket", F.col("value") < 60, "value", F.col("value") > 95)
 
 
 @query(f"""WITH {ENTROPY}, r AS (SELECT round(entropy, 9) AS e, round(CASE WHEN n_valid > 1 THEN entropy / ln(n_valid) ELSE 0 END, 9) AS z FROM h)

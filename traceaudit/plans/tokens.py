@@ -73,4 +73,5 @@ def a13_middle_layer(spark, d):
 
 @query(f"WITH {TOKENS} SELECT cat, round(avg(sal - attn), 6) AS mean_delta, count(*) AS n FROM tokens WHERE region = 'trace' GROUP BY 1")
 def a14_perturbation_delta(spark, d):
-    return tokens(spark, d).filter("region = 'trace'").groupBy("cat").agg(F.round(F.avg(F.col("sal") - F.col("attn")), 6).alias("mean_delta"), F.count("*").alias("n"))
+    per = stats.perturbation_delta(tokens(spark, d).filter("region = 'trace'"), ["cat"], "attn", "sal")
+    return per.select("cat", F.round("mean_delta", 6).alias("mean_delta"), "n")
