@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceaudit.llm.common import WordHashes, cut, pieces_of, shingle_hashes, small_or_shuffled
+from traceaudit.session import table
 
 #: Shortest tile in words; an item with fewer words has to match as a whole.
 LEAST_TILE = 4
@@ -260,5 +261,5 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_TILE
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return contaminated_pairs(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

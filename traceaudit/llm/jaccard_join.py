@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.llm.common import WordHashes, cut, in_runs, mix64, pack_sorted, pieces_of, planes, shingle_hashes, slices_of, small_or_shuffled, sorted_runs, unpack_sorted, unplanes, words_of
 from traceaudit.llm.components import components
+from traceaudit.session import table
 
 WORDS = 5
 #: Shingles that the table of frequent ones holds at most.
@@ -413,7 +414,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """All documents, whole texts, five-word shingles."""
-    return component_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return component_table(table(spark, sf_dir, "documents"))
 
 
 ORACLE_SQL = r"""

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.llm.common import cut, in_runs, mix64, pack_sorted, pieces_of, planes, slices_of, sorted_runs, unpack_sorted, unplanes, words_of
 from traceaudit.llm.labelled import crc_remainder
+from traceaudit.session import table
 
 #: Tokens of one batch of texts (a longer text is a batch of its own), and hashes of one range, about.
 BATCH_TOKENS = 1_000_000
@@ -400,7 +401,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
 def op9_katz_backoff(spark, sf_dir: str) -> DataFrame:
     """All documents; learns from those whose crc32(doc_id) mod 7 is not 2."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_remainder(F.col("doc_id"), 7) != 2).alias("train"))
     scored = score_texts(docs)
     return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

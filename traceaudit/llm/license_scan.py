@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceaudit.session import table
+
 #: Phrases whose every place counts, as (label, phrase).
 PHRASES = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
 #: Templates of the method's own labels, as (label, text). All are short public notices.
@@ -92,7 +94,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, drift: int = 2,
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     """All documents, whole texts."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def _values(group, exact: str) -> str:

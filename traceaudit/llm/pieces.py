@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceaudit.llm.common import require_new
+from traceaudit.session import table
 
 MARK = "▁"
 #: Path of the vocabulary file; a parameter of load().
@@ -376,7 +377,7 @@ def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     doc_id; n_pieces and ids_hash (Spark's xxhash64 of the id array) of the Viterbi encoding; merged_pieces and merged_hash of the BPE encoding; round_trip (decoding either gives the text, with a literal space mark read as a space).
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = encode_as(docs, {"ids": "unigram", "merged": "bpe"})
     back = decode(decode(both), column="decoded_merged", ids="merged")
     text = F.replace("text", F.lit(MARK), F.lit(" "))

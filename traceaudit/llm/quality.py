@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from traceaudit.llm.common import cut, new_names, pieces_of, require_new
 from traceaudit.llm.labelled import training_sample
 from traceaudit.llm.shrinkage import prior_strength
+from traceaudit.session import table
 
 #: At most so many labelled documents train the document classifier: half of them the ratios of words, half the regression.
 TRAINING_ROWS = 12_000
@@ -199,7 +200,7 @@ def drop_poor(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, thresho
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, quality (0 to 1), keep (quality >= THRESHOLD)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(docs, train(docs, labels), site_outcomes(docs, labels, "source", "lang"))
     return scored.select("doc_id", "quality", (F.col("quality") >= THRESHOLD).alias("keep"))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from traceaudit.llm.common import cut, new_names, pieces_of, require_new
 from traceaudit.llm.labelled import crc_remainder, training_sample
+from traceaudit.session import table
 
 BUCKETS = 1 << 20
 ORDERS = (3, 5)
@@ -135,7 +136,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, thresh
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     """All documents; learns from labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels, crc_remainder(F.col("doc_id"), 4) != 2)
     return score(docs, model, "score").select(
