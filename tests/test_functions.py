@@ -163,7 +163,35 @@ def test_perturb(spark):
 def test_edit_instruction(spark):
     r = one(spark, tx.edit_instruction(F.col("t")), t="Please replace the hydroxyl groups with an amine")
     assert (r["removed"], r["added"]) == ("hydroxyl_group", "amine")
-    assert one(spark, tx.edit_instruction(F.col("t")), t="Add a nitro group to the ring")["added"] == "nitro"
+    for text, added, removed in (
+        ("Add a nitro group to the molecule", "nitro_group", None),
+        ("Please remove an amide groups from the molecule.", None, "amide_group"),
+        ("Substitute the Benzene  rings with a hydroxyl", "hydroxyl", "benzene_ring"),
+        ("Adding a fused benzene in the molecule", "benzene_ring", None),
+        ("nothing here", None, None),
+    ):
+        r = one(spark, tx.edit_instruction(F.col("t")), t=text)
+        assert (r["added"], r["removed"]) == (added, removed), text
+
+
+def test_drafted_fragments(spark):
+    df = spark.createDataFrame([(1, "first CC(=O)OC then CCCCCC, CC(=O)OC and C1=CC=CC=C1 or N=N"), (2, None), (3, "C(CO)N=O")], "id int, t string")
+    facts = spark.createDataFrame([("CC(=O)OC", True, 5), ("C1=CC=CC=C1", True, 6), ("C(CO)N=O", True, 3), ("N=N", True, 9)], "key string, valid boolean, atoms int")
+    got = {r["id"]: r["drafted"] for r in tx.drafted_fragments(df, facts, ["id"], "t").collect()}
+    assert got == {1: ["CC(=O)OC", "C1=CC=CC=C1"], 2: [], 3: []}
+
+
+def test_truth_in_json(spark):
+    for text, want in (('{"smiles": "CC"}', "CC"), ("no json", ""), (None, ""), ('{"other": 1}', "")):
+        assert one(spark, sc.truth_of(F.col("t"), "smiles"), t=text) == want
+
+
+def test_caption_performance(spark):
+    from traceaudit.operators.audit import caption_performance
+
+    a, b = "the molecule is an acid with two rings", "x " * 400
+    for answer, truth, want in ((f"<answer>{a}</answer>", a, 1.0), ("untagged", a, 0.0), (f"<answer>{a}</answer>", "", 0.0), (f"<answer>{b}</answer>", b[:500], 1.0)):
+        assert one(spark, caption_performance(F.col("a"), F.col("t")), a=answer, t=truth) == pytest.approx(want)
 
 
 def test_donor_needs_a_different_text(spark):

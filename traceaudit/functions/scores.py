@@ -113,9 +113,11 @@ def constraint_success(targets: Column, got: Column) -> Column:
     return F.coalesce(ok, F.lit(False)).cast("int")
 
 
-def edit_success(kind: Column, source: Column, got: Column) -> Column:
-    """add: one more than the source; delete: one fewer; else (optimise up or down): moved strictly that way."""
+def edit_success(kind: Column, source: Column, got: Column, added_source: Column | None = None, added: Column | None = None) -> Column:
+    """add: one more than the source; delete: one fewer; substitute: one fewer of the one and one more of the other group (added); else (optimise up or down): moved strictly that way."""
     ok = F.when(kind == "add", got == source + 1).when(kind == "delete", got == source - 1).when(kind == "down", got < source).when(kind == "up", got > source)
+    if added is not None:
+        ok = ok.when(kind == "substitute", (got == source - 1) & (added == added_source + 1))
     return F.coalesce(ok, F.lit(False)).cast("int")
 
 
@@ -145,8 +147,22 @@ def grounded(verified: Column, fabricated: Column, cap: int = 5) -> Column:
     return F.when(verified > 0, 2 * F.least(verified, F.lit(cap)) / float(cap) * verified / (verified + fabricated)).otherwise(F.lit(0.0))
 
 
-def grounded_reward(fmt: Column, accuracy: Column, overall_score: Column, ground: Column, er: Column, coupled: bool, bonus: float = 0.0, length: Column | None = None) -> Column:
-    """.1 format + .4 accuracy + .4 (1 - overall / 100) + .2 grounded (+ bonus * length); coupled: accuracy counts only without fabrication."""
+def direction(instruction: Column) -> Column:
+    """down where an instruction speaks of lower, decreas or reduc, else up."""
+    return F.when(F.lower(instruction).rlike("lower|decreas|reduc"), "down").otherwise("up")
+
+
+def truth_of(json: Column, field: str) -> Column:
+    """A field of a truth in JSON; empty where that is no JSON object or lacks it."""
+    return F.coalesce(F.get_json_object(json, f"$.{field}"), F.lit(""))
+
+
+def grounded_reward(fmt: Column, accuracy: Column, overall_score: Column, ground: Column, er: Column, coupled: bool, bonus: float = 0.0, length: Column | None = None, failed: Column | None = None) -> Column:
+    """.1 format + .4 accuracy + .4 (1 - overall / 100) + .2 grounded (+ bonus * length); coupled: accuracy counts only without fabrication. A row that failed to be
+    checked has an overall score of 100 and neither accuracy nor grounding."""
+    if failed is not None:
+        bad = F.coalesce(failed, F.lit(False))
+        accuracy, ground, overall_score = F.when(bad, 0.0).otherwise(accuracy), F.when(bad, 0.0).otherwise(ground), F.when(bad, 100.0).otherwise(overall_score)
     acc = F.when(er == 0, accuracy).otherwise(F.lit(0.0)) if coupled else accuracy
     out = 0.1 * fmt + 0.4 * acc + 0.4 * (1 - overall_score / 100) + 0.2 * ground
     return out + bonus * length if length is not None and bonus else out

@@ -55,9 +55,13 @@ def best_match(left: Column, right: Column) -> Column:
     return F.when(F.sort_array(left) == F.sort_array(right), F.lit(1.0)).otherwise(F.coalesce(mean, F.lit(0.0)))
 
 
-def property_bucket(weight: Column, rings: Column, limit: float, most_rings: int) -> Column:
-    """heavy or light, and complex or simple, as `heavy/complex`."""
-    return F.concat_ws("/", F.when(weight > limit, "heavy").otherwise("light"), F.when(rings > most_rings, "complex").otherwise("simple"))
+def property_bucket(weight: Column, rings: Column, limit: float, most_rings: int, rotatable: Column | None = None, most_rotatable: int = 3, carbons: Column | None = None, most_carbons: int = 20) -> Column:
+    """heavy or light, and complex (too many rings, rotatable bonds or carbons, of those that are given) or simple, as `heavy/complex`; nulls exceed nothing."""
+    over = [F.coalesce(x > most, F.lit(False)) for x, most in ((rings, most_rings), (rotatable, most_rotatable), (carbons, most_carbons)) if x is not None]
+    complex_ = over[0]
+    for o in over[1:]:
+        complex_ = complex_ | o
+    return F.concat_ws("/", F.when(weight > limit, "heavy").otherwise("light"), F.when(complex_, "complex").otherwise("simple"))
 
 
 def novelty(new: DataFrame, known: DataFrame, rows: int = 2048) -> DataFrame:
@@ -160,6 +164,14 @@ def rouge_l(reference: Column, hypothesis: Column) -> Column:
     return run(reference, hypothesis)
 
 
+def caption_scores(df: DataFrame, by: list[str], truth: str, caption: str) -> DataFrame:
+    """Per `by`, over rows that have a truth: n and the means, times 100, of BLEU-2, BLEU-4, ROUGE-1, ROUGE-2 and ROUGE-L; a null caption scores 0."""
+    rows = df.filter(F.col(truth).isNotNull() & (strip(F.col(truth)) != ""))
+    t, c = F.col(truth), F.coalesce(caption, F.lit(""))
+    parts = {"bleu2": bleu(t, c, 2), "bleu4": bleu(t, c, 4), "rouge1": rouge_n(t, c, 1), "rouge2": rouge_n(t, c, 2), "rouge_l": rouge_l(t, c)}
+    return rows.select(*by, *[v.alias(k) for k, v in parts.items()]).groupBy(*by).agg(F.count("*").alias("n"), *[(100 * F.avg(k)).alias(k) for k in parts])
+
+
 #: Kind -> (pair similarity on plain values, threshold), for the greedy clusters.
 def _words(a, b):
     x, y = set(str(a).lower().split()), set(str(b).lower().split())

@@ -14,8 +14,6 @@ from traceaudit.operators import claims as cl
 
 #: Task families: text to text, yes or no, a set of structures, text to structure, a changed structure, a structure with wanted counts.
 FAMILIES = ("caption", "label", "set", "structure", "edit", "constraint")
-#: A bare structure in an untagged answer.
-STRUCTURE = r"[A-Z][A-Za-z0-9@+\-\[\]\\/()=#]{5,}"
 
 
 def extract(df: DataFrame, answer: str = "answer", family: str | None = None) -> DataFrame:
@@ -26,8 +24,7 @@ def extract(df: DataFrame, answer: str = "answer", family: str | None = None) ->
     if family:
         whole, f = F.coalesce(pred, tx.strip(F.col(answer))), F.col(family)
         label = F.nullif(F.regexp_extract(F.lower(whole), r"(?U)\b(yes|no)\b", 1), F.lit(""))
-        bare = F.nullif(F.regexp_extract(F.col(answer), STRUCTURE, 0), F.lit(""))
-        pred = F.when(f == "label", label).when(f.isin("caption", "set"), whole).when(f == "structure", F.coalesce(pred, bare)).otherwise(pred)
+        pred = F.when(f == "label", label).when(f.isin("caption", "set"), whole).when(f == "structure", tx.last_resort_structure(F.col(answer))).otherwise(pred)
     return rows.withColumns({"pred": pred, "trace": tx.reasoning_or_answer(F.col(answer))})
 
 
@@ -50,6 +47,12 @@ def task_performance(kind: Column, exact: Column, caption: Column, success: Colu
     return F.coalesce(F.when(kind == "caption", caption).when(kind == "constraint", success.cast("double")).otherwise(exact.cast("double")), F.lit(0.0))
 
 
+def caption_performance(answer: Column, truth: Column, longest: int = 500) -> Column:
+    """BLEU-4 of the answer, or of the first answer pair where there is none, cut to `longest` characters; 0 where either side is empty."""
+    said = F.substring(F.coalesce(tx.extract_answer(answer), tx.first_answer(answer), F.lit("")), 1, longest)
+    return F.when((said != "") & (F.coalesce(truth, F.lit("")) != ""), sim.bleu(truth, said, 4)).otherwise(F.lit(0.0))
+
+
 def score(df: DataFrame, generic: tuple[str, ...], similarity: Column) -> DataFrame:
     """The four dimensions, overall, perf, specific claim counts and trace length. similarity: of pred to the truth, null without pred."""
     s = F.coalesce(similarity, F.lit(0.0))
@@ -136,9 +139,11 @@ def diagnose(df: DataFrame, lexicon: dict[str, tuple[str, ...]], generic: tuple[
 
 
 def register(spark: SparkSession) -> None:
-    """BLEU as SQL functions bleu2(reference, hypothesis) and bleu4, on Arrow batches."""
+    """As SQL functions on Arrow batches: bleu2(reference, hypothesis), bleu4, and groups_outside(text, lexicon), the groups of a
+    map<string,array<string>> that the text names outside derivations (see claims.named_groups_outside)."""
     spark.udf.register("bleu2", F.pandas_udf(_bleu2, "double"))
     spark.udf.register("bleu4", F.pandas_udf(_bleu4, "double"))
+    spark.udf.register("groups_outside", F.pandas_udf(_groups_outside, "array<string>"))
 
 
 def _bleu2(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
@@ -147,3 +152,7 @@ def _bleu2(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
 
 def _bleu4(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([sim.bleu_score(x, y, 4) for x, y in zip(reference, hypothesis, strict=True)])
+
+
+def _groups_outside(texts: pd.Series, lexicons: pd.Series) -> pd.Series:
+    return pd.Series([cl.groups_outside(t or "", {g: list(w) for g, w in dict(lexicon).items()}) for t, lexicon in zip(texts, lexicons, strict=True)])

@@ -34,19 +34,19 @@ def named_groups(text: Column, lexicon: dict[str, tuple[str, ...]]) -> Column:
     return once(normalize_text(F.coalesce(text, F.lit(""))), groups)
 
 
+def groups_outside(text: str, lexicon, phrases: str = DERIVATION, window: int = DERIVATION_WINDOW) -> list[str]:
+    """The groups of one normalised text that stand somewhere without the phrases around them. (re keeps compiled patterns.)"""
+    near = re.compile(phrases)
+    stands = lambda words: any(not near.search(text[max(0, m.start() - window) : m.end() + window]) for m in re.finditer(keyword_pattern(words), text))
+    return sorted(g for g, words in lexicon.items() if stands(words))
+
+
 def named_groups_outside(df: DataFrame, text: str, lexicon: dict[str, tuple[str, ...]], phrases: str = DERIVATION, window: int = DERIVATION_WINDOW, column: str = "claimed") -> DataFrame:
     """As named_groups, but a group counts only with an occurrence whose surroundings (`window` characters on both sides) hold none of the phrases."""
-    patterns = {g: keyword_pattern(words) for g, words in lexicon.items()}
 
     @F.pandas_udf("array<string>")
     def found(texts: pd.Series) -> pd.Series:
-        near = re.compile(phrases)
-        compiled = {g: re.compile(p) for g, p in patterns.items()}
-
-        def one(t):
-            return sorted(g for g, p in compiled.items() if any(not near.search(t[max(0, m.start() - window) : m.end() + window]) for m in p.finditer(t)))
-
-        return texts.map(one)
+        return texts.map(lambda t: groups_outside(t, lexicon, phrases, window))
 
     return df.withColumn(column, found(normalize_text(F.coalesce(F.col(text), F.lit("")))))
 
@@ -84,19 +84,39 @@ def first_claim_position(trace: Column, fabricated: Column) -> Column:
     return F.try_divide((first - 1).cast("double"), F.length(trace))
 
 
-def class_rule_violations(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Claimed classes (class) of df that break a rule of rules(class, min_rings, min_carbons, requires_n): one row each with what is broken.
+def class_rule_violations(df: DataFrame, rules: DataFrame, described: str | None = None) -> DataFrame:
+    """Claimed classes (class) of df that break a rule of rules(class, min_rings, min_carbons, requires_n, requires_o, requires_p): one row each with
+    what is broken, an entry for each broken rule.
 
-    df: (class, rings, carbons, has_n, ...). Null rule fields demand nothing.
+    df: (class, rings, carbons, has_n, ...); of the rules' columns those that are absent demand nothing, like null ones. described: a column of
+    classes that the description names, which are not checked.
     """
     low = lambda have, need: F.coalesce(F.col(have) < F.col(need), F.lit(False))
+    elements = [x for x in ("n", "o", "p") if f"requires_{x}" in rules.columns]
+    lacks = [F.when(F.col(f"requires_{x}") & ~F.coalesce(F.col(f"has_{x}"), F.lit(False)), x) for x in elements]
+    rows = df if described is None else df.filter(~F.coalesce(F.array_contains(described, F.col("class")), F.lit(False)))
     return (
-        df.join(F.broadcast(rules), "class")  # rules are a parameter list of a few rows
-        .withColumn("broken", F.array_compact(F.array(F.when(low("rings", "min_rings"), "rings"), F.when(low("carbons", "min_carbons"), "carbons"), F.when(F.col("requires_n") & ~F.col("has_n"), "n"))))
+        rows.join(F.broadcast(rules), "class")  # rules are a parameter list of a few rows
+        .withColumn("broken", F.array_compact(F.array(F.when(low("rings", "min_rings"), "rings"), F.when(low("carbons", "min_carbons"), "carbons"), *lacks)))
         .filter(F.size("broken") > 0)
     )
 
 
+def description_faults(described: Column, traced: Column, predicted: Column) -> tuple[Column, Column]:
+    """(missing, unfaithful) groups: described but not predicted, and described and traced but not predicted."""
+    return F.sort_array(F.array_except(described, predicted)), F.sort_array(F.array_except(F.array_intersect(described, traced), predicted))
+
+
+def mismatches(formula: Column, true_formula: Column, rings: Column, true_rings: Column) -> Column:
+    """Names of what differs, of formula and rings; nulls on one side differ, on both sides they do not."""
+    return F.array_compact(F.array(F.when(~formula.eqNullSafe(true_formula), "formula"), F.when(~rings.eqNullSafe(true_rings), "rings")))
+
+
+def named_by_pattern(text: Column, patterns: dict[str, str]) -> Column:
+    """Sorted names whose own pattern is in the normalised text, for words that no keyword list covers."""
+    return once(normalize_text(F.coalesce(text, F.lit(""))), lambda t: F.sort_array(F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in patterns.items()]))))
+
+
 def matched_mention(left: Column, right: Column, keywords: list[str]) -> Column:
     """struct(keyword, left_at, right_at) of the first keyword, longest first, that occurs in both texts; null if none does."""
     order = sorted(keywords, key=lambda k: (-len(k), k))
@@ -108,3 +128,12 @@ def matched_mention(left: Column, right: Column, keywords: list[str]) -> Column:
 def copied_from_trace(trace: Column, answer: Column) -> Column:
     """Whether the answer stands in the trace, both normalised; null where either is."""
     return once(normalize_text(trace), lambda t: t.contains(normalize_text(answer)))
+
+
+def copied_fragments(df: DataFrame, facts: DataFrame, key: str, fragments: Column, answer: str) -> DataFrame:
+    """(key, copied): whether the canonical form of the answer is that of one of the trace's fragments, by facts(key, canonical). An answer or fragment without facts copies nothing."""
+    canonical = facts.select(F.col("key").alias("_f"), "canonical")
+    mine = df.select(key, F.col(answer).alias("_f")).join(canonical, "_f").select(key, "canonical")
+    found = df.select(key, F.explode(F.array_distinct(fragments)).alias("_f")).join(canonical, "_f").select(key, "canonical").distinct()
+    hit = mine.join(found, [key, "canonical"], "left_semi").select(key, F.lit(True).alias("copied"))
+    return df.select(key).join(hit, key, "left").select(key, F.coalesce("copied", F.lit(False)).alias("copied"))

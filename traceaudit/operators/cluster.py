@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from traceaudit.functions.similarity import SIMILARITIES
 from traceaudit.functions.text import strip
+from traceaudit.operators.stats import correlation
 
 
 def greedy_clusters(df: DataFrame, key: str, position: str, value: str, kind: str = "text", similarity=None, threshold: float | None = None) -> DataFrame:
@@ -81,9 +82,13 @@ def sample_validity(df: DataFrame, key: str, value: str, valid, score: str, hit,
     return per.filter(F.col("n_samples") >= least)
 
 
-def entropy_summary(df: DataFrame, entropy: str = "entropy", normalized: str = "normalized") -> DataFrame:
-    """One row: mean, population deviation, interpolated median, least and largest entropy; mean of the normalised one and its bands."""
+def entropy_summary(df: DataFrame, entropy: str = "entropy", normalized: str = "normalized", truth: str | None = None) -> DataFrame:
+    """One row: mean, population deviation, interpolated median, least and largest entropy; mean, deviation and median of the normalised one, its bands as
+    counts and percentages; with truth (a column of similarities to the truth) its correlation with the normalised entropy, null unless every row has one."""
     x, y = F.col(entropy), F.col(normalized)
+    low, middle, high = F.count(F.when(y < 0.3, 1)), F.count(F.when((y >= 0.3) & (y < 0.7), 1)), F.count(F.when(y >= 0.7, 1))
+    percent = lambda n: F.try_divide(100.0 * n, F.count("*"))
+    more = [] if truth is None else [F.when(F.count(truth) == F.count("*"), correlation(y, F.col(truth))).alias("truth_correlation")]
     return df.agg(
         F.count("*").alias("n"),
         F.avg(x).alias("mean"),
@@ -92,9 +97,13 @@ def entropy_summary(df: DataFrame, entropy: str = "entropy", normalized: str = "
         F.min(x).alias("least"),
         F.max(x).alias("most"),
         F.avg(y).alias("mean_normalized"),
-        F.count(F.when(y < 0.3, 1)).alias("n_low"),
-        F.count(F.when((y >= 0.3) & (y < 0.7), 1)).alias("n_medium"),
-        F.count(F.when(y >= 0.7, 1)).alias("n_high"),
+        F.stddev_pop(y).alias("std_normalized"),
+        F.percentile(y, 0.5).alias("median_normalized"),
+        low.alias("n_low"),
+        middle.alias("n_medium"),
+        high.alias("n_high"),
+        *[percent(n).alias(f"pct_{k}") for k, n in (("low", low), ("medium", middle), ("high", high))],
+        *more,
     )
 
 

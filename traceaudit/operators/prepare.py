@@ -23,9 +23,11 @@ def any_positive_label(cols: list[Column]) -> Column:
     return F.when(F.exists(texts, lambda x: F.coalesce(x.isin("1", "1.0"), F.lit(False))), "Yes").when(F.exists(texts, lambda x: x.isNotNull() & (x != "")), "No")
 
 
-def binary_label(c: Column) -> Column:
+def binary_label(c: Column, others_no: bool = False) -> Column:
+    """1 is Yes and 0 is No, anything else null; with others_no all but 1 is No, null included."""
     t = c.cast("string")
-    return F.when(t.isin("1", "1.0"), "Yes").when(t.isin("0", "0.0"), "No")
+    yes = F.when(F.coalesce(t.isin("1", "1.0"), F.lit(False)), "Yes")
+    return yes.otherwise("No") if others_no else yes.when(t.isin("0", "0.0"), "No")
 
 
 def tail_split(df: DataFrame, order: str, n: int, slices: int = 64) -> DataFrame:
@@ -45,6 +47,23 @@ def split_pair(df: DataFrame, text: str, mark: str) -> DataFrame:
     return df.filter(F.col(text).contains(mark)).withColumn("left", F.trim(F.substring(F.col(text), F.lit(1), at - 1))).withColumn("right", F.trim(F.substring(F.col(text), at + len(mark), F.length(text))))
 
 
+def pair_tasks(df: DataFrame, position: str, text: str, mark: str, forward: str, backward: str) -> DataFrame:
+    """(id, input, gt, task) of the pairs in both directions. id is the row's position in its split, counted before rows without the mark drop out."""
+    pairs = split_pair(df, text, mark)
+    return to_task_rows(pairs, F.col(position), F.col("left"), F.col("right"), forward, backward)
+
+
+def number_or_text(c: Column) -> Column:
+    """struct(number, text): the value as a number, or as it stands where it is none; blanks are null in both."""
+    t = F.when(F.trim(c.cast("string")) != "", c.cast("string"))
+    return F.struct(t.try_cast("double").alias("number"), F.when(t.try_cast("double").isNull(), t).alias("text"))
+
+
+def source_of(instruction: Column, pattern: str, fallback: Column) -> Column:
+    """The first group of the pattern in the instruction, else the fallback."""
+    return F.coalesce(F.nullif(F.regexp_extract(instruction, pattern, 1), F.lit("")), fallback)
+
+
 def constraint_metadata(cols: dict[str, Column]) -> Column:
     """Map of the non-blank constraint columns, as text."""
     pairs = [x for k, c in cols.items() for x in (F.lit(k), c.cast("string"))]

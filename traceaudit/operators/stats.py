@@ -36,6 +36,12 @@ def task_stats(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def task_extras(df: DataFrame, by: list[str], valid: Column, similarity: Column, entropies: DataFrame, entropy: str) -> DataFrame:
+    """Per `by`: validity in percent, mean similarity over rows that have one, and the mean of entropies(by, entropy), null where a group has none."""
+    own = df.groupBy(*by).agg(share(valid).alias("validity"), F.avg(similarity).alias("mean_similarity"))
+    return own.join(entropies.groupBy(*by).agg(F.avg(entropy).alias("mean_entropy")), by, "left")
+
+
 def stratified(df: DataFrame, by: list[str], er: str, aggs: list[Column], null_er: str = "drop") -> DataFrame:
     """aggs per `by` and stratum all / er0 / erpos in one pass over grouping sets. null_er: drop (in `all` only), clean or erpos."""
     e = F.col(er)
@@ -92,6 +98,23 @@ def drift_summary(df: DataFrame) -> DataFrame:
     return out.withColumn("level", F.when(F.col("g") == 3, "cond").when(F.col("g") == 1, "task").otherwise("er_bin")).drop("g")
 
 
+def base_and_perturbed(df: DataFrame, by: list[str], cond: str = "cond") -> DataFrame:
+    """Of (uid, base_correct, dperf): per `by` and condition the base rate and the perturbed rate of right answers, over rows that have the condition, and how many."""
+    both = df.filter(F.col("dperf").isNotNull())
+    return both.groupBy(*by, cond).agg(F.count("*").alias("n"), F.avg("base_correct").alias("base_rate"), F.avg(F.col("base_correct") + F.col("dperf")).alias("perturbed_rate"))
+
+
+def base_accuracy(df: DataFrame, by: list[str], uid: str = "uid") -> DataFrame:
+    """Per `by`: how many distinct uids there are and the share whose base answer is right, each uid once however many conditions it has."""
+    return df.groupBy(*by, uid).agg(F.max("base_correct").alias("c")).groupBy(*by).agg(F.count("*").alias("n"), F.avg("c").alias("base_accuracy"))
+
+
+def draft_coverage(df: DataFrame, by: list[str], uid: str = "uid", drafts: str = "n_draft") -> DataFrame:
+    """Per `by`: share of base-correct uids that have a draft."""
+    per = df.filter("base_correct = 1").groupBy(*by, uid).agg(F.max(F.col(drafts) > 0).alias("d"))
+    return per.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("d").cast("double")).alias("coverage"))
+
+
 def flip_to_wrong(df: DataFrame, by: list[str], missing: str = "exclude") -> DataFrame:
     """Share of base-correct rows whose performance falls by one. missing: exclude rows without the condition (null dperf), or count them as no_flip."""
     flip = (F.col("dperf") == -1).cast("double")
@@ -111,6 +134,19 @@ def saliency_share(df: DataFrame, doc: str, category: str, value: str, by: list[
     return shares.groupBy(*by, category).agg(F.sum("x").alias("x"), F.sum("c").alias("count")).join(docs, by).select(*by, category, (F.col("x") / F.col("n_docs")).alias("share"), "count")
 
 
+def document_shares(df: DataFrame, doc: str, category: str, value: str) -> DataFrame:
+    """Per document and category its percentage of the document's total; a total of 0 counts as 1."""
+    per = df.groupBy(doc, category).agg(F.sum(value).alias("s"))
+    totals = per.groupBy(doc).agg(F.sum("s").alias("t"))
+    return per.join(totals, doc).select(doc, category, (100 * F.col("s") / F.when(F.col("t") == 0, 1.0).otherwise(F.col("t"))).alias("percent"))
+
+
+def skipped_documents(df: DataFrame, by: list[str], too_long: Column, badly_tagged: Column) -> DataFrame:
+    """Per `by` over one row per document: how many are kept, too long, or (of the others) badly tagged."""
+    why = F.when(F.coalesce(too_long, F.lit(False)), "long").when(F.coalesce(badly_tagged, F.lit(False)), "tags").otherwise("kept")
+    return df.groupBy(*by).agg(*[F.count(F.when(why == w, 1)).alias(n) for w, n in (("kept", "n_kept"), ("long", "n_too_long"), ("tags", "n_badly_tagged"))])
+
+
 def enrichment(df: DataFrame, by: list[str], share_col: str = "share", count: str = "count") -> DataFrame:
     """share over the share of tokens; 0 without tokens."""
     totals = df.groupBy(*by).agg(F.sum(count).alias("_t"))
@@ -135,6 +171,13 @@ def attention_share(a: Column, b: Column) -> Column:
     return r / (r + 1)
 
 
+def trace_share(trace: Column, input_: Column, n_trace: Column | None = None, n_input: Column | None = None, eps: float = 1e-9) -> Column:
+    """t / (i + t + eps) of two masses; with token counts, of the masses per token. Null masses count as 0."""
+    per = lambda x, n: F.coalesce(x, F.lit(0.0)) / (F.greatest(n, F.lit(1)) if n is not None else F.lit(1))
+    t, i = per(trace, n_trace), per(input_, n_input)
+    return t / (i + t + eps)
+
+
 def perturbation_delta(df: DataFrame, by: list[str], base: str, perturbed: str) -> DataFrame:
     """Per group the mean of perturbed less base over rows that have both, and how many there are."""
     return df.groupBy(*by).agg(F.avg(F.col(perturbed) - F.col(base)).alias("mean_delta"), F.count(F.col(perturbed) - F.col(base)).alias("n"))
@@ -154,6 +197,14 @@ def audit_precision(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def describe_rates(df: DataFrame, by: list[str], score: str, valid: Column, exact: Column, similarity: list[str], length: Column, cuts: tuple[float, float] = (30.0, 60.0)) -> DataFrame:
+    """Per `by`: percentages of valid and exact rows, mean of the first of the similarity columns that df has, mean length, and percentages of scores below, between and from the cuts."""
+    x, found = F.col(score), [c for c in similarity if c in df.columns]
+    near = F.avg(found[0]) if found else F.lit(None).cast("double")
+    bands = {"pct_low": x < cuts[0], "pct_moderate": (x >= cuts[0]) & (x < cuts[1]), "pct_high": x >= cuts[1]}
+    return df.groupBy(*by).agg(share(valid).alias("pct_valid"), share(exact).alias("pct_exact"), near.alias("mean_similarity"), F.avg(length).alias("mean_length"), *[share(c).alias(k) for k, c in bands.items()])
+
+
 def describe_scores(df: DataFrame, by: list[str], score: str) -> DataFrame:
     """n, mean, interpolated median, least, most, population deviation and counts of the three bands. The median is exact: Spark keeps a count per distinct score and group."""
     x = F.col(score)
@@ -181,9 +232,15 @@ def upper_median(df: DataFrame, by: list[str], score: str) -> DataFrame:
     return upto.join(totals, same).filter((F.col("_u") > middle) & (F.col("_u") - F.col("_c") <= middle)).select(*by, F.col("_n").alias("n"), F.col(score).alias("upper_median"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's, as an aggregate over rows that have both; null where one of them does not vary (which corr() answers with an error)."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlate(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return both.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    return both.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col(x), F.col(y)).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
 def contingency(df: DataFrame, by: list[str]) -> DataFrame:
@@ -219,6 +276,13 @@ def heatmap(df: DataFrame, rows: str, cols: str, values: list[str], metric: Colu
     return df.groupBy(rows).pivot(cols, values).agg(metric)
 
 
+def check_total(inventory: DataFrame, declared: DataFrame) -> DataFrame:
+    """Per experiment of declared(experiment, declared): the sum over tasks of the largest row count of a model, from coverage_inventory, and whether it is the declared one."""
+    sums = inventory.groupBy("experiment").agg(F.sum("most").alias("total"))
+    rows = declared.join(sums, "experiment", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return rows.withColumn("agrees", F.col("total") == F.col("declared"))
+
+
 def coverage_inventory(parts: dict[str, DataFrame], model: str, task: str) -> DataFrame:
     """Per task and experiment: distinct models, least and most rows of a model, sorted model names. parts: experiment -> rows."""
     frames = [df.select(F.lit(k).alias("experiment"), F.col(model).cast("string").alias("model"), F.col(task).cast("string").alias("task")) for k, df in parts.items()]

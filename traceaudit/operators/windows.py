@@ -13,6 +13,12 @@ def normalise_within(df: DataFrame, doc: str, value: str, inside: Column, column
     return df.withColumn(column, F.when(inside, F.col(value) / top).otherwise(0.0))
 
 
+def min_max_within(df: DataFrame, doc: str, value: str, column: str, eps: float = 1e-9) -> DataFrame:
+    """(value - least) / (largest - least + eps) inside the document; nulls stay null."""
+    low, high = (f(value).over(Window.partitionBy(doc)) for f in (F.min, F.max))
+    return df.withColumn(column, (F.col(value) - low) / (high - low + eps))
+
+
 def hottest_window(df: DataFrame, doc: str, index: str, value: str, focus: Column, size: int = 120) -> DataFrame:
     """(doc, start, total): where the window of `size` tokens with the largest focus sum begins, first on ties; all tokens count in a document without focus value. Full windows only."""
     of_doc = Window.partitionBy(doc)

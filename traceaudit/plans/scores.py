@@ -309,7 +309,7 @@ routed AS (SELECT id, family, question, gt, CASE WHEN family = 'label' AND doc_i
   FROM responses JOIN families ON code = task || (doc_id // 10) % 2 WHERE answer <> ''),
 tags AS (SELECT *, {SQL_ANSWER} AS tagged, coalesce({SQL_TRACE}, answer) AS trace FROM routed),
 preds AS (SELECT *, CASE WHEN family = 'label' THEN nullif(regexp_extract(lower({SQL_WHOLE}), '(^|[^\pL\pN_])(yes|no)([^\pL\pN_]|$)', 2), '') WHEN family IN ('caption', 'set') THEN {SQL_WHOLE}
-    WHEN family = 'structure' THEN coalesce(tagged, nullif(regexp_extract(answer, '{audit.STRUCTURE}'), '')) ELSE tagged END AS pred FROM tags),
+    WHEN family = 'structure' THEN coalesce(tagged, nullif(regexp_extract(answer, '{tx.BARE_STRUCTURE}'), '')) ELSE tagged END AS pred FROM tags),
 texts AS (SELECT *, {sql_norm('question')} AS nq, {sql_norm('gt')} AS ng, {sql_norm("coalesce(pred, '')")} AS np, {sql_norm('trace')} AS nt, {sql_norm("concat_ws(' ', trace, pred)")} AS nc FROM preds),
 named AS (SELECT *, {sql_groups('nq')} AS in_question, {sql_groups('ng')} AS in_gt, {sql_groups('np')} AS in_pred,
     CASE family WHEN 'structure' THEN {sql_groups_outside('nt')} WHEN 'caption' THEN {sql_groups('nc')} ELSE {sql_groups('nt')} END AS claimed FROM texts),

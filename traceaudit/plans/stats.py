@@ -122,7 +122,5 @@ def a23_coverage_inventory(spark, d):
 def a24_caption_scores(spark, d):
     from traceaudit.functions import similarity as sim
 
-    q, a = F.col("question"), F.col("reply")
-    return turn_pairs(spark, d).groupBy((F.col("conv_id") % 3).alias("model")).agg(
-        F.count("*").alias("n"), F.round(100 * F.avg(sim.rouge_n(q, a, 1)), 6).alias("rouge1"), F.round(100 * F.avg(sim.rouge_n(q, a, 2)), 6).alias("rouge2")
-    )
+    out = sim.caption_scores(turn_pairs(spark, d).withColumn("model", F.col("conv_id") % 3), ["model"], "question", "reply")
+    return out.select("model", "n", *r6("bleu2", "bleu4", "rouge1", "rouge2", "rouge_l"))
