@@ -356,6 +356,22 @@ def test_katz_against_brute_force(spark, monkeypatch, small):
     assert got == brute_katz(rows)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_stored_katz_model_scores_as_one_that_is_trained_along(spark, tmp_path, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(katz, "RANGE_KEYS", 50)
+        monkeypatch.setattr(katz, "BATCH_TOKENS", 90)
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(rng.randrange(0, 40))), i % 3 != 0) for i in range(90)]
+    rows += [(500, None, True), (501, "", False), (502, "unseen words " * 300, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    path = f"file://{tmp_path}/model"
+    katz.train(df.filter("train"), path)
+    got = sorted((r["doc_id"], *[r[c] for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]) for r in katz.score_with(df, path).collect())
+    assert [(str(g[0]), *g[1:]) for g in sorted(got, key=lambda g: (str(g[0]), g[1]))] == brute_katz(rows)
+    assert katz.score_with(df.limit(0), path).count() == 0
+
+
 def test_katz_without_training_texts(spark):
     df = spark.createDataFrame([(1, "a b", False)], "doc_id long, text string, train boolean")
     r = katz.score_texts(df).first()

@@ -14,6 +14,10 @@ Probabilities, with counts c over the training tokens and a history h of one or
   whole; here (r - 0.5) / r stands there too, as a history whose counts are all above 5 would leave unseen words probability 0;
 * alpha(h) = (1 - sum of P(w | h) over w seen after h) / (1 - sum of P(w | h') over the same w), which makes P(. | h) sum to 1.
 
+train() writes the model as tables, partitioned by order: the n-grams of each range with their counts, and the sums that give each history its weight.
+score_with() scores any texts by such a model, which takes the place of the batches that were trained on. score_texts() does both for one table of texts at once
+and keeps only the weights that its own texts need.
+
 A text begins after a start mark, a history only, and ends with an end token. Its first token has the start mark alone as history.
 
 Words and n-grams are told apart by hashes of SPARE_BITS bits more than the number of tokens has, 64 at most, so that the chance that an
@@ -46,7 +50,9 @@ TASK_ROWS = 1000
 END, START = np.uint64(0x9E6C63D0876A9A47), np.uint64(0x5851F42D4C957F2D)
 BATCHES = "batch long, doc_ids array<long>, train array<boolean>, lens array<int>, stream binary, words binary, ranks binary"
 SENT = "kind int, slice long, batch long, keys binary, counts binary, others binary"
-TOTALS = "batch long, kind int, slice long, totals binary, owned binary, asked binary, stats array<long>"
+TOTALS = "batch long, kind int, slice long, totals binary, owned binary, asked binary, stats array<long>, keys binary, counts binary"
+#: Stands for the batch in rows of a stored model.
+MODEL = -1
 SCORED = "batch long, kind int, slice long, turn int, hists binary, sums binary, lower binary, c binary, c_lower binary, needs binary, doc_ids array<long>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
 REPLY = "batch long, kind int, slice long, alphas binary, needs binary, doc_ids array<long>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
 
@@ -195,7 +201,9 @@ def runs_of(batches, keys: tuple[str, ...]):
         yield held
 
 
-def send_counts(width: int, bits: int):
+def send_counts(width: int, bits: int, ask_all: bool = False):
+    """Distinct n-grams of each batch with training counts. others: which ones texts outside the training set have; all of them with ask_all."""
+
     def run(batches):
         for row in one_by_one(batches):
             b = Batch(row, width)
@@ -206,21 +214,21 @@ def send_counts(width: int, bits: int):
                 tables.append((kind, keys, counts, np.bincount(inverse, minlength=len(keys)) - counts))
             for kind, keys, n, other in tables:
                 for s, lo, hi in slices_of(keys, bits):
-                    others = np.packbits(other[lo:hi] > 0).tobytes() if kind < 3 else None
+                    others = np.packbits((other[lo:hi] > 0) | ask_all).tobytes() if kind < 3 else None
                     yield record([{"kind": kind, "slice": s, "batch": row["batch"], "keys": packed_keys(keys[lo:hi]), "counts": packed(n[lo:hi].astype(np.int32)), "others": others}], SENT)
 
     return run
 
 
-def add_up(start: np.uint64):
-    """Totals of each range for each batch in it. owned: which keys this batch is the one to speak for; asked: which ones texts outside the training set have.
+def add_up(start: np.uint64, keep: bool = False):
+    """Totals of each range for each batch in it, and with keep also all of its trained n-grams with their counts, as a row of batch MODEL. owned: which keys this batch is the one to speak for; asked: which ones texts outside the training set have.
     stats, on one row of a range: how many keys have count 1 .. GT_MOST + 1, any count, and the sum of counts."""
 
     def run(batches):
         for rows in runs_of(batches, ("kind", "slice")):
             kind = rows[0]["kind"]
             keys = [unpacked_keys(r["keys"]) for r in rows]
-            counts = np.concatenate([unpacked(r["counts"], np.int32) for r in rows])
+            counts = np.concatenate([unpacked(r["counts"], np.int64 if r["batch"] == MODEL else np.int32) for r in rows])
             every, inverse, _ = distinct(np.concatenate(keys))
             total = np.bincount(inverse, counts, minlength=len(every)).astype(np.int64)
             owner = np.full(len(every), -1, np.int64)
@@ -229,13 +237,19 @@ def add_up(start: np.uint64):
             owned = owner[inverse] == np.arange(len(inverse))
             asked = None
             if kind < 3:
-                asked = np.bincount(inverse, np.concatenate([flags_of(r["others"], len(k)) for r, k in zip(rows, keys, strict=True)]), minlength=len(every))[inverse] > 0
+                others = [flags_of(r["others"], len(k)) if r["others"] is not None else np.zeros(len(k), bool) for r, k in zip(rows, keys, strict=True)]
+                asked = np.bincount(inverse, np.concatenate(others), minlength=len(every))[inverse] > 0
             counted = total[every != start] if kind == 1 else total
             stats = [*(int((counted == r).sum()) for r in range(1, GT_MOST + 2)), int((counted > 0).sum()), int(counted.sum())]
+            if keep:
+                held = total > 0
+                yield record([{"batch": MODEL, "kind": kind, "slice": rows[0]["slice"], "keys": packed_keys(every[held]), "counts": packed(total[held])}], TOTALS)
             at = 0
             for r, k in zip(rows, keys, strict=True):
                 mine = slice(at, at + len(k))
                 at += len(k)
+                if r["batch"] == MODEL:
+                    continue
                 out = {"batch": r["batch"], "kind": kind, "slice": r["slice"], "totals": packed(total[inverse[mine]]), "owned": np.packbits(owned[mine]).tobytes(), "stats": stats}
                 yield record([out | {"asked": None if asked is None else np.packbits(asked[mine]).tobytes()}], TOTALS)
                 stats = None
@@ -366,39 +380,100 @@ def finish(batches):
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
-    """Train on docs(doc_id, text, train) where train is true, and score all: doc_id, n_tokens, n_known, train_tokens, base_score, score.
-
-    Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end; a null or empty text is an end alone. base_score is the sum of
-    log10((c + 1) / (N + V + 1)), score the log10 probability of the text. Rows may repeat; one row comes back for each, and other columns are
-    ignored. A null train counts as false. Without training texts every probability is that of the one unknown word, 1.
-    """
-    docs = docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train"))
+def hash_width(docs: DataFrame) -> int:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
-    width = min(64, max(40, int(size).bit_length() + SPARE_BITS - 2))  # a token takes some four to eight bytes
+    return min(64, max(40, int(size).bit_length() + SPARE_BITS - 2))  # a token takes some four to eight bytes
+
+
+def batches_of(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """The texts as written batches, and how many tokens they have."""
     parts = cut(text_batches(docs, width, BATCH_TOKENS), "katz-batches")
-    tokens = parts.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, tokens / RANGE_KEYS)))))
-    sent = parts.mapInArrow(send_counts(width, bits), SENT)
+    return parts, parts.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+
+
+def totals_of(sent: DataFrame, width: int, keep: bool = False) -> DataFrame:
     cutoff = np.uint64(64 - width)
-    totals = cut(in_runs(sent, ["kind", "slice"], ["kind", "slice"]).mapInArrow(add_up(START >> cutoff << cutoff), TOTALS), "katz-totals")
+    return cut(in_runs(sent, ["kind", "slice"], ["kind", "slice"]).mapInArrow(add_up(START >> cutoff << cutoff, keep), TOTALS), "katz-totals")
+
+
+def parameters(totals: DataFrame) -> dict:
+    """Token and word counts and the discounts of each order, from the statistics of the ranges."""
     n_stats = GT_MOST + 3
     sums = {r["kind"]: [int(r[f"s{i}"]) for i in range(n_stats)] for r in totals.filter("stats IS NOT NULL").groupBy("kind").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(n_stats)]).collect()}
     one, two, three = (sums.get(k, [0] * n_stats) for k in (1, 2, 3))
     d1, n, v = discounts(one[: GT_MOST + 1]), one[-1], one[-2]
     above = (n - sum(r * one[r - 1] for r in range(1, GT_MOST + 1)), v - sum(one[:GT_MOST]))
     kept = float(sum(d1[r - 1] * r * one[r - 1] for r in range(1, GT_MOST + 1)) + above[0] - 0.5 * above[1])
-    model = {"d1": d1, "d2": discounts(two[: GT_MOST + 1]), "d3": discounts(three[: GT_MOST + 1]), "n": n, "v": v, "kept": kept}
+    return {"d1": d1, "d2": discounts(two[: GT_MOST + 1]), "d3": discounts(three[: GT_MOST + 1]), "n": n, "v": v, "kept": kept}
 
+
+def scored_batches(parts: DataFrame, totals: DataFrame, model: dict, width: int, bits: int) -> DataFrame:
+    """Rows of SCORED: each batch meets its totals."""
     left = parts.withColumns({"kind": F.lit(0), "slice": F.lit(0).cast("long"), **{c: F.lit(None).cast("binary") for c in ("totals", "owned", "asked")}})
-    right = totals.drop("stats").withColumns({c: F.lit(None).cast(t) for c, t in parts.dtypes if c != "batch"}).select(left.columns)
+    right = totals.filter(F.col("batch") != MODEL).drop("stats", "keys", "counts").withColumns({c: F.lit(None).cast(t) for c, t in parts.dtypes if c != "batch"}).select(left.columns)
     both = in_runs(left.union(right), ["batch"], ["batch", "kind", "slice"])
-    scored = both.mapInArrow(score_batches(model, width, bits), SCORED)
+    return both.mapInArrow(score_batches(model, width, bits), SCORED)
+
+
+def texts_of(scored: DataFrame, n: int) -> DataFrame:
+    """One row per text: its batch's scores with the backoff weights of the ranges."""
     replies = in_runs(scored, ["kind", "slice"], ["kind", "slice", "turn"]).mapInArrow(back_off, REPLY)
     rows = in_runs(replies, ["batch"], ["batch", "kind", "slice"]).mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def range_bits(tokens: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, tokens / RANGE_KEYS)))))
+
+
+def score_texts(docs: DataFrame) -> DataFrame:
+    """Train on docs(doc_id, text, train) where train is true, and score all: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end; a null or empty text is an end alone. base_score is the sum of
+    log10((c + 1) / (N + V + 1)), score the log10 probability of the text. Rows may repeat; one row comes back for each, and other columns are
+    ignored. A null train counts as false. Without training texts every probability is that of the one unknown word, 1.
+    """
+    docs = docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train"))
+    width = hash_width(docs)
+    parts, tokens = batches_of(docs, width)
+    bits = range_bits(tokens)
+    totals = totals_of(parts.mapInArrow(send_counts(width, bits), SENT), width)
+    model = parameters(totals)
+    return texts_of(scored_batches(parts, totals, model, width, bits), model["n"])
+
+
+def train(docs: DataFrame, path: str) -> None:
+    """Write the model of docs(text) to a new folder that all executors share: grams and sums, both partitioned by kind (the order), and parameters.
+
+    Null and empty texts count as ends alone. All weights are kept, not only those that some text needs.
+    """
+    docs = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("train"))
+    width = hash_width(docs)
+    parts, tokens = batches_of(docs, width)
+    bits = range_bits(tokens)
+    totals = totals_of(parts.mapInArrow(send_counts(width, bits, ask_all=True), SENT), width, keep=True)
+    model = parameters(totals)
+    totals.filter(F.col("batch") == MODEL).select("kind", "slice", "keys", "counts").write.partitionBy("kind").parquet(f"{path}/grams")
+    sums = scored_batches(parts, totals, model, width, bits).filter("kind > 0 AND turn = 0")
+    sums.select("kind", "slice", "hists", "sums", "lower", "c", "c_lower").write.partitionBy("kind").parquet(f"{path}/sums")
+    row = [(width, bits, model["n"], model["v"], model["kept"], *[model[k].tolist() for k in ("d1", "d2", "d3")])]
+    docs.sparkSession.createDataFrame(row, "width int, bits int, n long, v long, kept double, d1 array<double>, d2 array<double>, d3 array<double>").write.parquet(f"{path}/parameters")
+
+
+def score_with(docs: DataFrame, path: str) -> DataFrame:
+    """Score docs(doc_id, text) by the model that train() wrote to path; the columns are those of score_texts."""
+    spark = docs.sparkSession
+    held = spark.read.parquet(f"{path}/parameters").first()
+    model = {**{k: np.array(held[k]) for k in ("d1", "d2", "d3")}, **{k: held[k] for k in ("n", "v", "kept")}}
+    parts, _ = batches_of(docs.select("doc_id", "text", F.lit(False).alias("train")), held["width"])
+    grams = spark.read.parquet(f"{path}/grams")
+    known = grams.select(F.col("kind").cast("int").alias("kind"), "slice", F.lit(MODEL).cast("long").alias("batch"), "keys", "counts", F.lit(None).cast("binary").alias("others"))
+    totals = totals_of(parts.mapInArrow(send_counts(held["width"], held["bits"]), SENT).union(known), held["width"])
+    sums = spark.read.parquet(f"{path}/sums").withColumns({"kind": F.col("kind").cast("int"), "turn": F.lit(0), "batch": F.lit(MODEL).cast("long")})
+    scored = scored_batches(parts, totals, model, held["width"], held["bits"])
+    return texts_of(scored.unionByName(sums, allowMissingColumns=True), held["n"])
+
+
 def op9_katz_backoff(spark, sf_dir: str) -> DataFrame:
     """All documents; learns from those whose crc32(doc_id) mod 7 is not 2."""
     docs = table(spark, sf_dir, "documents")
