@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
+from traceaudit.session import scratch_dir
+
 #: Narrow rows that a broadcast table has at most.
 SMALL_ROWS = 1_000_000
 #: Distinct words whose hashes a Python worker remembers at once.
 MEMO_WORDS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-own-"))
-    return _OWN_DIR[0]
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again, so that a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import cut, shared_dir
+from traceaudit.llm.common import cut
+from traceaudit.session import scratch_dir
 
 LEAST_SHARED = 100
 FILE_BYTES = 64 << 20
@@ -181,7 +182,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back through the index."""
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "warc")
     index = write_archives(plan_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
     back = cut(read_records(index, folder).drop("payload", "url"), "warc-read")
     return resolve_revisits(back).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
