@@ -10,20 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from traceaudit.llm import decontaminate, jaccard_join, pieces, quality, toxicity
 from traceaudit.llm.common import cut
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from traceaudit.session import table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the character n-gram classifier scores as toxic; it learns from the labelled documents of sf_dir."""
-    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents"))
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of poor quality; hosts and paths are estimated over the documents that reach the stage."""
-    return quality.drop_poor(docs, _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents"))
+    """Drops documents of poor quality; the classifier and the outcomes of hosts and paths come from the labelled documents of sf_dir."""
+    return quality.drop_poor(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +30,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that tile at least half of a benchmark item."""
-    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:

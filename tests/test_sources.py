@@ -3,6 +3,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from traceaudit.sources import records
@@ -51,3 +52,25 @@ def test_stream_scores_each_key_once_and_resumes(spark, tmp_path):
     spark.createDataFrame([(2, 2), (3, 3)], "id int, x int").write.mode("append").parquet(source)
     stream.score_stream(spark, source, "id int, x int", score, out, checkpoint, ["id"])
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, 2), (2, 4), (3, 6)]
+
+
+def test_a_cluster_has_to_name_its_shared_folder(spark):
+    from traceaudit import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        found = None
+
+        def get(self, key, default):
+            return self.found
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
+    Session.conf.found = "hdfs://x/y/"
+    assert session.scratch_dir(Session(), "t").startswith("hdfs://x/y/t-")
+    assert session.shared_dir(spark) and session.scratch_dir(spark, "t") != session.scratch_dir(spark, "t")

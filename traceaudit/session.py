@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,10 +33,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path that the driver and all executors share: under spark.checkpoint.dir, or a temporary folder where that is unset."""
-    import tempfile
-    import uuid
+_OWN_DIR: list[str] = []
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="spark-own-") + f"/{name}"
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder of its own; a cluster
+    has to name one, as its machines do not see each other's temporary folders."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-own-"))
+    return _OWN_DIR[0]
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder path inside shared_dir."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
