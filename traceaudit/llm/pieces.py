@@ -372,20 +372,19 @@ def decode(rows: DataFrame, path: str = MODEL, column: str = "decoded", ids: str
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(column, T.StringType())]))
 
 
+def round_trip(spark, sf_dir: str, kind: str) -> DataFrame:
+    """doc_id, n_pieces, ids_hash (Spark's xxhash64 of the id array), round_trip (decoding gives the text, with a literal space mark read as a space) of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = decode(encode(docs, kind=kind))
+    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit(MARK), F.lit(" ")))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """All documents, encoded by Viterbi over the vocabulary's pieces and scores and by its merges.
+    """All documents by Viterbi over the vocabulary's pieces and scores. See round_trip."""
+    return round_trip(spark, sf_dir, "unigram")
 
-    doc_id; n_pieces and ids_hash (Spark's xxhash64 of the id array) of the Viterbi encoding; merged_pieces and merged_hash of the BPE encoding; round_trip (decoding either gives the text, with a literal space mark read as a space).
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = encode_as(docs, {"ids": "unigram", "merged": "bpe"})
-    back = decode(decode(both), column="decoded_merged", ids="merged")
-    text = F.replace("text", F.lit(MARK), F.lit(" "))
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
-        F.size("merged").cast("long").alias("merged_pieces"),
-        F.xxhash64("merged").alias("merged_hash"),
-        (F.col("decoded").eqNullSafe(text) & F.col("decoded_merged").eqNullSafe(text)).alias("round_trip"),
-    )
+
+def sentencepiece_merges(spark, sf_dir: str) -> DataFrame:
+    """All documents by the vocabulary's merges, the ids that its models were made with. See round_trip."""
+    return round_trip(spark, sf_dir, "bpe")

@@ -8,6 +8,7 @@ QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
     "op2_warc": warc.op2_warc,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "sentencepiece_merges": pieces.sentencepiece_merges,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_license_scan": license_scan.op6_license_scan,
