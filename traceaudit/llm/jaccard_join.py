@@ -17,14 +17,14 @@ A text is the set of the 64-bit hashes of its distinct k-word shingles. The step
    between sets of different components is lost. Shingles of one family of sets are dealt together, as their rows are alike, in deals of bounded size;
    the pairs of chunks of a shingle are deals of their own, so a shingle or a family of very many sets is many pieces.
    A pair that shares many shingles is named where it meets first, in the order of falling frequency: each set brings the few of its shingles along that
-   come first and before the shingle at hand, and a pair that has one of them in common has met there.
+   come first and before the shingle at hand, and a pair that has one of them in common has met there. Only named pairs that share enough of these shingles have their sets fetched.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceaudit.llm.common import WordHashes, cut, in_runs, mix64, pack_sorted, pieces_of, planes, shingle_hashes, slices_of, small_or_shuffled, sorted_runs, unpack_sorted, unplanes, words_of
@@ -355,7 +355,10 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
 
     placed = prefixes.join(parts, "doc_id", "left").withColumn("part_id", F.coalesce("part_id", "doc_id"))
     split = placed.groupBy("h").agg(F.min("part_id").alias("lo"), F.max("part_id").alias("hi")).filter("lo <> hi").select("h", F.col("lo").alias("family"))
-    rest = cut(placed.join(split, "h").select("h", "family", "doc_id", "part_id", "size"), "jaccard-rest")
+    rest = cut(placed.join(split, "h").select("h", "family", "doc_id", "part_id", "size", "n"), "jaccard-rest")
+    # of each set, what the second round works with: shingles that two components share are all here, most common first
+    ranked = F.sort_array(F.collect_set(F.struct((-F.col("size")).alias("rank"), "h")))
+    shared = cut(rest.groupBy("doc_id").agg(ranked.alias("ranked"), F.min("n").alias("n")), "jaccard-lists")
     # of a shingle with more sets than a chunk, sets of its largest component need not meet each other
     largest = rest.filter(F.col("size") > 4 * chunk).groupBy("h", "part_id").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("part_id", "c").alias("major"), F.max("c").alias("n_major"))
     parts_of = lambda n: F.ceil(n / (4 * chunk)).cast("int")
@@ -367,16 +370,15 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     )
     meets = 2 * F.when(F.col("first"), F.col("n_other")).otherwise(F.col("n_first") + F.col("n_other"))  # signature rows of a set: two bands, each chunk that it meets
     families = cut(rest.groupBy("family").agg(F.ceil(F.sum(meets) / DEAL_ROWS).alias("n_deals")).filter("n_deals > 1"), "jaccard-families")
-    by_set = Window.partitionBy("doc_id")
-    lows = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("size")).alias("rank"), "h")).over(by_set)), 1, LOWS)
+    lows = shared.join(small_or_shuffled(several), "doc_id", "left_anti").select("doc_id", F.slice("ranked", 1, LOWS).alias("lows"))  # what holds for one of several texts does not for the others
+    nodes = cells.drop("cells").join(lows, "doc_id", "left")
     earlier = F.transform(F.filter("lows", lambda g: g < F.struct((-F.col("size")).alias("rank"), "h")), lambda g: g["h"])
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26)))  # sets that link differ by a factor of at most 1.25, so by one band at most
     deal = F.when(F.col("n_first") + F.col("n_other") > 1, F.xxhash64("h", "band", "i", "j")).otherwise(F.xxhash64("h"))
     tree_rows = (
-        rest.join(small_or_shuffled(families), "family", "left")
-        .join(small_or_shuffled(several.withColumn("has_more", F.lit(True))), "doc_id", "left")  # what holds for one of its texts does not for the others
-        .withColumn("lows", F.when(F.col("has_more").isNull(), lows))
-        .join(cells.drop("cells"), "doc_id")
+        rest.drop("n")
+        .join(small_or_shuffled(families), "family", "left")
+        .join(nodes, "doc_id")
         .withColumn("band", F.explode(F.array(band, band + 1)))
         .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.when(F.col("first"), F.col("n_first")).otherwise(F.col("n_other"))).cast("int") + F.when(F.col("first"), 0).otherwise(F.col("n_first")))
         .withColumn("with", F.explode(F.sequence(F.when(F.col("first"), F.col("n_first")).otherwise(0), F.col("n_first") + F.col("n_other") - 1)))
@@ -386,6 +388,10 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     )
     maybe = in_runs(tree_rows, ["family", "salt"], ["family", "salt", "h", "band", "i", "j"]).mapInArrow(second_round, "a long, b long")
     maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # all prefix shingles that sets of two components share are in `shared`, and sets that link share enough of them
+    for x in ("a", "b"):
+        maybe = maybe.join(shared.select(F.col("doc_id").alias(x), F.transform("ranked", lambda g: g["h"]).alias(f"h_{x}"), least_shared().alias(f"least_{x}")), x)
+    maybe = cut(maybe.filter(F.size(F.array_intersect("h_a", "h_b")) >= F.greatest("least_a", "least_b")).select("a", "b"), "jaccard-maybe")
     sides = [cells.select(F.col("doc_id").alias(x), F.col("cells").alias(f"cells_{x}")) for x in ("a", "b")]
 
     def check(batches):
