@@ -17,7 +17,8 @@ A text is the set of the 64-bit hashes of its distinct k-word shingles. The step
    between sets of different components is lost. Shingles of one family of sets are dealt together, as their rows are alike, in deals of bounded size;
    the pairs of chunks of a shingle are deals of their own, so a shingle or a family of very many sets is many pieces.
    A pair that shares many shingles is named where it meets first, in the order of falling frequency: each set brings the few of its shingles along that
-   come first and before the shingle at hand, and a pair that has one of them in common has met there. Only named pairs that share enough of these shingles have their sets fetched.
+   come first and before the shingle at hand, and a pair that has one of them in common has met there. Each set also brings a bitmap of the prefix shingles
+   that it shares with other components, and a pair is named only if these bitmaps allow as many common ones as a link has.
 """
 
 from __future__ import annotations
@@ -188,6 +189,16 @@ def bitmap(s: np.ndarray) -> tuple[int, int]:
     return bits, len(s) - int(mask.sum())
 
 
+def mark(batches):
+    """(doc_id, lows, marks, marks_excess) of (doc_id, lows, h): the bitmap of a set's shingles h."""
+    for batch in pieces_of(batches, TASK_ROWS):
+        lists = batch.column(2)
+        values, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+        maps = [bitmap(values[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
+        columns = [batch.column(0), batch.column(1), pa.array([m[0].to_bytes(BITS // 8, "little") for m in maps], pa.binary()), pa.array([m[1] for m in maps], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lows", "marks", "marks_excess"])
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= 80 * (len(a) + len(b) - both)
@@ -223,14 +234,16 @@ def first_round(batches):
 
 
 def second_round(batches):
-    """Pairs (a, b) that may link, of each pair of chunks (family, salt, h, band, i, j, doc_id, side, component, n, excess, signature, earlier)."""
+    """Pairs (a, b) that may link, of each pair of chunks (family, salt, h, band, i, j, doc_id, side, component, n, excess, signature, earlier, marks, marks_excess)."""
     for (*_, i, j), rows in runs(batches, 6):
         stats = [(int.from_bytes(r[5], "little"), r[3], r[3], r[4]) for r in rows]
         earlier = [frozenset(r[6] or ()) for r in rows]
+        marks = [int.from_bytes(r[7], "little") for r in rows]
         found = set()
 
-        def note(x, y, rows=rows, earlier=earlier, found=found):
-            if earlier[x].isdisjoint(earlier[y]):
+        def note(x, y, rows=rows, earlier=earlier, marks=marks, found=found):
+            least = max(1, 4 * max(rows[x][3], rows[y][3]) // 100)  # see least_shared
+            if (marks[x] & marks[y]).bit_count() + min(rows[x][8], rows[y][8]) >= least and earlier[x].isdisjoint(earlier[y]):
                 found.add((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])))
 
         if len(rows) == 2:
@@ -355,10 +368,11 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
 
     placed = prefixes.join(parts, "doc_id", "left").withColumn("part_id", F.coalesce("part_id", "doc_id"))
     split = placed.groupBy("h").agg(F.min("part_id").alias("lo"), F.max("part_id").alias("hi")).filter("lo <> hi").select("h", F.col("lo").alias("family"))
-    rest = cut(placed.join(split, "h").select("h", "family", "doc_id", "part_id", "size", "n"), "jaccard-rest")
+    rest = cut(placed.join(split, "h").select("h", "family", "doc_id", "part_id", "size"), "jaccard-rest")
     # of each set, what the second round works with: shingles that two components share are all here, most common first
     ranked = F.sort_array(F.collect_set(F.struct((-F.col("size")).alias("rank"), "h")))
-    shared = cut(rest.groupBy("doc_id").agg(ranked.alias("ranked"), F.min("n").alias("n")), "jaccard-lists")
+    shared = rest.groupBy("doc_id").agg(ranked.alias("ranked")).select("doc_id", F.slice("ranked", 1, LOWS).alias("lows"), F.transform("ranked", lambda g: g["h"]).alias("h"))
+    shared = cut(shared.mapInArrow(mark, "doc_id long, lows array<struct<rank:long,h:long>>, marks binary, marks_excess long"), "jaccard-marks")
     # of a shingle with more sets than a chunk, sets of its largest component need not meet each other
     largest = rest.filter(F.col("size") > 4 * chunk).groupBy("h", "part_id").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("part_id", "c").alias("major"), F.max("c").alias("n_major"))
     parts_of = lambda n: F.ceil(n / (4 * chunk)).cast("int")
@@ -370,28 +384,23 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     )
     meets = 2 * F.when(F.col("first"), F.col("n_other")).otherwise(F.col("n_first") + F.col("n_other"))  # signature rows of a set: two bands, each chunk that it meets
     families = cut(rest.groupBy("family").agg(F.ceil(F.sum(meets) / DEAL_ROWS).alias("n_deals")).filter("n_deals > 1"), "jaccard-families")
-    lows = shared.join(small_or_shuffled(several), "doc_id", "left_anti").select("doc_id", F.slice("ranked", 1, LOWS).alias("lows"))  # what holds for one of several texts does not for the others
-    nodes = cells.drop("cells").join(lows, "doc_id", "left")
+    one_text = ~F.coalesce("has_more", F.lit(False))  # what holds for one of several texts does not for the others
+    nodes = cells.drop("cells").join(shared, "doc_id").join(small_or_shuffled(several.withColumn("has_more", F.lit(True))), "doc_id", "left").withColumn("lows", F.when(one_text, F.col("lows"))).drop("has_more")
     earlier = F.transform(F.filter("lows", lambda g: g < F.struct((-F.col("size")).alias("rank"), "h")), lambda g: g["h"])
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26)))  # sets that link differ by a factor of at most 1.25, so by one band at most
     deal = F.when(F.col("n_first") + F.col("n_other") > 1, F.xxhash64("h", "band", "i", "j")).otherwise(F.xxhash64("h"))
     tree_rows = (
-        rest.drop("n")
-        .join(small_or_shuffled(families), "family", "left")
+        rest.join(small_or_shuffled(families), "family", "left")
         .join(nodes, "doc_id")
         .withColumn("band", F.explode(F.array(band, band + 1)))
         .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.when(F.col("first"), F.col("n_first")).otherwise(F.col("n_other"))).cast("int") + F.when(F.col("first"), 0).otherwise(F.col("n_first")))
         .withColumn("with", F.explode(F.sequence(F.when(F.col("first"), F.col("n_first")).otherwise(0), F.col("n_first") + F.col("n_other") - 1)))
         .withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with")})
         .withColumn("salt", F.pmod(deal, F.coalesce("n_deals", F.lit(1))))
-        .select("family", "salt", "h", "band", "i", "j", "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature", earlier.alias("earlier"))
+        .select("family", "salt", "h", "band", "i", "j", "doc_id", (F.col("mine") > F.col("with")).cast("int").alias("side"), "part_id", "n", "excess", "signature", earlier.alias("earlier"), "marks", "marks_excess")
     )
     maybe = in_runs(tree_rows, ["family", "salt"], ["family", "salt", "h", "band", "i", "j"]).mapInArrow(second_round, "a long, b long")
     maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # all prefix shingles that sets of two components share are in `shared`, and sets that link share enough of them
-    for x in ("a", "b"):
-        maybe = maybe.join(shared.select(F.col("doc_id").alias(x), F.transform("ranked", lambda g: g["h"]).alias(f"h_{x}"), least_shared().alias(f"least_{x}")), x)
-    maybe = cut(maybe.filter(F.size(F.array_intersect("h_a", "h_b")) >= F.greatest("least_a", "least_b")).select("a", "b"), "jaccard-maybe")
     sides = [cells.select(F.col("doc_id").alias(x), F.col("cells").alias(f"cells_{x}")) for x in ("a", "b")]
 
     def check(batches):
