@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from traceaudit.llm import decontaminate, jaccard_join, katz, knn, license_scan, pieces, quality, toxicity, url_reputation, warc
+from traceaudit.llm import decontaminate, filter_audit, hard_negatives, jaccard_join, katz, knn, license_scan, pieces, quality, rule_cascade, toxicity, url_reputation, warc
 
 QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
@@ -16,10 +16,16 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_katz_backoff": katz.op9_katz_backoff,
     "op10_quality": quality.op10_quality,
+    "op11_rule_cascade": rule_cascade.op11_rule_cascade,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.ORACLE_SQL,
     "op2_warc": warc.ORACLE_SQL,
     "op4_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
+    "op11_rule_cascade": rule_cascade.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
