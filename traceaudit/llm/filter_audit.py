@@ -116,7 +116,8 @@ def additions(lists: DataFrame, filters: Sequence[str], marks: Sequence[str]) ->
             types = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * len(kinds)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "before", "filter", *kinds])
 
-    cells = lists.groupBy("part", "range").agg(F.collect_list(F.struct("list", "ids")).alias("lists"))  # one row for each list: filters and marks, a handful
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # merges are work out of proportion to the bytes of their lists, so small lists are not put together in few tasks
+    cells = lists.repartition(tasks, "part", "range").groupBy("part", "range").agg(F.collect_list(F.struct("list", "ids")).alias("lists"))  # one row for each list: filters and marks, a handful
     found = cells.select("part", "lists").mapInArrow(run, "part string, before int, filter string, " + ", ".join(f"{k} long" for k in kinds))
     return found.groupBy("part", "before", "filter").agg(*[F.sum(k).alias(k) for k in kinds])
 
