@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import WordHashes, cut, in_runs, mix64, pack_sorted, pieces_of, planes, shingle_hashes, slices_of, small_or_shuffled, sorted_runs, unpack_sorted, unplanes, words_of
+from traceaudit.llm.common import WordHashes, cut, in_runs, may_be_in, mix64, pack_sorted, pieces_of, planes, shingle_hashes, slices_of, small_or_shuffled, sorted_runs, unpack_sorted, unplanes, words_of
 from traceaudit.llm.components import components
 from traceaudit.session import table
 
@@ -310,12 +310,12 @@ def find_shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(docs[kept]), pa.array(sizes[kept]), pa.array(counts[inverse])], ["h", "doc_id", "n", "size"])
 
 
-def shared_prefixes(sets: DataFrame, slice_keys: int = 500_000) -> DataFrame:
+def shared_prefixes(sets: DataFrame, total: int, slice_keys: int = 500_000) -> DataFrame:
     """(h, hot, doc_id, n, size): prefix shingles that sets of sizes that could link share, of sets with enough of them; size: how many sets have the shingle.
+    total: how many rare prefix shingles there are, about.
 
     Rare shingles travel packed, in one exchange; frequent ones, whose table is bounded, are counted with partial sums.
     """
-    total = sets.agg(F.sum(F.size("rare"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / slice_keys)))))
     sent = sets.filter(F.size("rare") > 0).select("doc_id", "n", "rare").mapInArrow(send_prefixes(bits), "slice long, keys binary, docs binary, sizes binary")
     rare = in_runs(sent, ["slice"], ["slice"]).mapInArrow(find_shared, "h long, doc_id long, n long, size long")
@@ -340,7 +340,7 @@ def cell_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 ["doc_id", "n", "excess", "signature", "cells"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
+    texts = may_be_in(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids).join(ids, "doc_id")
     return cut(texts.mapInArrow(run, "doc_id long, n long, excess long, signature binary, cells binary"), "jaccard-cells")
 
 
@@ -356,9 +356,10 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     firsts = cut(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1"), "jaccard-copies")
     copies = cut(real.select("doc_id", "f1", "f2", "n").join(firsts.drop("copies"), ["f1", "f2", "n"]).filter("doc_id <> first_id").distinct(), "jaccard-copies")
     several = cut(real.groupBy("doc_id").agg(*[f(c).alias(f"{c}_{x}") for c in ("f1", "n") for x, f in (("lo", F.min), ("hi", F.max))]).filter("f1_lo <> f1_hi OR n_lo <> n_hi").select("doc_id"), "jaccard-several")  # ids with different texts
-    prefixes = cut(shared_prefixes(real.join(copies.drop("first_id"), ["doc_id", "f1", "f2", "n"], "left_anti")), "jaccard-prefixes")
+    total = real.agg(F.sum(F.size("rare"))).first()[0] or 0
+    prefixes = cut(shared_prefixes(real.join(copies.drop("first_id"), ["doc_id", "f1", "f2", "n"], "left_anti"), total), "jaccard-prefixes")
 
-    cells = cell_table(docs, prefixes.select("doc_id").distinct(), k)
+    cells = cell_table(docs, cut(prefixes.select("doc_id").distinct(), "jaccard-ids"), k)
     ranked = F.slice(F.sort_array(F.collect_list(F.struct("hot", "h", "size"))), 1, 2)
     keyed = prefixes.groupBy("doc_id").agg(ranked.alias("keys")).select("doc_id", F.posexplode("keys").alias("turn", "key"))
     keyed = keyed.select("doc_id", F.col("key.h").alias("h"), F.pmod(F.xxhash64("doc_id", "turn"), F.ceil(F.col("key.size") / chunk)).alias("part"))
