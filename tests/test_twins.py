@@ -11,6 +11,7 @@ from traceaudit.functions.similarity import bleu_score, on_bits
 from traceaudit.operators.claims import keyword_pattern
 from traceaudit.plans.base import GENERIC, LEXICON, extracted, facts, responses, turn_pairs
 from traceaudit.plans.registry import QUERIES
+from traceaudit.plans.samples import reasoned_samples
 from traceaudit.session import table
 
 md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
@@ -157,11 +158,14 @@ def entropy(clusters):
 
 
 def test_dual_entropy(spark, sf_dir):
-    got = run(spark, sf_dir, "c3_dual_entropy", "conv_id")
-    for c, turns in conversations(spark, sf_dir).items():
-        texts = [x for _, x in turns if x is not None]
-        outputs, reasons = entropy(greedy(texts, 0.8)), entropy(greedy([x for x in texts if len(x.strip(" ")) > 20], 0.75))
-        assert (got[c]["output_entropy"], got[c]["reasoning_entropy"], got[c]["entropy_gap"]) == (pytest.approx(outputs), pytest.approx(reasons), pytest.approx(reasons - outputs))
+    got, prompts = run(spark, sf_dir, "c3_dual_entropy", "prompt"), {}
+    for r in sorted(reasoned_samples(spark, sf_dir).collect(), key=lambda r: r["doc_id"]):
+        prompts.setdefault(r["prompt"], []).append(r)
+    assert got.keys() == prompts.keys() and any(r["reasoning_entropy"] > 0 for r in got.values())
+    for p, rows in prompts.items():
+        outputs = entropy(greedy([r["output"] for r in rows if r["output"] is not None], 0.8))
+        reasons = entropy(greedy([r["reasoning"] for r in rows if len(r["reasoning"].strip(" \t\n\x0b\f\r")) > 20], 0.75))
+        assert (got[p]["output_entropy"], got[p]["reasoning_entropy"], got[p]["entropy_gap"]) == (pytest.approx(outputs), pytest.approx(reasons), pytest.approx(reasons - outputs))
 
 
 def test_best_match(spark, sf_dir):

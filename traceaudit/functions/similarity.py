@@ -172,18 +172,54 @@ def caption_scores(df: DataFrame, by: list[str], truth: str, caption: str) -> Da
     return rows.select(*by, *[v.alias(k) for k, v in parts.items()]).groupBy(*by).agg(F.count("*").alias("n"), *[(100 * F.avg(k)).alias(k) for k in parts])
 
 
-#: Kind -> (pair similarity on plain values, threshold), for the greedy clusters.
-def _words(a, b):
-    x, y = set(str(a).lower().split()), set(str(b).lower().split())
-    return len(x & y) / len(x | y) if x and y else 0.0
+#: Fixed value: the distance at which two numbers have nothing in common.
+TOLERANCE = 0.1
 
 
-def _numbers(a, b):
-    return max(0.0, 1 - abs(float(a) - float(b)) / 0.1)
+def tokens_of(text) -> frozenset:
+    return frozenset(str(text).lower().split())
 
 
-def _labels(a, b):
+def jaccard_of(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def number_similarity(a, b) -> float:
+    return max(0.0, 1 - abs(float(a) - float(b)) / TOLERANCE)
+
+
+def label_similarity(a, b) -> float:
     return float(str(a).strip().lower() == str(b).strip().lower())
 
 
-SIMILARITIES = {"text": (_words, 0.80), "numeric": (_numbers, 0.90), "label": (_labels, 0.99), "reasoning": (_words, 0.75)}
+def structure_similarity(a, b) -> float:
+    """Tanimoto of two lists of on-bits; 0 if either is empty, as of a structure that could not be read."""
+    return jaccard_of(frozenset(a or ()), frozenset(b or ()))
+
+
+def set_similarity(a, b) -> float:
+    """Of two lists of parts (dicts of canonical, bits): 1 for equal multisets of canonical forms, else the mean over the parts of a of the best Tanimoto among those of b."""
+    if sorted(p["canonical"] or "" for p in a) == sorted(p["canonical"] or "" for p in b):
+        return 1.0
+    return sum(max((structure_similarity(p["bits"], q["bits"]) for q in b), default=0.0) for p in a) / max(1, len(a))
+
+
+def cosine_similarity(a, b) -> float:
+    """0 for vectors of different length and for vectors without a direction."""
+    x, y = (np.array([np.nan if v is None else v for v in c], np.float64) for c in (a, b))
+    if len(x) != len(y):
+        return 0.0
+    norm = np.sqrt((x * x).sum() * (y * y).sum())
+    return float((x * y).sum() / norm) if np.isfinite(norm) and norm > 0 else 0.0
+
+
+#: Kind -> (similarity of plain values, threshold), for the greedy clusters.
+SIMILARITIES = {
+    "text": (lambda a, b: jaccard_of(tokens_of(a), tokens_of(b)), 0.80),
+    "numeric": (number_similarity, 0.90),
+    "label": (label_similarity, 0.99),
+    "reasoning": (lambda a, b: jaccard_of(tokens_of(a), tokens_of(b)), 0.75),
+    "structure": (structure_similarity, 0.85),
+    "set": (set_similarity, 0.85),
+    "embedding": (cosine_similarity, 0.80),
+}

@@ -2,50 +2,129 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from traceaudit.functions.similarity import SIMILARITIES
 from traceaudit.functions.text import strip
+from traceaudit.operators.leaders import leaders_of
 from traceaudit.operators.stats import correlation
+from traceaudit.session import cut
+
+#: Distinct values of a key that are clustered in order at once; what is left of larger keys is matched with the leaders found so far, in parts of so many values.
+AT_ONCE = 1_000
+PART = 50_000
+#: Rows of an Arrow batch that are Python objects at once.
+ROWS = 256
+
+
+def unlike_itself(value: Column, kind: str) -> Column:
+    """Whether a value is similar to nothing, itself included: blank text, a structure without bits, a vector of norm 0 or with parts that are no numbers."""
+    if kind in ("text", "reasoning"):
+        return strip(value) == ""
+    if kind == "structure":
+        return F.size(value) == 0
+    if kind == "numeric":
+        return F.isnan(value.cast("double"))
+    if kind == "embedding":
+        norm = F.aggregate(value, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        return ~F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False))
+    return F.lit(False)
+
+
+def matched(rows: DataFrame, key: str, value: str, make: Callable, grow: bool) -> DataFrame:
+    """rows(key, _part, _side, _first, value, ...) with `_leader`, the _first of the leader that each value joins.
+
+    Rows come by (key, part), leaders (_side 0) first and then the values, in order. With grow a value that fits no leader becomes one; without, its
+    _leader is null. A task holds the leaders of one part at a time.
+    """
 
-
-def greedy_clusters(df: DataFrame, key: str, position: str, value: str, kind: str = "text", similarity=None, threshold: float | None = None) -> DataFrame:
+    names = rows.columns
+    at = {c: i for i, c in enumerate(names)}
+
+    def run(batches):
+        now, leaders = None, None
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                found = []
+                for k, part, side, first, v in zip(*[batch.column(at[c]).to_pylist() for c in (key, "_part", "_side", "_first", value)], strict=True):
+                    if leaders is None or now != (k, part):
+                        now, leaders = (k, part), make()
+                    leader = first if side == 0 else leaders.find(v)
+                    if side == 0 or leader is None and grow:
+                        leaders.add(v, first)
+                        leader = first
+                    found.append(leader)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, batch.schema.field(at["_first"]).type)], [*names, "_leader"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*rows.schema.fields, rows.schema["_first"]])
+    schema = schema[: schema.rindex("`_first`")] + f"`_leader` {rows.schema['_first'].dataType.simpleString()}"
+    return rows.repartition(key, "_part").sortWithinPartitions(key, "_part", "_side", "_first").mapInArrow(run, schema)
+
+
+def leader_of_each(firsts: DataFrame, key: str, value: str, make: Callable, at_once: int = AT_ONCE, part: int = PART) -> DataFrame:
+    """(key, _first, _leader) for firsts(key, value, _first): the first earlier leader that each value is similar to, else itself.
+
+    In rounds. The first `at_once` values of each key that are left are clustered in order, which gives their leaders; every other value of
+    the key comes later than these, so it can be matched with them in parts, in parallel, and joins the first that fits. What fits none goes into the next round. Keys of
+    at most `at_once` values are done in one, and no task gets more of a key than a part and the leaders of a round.
+    """
+    todo, done = cut(firsts.select(key, value, "_first"), "clusters-values"), []
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_first"))
+    while True:
+        heads = todo.withColumn("_place", place).filter(F.col("_place") <= at_once).drop("_place")  # a limit in each group, applied before the shuffle
+        heads = cut(matched(heads.select(F.lit(0).alias("_part"), F.lit(1).alias("_side"), key, value, "_first"), key, value, make, grow=True), "clusters-heads")
+        done.append(heads.select(key, "_first", "_leader"))
+        full = heads.groupBy(key).agg(F.count("*").alias("_n"), F.max("_first").alias("_last")).filter(F.col("_n") == at_once).select(F.col(key).alias("_key"), "_last")
+        full = cut(full, "clusters-full")  # keys with more values: at most one in at_once
+        if full.isEmpty():
+            break
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        rest = todo.join(full, same).filter(F.col("_first") > F.col("_last")).drop("_key", "_last")
+        parts = rest.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / part).cast("int").alias("_parts"))
+        parts = cut(parts, "clusters-parts")
+        leaders = heads.filter(F.col("_first") == F.col("_leader")).join(parts, same).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        others = rest.join(parts, same).withColumn("_part", F.pmod(F.xxhash64("_first"), F.col("_parts")).cast("int"))
+        columns = lambda df, side: df.select("_part", F.lit(side).alias("_side"), key, value, "_first")
+        met = matched(columns(leaders, 0).unionByName(columns(others, 1)), key, value, make, grow=False).filter("_side = 1")
+        met = cut(met.select(key, value, "_first", "_leader"), "clusters-met")
+        done.append(met.filter("_leader IS NOT NULL").select(key, "_first", "_leader"))
+        todo = met.filter("_leader IS NULL").drop("_leader")
+    return reduce(DataFrame.unionByName, done)
+
+
+def greedy_clusters(df: DataFrame, key: str, position: str, value: str, kind: str = "text", similarity=None, threshold: float | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """(key, position, cluster): in order, each value joins the first cluster whose first value is similar enough, else opens one.
 
-    The order of samples decides and similarity need not be transitive; a value has to be similar to itself, but for a blank one, which opens a
-    cluster each time. Null values take no part. Equal values of a key are one before any of them is compared, so what meets in a task are the
-    distinct answers to one prompt. Labels are equal or not, which takes no comparing: they are numbered by first place alone.
+    The kind names the similarity and how leaders are indexed (see leaders); a function of (first value of a cluster, value) may stand in for it. Values by kind: text and
+    reasoning: string; numeric: number; label: anything; structure: array of on-bits; set: array of struct(canonical, bits); embedding: array of numbers. The order of samples decides
+    and similarity need not be transitive; a value that is unlike itself opens a cluster each time. Null values take no part, positions are a key of their
+    group. Equal values of a key are one before any of them is compared. Labels are equal or not, which takes no comparing: they are numbered by first place alone.
     """
-    own, default = SIMILARITIES[kind]
-    sim, least = similarity or own, default if threshold is None else threshold
+    default = SIMILARITIES[kind][1]
+    least = default if threshold is None else threshold
     rows = df.filter(F.col(value).isNotNull()).select(key, position, value)
     if kind == "label" and similarity is None:
-        rows = rows.select(key, position, F.lower(strip(F.col(value).cast("string"))).alias("_v"))
-        firsts = rows.groupBy(key, "_v").agg(F.min(position).alias("_first"))
-        numbered = firsts.withColumn("cluster", (F.row_number().over(Window.partitionBy(key).orderBy("_first")) - 1).cast("int"))
-        return rows.join(numbered.drop("_first"), [key, "_v"]).select(key, position, "cluster")
-
-    blank = F.when(strip(F.col(value).cast("string")) == "", F.col(position))
-    rows = rows.withColumn("_blank", blank)
-    firsts = rows.groupBy(key, value, "_blank").agg(F.min(position).alias("_first"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_first", kind="stable")
-        leaders, found = [], []
-        for v in group[value]:
-            at = next((i for i, f in enumerate(leaders) if sim(v, f) >= least), len(leaders))
-            if at == len(leaders):
-                leaders.append(v)
-            found.append(at)
-        return group.assign(cluster=found)
-
-    schema = T.StructType([*firsts.schema.fields, T.StructField("cluster", T.IntegerType())])
-    numbered = firsts.groupBy(key).applyInPandas(run, schema).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col("_blank").alias("_b"), "cluster")
-    same = (F.col(key).eqNullSafe(F.col("_k"))) & (F.col(value) == F.col("_v")) & (F.col("_blank").eqNullSafe(F.col("_b")))
-    return rows.join(numbered, same).select(key, position, "cluster")
+        rows = rows.select(key, position, F.lower(strip(F.col(value).cast("string"))).alias("_v"), F.lit(None).cast("int").alias("_alone"))
+        firsts = rows.groupBy(key, "_v", "_alone").agg(F.min(position).alias("_first"))
+        leaders = firsts.withColumn("_leader", F.col("_first"))
+    else:
+        alone = F.when(unlike_itself(F.col(value), kind), F.col(position))
+        rows = rows.select(key, position, F.col(value).alias("_v"), alone.alias("_alone"))
+        firsts = cut(rows.groupBy(key, "_v", "_alone").agg(F.min(position).alias("_first")), "clusters-firsts")
+        leaders = leader_of_each(firsts, key, "_v", lambda: leaders_of(kind, similarity, least), at_once)
+    leaders = leaders.select(F.col(key).alias("_key"), F.col("_first").alias("_at"), "_leader")
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_leader")) - 1
+    numbers = leaders.filter("_at = _leader").select(F.col("_key").alias("_k"), F.col("_leader").alias("_l"), number.cast("int").alias("cluster"))
+    clusters = leaders.join(numbers, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_leader") == F.col("_l"))).select("_key", "_at", "cluster")
+    firsts = firsts.join(clusters, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_first") == F.col("_at"))).select(F.col(key).alias("_k"), F.col("_v").alias("_w"), F.col("_alone").alias("_b"), "cluster")
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_v") == F.col("_w")) & F.col("_alone").eqNullSafe(F.col("_b"))
+    return rows.join(firsts, same).select(key, position, "cluster")
 
 
 def cluster_entropy(df: DataFrame, key: str, cluster: str) -> DataFrame:
@@ -70,7 +149,7 @@ def dual_entropy(df: DataFrame, key: str, position: str, output: str, reasoning:
     """Normalised entropy of outputs and of reasonings over `shortest` characters, and reasoning less output (gap)."""
     parts = []
     for name, value, kind in (("output_entropy", output, "text"), ("reasoning_entropy", reasoning, "reasoning")):
-        kept = df.filter(F.length(F.trim(value)) > shortest) if kind == "reasoning" else df
+        kept = df.filter(F.length(strip(F.col(value))) > shortest) if kind == "reasoning" else df
         parts.append(cluster_entropy(greedy_clusters(kept, key, position, value, kind), key, "cluster").select(key, F.col("normalized").alias(name)))
     both = df.select(key).distinct().join(parts[0], key, "left").join(parts[1], key, "left").na.fill(0.0, ["output_entropy", "reasoning_entropy"])
     return both.withColumn("entropy_gap", F.col("reasoning_entropy") - F.col("output_entropy"))

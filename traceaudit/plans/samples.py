@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.functions import text as tx
 from traceaudit.operators import cluster as cu
-from traceaudit.plans.base import query
+from traceaudit.plans.base import query, responses
 from traceaudit.session import table
 
 ENTROPY = """h AS (SELECT user_id, n AS n_valid, CASE WHEN n > 1 THEN -sum(c::DOUBLE / n * ln(c::DOUBLE / n)) ELSE 0.0 END AS entropy, count(*) AS n_clusters
@@ -22,6 +22,31 @@ def c1_greedy_clusters(spark, d):
     return cu.greedy_clusters(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
+def fingerprints(spark, d):
+    """Vectors as samples of ten prompts (label), with their fingerprint: the positive components, none for every eleventh."""
+    bits = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    e = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
+    return e.select("label", "vec_id", F.when(F.col("vec_id") % 11 == 0, F.array().cast("array<int>")).otherwise(bits).alias("bits"), F.col("embedding").alias("v"))
+
+
+@query()
+def c1_structure_clusters(spark, d):
+    return cu.greedy_clusters(fingerprints(spark, d), "label", "vec_id", "bits", "structure", threshold=0.45)
+
+
+@query()
+def c1_set_clusters(spark, d):
+    """Samples are sets of two structures, a vector's and that of the next of its label's thousand."""
+    rows = fingerprints(spark, d).select("label", "vec_id", F.struct((F.col("vec_id") % 40).cast("string").alias("canonical"), "bits").alias("part"))
+    nxt = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("part").alias("other"))
+    return cu.greedy_clusters(rows.join(nxt, "vec_id").select("label", "vec_id", F.array("part", "other").alias("parts")), "label", "vec_id", "parts", "set", threshold=0.4)
+
+
+@query()
+def c1_embedding_clusters(spark, d):
+    return cu.greedy_clusters(fingerprints(spark, d), "label", "vec_id", "v", "embedding", threshold=0.3)
+
+
 @query("SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY ALL")
 def c1_label_clusters(spark, d):
     e = table(spark, d, "events")
@@ -35,10 +60,16 @@ def c2_cluster_entropy(spark, d):
     return user_entropy(spark, d).select("user_id", "n_valid", "n_clusters", F.round("entropy", 6).alias("entropy"), F.round("normalized", 6).alias("normalized"))
 
 
+def reasoned_samples(spark, d):
+    """Responses as samples of their prompt: (prompt, doc_id, output, reasoning), with an empty reasoning where there is no trace."""
+    r = responses(spark, d)
+    output = F.coalesce(tx.extract_answer(F.col("answer")), F.col("answer"))
+    return r.select(F.md5("question").alias("prompt"), "doc_id", output.alias("output"), F.coalesce(tx.extract_reasoning(F.col("answer")), F.lit("")).alias("reasoning"))
+
+
 @query()
 def c3_dual_entropy(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(tx.extract_answer(F.col("text")), F.col("text")).alias("output"), tx.reasoning_or_answer(F.col("text")).alias("reasoning"))
-    return cu.dual_entropy(rows, "conv_id", "turn", "output", "reasoning")
+    return cu.dual_entropy(reasoned_samples(spark, d), "prompt", "doc_id", "output", "reasoning")
 
 
 @query("""SELECT user_id, count(*) AS n_samples, count(DISTINCT floor(value / 10)) AS n_unique, avg(CAST(value < 60 AS INTEGER)) AS validity_rate, max(value) AS best, bool_or(value > 95) AS hit FROM events GROUP BY 1 HAVING count(*) >= 2""")
