@@ -168,6 +168,12 @@ def test_edit_instruction(spark):
         ("Please remove an amide groups from the molecule.", None, "amide_group"),
         ("Substitute the Benzene  rings with a hydroxyl", "hydroxyl", "benzene_ring"),
         ("Adding a fused benzene in the molecule", "benzene_ring", None),
+        ("Please substitute a hydroxyl in the molecule CCO with a carboxyl.", "carboxyl", "hydroxyl"),
+        ("Replace a halo in the molecule CCCl by a nitrile.", "nitrile", "halo"),
+        ("Substitute a nitro into amine.", "amine", "nitro"),
+        ("Modify CCO by replacing a thiol with C1CC1", None, "thiol"),
+        ("Replace everything", None, None),
+        ("Delete an aldehyde. Then stop", None, "aldehyde"),
         ("nothing here", None, None),
     ):
         r = one(spark, tx.edit_instruction(F.col("t")), t=text)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceaudit.functions.text import strip
 from traceaudit.operators.ranks import grouped_rank
 
 
@@ -42,9 +43,9 @@ def tail_split(df: DataFrame, order: str, n: int, slices: int = 64) -> DataFrame
 
 
 def split_pair(df: DataFrame, text: str, mark: str) -> DataFrame:
-    """Rows whose text holds the mark, with left and right of its first place, trimmed."""
+    """Rows whose text holds the mark, with left and right of its first place, without white space at their ends."""
     at = F.instr(text, F.lit(mark))
-    return df.filter(F.col(text).contains(mark)).withColumn("left", F.trim(F.substring(F.col(text), F.lit(1), at - 1))).withColumn("right", F.trim(F.substring(F.col(text), at + len(mark), F.length(text))))
+    return df.filter(F.col(text).contains(mark)).withColumn("left", strip(F.substring(F.col(text), F.lit(1), at - 1))).withColumn("right", strip(F.substring(F.col(text), at + len(mark), F.length(text))))
 
 
 def pair_tasks(df: DataFrame, position: str, text: str, mark: str, forward: str, backward: str) -> DataFrame:
@@ -55,7 +56,7 @@ def pair_tasks(df: DataFrame, position: str, text: str, mark: str, forward: str,
 
 def number_or_text(c: Column) -> Column:
     """struct(number, text): the value as a number, or as it stands where it is none; blanks are null in both."""
-    t = F.when(F.trim(c.cast("string")) != "", c.cast("string"))
+    t = F.when(strip(c.cast("string")) != "", c.cast("string"))
     return F.struct(t.try_cast("double").alias("number"), F.when(t.try_cast("double").isNull(), t).alias("text"))
 
 
@@ -67,7 +68,7 @@ def source_of(instruction: Column, pattern: str, fallback: Column) -> Column:
 def constraint_metadata(cols: dict[str, Column]) -> Column:
     """Map of the non-blank constraint columns, as text."""
     pairs = [x for k, c in cols.items() for x in (F.lit(k), c.cast("string"))]
-    return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & (F.trim(v) != ""))
+    return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & (strip(v) != ""))
 
 
 def render_prompt(df: DataFrame, templates: dict[str, str], task: str, text: str) -> DataFrame:

@@ -17,9 +17,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None, name: str | None = None):
-    """Register a function of (spark, sf_dir) under its name, with its SQL."""
+    """Register a function of (spark, sf_dir) under its name, with its SQL. A name is given once."""
 
     def register(f):
+        if (name or f.__name__) in QUERIES:
+            raise ValueError(f"there is a query {name or f.__name__!r} already")
         QUERIES[name or f.__name__] = f
         if sql:
             ORACLE_SQL[name or f.__name__] = sql
@@ -28,6 +30,9 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+#: White space for trim() in SQL.
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 #: A small lexicon of function words in the four languages of the documents; group -> keywords.
 LEXICON = {
     "g_the": ("the", "der", "le", "el"),

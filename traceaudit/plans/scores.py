@@ -157,38 +157,6 @@ def m7_exact_match(spark, d):
     return rows.groupBy("model", "task").agg(F.count("*").alias("n"), F.count(F.when(F.col("exact"), 1)).alias("n_exact"), F.count(F.when(close, 1)).alias("n_close"))
 
 
-@query("""WITH b AS (SELECT vec_id, label, list_filter(list_transform(range(0, len(embedding)), lambda i: CASE WHEN embedding[i + 1] > 0 THEN i END), lambda i: i IS NOT NULL) AS fp, embedding FROM embeddings)
-  SELECT a.vec_id, round(len(list_intersect(a.fp, b.fp))::DOUBLE / len(list_distinct(list_concat(a.fp, b.fp))), 6) AS tanimoto, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM b a JOIN b ON b.vec_id = a.vec_id + 1""")
-def m2_m3_vector_similarity(spark, d):
-    e = table(spark, d, "embeddings")
-    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    a, b = F.col("embedding"), F.col("other")
-    return e.join(nxt, "vec_id").select("vec_id", F.round(sim.tanimoto(sim.on_bits(a), sim.on_bits(b)), 6).alias("tanimoto"), F.round(sim.cosine(a, b), 6).alias("cosine"))
-
-
-@query("""SELECT a.event_id, greatest(0.0::DOUBLE, 1 - abs(a.value - b.value) / 5.0::DOUBLE) AS similarity, CAST(a.event_type = b.event_type AS INTEGER) AS same FROM events a JOIN events b ON b.event_id = a.event_id + 1""")
-def m4_m5_value_similarity(spark, d):
-    e = table(spark, d, "events")
-    nxt = e.select((F.col("event_id") - 1).alias("event_id"), F.col("value").alias("v"), F.upper("event_type").alias("t"))
-    return e.join(nxt, "event_id").select("event_id", sim.numeric_similarity(F.col("value"), F.col("v"), 5.0).alias("similarity"), sim.label_match(F.col("event_type"), F.col("t")).alias("same"))
-
-
-@query()
-def m6_best_match(spark, d):
-    f = facts(spark, d).select("item_id", F.transform("parts", lambda p: F.array_distinct(F.split(p, " "))).alias("sets"))
-    nxt = f.select((F.col("item_id") - 1).alias("item_id"), F.col("sets").alias("other"))
-    return f.join(nxt, "item_id").select("item_id", sim.best_match(F.col("sets"), F.col("other")).alias("similarity"))
-
-
-@query(f"""WITH {EXTRACTED} SELECT model, task, count(*) AS n, count(*) FILTER ({sql_norm('coalesce(pred, answer)')} = {sql_norm('gt')}) AS n_exact, count(*) FILTER (pred IS NOT NULL AND {sql_jaccard('pred', 'gt')} >= 0.1) AS n_close FROM extracted GROUP BY ALL""")
-def m7_exact_match(spark, d):
-    from traceaudit.functions.text import normalize_text
-
-    rows = extracted(spark, d)
-    same = normalize_text(F.coalesce("pred", "answer")) == normalize_text(F.col("gt"))
-    return rows.groupBy("model", "task").agg(F.count("*").alias("n"), F.count(F.when(same, 1)).alias("n_exact"), F.count(F.when(F.col("pred").isNotNull() & (sim.token_jaccard(F.col("pred"), F.col("gt")) >= 0.1), 1)).alias("n_close"))
-
-
 @query("""WITH b AS (SELECT vec_id, label, list_filter(list_transform(range(0, len(embedding)), lambda i: CASE WHEN embedding[i + 1] > 0 THEN i END), lambda i: i IS NOT NULL) AS fp FROM embeddings)
   SELECT a.vec_id AS id, round(1 - max(len(list_intersect(a.fp, b.fp))::DOUBLE / len(list_distinct(list_concat(a.fp, b.fp)))), 6) AS novelty FROM b a, b WHERE a.label < 5 AND b.label >= 5 GROUP BY 1""")
 def m8_novelty(spark, d):

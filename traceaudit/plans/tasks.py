@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceaudit.operators import prepare as pr
-from traceaudit.plans.base import EXTRACTED, RESPONSES, VERDICTS, extracted, query, responses, verdicts
+from traceaudit.plans.base import EXTRACTED, RESPONSES, VERDICTS, WHITE, extracted, query, responses, verdicts
 from traceaudit.session import table
 
 TEMPLATES = {"en": "Describe: {input}", "de": "Beschreibe: {input}", "fr": "Décris : {input}"}
@@ -28,14 +28,14 @@ def p4_tail_split(spark, d):
     return pr.tail_split(table(spark, d, "orders"), "o_orderkey", 500).select("o_orderkey", "split")
 
 
-@query("SELECT doc_id, trim(split_part(text, '. ', 1)) AS left, length(trim(substr(text, position('. ' IN text) + 2)))::INTEGER AS n_right FROM documents WHERE contains(text, '. ')")
+@query(f"SELECT doc_id, trim(split_part(text, '. ', 1), {WHITE}) AS left, length(trim(substr(text, position('. ' IN text) + 2), {WHITE}))::INTEGER AS n_right FROM documents WHERE contains(text, '. ')")
 def p5_split_pair(spark, d):
     return pr.split_pair(table(spark, d, "documents"), "text", ". ").select("doc_id", "left", F.length("right").alias("n_right"))
 
 
 @query("SELECT p_partkey, 'brand=' || p_brand || ',size=' || p_size AS metadata FROM part")
 def p6_constraint_metadata(spark, d):
-    m = pr.constraint_metadata({"brand": F.col("p_brand"), "size": F.col("p_size"), "blank": F.lit(" "), "none": F.lit(None)})
+    m = pr.constraint_metadata({"brand": F.col("p_brand"), "size": F.col("p_size"), "blank": F.lit(" \t\n"), "none": F.lit(None)})
     pairs = F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return table(spark, d, "part").select("p_partkey", F.array_join(pairs, ",").alias("metadata"))
 

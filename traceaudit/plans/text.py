@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from traceaudit.functions import text as tx
@@ -127,8 +129,30 @@ def x11_extract_fragments(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(f).cast("long").alias("n_fragments"), F.array_join(F.sort_array(F.array_distinct(f)), " ").alias("fragments"))
 
 
-@query("SELECT c_custkey, regexp_replace(lower(c_mktsegment), 's+$', '') AS added, regexp_replace(reverse(lower(c_mktsegment)), 's+$', '') AS removed FROM customer")
+#: Phrasings of edits: (sentence with {a} for the group that goes, {b} for the one that comes and {m} for the molecule, names what goes, names what comes).
+EDITS = (
+    ("Please substitute a {a} in the molecule {m} with a {b}.", True, True),
+    ("Replace the {a} in the molecule {m} by an {b}.", True, True),
+    ("Modify the molecule {m} by replacing {a} with {b}", True, True),
+    ("Substituting a {a} into {b}.", True, True),
+    ("Please add a {b} to the molecule {m}.", False, True),
+    ("Adding the {b} in the molecule {m}", False, True),
+    ("Remove a {a} from the molecule {m}.", True, False),
+    ("Deleting an {a}. Keep {m}.", True, False),
+    ("Look at {m}.", False, False),
+)
+
+
+def _sql_edit(name: str, at: int) -> str:
+    """The group that a phrasing names, as the operator has to give it."""
+    plain = f"CASE WHEN contains({name}, 'benzene') THEN 'benzene_ring' ELSE replace(regexp_replace({name}, 's+$', ''), ' ', '_') END"
+    return f"CASE WHEN k IN ({', '.join(str(i) for i, e in enumerate(EDITS) if e[at])}) THEN {plain} END"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_custkey % {len(EDITS)} AS k, 'mono ' || reverse(lower(c_mktsegment)) AS a, CASE WHEN c_custkey % 5 = 0 THEN 'benzene' ELSE lower(c_mktsegment) END AS b FROM customer)
+  SELECT c_custkey, {_sql_edit("b", 2)} AS added, {_sql_edit("a", 1)} AS removed FROM c""")
 def x16_edit_instruction(spark, d):
-    prose = F.concat(F.lit("Please replace the "), F.reverse("c_mktsegment"), F.lit(" with a "), F.col("c_mktsegment"), F.lit("."))
-    e = tx.edit_instruction(prose)
-    return table(spark, d, "customer").select("c_custkey", e["added"].alias("added"), e["removed"].alias("removed"))
+    c = table(spark, d, "customer").withColumns({"a": F.concat(F.lit("mono "), F.reverse("c_mktsegment")), "b": F.when(F.col("c_custkey") % 5 == 0, "Benzene").otherwise(F.col("c_mktsegment")), "m": F.lit("CC(=O)N")})
+    fill = lambda text: reduce(lambda t, n: F.replace(t, F.lit("{" + n + "}"), F.col(n)), "abm", F.lit(text))
+    prose = F.element_at(F.array(*[fill(e[0]) for e in EDITS]), (F.col("c_custkey") % len(EDITS) + 1).cast("int"))
+    return c.withColumn("e", tx.edit_instruction(prose)).select("c_custkey", "e.added", "e.removed")

@@ -12,7 +12,7 @@ from traceaudit.operators import cluster as cu
 from traceaudit.operators import prepare as pr
 from traceaudit.operators import stats
 from traceaudit.operators import windows as wn
-from traceaudit.plans.base import CLAIMED, EXTRACTED, LEXICON, OUTCOMES, RESPONSES, TOKENS, VERDICTS, claimed, extracted, outcomes, query, responses, sql_groups, sql_norm, tokens, verdicts
+from traceaudit.plans.base import CLAIMED, EXTRACTED, LEXICON, OUTCOMES, RESPONSES, TOKENS, VERDICTS, WHITE, claimed, extracted, outcomes, query, responses, sql_groups, sql_norm, tokens, verdicts
 from traceaudit.plans.samples import ENTROPY, user_entropy
 from traceaudit.plans.scores import OVERALL, overall_of
 from traceaudit.session import table
@@ -25,7 +25,7 @@ def p3_one_or_no(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", pr.binary_label(F.col("quality"), others_no=True).alias("label"))
 
 
-@query("""WITH p AS (SELECT doc_id, trim(split_part(text, '. ', 1)) AS l, trim(substr(text, position('. ' IN text) + 2)) AS r FROM documents WHERE contains(text, '. '))
+@query(f"""WITH p AS (SELECT doc_id, trim(split_part(text, '. ', 1), {WHITE}) AS l, trim(substr(text, position('. ' IN text) + 2), {WHITE}) AS r FROM documents WHERE contains(text, '. '))
   SELECT id, task, md5(input) AS input, md5(gt) AS gt FROM (SELECT doc_id::VARCHAR AS id, 'forward' AS task, l AS input, r AS gt FROM p UNION ALL SELECT doc_id::VARCHAR, 'retro', r, l FROM p)""")
 def p5_pair_tasks(spark, d):
     rows = pr.pair_tasks(table(spark, d, "documents"), "doc_id", "text", ". ", "forward", "retro")
