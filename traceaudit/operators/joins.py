@@ -47,9 +47,23 @@ def facts_join(df: DataFrame, facts: DataFrame, key: str, prefix: str = "fact_")
     return df.join(renamed, key, "left")
 
 
-def tokens_in_spans(tokens: DataFrame, spans: DataFrame, doc: str = "doc") -> DataFrame:
-    """tokens(doc, char_start, char_end, ...) that lie wholly inside spans(doc, lo, hi, span), one row per token and span; empty tokens are left out."""
-    return tokens.join(spans, doc).filter((F.col("char_end") > F.col("char_start")) & (F.col("char_start") >= F.col("lo")) & (F.col("char_end") <= F.col("hi")))
+def tokens_in_spans(tokens: DataFrame, spans: DataFrame, doc: str = "doc", width: int = 256) -> DataFrame:
+    """tokens(doc, char_start, char_end, ...) that lie wholly inside spans(doc, lo, hi, span), one row per token and span; empty tokens are left out.
+
+    A range join by bins. Spans of up to `width` characters share bins of that width, those of up to twice as many bins of twice the width, and so on; a span is
+    one row for each of the two bins of its level, at most, that it touches, and a token one row for each level that has spans, in the bin where it begins. The two meet by
+    (doc, level, bin), so a document of very many tokens is many keys and tokens meet spans near them alone: rows that are shuffled are in proportion
+    to tokens and spans. Nulls in bounds match nothing.
+    """
+    at, level = (next(n for n in (f"{u}{name}" for u in ("_", "__", "___")) if n not in {*tokens.columns, *spans.columns}) for name in ("bin", "level"))
+    bin_of = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(2.0), F.col(level)))).cast("long")
+    length = F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
+    whole = spans.filter(F.col("lo") <= F.col("hi")).withColumn(level, F.greatest(F.lit(0), F.ceil(F.log2(length / width))).cast("int"))
+    levels = sorted(r[0] for r in whole.select(level).distinct().collect())  # at most as many as a length has bits
+    binned = whole.withColumn(at, F.explode(F.sequence(bin_of("lo"), bin_of("hi"))))
+    levels = F.array(*[F.lit(n) for n in levels]).cast("array<int>")
+    placed = tokens.filter(F.col("char_end") > F.col("char_start")).withColumn(level, F.explode(levels)).withColumn(at, bin_of("char_start"))
+    return placed.join(binned, [doc, level, at]).filter((F.col("char_start") >= F.col("lo")) & (F.col("char_end") <= F.col("hi"))).drop(at, level)
 
 
 def region_of(flags: dict[str, Column]) -> Column:
