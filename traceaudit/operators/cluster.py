@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from traceaudit.functions.similarity import SIMILARITIES
 from traceaudit.functions.text import strip
 from traceaudit.operators.leaders import leaders_of
+from traceaudit.operators.quantiles import quantiles
 from traceaudit.operators.stats import correlation
 from traceaudit.session import cut
 
@@ -168,22 +169,23 @@ def entropy_summary(df: DataFrame, entropy: str = "entropy", normalized: str = "
     low, middle, high = F.count(F.when(y < 0.3, 1)), F.count(F.when((y >= 0.3) & (y < 0.7), 1)), F.count(F.when(y >= 0.7, 1))
     percent = lambda n: F.try_divide(100.0 * n, F.count("*"))
     more = [] if truth is None else [F.when(F.count(truth) == F.count("*"), correlation(y, F.col(truth))).alias("truth_correlation")]
-    return df.agg(
+    one = df.agg(
         F.count("*").alias("n"),
         F.avg(x).alias("mean"),
         F.stddev_pop(x).alias("std"),
-        F.percentile(x, 0.5).alias("median"),
         F.min(x).alias("least"),
         F.max(x).alias("most"),
         F.avg(y).alias("mean_normalized"),
         F.stddev_pop(y).alias("std_normalized"),
-        F.percentile(y, 0.5).alias("median_normalized"),
         low.alias("n_low"),
         middle.alias("n_medium"),
         high.alias("n_high"),
         *[percent(n).alias(f"pct_{k}") for k, n in (("low", low), ("medium", middle), ("high", high))],
         *more,
     )
+    for c, name in ((entropy, "median"), (normalized, "median_normalized")):
+        one = one.join(F.broadcast(quantiles(df, [], c, {name: 0.5}).drop("n")), how="left")  # one row each
+    return one.select("n", "mean", "std", "median", "least", "most", "mean_normalized", "std_normalized", "median_normalized", "n_low", "n_medium", "n_high", *[c for c in one.columns if c.startswith("pct_") or c == "truth_correlation"])
 
 
 def condition_entropy(df: DataFrame, uid: str, cond: str, value: str, base: str, drop: str, corrupt: str, swap: str | None = None) -> DataFrame:

@@ -22,16 +22,3 @@ def grouped_rank(df: DataFrame, group: str, order: str, column: str, slices: int
     inside = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order))
     ranked = keyed.join(starts.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")) & (keyed["_slice"] == starts["_slice"])).drop(starts["_slice"])
     return ranked.withColumn(column, F.col("_start") + inside).drop("_g", "_slice", "_start")
-
-
-def grouped_sum(df: DataFrame, group: list[str], order: str, value: str, column: str, slices: int = 64) -> DataFrame:
-    """df with the running sum of a value inside its group, by a numeric order column that is a key of the group; slices as in grouped_rank."""
-    cuts = sorted(set(df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.01)))
-    at = reduce(lambda a, b: a + b, [(F.col(order) >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
-    keyed = df.withColumn("_slice", at)
-    sums = keyed.groupBy(*group, "_slice").agg(F.sum(value).alias("_s"))
-    before = F.sum("_s").over(Window.partitionBy(*group).orderBy("_slice")) - F.col("_s")  # at most `slices` rows a group
-    starts = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_slice").alias("_at"), before.alias("_start"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)], F.col("_slice") == F.col("_at"))
-    inside = F.sum(value).over(Window.partitionBy(*group, "_slice").orderBy(order))
-    return keyed.join(starts, same).withColumn(column, F.col("_start") + inside).select(*df.columns, column)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.operators.ranks import grouped_sum
+from traceaudit.operators.quantiles import elements_at, join_on, quantiles
 
 
 def share(cond: Column) -> Column:
@@ -206,13 +206,11 @@ def describe_rates(df: DataFrame, by: list[str], score: str, valid: Column, exac
 
 
 def describe_scores(df: DataFrame, by: list[str], score: str) -> DataFrame:
-    """n, mean, interpolated median, least, most, population deviation and counts of the three bands. The median is exact: Spark keeps a count per distinct score and group."""
+    """n, mean, interpolated median, least, most, population deviation and counts of the three bands. The median is exact (see quantiles)."""
     x = F.col(score)
-    n = F.count(x)
-    return df.groupBy(*by).agg(
-        n.alias("n"),
+    rest = df.groupBy(*by).agg(
+        F.count(x).alias("n"),
         F.avg(x).alias("mean"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
         F.min(x).alias("least"),
         F.max(x).alias("most"),
         F.stddev_pop(x).alias("std"),
@@ -220,16 +218,14 @@ def describe_scores(df: DataFrame, by: list[str], score: str) -> DataFrame:
         F.count(F.when((x >= 30) & (x < 60), 1)).alias("n_moderate"),
         F.count(F.when(x >= 60, 1)).alias("n_high"),
     )
+    middle = quantiles(df, by, score, {"median": 0.5}).drop("n")
+    out = join_on(rest, middle, by, "left") if by else rest.join(F.broadcast(middle), how="left")  # one row each
+    return out.select(*by, "n", "mean", "median", "least", "most", "std", "n_low", "n_moderate", "n_high")
 
 
 def upper_median(df: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Element n div 2 (from 0) of the sorted scores: from counts per distinct value, ranked by slices of the scores, so that no group is gathered in a task."""
-    counts = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_c"))
-    upto = grouped_sum(counts, by, score, "_c", "_u")
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_n")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.lit(True))
-    middle = F.floor(F.col("_n") / 2)
-    return upto.join(totals, same).filter((F.col("_u") > middle) & (F.col("_u") - F.col("_c") <= middle)).select(*by, F.col("_n").alias("n"), F.col(score).alias("upper_median"))
+    """Element n div 2 (from 0) of the sorted scores."""
+    return elements_at(df, by, score, {"upper_median": F.floor(F.col("n") / 2)})
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -254,8 +250,9 @@ def contingency(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def group_quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), q.alias("q")).select(*by, "n", "mean", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
+    """Per `by`: n, mean and the three interpolated quartiles of the values, null where there are none."""
+    rest = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return join_on(rest, quantiles(df, by, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).drop("n"), by, "left").select(*by, "n", "mean", "q1", "q2", "q3")
 
 
 def proportion_ci(p: Column, n: Column) -> Column:
