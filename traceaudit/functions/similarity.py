@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceaudit.functions.text import strip, tokenize
+from traceaudit.session import cut
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
@@ -64,42 +66,106 @@ def property_bucket(weight: Column, rings: Column, limit: float, most_rings: int
     return F.concat_ws("/", F.when(weight > limit, "heavy").otherwise("light"), F.when(complex_, "complex").otherwise("simple"))
 
 
-def novelty(new: DataFrame, known: DataFrame, rows: int = 2048) -> DataFrame:
-    """(id, novelty): 1 less the largest Tanimoto of new(id, bits) to known(bits), arrays of on-bits below 2^16; 1 without known items.
+#: Fingerprints of a block, and blocks of a group.
+FINGERPRINTS, GROUP = 1024, 32
 
-    Both sides are packed into blocks and each pair of blocks meets once, as a matrix product in a task that keeps a maximum per
-    item; no pair becomes a row.
+
+def fingerprint_blocks(df: DataFrame, rows: int, ids: bool) -> DataFrame:
+    """Blocks of at most `rows` fingerprints of neighbouring numbers of bits, from df(id, bits): (block, least, most, n, ids, bits), least and most over its numbers of bits.
+
+    Rows are ranged by their number of bits before they are packed, so that blocks are narrow in it (and by chance among equal numbers, which changes what shares a block and no result). bits: row and place of each set bit as int32 pairs.
     """
 
-    def packed(df: DataFrame, cols: list[str]) -> DataFrame:
-        n = max(1, -(-df.count() // rows))
-        block = F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")  # dealt by place, so that equal fingerprints do not meet in one block
-        return df.select(*cols, "bits", block.alias("block")).groupBy("block").agg(*[F.collect_list(c).alias(c) for c in cols], F.collect_list("bits").alias("bits"))
+    def pack(batches):
+        held = []
 
-    a = packed(new, ["id"]).select(F.col("block").alias("a_block"), F.col("id").alias("ids"), F.col("bits").alias("a_bits"))
-    b = packed(known, []).select(F.col("block").alias("b_block"), F.col("bits").alias("b_bits"))
-    numbers = b.select("b_block").agg(F.collect_list("b_block").alias("b_blocks"))  # one number for each block
-    pairs = a.join(F.broadcast(numbers)).withColumn("b_block", F.explode("b_blocks")).join(b, "b_block")  # one row of numbers
+        def out():
+            sizes = [len(b) for _, b in held]
+            at = np.concatenate([np.stack([np.full(len(b), i, np.int32), np.asarray(b, np.int32)], 1) for i, (_, b) in enumerate(held)]) if held else np.empty((0, 2), np.int32)
+            columns = [[uuid.uuid4().int >> 65], [min(sizes)], [max(sizes)], [len(held)], [[i for i, _ in held]], [at.astype(np.int32).tobytes()]]
+            held.clear()
+            return pd.DataFrame(dict(zip(("block", "least", "most", "n", "ids", "bits"), columns, strict=True)))
+
+        for frame in batches:
+            for i, bits in zip(frame["id"], frame["bits"], strict=True):
+                held.append((i, bits))
+                if len(held) == rows:
+                    yield out()
+        if held:
+            yield out()
 
-    def best(batches):
-        def matrix(lists, width):
-            m = np.zeros((len(lists), width), np.float32)
-            for i, bits in enumerate(lists):
-                m[i, np.asarray(bits, np.int64)] = 1
-            return m
+    one = df.select("id" if ids else F.lit(0).alias("id"), F.array_distinct("bits").alias("bits")).filter("bits IS NOT NULL")
+    ranged = one.repartitionByRange(F.size("bits"), F.rand(7)).sortWithinPartitions(F.size("bits"))
+    return cut(ranged.mapInPandas(pack, f"block long, least int, most int, n int, ids array<{one.schema['id'].dataType.simpleString()}>, bits binary"), "novelty-blocks")
 
+
+def novelty(new: DataFrame, known: DataFrame, rows: int = FINGERPRINTS, group: int = GROUP) -> DataFrame:
+    """(id, novelty): 1 less the largest Tanimoto of new(id, bits) to known(bits), arrays of on-bits below 2^16; 1 without known items, without bits and for null bits.
+
+    Both sides are packed into blocks of similar numbers of bits. Groups of blocks form a grid; a cell's blocks come to one task in order, the known ones once for each group of new
+    ones. Sets of a and b bits have a Tanimoto of at most min / max, so a block of the cell meets a known block only where that
+    bound exceeds the worst best value that its items have so far; known blocks come nearest first. No pair becomes a row.
+    """
+    a, b = fingerprint_blocks(new, rows, True), fingerprint_blocks(known, rows, False)
+    n_a, n_b = a.count(), b.count()
+    a_groups = max(1, -(-n_a // group))
+    b_groups = max(1, -(-n_b // group), min(n_b, -(-2 * new.sparkSession.sparkContext.defaultParallelism // a_groups)))
+    dealt = lambda df, mine, groups, other, others, side: df.select(F.pmod("block", F.lit(groups)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), F.lit(side).alias("side"), *blocks_of)
+    blocks_of = ["least", "most", "n", "ids", "bits"]
+    left = dealt(a, "a_group", a_groups, "b_group", b_groups, 0)
+    right = dealt(b.withColumn("ids", F.lit(None).cast(a.schema["ids"].dataType)), "b_group", b_groups, "a_group", a_groups, 1)
+    cells = left.unionByName(right).repartition("a_group", "b_group").sortWithinPartitions("a_group", "b_group", "side")
+
+    def search(batches):
+        cell, mine = None, []
         for frame in batches:
             for r in frame.itertuples(index=False):
-                width = 1 + max((max(x, default=0) for side in (r.a_bits, r.b_bits) for x in side), default=0)
-                x, y = matrix(r.a_bits, width), matrix(r.b_bits, width)
-                both = x @ y.T
-                union = x.sum(1)[:, None] + y.sum(1)[None, :] - both
-                yield pd.DataFrame({"id": r.ids, "best": (both / np.maximum(union, 1)).max(axis=1).astype(np.float64)})
-
-    found = pairs.select("ids", "a_bits", "b_bits").mapInPandas(best, f"id {dict(new.dtypes)['id']}, best double").groupBy("id").agg(F.max("best").alias("best"))
+                if (r.a_group, r.b_group) != cell:
+                    yield from (m.found() for m in mine)
+                    cell, mine = (r.a_group, r.b_group), []
+                if r.side == 0:
+                    mine.append(Fingerprints(r))
+                else:
+                    other = Fingerprints(r)
+                    for m in mine:
+                        m.meet(other)
+        yield from (m.found() for m in mine)
+
+    id_type = new.schema["id"].dataType.simpleString()
+    found = cells.mapInPandas(search, f"id {id_type}, best double").groupBy("id").agg(F.max("best").alias("best"))
     return new.select("id").distinct().join(found, "id", "left").select("id", (1 - F.coalesce("best", F.lit(0.0))).alias("novelty"))
 
 
+class Fingerprints:
+    """A block as a 0/1 matrix, with the best Tanimoto of each of its items so far."""
+
+    def __init__(self, row):
+        self.least, self.most, self.ids = row.least, row.most, row.ids
+        at = np.frombuffer(row.bits, np.int32).reshape(-1, 2)
+        self.matrix = np.zeros((row.n, 1 + (int(at[:, 1].max()) if len(at) else 0)), np.float32)
+        self.matrix[at[:, 0], at[:, 1]] = 1
+        self.sizes, self.best, self.met = self.matrix.sum(1), np.zeros(row.n), 0
+
+    def bound(self, other: Fingerprints) -> float:
+        """Largest possible Tanimoto between the two blocks, from their numbers of bits."""
+        if self.least <= other.most and other.least <= self.most:
+            return 1.0 if min(self.most, other.most) else 0.0
+        few, many = (self.most, other.least) if self.most < other.least else (other.most, self.least)
+        return few / many
+
+    def meet(self, other: Fingerprints) -> None:
+        if self.bound(other) <= self.best.min():
+            return
+        self.met += 1
+        width = min(self.matrix.shape[1], other.matrix.shape[1])
+        both = self.matrix[:, :width] @ other.matrix[:, :width].T
+        union = self.sizes[:, None] + other.sizes[None, :] - both
+        self.best = np.maximum(self.best, (both.astype(np.float64) / np.maximum(union, 1)).max(axis=1))
+
+    def found(self) -> pd.DataFrame:
+        return pd.DataFrame({"id": self.ids, "best": self.best})
+
+
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -142,16 +208,22 @@ def rouge_n(reference: Column, hypothesis: Column, n: int) -> Column:
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        prev = 0
-        for j, y in enumerate(b, 1):
-            row[j], prev = (prev + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table at a time: bit i of the state is clear where the first i + 1 words of a have one more in common
+    with the words of b so far than the first i have, and one addition with carries moves the whole row on."""
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & masks.get(y, 0)
+        if hit:
+            row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_l(reference: Column, hypothesis: Column) -> Column:
-    """F-measure of the longest common subsequence of words; 0 if either side has none. Work is the product of both lengths per row."""
+    """F-measure of the longest common subsequence of words; 0 if either side has none. A row's work is the product of both lengths, 64 and more cells at a time."""
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
