@@ -65,3 +65,16 @@ def test_lcs_of_long_texts():
     began = time.process_time()
     assert sim.lcs_length(a, a) == 20_000 and 0 < sim.lcs_length(a, b) < 20_000
     assert time.process_time() - began < 4  # two pairs, on a busy machine
+
+
+def test_bleu_equals_the_plain_version(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["a", "b", "c.", "dé", "(e)", "_f"]) for _ in range(n))
+    rows = [(text(rng.randrange(0, 30)), text(rng.randrange(0, 30))) for _ in range(120)] + [(None, "a"), ("a", None), ("", ""), ("a b c", "a b c"), ("漢字 x", "漢字")]
+    df = spark.createDataFrame(rows, "r string, h string")
+    from pyspark.sql import functions as F
+
+    plan = df.select("r", "h", sim.bleus(F.col("r"), F.col("h"), (1, 2, 4)).alias("b"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    for r in plan.collect():
+        assert [r["b"][f"bleu{n}"] for n in (1, 2, 4)] == pytest.approx([sim.bleu_score(r["r"], r["h"], n) for n in (1, 2, 4)]), r

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.functions.text import strip, tokenize
+from traceaudit.functions.text import once, strip, tokenize
 from traceaudit.session import cut
 
 
@@ -185,26 +186,59 @@ def bleu_score(reference: str, hypothesis: str, n: int) -> float:
     return float(np.exp(logs) * (1.0 if len(hyp) > len(ref) else np.exp(1 - len(ref) / len(hyp))))
 
 
-def bleu(reference: Column, hypothesis: Column, n: int = 4) -> Column:
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([bleu_score(x, y, n) for x, y in zip(a, b, strict=True)])
-
-    return run(reference, hypothesis)
-
-
 def ngrams(tokens: Column, n: int) -> Column:
     """Array of n-grams as blank-joined strings."""
     last = F.size(tokens) - n
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def common_count(a: Column, b: Column) -> Column:
+    """How many elements two sorted arrays have in common, each as often as both have it: one walk along both."""
+    step = lambda s, x, y: (
+        F.when(x.isNull() | y.isNull(), s)
+        .when(x == y, F.struct((s.i + 1).alias("i"), (s.j + 1).alias("j"), (s.n + 1).alias("n")))
+        .when(x < y, F.struct((s.i + 1).alias("i"), s.j.alias("j"), s.n.alias("n")))
+        .otherwise(F.struct(s.i.alias("i"), (s.j + 1).alias("j"), s.n.alias("n")))
+    )
+    start = F.struct(*[F.lit(0).alias(c) for c in "ijn"])
+    walk = F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), start, lambda s, _: step(s, F.get(a, s.i), F.get(b, s.j)), lambda s: s.n)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), walk).otherwise(F.lit(0))
+
+
+def common_ngrams(tokens: Column, n: int) -> Column:
+    """Common n-grams of the fields a and b of a struct of token arrays, as counts (see common_count)."""
+    return once(F.struct(F.sort_array(ngrams(tokens["a"], n)).alias("a"), F.sort_array(ngrams(tokens["b"], n)).alias("b")), lambda g: common_count(g["a"], g["b"]))
+
+
+def bleus(reference: Column, hypothesis: Column, orders: tuple[int, ...] = (2, 4)) -> Column:
+    """Sentence BLEU of each order, as a struct of bleu<n>, from one tokenisation and one count of each n-gram length; see bleu_score. Null texts are empty."""
+    empty = F.lit("")
+
+    def scores(t: Column) -> Column:
+        ref, hyp = F.size(t["a"]), F.size(t["b"])
+        brevity = F.when(hyp > ref, F.lit(1.0)).otherwise(F.exp(1 - ref / hyp))
+        log = lambda k: F.log(F.greatest(F.get(t["hits"], F.lit(k - 1)).cast("double"), F.lit(0.1)) / F.greatest(F.lit(1), hyp - (k - 1)))
+        score = lambda n: brevity * F.exp(reduce(lambda x, y: x + y, [log(k) for k in range(1, n + 1)]) / n)
+        some = (ref > 0) & (hyp > 0) & (F.get(t["hits"], F.lit(0)) > 0)
+        return F.struct(*[F.when(some, score(n)).otherwise(F.lit(0.0)).alias(f"bleu{n}") for n in orders])
+
+    tokens = F.struct(tokenize(F.coalesce(reference, empty), "word").alias("a"), tokenize(F.coalesce(hypothesis, empty), "word").alias("b"))
+    counted = once(tokens, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), F.array(*[common_ngrams(t, k) for k in range(1, max(orders) + 1)]).alias("hits")))
+    return once(counted, scores)
+
+
+def bleu(reference: Column, hypothesis: Column, n: int = 4) -> Column:
+    return bleus(reference, hypothesis, (n,))[f"bleu{n}"]
+
+
 def rouge_n(reference: Column, hypothesis: Column, n: int) -> Column:
     """F-measure over n-gram counts of lower-cased [a-z0-9]+ words, without stemming; 0 if either side has none."""
-    a, b = ngrams(tokenize(reference), n), ngrams(tokenize(hypothesis), n)
-    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    hits = F.aggregate(F.transform(F.array_distinct(F.array_intersect(a, b)), lambda g: F.least(count(a, g), count(b, g))), F.lit(0), lambda s, x: s + x)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * hits / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
+
+    def score(t: Column) -> Column:
+        a, b = (F.greatest(F.size(t[x]) - (n - 1), F.lit(0)) for x in "ab")
+        return F.when((a > 0) & (b > 0), 2.0 * common_ngrams(t, n) / (a + b)).otherwise(F.lit(0.0))
+
+    return once(F.struct(tokenize(reference).alias("a"), tokenize(hypothesis).alias("b")), score)
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -240,8 +274,9 @@ def caption_scores(df: DataFrame, by: list[str], truth: str, caption: str) -> Da
     """Per `by`, over rows that have a truth: n and the means, times 100, of BLEU-2, BLEU-4, ROUGE-1, ROUGE-2 and ROUGE-L; a null caption scores 0."""
     rows = df.filter(F.col(truth).isNotNull() & (strip(F.col(truth)) != ""))
     t, c = F.col(truth), F.coalesce(caption, F.lit(""))
-    parts = {"bleu2": bleu(t, c, 2), "bleu4": bleu(t, c, 4), "rouge1": rouge_n(t, c, 1), "rouge2": rouge_n(t, c, 2), "rouge_l": rouge_l(t, c)}
-    return rows.select(*by, *[v.alias(k) for k, v in parts.items()]).groupBy(*by).agg(F.count("*").alias("n"), *[(100 * F.avg(k)).alias(k) for k in parts])
+    rouge = {"rouge1": rouge_n(t, c, 1), "rouge2": rouge_n(t, c, 2), "rouge_l": rouge_l(t, c)}
+    rows, parts = rows.select(*by, bleus(t, c).alias("_bleu"), *[v.alias(k) for k, v in rouge.items()]), ["bleu2", "bleu4", *rouge]
+    return rows.select(*by, "_bleu.*", *rouge).groupBy(*by).agg(F.count("*").alias("n"), *[(100 * F.avg(k)).alias(k) for k in parts])
 
 
 #: Fixed value: the distance at which two numbers have nothing in common.

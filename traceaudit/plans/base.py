@@ -262,6 +262,19 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.join(replies, ["conv_id", "turn"])
 
 
+def sql_bleu(source: str, keys: str) -> str:
+    """CTEs that end in bleus(keys, bleu2, bleu4), from a source with keys, ref and hyp."""
+    word = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+    gram = lambda side: f"SELECT {keys}, k, g, count(*) AS c FROM (SELECT {keys}, k, unnest([array_to_string({side}[i : i + k - 1], ' ') FOR i IN range(1, len({side}) - k + 2)]) AS g FROM bleu_tokens, range(1, 5) o(k)) GROUP BY ALL"
+    logs = lambda n: f"exp(sum(ln(greatest(coalesce(h, 0), 0.1) / greatest(1, len(b) - k + 1))) FILTER (k <= {n}) / {n})"
+    some = "len(any_value(a)) > 0 AND len(any_value(b)) > 0 AND max(h) FILTER (k = 1) > 0"
+    brevity = "CASE WHEN len(any_value(b)) > len(any_value(a)) THEN 1.0 ELSE exp(1 - len(any_value(a)) / len(any_value(b))) END"
+    return f"""bleu_tokens AS (SELECT {keys}, regexp_extract_all(coalesce(ref, ''), '{word}') AS a, regexp_extract_all(coalesce(hyp, ''), '{word}') AS b FROM {source}),
+  bleu_a AS ({gram("a")}), bleu_b AS ({gram("b")}), bleu_hits AS (SELECT {keys}, k, sum(least(x.c, y.c)) AS h FROM bleu_a x JOIN bleu_b y USING ({keys}, k, g) GROUP BY ALL),
+  bleus AS (SELECT {keys}, {", ".join(f"CASE WHEN {some} THEN {brevity} * {logs(n)} ELSE 0.0 END AS bleu{n}" for n in (2, 4))}
+    FROM (SELECT * FROM bleu_tokens, range(1, 5) o(k)) LEFT JOIN bleu_hits USING ({keys}, k) GROUP BY {keys})"""
+
+
 PAIRS = """
 turn_pairs AS (
   SELECT u.conv_id, u.turn, u.text AS question, a.text AS reply FROM conversations u JOIN conversations a

@@ -11,7 +11,7 @@ from traceaudit.operators import audit, stats
 from traceaudit.operators import claims as cl
 from traceaudit.operators import joins as jn
 from traceaudit.operators import prepare as pr
-from traceaudit.plans.base import CLAIMED, EXTRACTED, GENERIC, LEXICON, PAIRS, RESPONSES, SQL_ANSWER, SQL_TRACE, VERDICTS, claimed, evidence, extracted, facts, query, responses, sql_groups, sql_norm, sql_strip, turn_pairs, verdicts
+from traceaudit.plans.base import CLAIMED, EXTRACTED, GENERIC, LEXICON, PAIRS, RESPONSES, SQL_ANSWER, SQL_TRACE, VERDICTS, claimed, evidence, extracted, facts, query, responses, sql_bleu, sql_groups, sql_norm, sql_strip, turn_pairs, verdicts
 from traceaudit.session import table
 
 
@@ -164,10 +164,14 @@ def m8_novelty(spark, d):
     return sim.novelty(e.filter("label < 5"), e.filter("label >= 5")).select("id", F.round("novelty", 6).alias("novelty"))
 
 
-@query()
+BLEU_PAIRS = f"""WITH {PAIRS}, p AS (SELECT conv_id, turn, question AS ref, reply AS hyp FROM turn_pairs), {sql_bleu("p", "conv_id, turn")}
+  SELECT conv_id, turn, round(bleu2, 9) AS bleu2, round(bleu4, 9) AS bleu4 FROM bleus"""
+
+
+@query(BLEU_PAIRS)
 def m9_bleu(spark, d):
-    rows = turn_pairs(spark, d)
-    return rows.select("conv_id", "turn", F.round(sim.bleu(F.col("question"), F.col("reply"), 2), 9).alias("bleu2"), F.round(sim.bleu(F.col("question"), F.col("reply"), 4), 9).alias("bleu4"))
+    both = turn_pairs(spark, d).select("conv_id", "turn", sim.bleus(F.col("question"), F.col("reply")).alias("b"))
+    return both.select("conv_id", "turn", F.round("b.bleu2", 9).alias("bleu2"), F.round("b.bleu4", 9).alias("bleu4"))
 
 
 @query(f"""WITH {PAIRS}, t AS (SELECT conv_id, turn, regexp_extract_all(lower(question), '[a-z0-9]+') AS a, regexp_extract_all(lower(reply), '[a-z0-9]+') AS b FROM turn_pairs),
@@ -178,6 +182,15 @@ def m10_rouge_1(spark, d):
     return turn_pairs(spark, d).select("conv_id", "turn", F.round(sim.rouge_n(F.col("question"), F.col("reply"), 1), 9).alias("rouge1"))
 
 
+@query(f"""WITH {PAIRS}, t AS (SELECT conv_id, turn, regexp_extract_all(lower(question), '[a-z0-9]+') AS a, regexp_extract_all(lower(reply), '[a-z0-9]+') AS b FROM turn_pairs),
+  x AS (SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, unnest([a[i] || ' ' || a[i + 1] FOR i IN range(1, len(a))]) AS g FROM t) GROUP BY ALL),
+  y AS (SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, unnest([b[i] || ' ' || b[i + 1] FOR i IN range(1, len(b))]) AS g FROM t) GROUP BY ALL),
+  h AS (SELECT conv_id, turn, sum(least(x.c, y.c)) AS hits FROM x JOIN y USING (conv_id, turn, g) GROUP BY ALL)
+  SELECT conv_id, turn, round(CASE WHEN len(a) > 1 AND len(b) > 1 THEN 2.0::DOUBLE * coalesce(hits, 0) / (len(a) + len(b) - 2) ELSE 0.0 END, 9) AS rouge2 FROM t LEFT JOIN h USING (conv_id, turn)""")
+def m10_rouge_2(spark, d):
+    return turn_pairs(spark, d).select("conv_id", "turn", F.round(sim.rouge_n(F.col("question"), F.col("reply"), 2), 9).alias("rouge2"))
+
+
 @query()
 def m10_rouge_l(spark, d):
     return turn_pairs(spark, d).select("conv_id", "turn", F.round(sim.rouge_n(F.col("question"), F.col("reply"), 2), 9).alias("rouge2"), F.round(sim.rouge_l(F.col("question"), F.col("reply")), 9).alias("rouge_l"))
@@ -236,7 +249,13 @@ def k9_task_performance(spark, d):
     return rows.groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg(perf), 6).alias("perf"))
 
 
-@query()
+@query(f"""WITH {EXTRACTED}, p AS (SELECT id, gt AS ref, left(coalesce(pred, ''), 500) AS hyp FROM extracted), {sql_bleu("p", "id")}
+  SELECT id, round(CASE WHEN hyp <> '' AND coalesce(ref, '') <> '' THEN bleu4 ELSE 0.0 END, 9) AS perf FROM p JOIN bleus USING (id)""")
+def k9_caption_performance(spark, d):
+    return responses(spark, d).filter("answer IS NOT NULL AND answer <> ''").select("id", F.round(audit.caption_performance(F.col("answer"), F.col("gt")), 9).alias("perf"))
+
+
+@query(BLEU_PAIRS)
 def u3_registered_bleu(spark, d):
     audit.register(spark)
     return turn_pairs(spark, d).selectExpr("conv_id", "turn", "round(bleu2(question, reply), 9) AS bleu2", "round(bleu4(question, reply), 9) AS bleu4")
