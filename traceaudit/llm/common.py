@@ -30,19 +30,20 @@ def small_or_shuffled(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def may_be_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of df whose key stands in ids(key), and a few others: a bit for each hash value of the ids, looked up before any shuffle of df.
+def may_be_in(df: DataFrame, key: str, ids: DataFrame, others: bool = False) -> DataFrame:
+    """The rows of df whose key stands in ids(key), and a few more: a bit for each hash value of the ids, looked up before any shuffle of df. With `others`, all other rows of df instead.
 
     The bits are a broadcast table of 2 ** KEY_BITS / 64 short rows at most, however many ids there are; with very many ids more rows pass, so
     an exact join has to follow.
     """
-    at, word, *_ = new_names(df, "at", "word")
+    at, word = new_names(df, "at", "word")
     bit = lambda: F.xxhash64(key).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
     place = lambda: F.shiftright(bit(), 6).cast("int")
     inside = lambda: (bit() % 64).cast("int")
     table = ids.groupBy(place().alias(at)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), inside())).alias(word))
-    found = df.join(F.broadcast(table), place() == F.col(at))
-    return found.filter(F.call_function("shiftright", F.col(word), inside()).bitwiseAND(F.lit(1).cast("long")) == 1).select(*df.columns)
+    found = df.join(F.broadcast(table), place() == F.col(at), "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col(word), inside()).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    return found.filter(~hit if others else hit).select(*df.columns)
 
 
 def new_names(df: DataFrame, *names: str) -> list[str]:
