@@ -357,7 +357,7 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     copies = cut(real.select("doc_id", "f1", "f2", "n").join(firsts.drop("copies"), ["f1", "f2", "n"]).filter("doc_id <> first_id").distinct(), "jaccard-copies")
     several = cut(real.groupBy("doc_id").agg(*[f(c).alias(f"{c}_{x}") for c in ("f1", "n") for x, f in (("lo", F.min), ("hi", F.max))]).filter("f1_lo <> f1_hi OR n_lo <> n_hi").select("doc_id"), "jaccard-several")  # ids with different texts
     total = real.agg(F.sum(F.size("rare"))).first()[0] or 0
-    firsts = may_be_in(real, "doc_id", copies).join(copies.drop("first_id"), ["doc_id", "f1", "f2", "n"], "left_anti").union(may_be_in(real, "doc_id", copies, others=True))
+    firsts = may_be_in(real, "doc_id", copies).join(copies.drop("first_id"), ["doc_id", "f1", "f2", "n"], "left_anti").unionByName(may_be_in(real, "doc_id", copies, others=True))
     prefixes = cut(shared_prefixes(firsts, total), "jaccard-prefixes")
 
     cells = cell_table(docs, cut(prefixes.select("doc_id").distinct(), "jaccard-ids"), k)
