@@ -36,6 +36,41 @@ def task_stats(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+#: Columns that task_stats reads.
+TASK_ROW = "perf double, er double, overall double, ir double, io double, eo double, n_verified int, n_fabricated int, trace_length int"
+_MEANS = ("perf", "perf_er0", "perf_erpos", "clean", "overall", "ir", "io", "er", "eo", "n_verified", "trace_length")
+
+
+def task_sums(df: DataFrame, by: list[str]) -> DataFrame:
+    """Per `by`, what task_stats is made of, as sums and counts that can be added up over parts of the rows."""
+    er = F.col("er")
+    values = {"perf_er0": F.when(er == 0, F.col("perf")), "perf_erpos": F.when(er > 0, F.col("perf")), "clean": (er == 0).cast("double")}
+    sums = [f(values.get(c, F.col(c)).cast("double")).alias(f"{c}_{x}") for c in _MEANS for f, x in ((F.sum, "sum"), (F.count, "count"))]
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *sums, F.sum(F.col("n_fabricated").cast("double")).alias("n_fabricated_sum"))
+
+
+def merge_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of task_sums, added up per `by`."""
+    return sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in by])
+
+
+def stats_of_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """task_stats from task_sums."""
+    mean = lambda c: F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_count"))
+    v, f = F.col("n_verified_sum"), F.col("n_fabricated_sum")
+    percent = {"perf": "perf", "perf_er0": "perf_er0", "perf_erpos": "perf_erpos", "pct_er0": "clean"}
+    return sums.select(
+        *by,
+        "n",
+        *[(100 * mean(c)).alias(k) for k, c in percent.items()],
+        *[mean(c).alias(c) for c in ("overall", "ir", "io", "er", "eo")],
+        mean("n_verified").alias("grounded_claims"),
+        F.try_divide(100.0 * v, v + f).alias("claim_precision"),
+        mean("trace_length").alias("length"),
+        (1000.0 * v / F.greatest(F.col("trace_length_sum"), F.lit(1.0))).alias("info"),
+    )
+
+
 def task_extras(df: DataFrame, by: list[str], valid: Column, similarity: Column, entropies: DataFrame, entropy: str) -> DataFrame:
     """Per `by`: validity in percent, mean similarity over rows that have one, and the mean of entropies(by, entropy), null where a group has none."""
     own = df.groupBy(*by).agg(share(valid).alias("validity"), F.avg(similarity).alias("mean_similarity"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from traceaudit.functions.scores import self_contradiction
+from traceaudit.operators import stats
 from traceaudit.plans.base import query
-from traceaudit.plans.scores import sql_ir
+from traceaudit.plans.scores import AUDITED, ROUNDED, STATS, audited, sql_ir
 from traceaudit.session import scratch_dir, table
 from traceaudit.streaming import stream
 
@@ -22,10 +25,23 @@ def r1_score_stream(spark, d):
     return spark.read.schema("doc_id long, ir double").parquet(f"{home}/out")
 
 
-@query("SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS total FROM documents GROUP BY ALL")
+@query(f"SELECT doc_id, {sql_ir('text')} AS ir FROM documents")
+def r1_score_stream_kept(spark, d):
+    """All documents in files that land twice and out of order, a few at a time; known keys are state with an age limit."""
+    home = scratch_dir(spark, "score-stream")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(4, F.col("doc_id") % 7).write.parquet(f"{home}/in")
+    docs.filter("doc_id % 3 = 0").repartition(2).write.mode("append").parquet(f"{home}/in")
+    score = lambda df: df.select("doc_id", self_contradiction(F.col("text")).cast("double").alias("ir"))
+    stream.score_stream(spark, f"{home}/in", docs.schema, score, f"{home}/out", f"{home}/checkpoint", ["doc_id"], keep=timedelta(days=1), files=3)
+    return spark.read.schema("doc_id long, ir double").parquet(f"{home}/out")
+
+
+@query(f"WITH {AUDITED} SELECT model, task, {STATS} FROM audited GROUP BY ALL")
 def r2_running_stats(spark, d):
-    home = scratch_dir(spark, "running-stats")
-    docs = table(spark, d, "documents").select("source", "lang", "n_chars")
-    docs.write.parquet(f"{home}/in")
-    stream.running_stats(spark, f"{home}/in", docs.schema, ["source", "lang"], "n_chars", f"{home}/out", f"{home}/checkpoint")
-    return spark.read.parquet(f"{home}/out")
+    """Audited responses, arriving as files and added up batch by batch."""
+    home, by = scratch_dir(spark, "running-stats"), ["model", "task"]
+    rows = audited(spark, d).select(*by, *[c.split()[0] for c in stats.TASK_ROW.split(", ")])
+    rows.repartition(4).write.parquet(f"{home}/in")
+    stream.running_stats(spark, f"{home}/in", rows.schema, by, f"{home}/out", f"{home}/checkpoint", files=2)
+    return stream.current_stats(spark, f"{home}/out", by, {c: "string" for c in by}).select(*by, "n", *[F.round(c, 6).alias(c) for c in ROUNDED])
