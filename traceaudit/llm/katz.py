@@ -20,8 +20,8 @@ and keeps only the weights that its own texts need.
 
 A text begins after a start mark, a history only, and ends with an end token. Its first token has the start mark alone as history.
 
-Words and n-grams are told apart by hashes of SPARE_BITS bits more than the number of tokens has, 64 at most, so that the chance that an
-n-gram is taken for another stays the same at every size.
+Words are told apart by 64-bit hashes, whatever the size. Of the hashes of 2- and 3-grams, which are most of what travels, SPARE_BITS bits more are kept than the
+number of tokens has, 64 at most, so that the chance that an n-gram is taken for another stays the same at every size.
 """
 
 from __future__ import annotations
@@ -90,9 +90,8 @@ class LocalIds(dict):
         return n
 
 
-def text_batches(docs: DataFrame, width: int, batch_tokens: int) -> DataFrame:
+def text_batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
     """Texts of docs(doc_id, text, train) as batches: word ids of the batch by falling frequency, with an end token after each text, and the hash of each id's word."""
-    cutoff = np.uint64(64 - width)
 
     def run(batches):
         state: list = [[], [], [], [], LocalIds(), 0]
@@ -100,7 +99,6 @@ def text_batches(docs: DataFrame, width: int, batch_tokens: int) -> DataFrame:
         def flush():
             ids, train, lens, streams, vocabulary, _ = state
             words = np.concatenate([np.array([END, START], np.uint64), np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))])
-            words = words >> cutoff << cutoff
             stream = np.concatenate(streams)
             number = np.empty(len(words), np.int32)
             number[np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.int32)
@@ -150,7 +148,7 @@ class Batch:
         self.words[ranks] = words
         self.order = ranks  # ids by hash
         self.stream = unpacked(row["stream"], np.int32)
-        self.start = int(np.flatnonzero(self.words == START >> self.cutoff << self.cutoff)[0])
+        self.start = int(np.flatnonzero(self.words == START)[0])
         self.first = np.zeros(len(self.stream), bool)  # tokens that begin a text
         self.first[np.cumsum(self.lens) - self.lens] = True
         self.hist = np.empty_like(self.stream)
@@ -385,15 +383,14 @@ def hash_width(docs: DataFrame) -> int:
     return min(64, max(40, int(size).bit_length() + SPARE_BITS - 2))  # a token takes some four to eight bytes
 
 
-def batches_of(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
+def batches_of(docs: DataFrame) -> tuple[DataFrame, int]:
     """The texts as written batches, and how many tokens they have."""
-    parts = cut(text_batches(docs, width, BATCH_TOKENS), "katz-batches")
+    parts = cut(text_batches(docs, BATCH_TOKENS), "katz-batches")
     return parts, parts.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
 
 
-def totals_of(sent: DataFrame, width: int, keep: bool = False) -> DataFrame:
-    cutoff = np.uint64(64 - width)
-    return cut(in_runs(sent, ["kind", "slice"], ["kind", "slice"]).mapInArrow(add_up(START >> cutoff << cutoff, keep), TOTALS), "katz-totals")
+def totals_of(sent: DataFrame, keep: bool = False) -> DataFrame:
+    return cut(in_runs(sent, ["kind", "slice"], ["kind", "slice"]).mapInArrow(add_up(START, keep), TOTALS), "katz-totals")
 
 
 def parameters(totals: DataFrame) -> dict:
@@ -435,9 +432,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train"))
     width = hash_width(docs)
-    parts, tokens = batches_of(docs, width)
+    parts, tokens = batches_of(docs)
     bits = range_bits(tokens)
-    totals = totals_of(parts.mapInArrow(send_counts(width, bits), SENT), width)
+    totals = totals_of(parts.mapInArrow(send_counts(width, bits), SENT))
     model = parameters(totals)
     return texts_of(scored_batches(parts, totals, model, width, bits), model["n"])
 
@@ -449,9 +446,9 @@ def train(docs: DataFrame, path: str) -> None:
     """
     docs = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("train"))
     width = hash_width(docs)
-    parts, tokens = batches_of(docs, width)
+    parts, tokens = batches_of(docs)
     bits = range_bits(tokens)
-    totals = totals_of(parts.mapInArrow(send_counts(width, bits, ask_all=True), SENT), width, keep=True)
+    totals = totals_of(parts.mapInArrow(send_counts(width, bits, ask_all=True), SENT), keep=True)
     model = parameters(totals)
     totals.filter(F.col("batch") == MODEL).select("kind", "slice", "keys", "counts").write.partitionBy("kind").parquet(f"{path}/grams")
     sums = scored_batches(parts, totals, model, width, bits).filter("kind > 0 AND turn = 0")
@@ -465,10 +462,10 @@ def score_with(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     held = spark.read.parquet(f"{path}/parameters").first()
     model = {**{k: np.array(held[k]) for k in ("d1", "d2", "d3")}, **{k: held[k] for k in ("n", "v", "kept")}}
-    parts, _ = batches_of(docs.select("doc_id", "text", F.lit(False).alias("train")), held["width"])
+    parts, _ = batches_of(docs.select("doc_id", "text", F.lit(False).alias("train")))
     grams = spark.read.parquet(f"{path}/grams")
     known = grams.select(F.col("kind").cast("int").alias("kind"), "slice", F.lit(MODEL).cast("long").alias("batch"), "keys", "counts", F.lit(None).cast("binary").alias("others"))
-    totals = totals_of(parts.mapInArrow(send_counts(held["width"], held["bits"]), SENT).union(known), held["width"])
+    totals = totals_of(parts.mapInArrow(send_counts(held["width"], held["bits"]), SENT).union(known))
     sums = spark.read.parquet(f"{path}/sums").withColumns({"kind": F.col("kind").cast("int"), "turn": F.lit(0), "batch": F.lit(MODEL).cast("long")})
     scored = scored_batches(parts, totals, model, held["width"], held["bits"])
     return texts_of(scored.unionByName(sums, allowMissingColumns=True), held["n"])
