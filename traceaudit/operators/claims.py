@@ -41,14 +41,32 @@ def groups_outside(text: str, lexicon, phrases: str = DERIVATION, window: int =
     return sorted(g for g, words in lexicon.items() if stands(words))
 
 
+def stands_outside(text: Column, pattern: str, phrases: str, window: int) -> Column:
+    """Whether some match of the pattern has none of the phrases among its own characters and `window` ones on both sides. The text is cut at its matches, and
+    one walk along the pieces keeps the place that it has reached and whether such a match was found; only surroundings of matches are searched for phrases."""
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("match"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + F.length(x["before"])
+        end = begin + F.length(x["match"])
+        low = F.greatest(begin - window, F.lit(0))
+        alone = ~F.substring(text, low + 1, end + window - low).rlike(phrases)
+        after_last = x["match"].isNull()  # the piece behind the last match
+        return F.struct(F.coalesce(end, begin).alias("at"), (s["found"] | (~after_last & F.coalesce(alone, F.lit(False)))).alias("found"))
+
+    return F.aggregate(pieces, start, step, lambda s: s["found"])
+
+
 def named_groups_outside(df: DataFrame, text: str, lexicon: dict[str, tuple[str, ...]], phrases: str = DERIVATION, window: int = DERIVATION_WINDOW, column: str = "claimed") -> DataFrame:
     """As named_groups, but a group counts only with an occurrence whose surroundings (`window` characters on both sides) hold none of the phrases."""
 
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: groups_outside(t, lexicon, phrases, window))
+    def groups(t: Column) -> Column:
+        near = lambda words: reduce(lambda a, b: a | b, [t.contains(k.lower()) for k in words])
+        cases = [F.when(near(words) & stands_outside(t, keyword_pattern(words), phrases, window), F.lit(g)) for g, words in lexicon.items()]
+        return F.sort_array(F.array_compact(F.array(*cases)))
 
-    return df.withColumn(column, found(normalize_text(F.coalesce(F.col(text), F.lit("")))))
+    return df.withColumn(column, once(normalize_text(F.coalesce(F.col(text), F.lit(""))), groups))
 
 
 def verify(claimed: Column, evidence: Column) -> tuple[Column, Column]:

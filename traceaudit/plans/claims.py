@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceaudit.operators import claims as cl
-from traceaudit.plans.base import CLAIMED, EXTRACTED, FACTS, GENERIC, LEXICON, claimed, extracted, facts, query, sql_groups, sql_norm, turn_pairs, PAIRS
+from traceaudit.plans.base import CLAIMED, EXTRACTED, FACTS, GENERIC, LEXICON, PAIRS, claimed, extracted, facts, query, sql_groups, sql_norm, turn_pairs
 from traceaudit.session import table
 
 joined = lambda c: F.array_join(c, ",").alias(c)
@@ -16,7 +16,11 @@ def x8_extract_claims(spark, d):
     return claimed(spark, d).select("id", joined("claimed"))
 
 
-@query()
+@query(rf"""WITH {EXTRACTED}, t AS (SELECT id, {sql_norm("coalesce(trace, '')")} AS t FROM extracted), kw(word, g) AS (VALUES {", ".join(f"('{w}{s}', '{g}')" for g, words in LEXICON.items() for w in words for s in ("", "s", "es"))}),
+  runs AS (SELECT id, t, unnest(regexp_extract_all(t, '[a-z]+|[^a-z]+')) AS p, generate_subscripts(regexp_extract_all(t, '[a-z]+|[^a-z]+'), 1) AS i FROM t),
+  placed AS (SELECT id, t, p, (sum(length(p)) OVER (PARTITION BY id ORDER BY i))::BIGINT AS e FROM runs),
+  named AS (SELECT DISTINCT id, g FROM (SELECT *, greatest(0, e - length(p) - 60) AS low FROM placed JOIN kw ON word = p) WHERE NOT regexp_matches(substr(t, low + 1, e + 60 - low), '(^|[^\p{{L}}\p{{N}}_])(nicht|not|pas)([^\p{{L}}\p{{N}}_]|$)'))
+  SELECT id, coalesce(string_agg(g, ',' ORDER BY g), '') AS claimed FROM t LEFT JOIN named USING (id) GROUP BY id""")
 def x9_claims_outside_derivation(spark, d):
     rows = cl.named_groups_outside(extracted(spark, d), "trace", LEXICON, phrases=r"\bnicht\b|\bnot\b|\bpas\b", column="claimed")
     return rows.select("id", joined("claimed"))
