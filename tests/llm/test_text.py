@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from traceaudit.llm import decontaminate, katz, pieces, quality, toxicity
 from traceaudit.llm.labelled import crc_remainder, training_sample
+from traceaudit.llm.queries import QUERIES
+from traceaudit.session import table
 
 TEXTS = ["Hello  world", " a b ", "x\ty\nz", "é́ ﬁ ①", "", "  ", "a▁b", "日本\U0001f600", "   x   yy  ", "aaaaaaaaaaaaaaaaaaaa", "a" * 3000, "def f(x):\n    return  x**2 # <s> </s> <0x41>", "\x07 z", "ÄÖÜß naïve", None]
 needs_model = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary file")
@@ -178,6 +180,52 @@ def test_toxicity_against_a_plain_model(spark):
         assert r["t"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
 
 
+def plain_toxicity(texts, truth):
+    """Weight of each bucket and the intercept, from the definition of the model, by Newton steps over the training rows."""
+    sets = {i: {int(x) for x in toxicity.gram_buckets(texts[i])} for i in truth}
+    n = [sum(t == y for t in truth.values()) for y in (0, 1)]
+    counts = [Counter(x for i, s in sets.items() if truth[i] == y for x in s) for y in (0, 1)]
+    ratios = {}
+    for x in counts[0].keys() | counts[1].keys():
+        q, p = (c[x] + 0.5 for c in counts)
+        if p + q >= 4:
+            ratio = math.log(p / (n[1] + 1)) - math.log(q / (n[0] + 1))
+            ratios[x] = abs(ratio) / math.sqrt(1 / p + 1 / q), ratio
+    chosen = sorted(ratios, key=lambda x: (-ratios[x][0], x))[: toxicity.FEATURES]
+    ids = sorted(truth)
+    features = np.array([[ratios[x][1] if x in sets[i] else 0.0 for x in chosen] for i in ids])
+    y, k, reg, m = np.array([truth[i] for i in ids], float), features @ features.T, 2e-4, len(ids)
+    a, b = np.zeros(m), 0.0
+    for _ in range(60):
+        z = k @ a + b
+        p = 1 / (1 + np.exp(-z))
+        g, w = (p - y) / m, p * (1 - p) / m
+        system = np.block([[w[:, None] * k + reg * np.eye(m), w[:, None]], [(w[:, None] * k).sum(0)[None], np.array([[w.sum()]])]])
+        step = np.linalg.solve(system, -np.append(g + reg * a, g.sum()))
+        a, b = a + step[:-1], b + step[-1]
+    return dict(zip(chosen, (features.T @ a) * np.array([ratios[x][1] for x in chosen]), strict=True)), b
+
+
+def test_query_of_toxicity_against_a_plain_model(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    plain, plain_intercept = plain_toxicity(texts, {r["doc_id"]: r["toxic"] for r in labels if not held(r["doc_id"]) and r["doc_id"] in texts})
+    model, intercept = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 4) != 2)
+    assert set(np.flatnonzero(model).tolist()) == plain.keys()  # the same n-grams are features
+    got = {r["doc_id"]: r for r in QUERIES["op5_toxicity"](spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+    both = []
+    for i, r in got.items():
+        grams = {int(x) for x in toxicity.gram_buckets(texts[i])}
+        z = intercept + sum(float(model[x]) for x in grams)
+        assert r["held_out"] == held(i) and r["predicted"] == int(r["score"] >= 0.3) and r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+        both.append((z, plain_intercept + sum(plain.get(x, 0.0) for x in grams)))
+    # some sixty rows leave the fit room: the library stops at its tolerance, the Newton steps go on
+    z, want = np.array(both).T
+    assert np.corrcoef(z, want)[0, 1] > 0.75 and ((z > -0.85) == (want > -0.85)).mean() > 0.9
+
+
 def quality_scores(spark, docs, labels):
     return quality.score(docs, quality.train(docs.select("doc_id", "text"), labels), quality.site_outcomes(docs, labels, "source", "lang"), column="quality_now")
 
@@ -295,7 +343,7 @@ def test_query_of_contaminated_pairs_against_brute_force(spark, sf_dir):
     assert got == want and got
 
 
-def brute_katz(rows):
+def brute_katz(rows, histories=300):
     tok = [(t or "").encode().lower().split() + [0] for _, t, _ in rows]
     train = [w for w, r in zip(tok, rows, strict=True) if r[2]]
     counts = {1: Counter(w for x in train for w in x), 2: Counter(p for x in train for p in zip([1, *x], x, strict=False)), 3: Counter(p for x in train for p in zip([1, *x], x, x[1:], strict=False))}
@@ -333,7 +381,7 @@ def brute_katz(rows):
             known[h] = (1 - sum(p(h, x) for x in after[h])) / (1 - sum(p(h[1:], x) for x in after[h]))
         return known[h] * p(h[1:], w)
 
-    for h in list(times)[:300]:
+    for h in list(times)[:histories]:
         assert sum(p(h, w) for w in c) + p(h, "never") == pytest.approx(1)
     out = []
     for x, (i, _, _) in zip(tok, rows, strict=True):
@@ -343,6 +391,15 @@ def brute_katz(rows):
     return sorted(out, key=lambda r: (r[0], r[1]))
 
 
+def test_query_of_katz_against_brute_force(spark, sf_dir):
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rows = [(r["doc_id"], r["text"], not held(r["doc_id"])) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = QUERIES["op9_katz_backoff"](spark, sf_dir).collect()
+    assert all(r["held_out"] == held(r["doc_id"]) for r in got)
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    assert sorted(((str(r["doc_id"]), *(r[n] for n in names)) for r in got), key=lambda r: (r[0], r[1])) == brute_katz(rows, 3)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_katz_against_brute_force(spark, monkeypatch, small):
     if small:
