@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from traceaudit.functions.text import strip
 from traceaudit.operators.ranks import grouped_rank
 
+#: Values that the second dimension of missing_pairs has at most.
+MOST_TASKS = 10_000
+
 
 def to_task_rows(df: DataFrame, id_: Column, input_: Column, gt: Column, task: str, both_ways: str | None = None) -> DataFrame:
     """(id, input, gt, task); with both_ways also the swapped rows under that task name."""
@@ -138,9 +141,13 @@ def mix_sources(parts: list[DataFrame], names: dict[str, str], task: str, id_: s
     return out.withColumn(task, renamed).withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(task), F.col(id_).cast("string"))))
 
 
-def missing_pairs(df: DataFrame, models: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(model, task) of two small dimensions that have no row. The grid is their product, a dimension table of known size."""
-    grid = models.crossJoin(F.broadcast(tasks))
+def missing_pairs(df: DataFrame, models: DataFrame, tasks: DataFrame, most: int = MOST_TASKS) -> DataFrame:
+    """(model, task) of two dimensions that have no row. The tasks are one array, of at most `most` values (more raise an error), which each model unfolds."""
+    (task,) = tasks.columns
+    every = tasks.distinct().limit(most + 1).agg(F.collect_list(task).alias("_every"))
+    if every.select(F.size("_every")).first()[0] > most:
+        raise ValueError(f"more than {most} values of {task!r}")
+    grid = models.join(F.broadcast(every)).select(*models.columns, F.explode("_every").alias(task))  # one row
     return grid.join(df.select(*grid.columns).distinct(), grid.columns, "left_anti")
 
 

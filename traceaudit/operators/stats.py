@@ -295,6 +295,11 @@ def proportion_ci(p: Column, n: Column) -> Column:
     return 1.96 * F.sqrt(p * (1 - p) / n)
 
 
+def rank_report(df: DataFrame, by: str, score: Column, name: str, n: int = 10) -> DataFrame:
+    """The n groups with the highest score, an aggregate, best first and ties by name. A top-k: no group but these is sorted or moved beyond its task."""
+    return df.groupBy(by).agg(score.alias(name)).orderBy(F.desc(name), by).limit(n)
+
+
 def dimension_contributions(df: DataFrame, model: str, task: str, weights: dict[str, float]) -> DataFrame:
     """Per model and dimension: weight times the mean over tasks of the task means, and the total over dimensions."""
     per = df.groupBy(model, task).agg(*[F.avg(k).alias(k) for k in weights])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceaudit.operators import prepare as pr
+from traceaudit.operators import stats
 from traceaudit.plans.base import EXTRACTED, RESPONSES, VERDICTS, WHITE, extracted, query, responses, verdicts
 from traceaudit.session import table
 
@@ -119,7 +120,7 @@ def l4_mix_sources(spark, d):
 
 @query(f"WITH {VERDICTS} SELECT model, round(avg(eo), 6) AS eo FROM verdicts GROUP BY 1 ORDER BY eo DESC, model LIMIT 10")
 def l5_rank_report(spark, d):
-    return verdicts(spark, d).groupBy("model").agg(F.round(F.avg("eo"), 6).alias("eo")).orderBy(F.desc("eo"), "model").limit(10)
+    return stats.rank_report(verdicts(spark, d), "model", F.round(F.avg("eo"), 6), "eo")
 
 
 @query("SELECT m.source, t.lang FROM (SELECT DISTINCT source FROM documents) m, (SELECT DISTINCT lang FROM documents) t WHERE NOT EXISTS (SELECT 1 FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND source = m.source AND lang = t.lang)")
