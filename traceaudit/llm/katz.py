@@ -39,7 +39,7 @@ from traceaudit.llm.labelled import crc_remainder
 from traceaudit.session import table
 
 #: Tokens of one batch of texts (a longer text is a batch of its own), and hashes of one range, about.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 1_200_000
 RANGE_KEYS = 2_000_000
 SPARE_BITS = 20
 #: Counts up to this are discounted by Good-Turing.
