@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from traceaudit.functions.text import normalize_text, once, strip
+from traceaudit.functions.text import ascii_borders, normalize_text, once, strip
 
 # Correction phrases with their weights, flip phrases, weights of the four dimensions, bands.
 CORRECTIONS = (
@@ -31,8 +31,8 @@ def self_contradiction(trace: Column) -> Column:
     flips = lambda n: F.when(n > 3, (n - 3) * 5).otherwise(0)
 
     def phrases(t: Column) -> Column:
-        corrections = [F.when(has(t, words), F.regexp_count(t, F.lit(p)) * w).otherwise(0) for (p, w), words in zip(CORRECTIONS, CORRECTION_WORDS, strict=True)]
-        return reduce(lambda a, b: a + b, corrections) + once(F.regexp_count(t, F.lit(FLIP)), flips)
+        corrections = [F.when(has(t, words), F.regexp_count(t, F.lit(ascii_borders(p))) * w).otherwise(0) for (p, w), words in zip(CORRECTIONS, CORRECTION_WORDS, strict=True)]
+        return reduce(lambda a, b: a + b, corrections) + once(F.regexp_count(t, F.lit(ascii_borders(FLIP))), flips)
 
     sentences = F.filter(F.split(normalize_text(trace), r" ?\. ?"), lambda s: F.length(s) > 20)
     repeats = once(once(sentences, lambda s: F.size(s) - F.size(F.array_distinct(s))), lambda r: F.when(r > 2, r * 3).otherwise(0))
