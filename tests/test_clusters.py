@@ -91,3 +91,55 @@ def test_queries(spark, sf_dir, name, kind, column, threshold):
     got = {(r["label"], r["vec_id"]): r["cluster"] for r in QUERIES[name](spark, sf_dir).collect()}
     assert got == walk(rows, kind, threshold) and 10 < len(set(got.items()))
     assert max(got.values()) > 0 and len(got) > len({(k, c) for (k, _), c in got.items()})
+
+
+def counted(make, texts):
+    """How often sets of words are met with another by an index, and what it finds for each."""
+    met = 0
+
+    class Counting:
+        def __init__(self, words):
+            self.words = words
+
+        def __len__(self):
+            return len(self.words)
+
+        def __iter__(self):
+            return iter(self.words)
+
+        def __and__(self, other):
+            nonlocal met
+            met += 1
+            return self.words & other.words
+
+    index, found = make(lambda t: Counting(frozenset(t.split()))), []
+    if isinstance(index, leaders.Words):
+        similar = index.similar
+        index.similar = lambda *args: (setattr(index, "met", getattr(index, "met", 0) + 1), similar(*args))[1]
+    for i, t in enumerate(texts):
+        at = index.find(t)
+        if at is None:
+            index.add(t, i)
+        found.append(i if at is None else at)
+    return met + getattr(index, "met", 0), found
+
+
+def test_texts_with_rare_words_meet_few_leaders():
+    rng = random.Random(5)
+    texts = [" ".join([*rng.sample("abcdefghijklmnopqrst", 10), *(f"w{rng.randrange(10**6)}" for _ in range(10))]) for _ in range(300)]
+    texts += [t + " more" for t in texts[::7]] + [" ".join(rng.sample("abcdefghijklmnopqrst", 4)) for _ in range(300)]
+    rng.shuffle(texts)
+    for least in (0.0, 0.5, 0.75, 0.8, 1.0):
+        few, found = counted(lambda members, least=least: leaders.Words(members, least), texts)
+        many, walked = counted(lambda members, least=least: leaders.Sizes(members, least), texts)
+        assert found == walked
+        assert least < 0.75 or few < many / 4
+
+
+def test_rounds_of_texts_double(spark, monkeypatch):
+    rows = spark.createDataFrame([("k", i, f"a{i} b{i} c{i}") for i in range(90)] + [("k", 90 + i, f"a{i} b{i} c{i}  ") for i in range(10)], "k string, i int, v string")
+    rounds, plain = [], cluster.matched
+    monkeypatch.setattr(cluster, "matched", lambda *args, grow: (rounds.append(grow), plain(*args, grow=grow))[1])
+    got = cluster.greedy_clusters(rows, "k", "i", "v", "text", at_once=4)
+    assert {(r["i"], r["cluster"]) for r in got.collect()} == {(i, i % 90) for i in range(100)}
+    assert sum(rounds) == 5  # 4, 8, 16, 32 and the rest, not 25

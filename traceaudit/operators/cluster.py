@@ -19,6 +19,8 @@ from traceaudit.session import cut
 #: Distinct values of a key that are clustered in order at once; what is left of larger keys is matched with the leaders found so far, in parts of so many values.
 AT_ONCE = 1_000
 PART = 50_000
+#: Kinds whose index keeps the cost of a value from growing with the leaders, so that a round may take more values in order.
+INDEXED = ("text", "reasoning", "numeric")
 #: Rows of an Arrow batch that are Python objects at once.
 ROWS = 256
 
@@ -68,12 +70,13 @@ def matched(rows: DataFrame, key: str, value: str, make: Callable, grow: bool) -
     return rows.repartition(key, "_part").sortWithinPartitions(key, "_part", "_side", "_first").mapInArrow(run, schema)
 
 
-def leader_of_each(firsts: DataFrame, key: str, value: str, make: Callable, at_once: int = AT_ONCE, part: int = PART) -> DataFrame:
+def leader_of_each(firsts: DataFrame, key: str, value: str, make: Callable, at_once: int = AT_ONCE, part: int = PART, double: bool = False) -> DataFrame:
     """(key, _first, _leader) for firsts(key, value, _first): the first earlier leader that each value is similar to, else itself.
 
     In rounds. The first `at_once` values of each key that are left are clustered in order, which gives their leaders; every other value of
     the key comes later than these, so it can be matched with them in parts, in parallel, and joins the first that fits. What fits none goes into the next round. Keys of
-    at most `at_once` values are done in one, and no task gets more of a key than a part and the leaders of a round.
+    at most `at_once` values are done in one, and no task gets more of a key than a part and the leaders of a round. With double, each round takes twice as many
+    values in order as the one before, a part at most, so that what is left is not written again for every `at_once` values of the largest key.
     """
     todo, done = cut(firsts.select(key, value, "_first"), "clusters-values"), []
     place = F.row_number().over(Window.partitionBy(key).orderBy("_first"))
@@ -96,6 +99,7 @@ def leader_of_each(firsts: DataFrame, key: str, value: str, make: Callable, at_o
         met = cut(met.select(key, value, "_first", "_leader"), "clusters-met")
         done.append(met.filter("_leader IS NOT NULL").select(key, "_first", "_leader"))
         todo = met.filter("_leader IS NULL").drop("_leader")
+        at_once = max(at_once, min(2 * at_once, part)) if double else at_once
     return reduce(DataFrame.unionByName, done)
 
 
@@ -118,7 +122,7 @@ def greedy_clusters(df: DataFrame, key: str, position: str, value: str, kind: st
         alone = F.when(unlike_itself(F.col(value), kind), F.col(position))
         rows = rows.select(key, position, F.col(value).alias("_v"), alone.alias("_alone"))
         firsts = cut(rows.groupBy(key, "_v", "_alone").agg(F.min(position).alias("_first")), "clusters-firsts")
-        leaders = leader_of_each(firsts, key, "_v", lambda: leaders_of(kind, similarity, least), at_once)
+        leaders = leader_of_each(firsts, key, "_v", lambda: leaders_of(kind, similarity, least), at_once, double=similarity is None and kind in INDEXED)
     leaders = leaders.select(F.col(key).alias("_key"), F.col("_first").alias("_at"), "_leader")
     number = F.row_number().over(Window.partitionBy("_key").orderBy("_leader")) - 1
     numbers = leaders.filter("_at = _leader").select(F.col("_key").alias("_k"), F.col("_leader").alias("_l"), number.cast("int").alias("cluster"))

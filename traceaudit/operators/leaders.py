@@ -7,6 +7,9 @@ their order. Every index finds what a walk over all leaders would.
 from __future__ import annotations
 
 import math
+from array import array
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -60,6 +63,69 @@ class Sizes:
             self.buckets.setdefault(len(mine), []).append((mine, order))
 
 
+class Words:
+    """Jaccard of sets of words: leaders by their rare words.
+
+    Of two sets of n and m words that are similar enough, each has at least `least` of its words in the other, so under any one order of words they share one of the
+    first n - ceil(least * n) + 1 of the one and the first m - ceil(least * m) + 1 of the other. The order is by the number of leaders that had a word when
+    they last doubled, rare words first; all leaders are filed anew then. A word that no leader has comes before all others and needs no looking up.
+    """
+
+    def __init__(self, members, least: float):
+        self.members, self.least = members, least
+        self.ids, self.places, self.leaders, self.filed, self.due = {}, [], [], {}, 16
+
+    def firsts(self, known, n: int, unknown: int = 0) -> list[int]:
+        """Of the ids of a set of n words, those that have to be looked up."""
+        most = n - max(1, math.ceil(self.least * n - 1e-9)) + 1 - unknown  # less by what a division may round
+        return sorted(known, key=self.places.__getitem__)[:most] if most > 0 else []
+
+    def find(self, value):
+        words, best, met = self.members(value), len(self.leaders), set()
+        n = len(words)
+        if self.least <= 0 and n and best:
+            return self.leaders[0][1]
+        mine = {self.ids[w] for w in words if w in self.ids}
+        for i in self.firsts(mine, n, n - len(mine)) if n else ():
+            for at in self.filed.get(i, ()):
+                if at >= best:
+                    break
+                if at not in met:
+                    met.add(at)
+                    if self.similar(mine, n, self.leaders[at][0]):
+                        best = at
+                        break
+        return self.leaders[best][1] if best < len(self.leaders) else None
+
+    def similar(self, mine: set[int], n: int, leader) -> bool:
+        m = len(leader)
+        if min(n, m) < (self.least - 1e-9) * max(n, m):
+            return False
+        both = len(mine.intersection(leader))
+        return both / (n + m - both) >= self.least
+
+    def add(self, value, order) -> None:
+        words = self.members(value)
+        if not words:
+            return
+        mine = array("i", [self.ids.setdefault(w, len(self.ids)) for w in words])
+        self.places.extend(range(len(self.places), len(self.ids)))
+        self.leaders.append((mine, order))
+        if len(self.leaders) < self.due:
+            self.file(len(self.leaders) - 1)
+            return
+        self.due, self.filed = 2 * self.due, {}
+        for i, count in Counter(chain.from_iterable(leader for leader, _ in self.leaders)).items():
+            self.places[i] = (count << 32) + i
+        for at in range(len(self.leaders)):
+            self.file(at)
+
+    def file(self, at: int) -> None:
+        leader = self.leaders[at][0]
+        for i in self.firsts(leader, len(leader)):
+            self.filed.setdefault(i, []).append(at)
+
+
 class Numbers:
     """Numbers within a tolerance: leaders by bins as wide as the largest distance that still counts."""
 
@@ -147,7 +213,7 @@ def leaders_of(kind: str, similarity, least: float):
     if similarity is not None:
         return Walk(similarity, least)
     if kind in ("text", "reasoning"):
-        return Sizes(tokens_of, least)
+        return Words(tokens_of, least)
     if kind == "structure":
         return Sizes(frozenset, least)
     return {"numeric": Numbers, "set": Parts, "embedding": Vectors}[kind](least) if kind != "label" else Walk(SIMILARITIES["label"][0], least)
