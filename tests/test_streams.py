@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceaudit.operators import stats
+from traceaudit.plans import streams
 from traceaudit.streaming import stream
 
 
@@ -22,6 +23,26 @@ def test_each_key_once_over_restarts_and_late_files(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != stream.ROCKS
 
 
+def test_rows_are_scored_before_the_keys_meet(spark, tmp_path, monkeypatch):
+    source, out, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
+    spark.createDataFrame([(1, "a"), (1, "a"), (2, "bb"), (3, None)], "id int, t string").write.parquet(source)
+    kind = type(spark.range(1))
+    met, plain = [], kind.dropDuplicatesWithinWatermark
+    monkeypatch.setattr(kind, "dropDuplicatesWithinWatermark", lambda df, keys: (met.append([c for c in df.columns if not c.startswith("_")]), plain(df, keys))[1])
+    stream.score_stream(spark, source, "id int, t string", lambda df: df.select("id", F.length("t").alias("n")), out, checkpoint, ["id"], keep=timedelta(days=1), by_row=True)
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, 1), (2, 2), (3, None)]
+    assert met == [["id", "n"]]  # no texts
+
+
+def test_files_of_a_stream_grow_in_number(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "scratch_dir", lambda spark, name: f"{tmp_path}/home")
+    monkeypatch.setattr(streams, "scan_parts", lambda *args: 12)
+    rows = streams.r1_score_stream_kept(spark, sf_dir).count()
+    sizes = [spark.read.parquet(f"{tmp_path}/home/in/{f}").count() for f in os.listdir(f"{tmp_path}/home/in") if f.endswith(".parquet")]
+    assert len(sizes) == 18 and max(sizes) < rows / 4
+    assert len([f for f in os.listdir(f"{tmp_path}/home/checkpoint/commits") if f.isdigit()]) == 3  # two batches with data, one that moves the watermark
+
+
 def test_a_key_is_forgotten_after_a_while(spark, tmp_path):
     source, out, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
     for _ in range(4):

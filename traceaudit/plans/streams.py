@@ -10,7 +10,7 @@ from traceaudit.functions.scores import self_contradiction
 from traceaudit.operators import stats
 from traceaudit.plans.base import query
 from traceaudit.plans.scores import AUDITED, ROUNDED, STATS, audited, sql_ir
-from traceaudit.session import scratch_dir, table
+from traceaudit.session import scan_parts, scratch_dir, table
 from traceaudit.streaming import stream
 
 
@@ -21,19 +21,20 @@ def r1_score_stream(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     docs.write.parquet(f"{home}/in")
     score = lambda df: df.select("doc_id", self_contradiction(F.col("text")).cast("double").alias("ir"))
-    stream.score_stream(spark, f"{home}/in", docs.schema, score, f"{home}/out", f"{home}/checkpoint", ["doc_id"])
+    stream.score_stream(spark, f"{home}/in", docs.schema, score, f"{home}/out", f"{home}/checkpoint", ["doc_id"], by_row=True)
     return spark.read.schema("doc_id long, ir double").parquet(f"{home}/out")
 
 
 @query(f"SELECT doc_id, {sql_ir('text')} AS ir FROM documents")
 def r1_score_stream_kept(spark, d):
-    """All documents in files that land twice and out of order, a few at a time; known keys are state with an age limit."""
+    """All documents in files that land twice and out of order, half of them at a time; known keys are state with an age limit."""
     home = scratch_dir(spark, "score-stream")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    docs.repartition(4, F.col("doc_id") % 7).write.parquet(f"{home}/in")
-    docs.filter("doc_id % 3 = 0").repartition(2).write.mode("append").parquet(f"{home}/in")
+    parts = scan_parts(spark, d, "documents", 4)
+    docs.repartition(parts, "doc_id").write.parquet(f"{home}/in")
+    docs.filter("doc_id % 3 = 0").repartition(parts // 2).write.mode("append").parquet(f"{home}/in")
     score = lambda df: df.select("doc_id", self_contradiction(F.col("text")).cast("double").alias("ir"))
-    stream.score_stream(spark, f"{home}/in", docs.schema, score, f"{home}/out", f"{home}/checkpoint", ["doc_id"], keep=timedelta(days=1), files=3)
+    stream.score_stream(spark, f"{home}/in", docs.schema, score, f"{home}/out", f"{home}/checkpoint", ["doc_id"], keep=timedelta(days=1), files=3 * parts // 4, by_row=True)
     return spark.read.schema("doc_id long, ir double").parquet(f"{home}/out")
 
 

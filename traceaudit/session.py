@@ -33,6 +33,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def scan_parts(spark: SparkSession, sf_dir: str, name: str, least: int) -> int:
+    """Into how many parts Spark splits the scan of a table, `least` at least: for counts of files that grow with it."""
+    return max(least, spark.read.parquet(f"{sf_dir}/{name}.parquet").rdd.getNumPartitions())
+
+
 _OWN_DIR: list[str] = []
 
 

@@ -27,17 +27,19 @@ def setting(spark: SparkSession, key: str, value: str):
 
 
 def score_stream(
-    spark: SparkSession, source: str, schema, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str], arrival: str | None = None, lateness: str = "1 day", keep: timedelta | None = None, files: int | None = None
+    spark: SparkSession, source: str, schema, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str], arrival: str | None = None, lateness: str = "1 day", keep: timedelta | None = None, files: int | None = None, by_row: bool = False
 ) -> None:
     """Score the Parquet files of a folder that were not scored yet, each key once, into out; a restart goes on where the checkpoint ends.
 
     What keys are known is state, and state has a bound in two of three ways. With `arrival`, a time column, keys are forgotten once the watermark
     passes them by `lateness`. With `keep`, the time is that of the batch that a row lands in: a key is forgotten by the first batch that starts more than `keep` after the one that
     scored it has advanced the watermark, whatever the rows say, so files that land late and out of order are scored. Without either, keys are kept for good. State lies in
-    RocksDB, on disk and not in the heap. files: files of one batch at most. A checkpoint belongs to one of these ways.
+    RocksDB, on disk and not in the heap. files: files of one batch at most. A checkpoint belongs to one of these ways. by_row: score makes one row of each row, by itself, and keeps the
+    keys (and arrival); it is then applied before the keys meet, so that its columns are shuffled and not the source's, and rows of known keys are scored once more and dropped.
     """
+    before, after = (score, lambda df: df) if by_row else (lambda df: df, score)
     reader = spark.readStream.schema(schema)
-    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
+    rows = before((reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source))
     if keep is not None:
         landed = "_" * (1 + max(len(c) for c in rows.columns))  # a name that no column has
         once = rows.withColumn(landed, F.current_timestamp()).withWatermark(landed, f"{int(keep.total_seconds() * 1000)} milliseconds").dropDuplicatesWithinWatermark(keys).drop(landed)
@@ -46,7 +48,7 @@ def score_stream(
     else:
         once = rows.dropDuplicates(keys)
     with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
-        query = score(once).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        query = after(once).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
         query.awaitTermination()
 
 
