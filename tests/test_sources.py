@@ -2,10 +2,14 @@
 
 import gzip
 import json
+import os
 
 import pytest
+from compare import differences
 from pyspark.sql import functions as F
 
+from traceaudit.plans import files
+from traceaudit.plans.registry import ORACLE_SQL, QUERIES
 from traceaudit.sources import records
 from traceaudit.streaming import stream
 
@@ -74,3 +78,12 @@ def test_a_cluster_has_to_name_its_shared_folder(spark):
     Session.conf.found = "hdfs://x/y/"
     assert session.scratch_dir(Session(), "t").startswith("hdfs://x/y/t-")
     assert session.shared_dir(spark) and session.scratch_dir(spark, "t") != session.scratch_dir(spark, "t")
+
+
+@pytest.mark.parametrize(("name", "least"), [("s1_read_indented", 200 // 40), ("s1_read_completions", 4)])
+def test_arrays_hold_so_many_records_at_most(spark, sf_dir, tmp_path, monkeypatch, name, least):
+    monkeypatch.setattr(files, "scratch_dir", lambda spark, name: f"{tmp_path}/arrays")
+    monkeypatch.setattr(files, "ROWS", 40 if name == "s1_read_indented" else 5)
+    diff, n = differences(spark, sf_dir, QUERIES[name], ORACLE_SQL[name])
+    assert n and not diff
+    assert len([g for g in os.listdir(f"{tmp_path}/arrays") if g.startswith("g=")]) >= least

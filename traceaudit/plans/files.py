@@ -27,10 +27,10 @@ def s1_read_responses(spark, d):
 @query(f"""WITH {RESPONSES} SELECT model, task, count(*) AS n, sum(length(answer))::BIGINT AS chars, count(*) FILTER (doc_id % 3 = 0) AS n_tagged, max(CASE WHEN doc_id % 3 = 0 THEN lang END) AS top
   FROM responses JOIN documents USING (doc_id) GROUP BY ALL""")
 def s1_read_indented(spark, d):
-    """Indented JSON arrays with metadata, each file read by as many tasks as Spark splits it into."""
+    """Indented JSON arrays with metadata, of ROWS records at most, each file read by as many tasks as Spark splits it into."""
     metadata = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("lang"), F.col("task"), F.lit("n"), F.col("doc_id").cast("string")))
     record = F.to_json(F.struct("id", "question", "gt", "answer", "model", "task", metadata.alias("metadata")), {"pretty": "true"})
-    group = F.pmod(F.col("doc_id"), F.lit(4)).alias("g")
+    group = F.floor(F.col("doc_id") / ROWS).alias("g")
     laid = responses(spark, d).select(group, F.concat(F.lit("  "), F.replace(record, F.lit("\n"), F.lit("\n  "))).alias("r"))
     arrays = laid.groupBy("g").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("\n]")).alias("value"))
     path = scratch_dir(spark, "indented")
@@ -41,10 +41,10 @@ def s1_read_indented(spark, d):
 
 @query("""SELECT conv_id::VARCHAR AS id, count(*) AS n, sum(length(text))::BIGINT AS chars, md5(arg_min(text, turn)) AS first FROM conversations WHERE text IS NOT NULL GROUP BY 1""")
 def s1_read_completions(spark, d):
-    """Conversations as prompts with their turns as completions."""
+    """Conversations as prompts with their turns as completions, in JSON arrays of ROWS prompts at most."""
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
     prompts = table(spark, d, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(turns.alias("completions")).select(F.col("conv_id").cast("string").alias("id"), F.lit("q").alias("input"), F.lit("").alias("gt"), "completions", F.lit("t").alias("task"))
-    arrays = prompts.groupBy(F.pmod(F.xxhash64("id"), F.lit(3)).alias("g")).agg(F.to_json(F.collect_list(F.struct(*prompts.columns))).alias("value"))
+    arrays = prompts.groupBy(F.floor(F.col("id").cast("long") / ROWS).alias("g")).agg(F.to_json(F.collect_list(F.struct(*prompts.columns))).alias("value"))
     path = scratch_dir(spark, "completions")
     arrays.write.partitionBy("g").text(path)
     rows = records.samples_of(records.read_completions(spark, f"{path}/*/*"))
