@@ -213,3 +213,12 @@ def test_windows_and_splits(spark):
     assert windows.hottest_window(df, "doc", "i", "v", F.col("cat") == "b", 2).first()["start"] == 0
     orders = spark.range(5).withColumnRenamed("id", "o")
     assert [r["split"] for r in pr.tail_split(orders, "o", 1).orderBy("o").collect()] == ["train", "train", "train", "valid", "test"]
+
+
+def test_texts_are_lower_cased_once(spark):
+    text, old = F.col("text"), F.col("old")
+    assert one(spark, pb.replace_first(text, old, F.lit("X")), text="an Acid, acid", old="ACID") == "an X, acid"
+    assert one(spark, pb.corrupt_all(text, LEXICON, "amine x"), text="Nitro, ACID, Amine, nitro") == "amine x x, amine x, Amine, nitro"
+    assert one(spark, pb.corrupt_all(text, LEXICON, "x"), text=None) is None
+    plan = spark.createDataFrame([("a", "b")], "text string, old string").select(pb.replace_first(text, old, F.lit("X")).alias("r"), pb.corrupt_all(text, LEXICON, "x").alias("c"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1

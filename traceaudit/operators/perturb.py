@@ -40,10 +40,10 @@ def with_target(df: DataFrame, target: Column, column: str = "t") -> DataFrame:
     return df.select("*", F.explode(F.array_compact(F.array(target))).alias(column))
 
 
-def replace_first(text: Column, old: Column, new: Column) -> Column:
-    """The first occurrence of old, any case, replaced; the text itself without one."""
-    at = F.instr(F.lower(text), F.lower(old))
-    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text)))).otherwise(text)
+def replace_first(text: Column, old: Column, new: Column, low: Column | None = None) -> Column:
+    """The first occurrence of old, any case, replaced; the text itself without one. low: the lower-cased text, if it is there already."""
+    put = lambda at: F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text)))).otherwise(text)
+    return once(F.instr(F.lower(text) if low is None else low, F.lower(old)), put)
 
 
 def other_group_keyword(group: Column, key: Column, lexicon: Lexicon) -> Column:
@@ -68,12 +68,13 @@ def synonym(group: Column, keyword: Column, lexicon: Lexicon) -> Column:
 def corrupt_all(text: Column, lexicon: Lexicon, replacement: str) -> Column:
     """First keyword occurrence of every present group replaced, in lexicon order."""
     groups = F.array(*[_words(w) for w in lexicon.values()])
+    both = lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"))
 
-    def one(t: Column, words: Column) -> Column:
-        keyword = F.get(F.filter(words, lambda w: F.lower(t).contains(F.lower(w))), F.lit(0))
-        return F.coalesce(replace_first(t, keyword, F.lit(replacement)), t)
+    def one(s: Column, words: Column) -> Column:
+        keyword = F.get(F.filter(words, lambda w: s["low"].contains(F.lower(w))), F.lit(0))
+        return once(keyword, lambda k: F.when(k.isNull(), s).otherwise(once(replace_first(s["text"], k, F.lit(replacement), s["low"]), both)))
 
-    return F.aggregate(groups, text, one)
+    return F.aggregate(groups, once(text, both), one, lambda s: s["text"])
 
 
 def drop_trace(answer: Column) -> Column:
