@@ -222,3 +222,12 @@ def test_texts_are_lower_cased_once(spark):
     assert one(spark, pb.corrupt_all(text, LEXICON, "x"), text=None) is None
     plan = spark.createDataFrame([("a", "b")], "text string, old string").select(pb.replace_first(text, old, F.lit("X")).alias("r"), pb.corrupt_all(text, LEXICON, "x").alias("c"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+
+
+def test_routed_rows_stay_where_they_are(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2] if i else None) for i in range(20)], "i int, code string").repartition(5, "i")
+    known, unknown = pr.route_tasks(rows, spark.createDataFrame([("a", "x")], "code string, family string"), "code")
+    assert known.count() == 9 and unknown.count() == 11
+    for df in (known, unknown):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(code" not in plan

@@ -95,8 +95,8 @@ def parse_constraints(instruction: Column, names: list[str]) -> Column:
 
 
 def route_tasks(df: DataFrame, dimension: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with the dimension's columns, rows whose key is unknown)."""
-    return df.join(dimension, key), df.join(dimension.select(key), key, "left_anti")
+    """(rows with the dimension's columns, rows whose key is unknown). The dimension is a short list of tasks and goes to the rows, as a shuffle would put all rows of a task into one partition."""
+    return df.join(F.broadcast(dimension), key), df.join(F.broadcast(dimension.select(key)), key, "left_anti")
 
 
 def filter_overlong(df: DataFrame, length: Column, most: int) -> DataFrame:
