@@ -5,6 +5,7 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from traceaudit.llm import components, jaccard_join, knn, warc
@@ -117,6 +118,41 @@ def test_signature_bound_never_prunes_a_link():
     assert len(jaccard_join.set_of("a b c d e f a b c d e f", WordHashes())) == 6
 
 
+def test_sets_of_many_texts_at_once():
+    texts = ["skipped", None, "", " \t\n", "A  b", "a B", "a b c d e", "a b c d f", "a\x1cb c\x00 c d e", "a\x1cb c c d e", "é\u00a0x É\u2003y \x0bz\x0c q", "x" * 9, "x" * 10, "x" * 32, "x" * 33, "x" * 34 + " y", " ".join(f"w{i % 7}" for i in range(50)), "a b c d e f a b c d e f"]
+    texts += [" ".join("v" * (1 + (i * j) % 41) for i in range(j)) for j in range(40)]
+    plain, hashes = [jaccard_join.set_of(t, WordHashes()) for t in texts[1:]], {}
+    for kind in (pa.string(), pa.large_string()):
+        many = jaccard_join.sets_of(pa.array(texts, kind).slice(1))
+        assert [len(s) for s in many] == [len(s) for s in plain]
+        for a in range(len(plain)):
+            assert np.array_equal(many[a], np.unique(many[a])) and np.array_equal(many[a], hashes.setdefault(a, many[a]))
+            assert all(len(np.intersect1d(plain[a], plain[b])) == len(np.intersect1d(many[a], many[b])) for b in range(a))
+    assert jaccard_join.sets_of(pa.array([], pa.string())) == [] and [len(s) for s in jaccard_join.sets_of(pa.array([None, ""], pa.string()))] == [0, 0]
+
+
+def test_few_sets_meet_pair_by_pair_as_in_trees(monkeypatch):
+    rng, rows = random.Random(4), []
+    base = [np.array([rng.randrange(2**62) for _ in range(300)], np.uint64) for _ in range(6)]
+    for h, size in enumerate((1, 2, 2, 3, 9, 30, 64, 70, 2, 40)):
+        for i, j in ((0, 0), (0, 1)):
+            for _ in range(size):
+                s = base[rng.randrange(6)][: rng.randrange(1, 300)]
+                bits, excess = jaccard_join.bitmap(s)
+                marks, more = jaccard_join.bitmap(s[: rng.randrange(1, 20)])
+                side = rng.randrange(2) if i != j else 0
+                lows = rng.choice((None, [], [rng.randrange(9) for _ in range(rng.randrange(1, 4))]))
+                rows.append((1, 0, h, 0, i, j, rng.randrange(10**6), side, rng.randrange(20), len(s), excess, bits.to_bytes(jaccard_join.BITS // 8, "little"), lows, marks.to_bytes(jaccard_join.BITS // 8, "little"), more))
+    columns = [pa.array(c, pa.list_(pa.int64()) if k == 12 else None) for k, c in enumerate(zip(*rows, strict=True))]
+    batch = pa.RecordBatch.from_arrays(columns, [str(k) for k in range(15)])
+    found = []
+    for paired, size in ((64, 500), (64, 7), (1, 500)):  # 1: trees alone
+        monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+        got = jaccard_join.second_round(batch.slice(k, size) for k in range(0, len(rows), size))
+        found.append(sorted({pair for x in got for pair in zip(*[c.to_pylist() for c in x.columns], strict=True)}))
+    assert len(found[0]) > 20 and found[0] == found[1] == found[2]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 1), (10, 1), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}

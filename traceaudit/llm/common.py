@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ SMALL_ROWS = 1_000_000
 KEY_BITS = 24
 #: Distinct words whose hashes a Python worker remembers at once.
 MEMO_WORDS = 200_000
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 32
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -87,6 +91,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each word (none of them null or empty) of an Arrow array, eight bytes of all words at a time."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.empty(0, np.uint64)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.concatenate([np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    first = np.append(np.uint64(0), ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.arange(1, 9, dtype=np.uint64)))  # masks of so many bytes
+    begin, size = at[:-1] - at[0], np.diff(at)
+    h = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (eight[begin] & first[np.minimum(size, 8)]))
+    for done in range(8, LONG_WORD, 8):
+        more = np.flatnonzero(size > done)
+        h[more] = mix64(h[more] + (eight[begin[more] + done] & first[np.minimum(size[more] - done, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : begin[i] + size[i]])
+    return h
+
+
+def hashed_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (see words_of) of an Arrow array of texts, one text after the other, and the place of each text's first one, followed by their number."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    real = pc.not_equal(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    places = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    return hashes_of(words.filter(real)), before[places]
+
+
 def shingle_hashes(h: np.ndarray, k: int = 5) -> np.ndarray:
     """Hash of each k consecutive words, in text order; a shorter, non-empty text is one shingle of all its words."""
     n = len(h)

@@ -12,7 +12,7 @@ A text is the set of the 64-bit hashes of its distinct k-word shingles. The step
    is a signature tree: nodes hold the OR of their sets' token bitmaps, a size range and the most bits lost to
    collisions; a dual traversal prunes node pairs by the largest overlap they allow, and node pairs that are already one
    component. What remains is checked exactly.
-5. Second round: only shingles whose sets are not yet in one component matter. Their sets meet in trees of signatures alone, all pairs of
+5. Second round: only shingles whose sets are not yet in one component matter. Their sets meet in trees of signatures alone (few sets pair by pair), all pairs of
    chunks included but those of the largest component of a shingle among themselves; pairs that survive are checked exactly. No link
    between sets of different components is lost. Shingles of one family of sets are dealt together, as their rows are alike, in deals of bounded size;
    the pairs of chunks of a shingle are deals of their own, so a shingle or a family of very many sets is many pieces.
@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import WordHashes, cut, in_runs, may_be_in, mix64, pack_sorted, pieces_of, planes, shingle_hashes, slices_of, small_or_shuffled, sorted_runs, unpack_sorted, unplanes, words_of
+from traceaudit.llm.common import WordHashes, cut, hashed_texts, in_runs, may_be_in, mix64, pack_sorted, pieces_of, planes, shingle_hashes, slices_of, small_or_shuffled, sorted_runs, unpack_sorted, unplanes, words_of
 from traceaudit.llm.components import components
 from traceaudit.session import table
 
@@ -43,6 +44,10 @@ LOWS = 4
 #: Signature rows of one deal of the second round, about.
 DEAL_ROWS = 10_000
 FANOUT = 8
+#: Bytes of texts whose words are arrays at once, about: some 30 times as much memory.
+TEXT_BYTES = 500_000
+#: Sets of a shingle that meet in the second round pair by pair, without trees and bands.
+PAIRED = 64
 #: Rows that are Python objects at once in a task.
 TASK_ROWS = 1000
 
@@ -52,14 +57,38 @@ def set_of(text: str | None, hashes: WordHashes, k: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(hashes.of(words_of(text)), k))
 
 
+def sets_of(texts: pa.Array, k: int = WORDS) -> list[np.ndarray]:
+    """As set_of, of all texts of an Arrow array, many at once; the hashes of words are others."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    piece = np.cumsum(sizes, dtype=np.int64) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)]
+    return [s for i, j in zip(cuts[:-1], cuts[1:], strict=True) for s in sets_of_piece(texts.slice(i, j - i), k)]
+
+
+def sets_of_piece(texts: pa.Array, k: int) -> list[np.ndarray]:
+    h, at = hashed_texts(texts)
+    whole = shingle_hashes(h, k)
+    return [distinct(whole[i : j - k + 1] if j - i >= k else shingle_hashes(h[i:j], k)) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """As np.unique, which takes four times as long for some hundred hashes."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.Array:
+    """An Arrow array of lists of longs."""
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
+
+
 def frequent_shingles(docs: DataFrame, k: int = WORDS, most: int = FREQUENT) -> np.ndarray:
     """At most `most` shingles of the highest document counts, sorted. Each task forgets shingles of fewer than 3 of TASK_ROWS texts."""
 
     def count(batches):
-        hashes = WordHashes()
         for batch in pieces_of(batches, TASK_ROWS):
-            sets = [set_of(t, hashes, k) for t in batch.column(0).to_pylist()]
-            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets_of(batch.column(0), k)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[n >= 3].view(np.int64)), pa.array(n[n >= 3])], ["h", "n"])
 
     counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -81,21 +110,19 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray, k: int = WORDS) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        hot, hashes = shared.value, WordHashes()
+        hot = shared.value
         for batch in pieces_of(batches, TASK_ROWS):
             out = [[], [], [], [], []]
-            for text in batch.column(1).to_pylist():
-                s = set_of(text, hashes, k)
+            for s in sets_of(batch.column(1), k):
                 p = prefix_length(len(s))
                 common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
                 rare = s[~common][:p]
                 kept = s[common][: p - len(rare)]
                 f1, f2 = mix64(s + np.uint64(1)), mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                for column, v in zip(out, (len(s), int(f1.sum(dtype=np.uint64).view(np.int64)), int(f2.sum(dtype=np.uint64).view(np.int64)), rare.view(np.int64), kept.view(np.int64)), strict=True):
+                for column, v in zip(out, (len(s), int(f1.sum(dtype=np.uint64).view(np.int64)), int(f2.sum(dtype=np.uint64).view(np.int64)), rare, kept), strict=True):
                     column.append(v)
-            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], longs), pa.array(out[4], longs)],
+                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), lists_of(out[3]), lists_of(out[4])],
                 ["doc_id", "n", "f1", "f2", "rare", "hot"],
             )
 
@@ -233,30 +260,103 @@ def first_round(batches):
             yield from pairs_batch([(r[0], least[forest.find(i)]) for i, r in enumerate(rows) if r[0] != least[forest.find(i)]])
 
 
+def whole_runs(batches, keys: int):
+    """(rows, starts): batches of rows sorted by the first `keys` columns, cut where a run of equal keys ends, and where their runs start."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = False
+        for c in range(keys):
+            key = batch.column(c).to_numpy(zero_copy_only=False)
+            new[1:] |= key[1:] != key[:-1]
+        starts = np.flatnonzero(new)
+        last = int(starts[-1]) if len(starts) else 0
+        if last:
+            yield batch.slice(0, last), starts[:-1]
+        held = batch.slice(last)
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
+def bits_of(column: pa.Array) -> np.ndarray:
+    """Bitmaps of a binary column as rows of 64-bit numbers."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint64, len(column) * BITS // 64, at).reshape(len(column), BITS // 64)
+
+
+def meeting(starts: np.ndarray, ends: np.ndarray):
+    """(x, y): all pairs of rows of each run from a start to an end, in pieces of bounded size."""
+    size = ends - starts
+    rows = np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)
+    later = np.repeat(ends, size) - 1 - rows  # so many rows of its run follow a row
+    piece = np.cumsum(later) // (2 * TASK_ROWS)
+    for p in np.unique(piece).tolist():
+        x, n = rows[piece == p], later[piece == p]
+        yield np.repeat(x, n), np.repeat(x + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def second_round(batches):
     """Pairs (a, b) that may link, of each pair of chunks (family, salt, h, band, i, j, doc_id, side, component, n, excess, signature, earlier, marks, marks_excess)."""
-    for (*_, i, j), rows in runs(batches, 6):
-        stats = [(int.from_bytes(r[5], "little"), r[3], r[3], r[4]) for r in rows]
-        earlier = [frozenset(r[6] or ()) for r in rows]
-        marks = [int.from_bytes(r[7], "little") for r in rows]
-        found = set()
-
-        def note(x, y, rows=rows, earlier=earlier, marks=marks, found=found):
-            least = max(1, 4 * max(rows[x][3], rows[y][3]) // 100)  # see least_shared
-            if (marks[x] & marks[y]).bit_count() + min(rows[x][8], rows[y][8]) >= least and earlier[x].isdisjoint(earlier[y]):
-                found.add((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])))
-
-        if len(rows) == 2:
-            if (i == j or rows[0][1] != rows[1][1]) and rows[0][2] != rows[1][2] and possible(*stats):
-                note(0, 1)
-        elif i == j:
-            Forest([r[2] for r in rows]).traverse(build(stats), stats, None, note)
-        else:
-            sides = [[x for x, r in enumerate(rows) if r[1] == s] for s in (0, 1)]
-            if all(sides):
-                trees = [build_of(stats, side) for side in sides]
-                Forest([r[2] for r in rows]).traverse(trees[0], stats, trees[1], note)
-        yield from pairs_batch(sorted(found))
+    for batch, starts in whole_runs(pieces_of(batches, TASK_ROWS), 6):
+        ends = np.append(starts[1:], batch.num_rows)
+        size = ends - starts
+        few = (size > 1) & (size <= PAIRED)
+        yield from paired(batch, starts[few], ends[few])
+        for lo, hi in zip(starts[size > PAIRED].tolist(), ends[size > PAIRED].tolist(), strict=True):
+            yield from treed(batch.slice(lo, hi - lo))
+
+
+def paired(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray):
+    """second_round of runs of few rows: a tree would be little more than its leaves, so all pairs are looked at, many runs at once."""
+    i, j, doc, side, part, n, excess, marks_excess = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6, 7, 8, 9, 10, 14))
+    signature, marks = (bits_of(batch.column(c)) for c in (11, 13))
+    lows = batch.column(12).fill_null([])
+    seen = np.zeros((batch.num_rows, max(1, pc.max(lows.value_lengths()).as_py() or 0)), np.int64)
+    known = np.arange(seen.shape[1]) < lows.value_lengths().to_numpy(zero_copy_only=False)[:, None]
+    seen[known] = lows.flatten().to_numpy(zero_copy_only=False)
+
+    def common(bits, x, y):
+        return np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
+
+    for x, y in meeting(starts, ends):
+        ok = (part[x] != part[y]) & ((i[x] == j[x]) | (side[x] != side[y])) & (5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x])
+        x, y = x[ok], y[ok]
+        ok = 9 * (common(signature, x, y) + np.minimum(excess[x], excess[y])) >= 4 * (n[x] + n[y])  # see possible
+        x, y = x[ok], y[ok]
+        ok = common(marks, x, y) + np.minimum(marks_excess[x], marks_excess[y]) >= np.maximum(1, 4 * np.maximum(n[x], n[y]) // 100)  # see least_shared
+        x, y = x[ok], y[ok]
+        met = (seen[x][:, :, None] == seen[y][:, None, :]) & known[x][:, :, None] & known[y][:, None, :]
+        ok = ~met.any((1, 2))
+        if ok.any():
+            a, b = doc[x[ok]], doc[y[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def treed(batch: pa.RecordBatch):
+    """second_round of one run of many rows, by dual traversal of signature trees."""
+    i, j = batch.column(4)[0].as_py(), batch.column(5)[0].as_py()
+    rows = list(zip(*[c.to_pylist() for c in batch.columns[6:]], strict=True))
+    stats = [(int.from_bytes(r[5], "little"), r[3], r[3], r[4]) for r in rows]
+    earlier = [frozenset(r[6] or ()) for r in rows]
+    marks = [int.from_bytes(r[7], "little") for r in rows]
+    found = set()
+
+    def note(x, y):
+        least = max(1, 4 * max(rows[x][3], rows[y][3]) // 100)  # see least_shared
+        if (marks[x] & marks[y]).bit_count() + min(rows[x][8], rows[y][8]) >= least and earlier[x].isdisjoint(earlier[y]):
+            found.add((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])))
+
+    if i == j:
+        Forest([r[2] for r in rows]).traverse(build(stats), stats, None, note)
+    else:
+        sides = [[x for x, r in enumerate(rows) if r[1] == s] for s in (0, 1)]
+        if all(sides):
+            trees = [build_of(stats, side) for side in sides]
+            Forest([r[2] for r in rows]).traverse(trees[0], stats, trees[1], note)
+    yield from pairs_batch(sorted(found))
 
 
 def build_of(stats: list[tuple], items: list[int]) -> Node:
@@ -331,9 +431,8 @@ def cell_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, excess, signature, cells) of the documents in ids(doc_id)."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in pieces_of(batches, TASK_ROWS):
-            sets = [set_of(t, hashes, k) for t in batch.column(1).to_pylist()]
+            sets = sets_of(batch.column(1), k)
             maps = [bitmap(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[1] for m in maps], pa.int64()), pa.array([m[0].to_bytes(BITS // 8, "little") for m in maps], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -384,7 +483,8 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
         .withColumn("n_other", parts_of(F.greatest(F.col("size") - F.coalesce("n_major", F.lit(0)), F.lit(1))))
         .withColumn("first", F.coalesce(F.col("part_id") == F.col("major"), F.lit(False)))
     )
-    meets = 2 * F.when(F.col("first"), F.col("n_other")).otherwise(F.col("n_first") + F.col("n_other"))  # signature rows of a set: two bands, each chunk that it meets
+    many = F.col("size") > PAIRED
+    meets = F.when(many, 2).otherwise(1) * F.when(F.col("first"), F.col("n_other")).otherwise(F.col("n_first") + F.col("n_other"))  # signature rows of a set: two bands, each chunk that it meets
     families = cut(rest.groupBy("family").agg(F.ceil(F.sum(meets) / DEAL_ROWS).alias("n_deals")).filter("n_deals > 1"), "jaccard-families")
     one_text = ~F.coalesce("has_more", F.lit(False))  # what holds for one of several texts does not for the others
     nodes = cells.drop("cells").join(shared, "doc_id").join(small_or_shuffled(several.withColumn("has_more", F.lit(True))), "doc_id", "left").withColumn("lows", F.when(one_text, F.col("lows"))).drop("has_more")
@@ -394,7 +494,7 @@ def component_table(docs: DataFrame, k: int = WORDS, chunk: int = CHUNK, most: i
     tree_rows = (
         rest.join(small_or_shuffled(families), "family", "left")
         .join(nodes, "doc_id")
-        .withColumn("band", F.explode(F.array(band, band + 1)))
+        .withColumn("band", F.explode(F.when(many, F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long")))))
         .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.when(F.col("first"), F.col("n_first")).otherwise(F.col("n_other"))).cast("int") + F.when(F.col("first"), 0).otherwise(F.col("n_first")))
         .withColumn("with", F.explode(F.sequence(F.when(F.col("first"), F.col("n_first")).otherwise(0), F.col("n_first") + F.col("n_other") - 1)))
         .withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with")})
