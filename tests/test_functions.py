@@ -231,3 +231,22 @@ def test_routed_rows_stay_where_they_are(spark):
     for df in (known, unknown):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "hashpartitioning(code" not in plan
+
+
+def test_self_contradiction_normalises_once_and_keeps_every_flip(spark):
+    import itertools
+    import re
+
+    from traceaudit.functions.text import normalize_text
+
+    flips = ["this is", "This  should\tbe", "the smiles is", "the\nmolecule should be", "the structure is", "this isnt", "athis is", "the smiles"]
+    texts = [f" {a} the benzene ring; " * n + f"{b} an acid here." for a in flips for b in flips for n in (1, 4, 6)]
+    texts += ["".join(x) + "tail" for x in itertools.product(("a", " ", "  ", "\t", "\n ", " \r\n", "\x0b\x0c", "\u00a0"), repeat=3)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normalize_text(F.col("t")).alias("n"), sc.self_contradiction(F.col("t")).cast("double").alias("ir"))
+    pattern = re.compile(sc.FLIP, re.ASCII)
+    for t, n, ir in df.collect():
+        assert n == re.sub(r"[ \t\n\x0b\x0c\r]+", " ", t.lower()).strip(" ")
+        count = len(pattern.findall(n))
+        assert len(t) < 25 or ir == (5.0 * (count - 3) if count > 3 else 0.0)
+    plan = df.select("ir")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1

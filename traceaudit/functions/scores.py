@@ -22,6 +22,8 @@ CORRECTIONS = (
 FLIP = r"\b(?:this (?:is|should be)|the (?:smiles|molecule|structure) (?:is|should be))\s+([^\n.]{5,50})"
 #: For each correction, words of which a match holds at least one; a text without them is not searched.
 CORRECTION_WORDS = (("wait",), ("actually",), ("reconsider",), ("wrong", "mistake", "incorrect"), ("correction",), ("second thought",), ("wait", "actually"))
+#: Each match of FLIP holds one of these.
+FLIP_WORDS = ("this is", "this should be", "the smiles ", "the molecule ", "the structure ")
 WEIGHTS = {"ir": 0.15, "io": 0.25, "er": 0.25, "eo": 0.35}
 
 
@@ -32,12 +34,14 @@ def self_contradiction(trace: Column) -> Column:
 
     def phrases(t: Column) -> Column:
         corrections = [F.when(has(t, words), F.regexp_count(t, F.lit(ascii_borders(p))) * w).otherwise(0) for (p, w), words in zip(CORRECTIONS, CORRECTION_WORDS, strict=True)]
-        return reduce(lambda a, b: a + b, corrections) + once(F.regexp_count(t, F.lit(ascii_borders(FLIP))), flips)
+        return reduce(lambda a, b: a + b, corrections) + F.when(has(t, FLIP_WORDS), once(F.regexp_count(t, F.lit(ascii_borders(FLIP))), flips)).otherwise(0)
+
+    def repeats(t: Column) -> Column:
+        sentences = F.filter(F.split(t, r" ?\. ?"), lambda s: F.length(s) > 20)
+        return once(once(sentences, lambda s: F.size(s) - F.size(F.array_distinct(s))), lambda r: F.when(r > 2, r * 3).otherwise(0))
 
-    sentences = F.filter(F.split(normalize_text(trace), r" ?\. ?"), lambda s: F.length(s) > 20)
-    repeats = once(once(sentences, lambda s: F.size(s) - F.size(F.array_distinct(s))), lambda r: F.when(r > 2, r * 3).otherwise(0))
     n = F.length(trace)
-    total = once(normalize_text(trace), phrases) + repeats + F.when(n > 10000, F.least(F.lit(20.0), (n - 10000) / F.lit(1000.0))).otherwise(0.0)
+    total = once(normalize_text(trace), lambda t: phrases(t) + repeats(t)) + F.when(n > 10000, F.least(F.lit(20.0), (n - 10000) / F.lit(1000.0))).otherwise(0.0)
     return F.when(F.length(strip(trace)) >= 20, F.least(F.lit(100.0), total)).otherwise(F.lit(0.0))
 
 
